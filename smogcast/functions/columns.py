@@ -77,7 +77,8 @@ def pollutant_status(v, low, high) -> Column:
 
 def scale_pct(v, max_value) -> Column:
     """``min(v / max * 100, 100)``."""
-    return F.least(_col(v) / F.lit(float(max_value)) * F.lit(100.0), F.lit(100.0))
+    mx = max_value if isinstance(max_value, Column) else F.lit(float(max_value))
+    return F.least(_col(v) / mx * F.lit(100.0), F.lit(100.0))
 
 
 def positive_or_missing(c) -> Column:
@@ -200,7 +201,8 @@ def horizon_fallback(p24, p48, p72, tomorrow=None):
 
 def fmt(x, decimals: int = 1, missing: str = "N/A") -> Column:
     """fixed decimals text (half up, as the dashboard), ``missing`` if NULL."""
-    return F.coalesce(F.format_string(f"%.{int(decimals)}f", _col(x)), F.lit(missing))
+    x = _col(x)
+    return F.when(x.isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{int(decimals)}f", x))
 
 
 def r6(x) -> Column:
