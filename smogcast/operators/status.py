@@ -80,16 +80,25 @@ def current_status(live: DataFrame, master: DataFrame, weather: DataFrame | None
     return out
 
 
+def history_sequence(master: DataFrame, n: int = 30) -> DataFrame:
+    """Last ``n`` history values per city (oldest first) and how many there are (<= n).
+
+    Only the last n rows per city are shuffled (window-group limit), then
+    collected per city: a bounded array of n values.
+    """
+    hist = last_n(master, n)
+    return hist.groupBy("city").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "aqi"))), lambda x: x["aqi"]).alias("h"),
+        F.count(F.lit(1)).alias("n_hist"))
+
+
 def hybrid_sequence(live: DataFrame, master: DataFrame, n: int = 30) -> DataFrame:
     """Last n-1 history values + live AQI as the n-th; without live, the last n.
 
     Cities with too little history are left out.  Only the last n rows per city
     are shuffled (window-group limit), then collected per city: n values each.
     """
-    hist = last_n(master, n)
-    per_city = hist.groupBy("city").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "aqi"))), lambda x: x["aqi"]).alias("h"),
-        F.count(F.lit(1)).alias("n_hist"))
+    per_city = history_sequence(master, n)
     lv = newest_per_city(live).select("city", F.col("aqi").alias("live_aqi"))
     j = per_city.join(lv, "city", "left")
     live_ok = F.col("live_aqi").isNotNull() & (F.col("n_hist") >= n - 1)

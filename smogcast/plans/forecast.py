@@ -23,8 +23,8 @@ from ..functions.columns import blend, minmax, minmax_inverse, round2
 from ..functions.risk import health_risk
 from ..operators.sequences import (differences, fit_minmax, holdout_split, position_split,
                                    sequences)
-from ..operators.status import hybrid_sequence
-from ..operators.tables import restrict_to, top_cities
+from ..operators.status import hybrid_sequence, restrict_to
+from ..operators.tables import top_cities
 
 SEQ_LEN = 30
 MAX_REVERT_STEPS = 6   # beyond this the reversion weight passes 1 (Q8)
