@@ -646,3 +646,259 @@ def q_horizon_rows(spark, sf_dir):
 def q_forecast_delta(spark, sf_dir):
     p = prediction_frame(spark, sf_dir).select("city", "pred_24h")
     return st.forecast_delta(p, tb.latest_per_city(master(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ A5-A9, A14 on a stand-in predictor
+
+from ..operators import metrics as mt  # noqa: E402
+from . import classify as cl  # noqa: E402
+from pyspark.sql import Window as _W  # noqa: E402
+
+
+def persistence(spark, sf_dir, lag: int = 1) -> DataFrame:
+    """Stand-in classifier output: label = 4-class risk of today's AQI,
+    prediction = 4-class risk of the AQI ``lag`` rows earlier (a persistence model)."""
+    c = master(spark, sf_dir).where(F.col("aqi").isNotNull()).select("city", "date", "aqi")
+    w = _W.partitionBy("city").orderBy("date")
+    prev = F.lag("aqi", lag).over(w)
+    return (c.withColumn("prev_aqi", prev).where(F.col("prev_aqi").isNotNull())
+             .select("city", "date", F.col("aqi").alias("actual"), F.col("prev_aqi").alias("pred"),
+                     risk.risk_bucket4("aqi").alias("label"), risk.risk_bucket4("prev_aqi").alias("prediction")))
+
+
+def _persist_sql(lag):
+    return ("SELECT city, date, aqi AS actual, prev_aqi AS pred, " + O.bucket4("aqi") + " AS label, "
+            + O.bucket4("prev_aqi") + " AS prediction FROM (SELECT city, date, aqi, "
+            f"lag(aqi, {lag}) OVER (PARTITION BY city ORDER BY date) AS prev_aqi FROM master "
+            "WHERE aqi IS NOT NULL) WHERE prev_aqi IS NOT NULL")
+
+
+CONF_SQL = "SELECT label, prediction, count(*) AS n FROM p1 GROUP BY label, prediction"
+REPORT_SQL = (
+    "SELECT cls AS class, coalesce(tp / nullif(predicted, 0), 0.0) AS precision, "
+    "coalesce(tp / nullif(support, 0), 0.0) AS recall, "
+    "coalesce(2 * (coalesce(tp / nullif(predicted, 0), 0.0) * coalesce(tp / nullif(support, 0), 0.0)) / "
+    "nullif(coalesce(tp / nullif(predicted, 0), 0.0) + coalesce(tp / nullif(support, 0), 0.0), 0), 0.0) AS f1, "
+    "CAST(support AS BIGINT) AS support FROM ("
+    "SELECT c.cls, CAST(coalesce(s.support, 0) AS DOUBLE) AS support, CAST(coalesce(p.predicted, 0) AS DOUBLE) AS predicted, "
+    "CAST(coalesce(t.tp, 0) AS DOUBLE) AS tp FROM "
+    "(SELECT label AS cls FROM conf UNION SELECT prediction FROM conf) c "
+    "LEFT JOIN (SELECT label AS cls, sum(n) AS support FROM conf GROUP BY label) s ON c.cls = s.cls "
+    "LEFT JOIN (SELECT prediction AS cls, sum(n) AS predicted FROM conf GROUP BY prediction) p ON c.cls = p.cls "
+    "LEFT JOIN (SELECT label AS cls, sum(n) AS tp FROM conf WHERE label = prediction GROUP BY label) t "
+    "ON c.cls = t.cls)")
+OVERALL_SQL = (
+    "SELECT sum(recall * support) / sum(support) AS accuracy, avg(precision) AS macro_precision, "
+    "avg(recall) AS macro_recall, avg(f1) AS macro_f1, sum(precision * support) / sum(support) AS weighted_precision, "
+    "sum(recall * support) / sum(support) AS weighted_recall, sum(f1 * support) / sum(support) AS weighted_f1, "
+    "CAST(sum(support) AS BIGINT) AS support FROM report")
+METRIC_CTES = [("p1", _persist_sql(1)), ("conf", CONF_SQL), ("report", REPORT_SQL)]
+
+
+@register("confusion", O.with_ctes("SELECT * FROM conf", "master", extra=METRIC_CTES[:2]))
+def q_confusion(spark, sf_dir):
+    return mt.confusion(persistence(spark, sf_dir, 1))
+
+
+@register("class_report", O.with_ctes(O.finish("SELECT * FROM report", ["precision", "recall", "f1"]),
+                                      "master", extra=METRIC_CTES))
+def q_class_report(spark, sf_dir):
+    return mt.class_report(mt.confusion(persistence(spark, sf_dir, 1)))
+
+
+@register("overall_report", O.with_ctes(O.finish(OVERALL_SQL, [
+    "accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall",
+    "weighted_f1"]), "master", extra=METRIC_CTES))
+def q_overall_report(spark, sf_dir):
+    return mt.overall_report(mt.class_report(mt.confusion(persistence(spark, sf_dir, 1))))
+
+
+def _model_scores_sql():
+    parts = []
+    for order, lag in enumerate((1, 7)):
+        ctes = (f"WITH p AS ({_persist_sql(lag)}), conf AS ({CONF_SQL.replace('p1', 'p')}), "
+                f"report AS ({REPORT_SQL}) ")
+        parts.append(f"SELECT 'persistence_{lag}d' AS model, {order} AS ord, * FROM ({ctes}{OVERALL_SQL})")
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+@register("select_best", O.with_ctes(O.finish(
+    "SELECT arg_max(model, weighted_f1 * 1e12 - ord) AS selected_model, max(weighted_f1) AS selected_score "
+    f"FROM ({_model_scores_sql()})", ["selected_score"]), "master"))
+def q_select_best(spark, sf_dir):
+    scores = None
+    for order, lag in enumerate((1, 7)):
+        ov = mt.overall_report(mt.class_report(mt.confusion(persistence(spark, sf_dir, lag))))
+        one = ov.select(F.lit(f"persistence_{lag}d").alias("model"), F.lit(order).alias("ord"),
+                        F.col("weighted_f1").alias("f1_weighted"))
+        scores = one if scores is None else scores.unionByName(one)
+    return mt.select_best(scores)
+
+
+@register("error_metrics", O.with_ctes(O.finish(
+    "SELECT city, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) * (actual - pred))) AS rmse, "
+    "count(*) AS n FROM p1 GROUP BY city", ["mae", "rmse"]), "master", extra=METRIC_CTES[:1]))
+def q_error_metrics(spark, sf_dir):
+    return mt.error_metrics(persistence(spark, sf_dir, 1), by=["city"])
+
+
+@register("summarise_metrics", O.with_ctes(O.finish(
+    "SELECT avg(mae) AS mae_mean, avg(rmse) AS rmse_mean, median(mae) AS mae_median, median(rmse) AS rmse_median, "
+    "count(*) AS cities_trained FROM (SELECT city, avg(abs(actual - pred)) AS mae, "
+    "sqrt(avg((actual - pred) * (actual - pred))) AS rmse FROM p1 GROUP BY city)",
+    ["mae_mean", "rmse_mean", "mae_median", "rmse_median"]), "master", extra=METRIC_CTES[:1]))
+def q_summarise_metrics(spark, sf_dir):
+    return mt.summarise_metrics(mt.error_metrics(persistence(spark, sf_dir, 1), by=["city"]))
+
+
+# ------------------------------------------------------------------ M6 (1,1,0), W7, J12, J10
+
+BT_CTES = [
+    ("bt_clean", "SELECT city, date, aqi FROM master WHERE aqi IS NOT NULL"),
+    ("bt_top", "SELECT city FROM bt_clean GROUP BY city ORDER BY count(*) DESC, city LIMIT 8"),
+    ("bt", "SELECT *, n - 72 AS n_train FROM (SELECT c.*, row_number() OVER (PARTITION BY c.city ORDER BY date) AS pos, "
+           "count(*) OVER (PARTITION BY c.city) AS n FROM bt_clean c WHERE city IN (SELECT city FROM bt_top)) "
+           "WHERE n >= 112"),
+    ("bt_tr", "SELECT *, lag(d) OVER (PARTITION BY city ORDER BY pos) AS d_lag1 FROM ("
+              "SELECT *, aqi - lag(aqi) OVER (PARTITION BY city ORDER BY pos) AS d FROM bt WHERE pos <= n_train)"),
+    ("bt_par", "SELECT city, coalesce(sum(d * d_lag1) / sum(d_lag1 * d_lag1), 0.0) AS phi, arg_max(aqi, pos) AS y_last, "
+               "arg_max(d, pos) AS d_last FROM bt_tr GROUP BY city"),
+    ("bt_pred", "SELECT b.city, b.pos, b.aqi AS actual, p.y_last + p.d_last * CASE WHEN p.phi = 1 THEN (b.pos - b.n_train) "
+                "ELSE p.phi * (1 - pow(p.phi, b.pos - b.n_train)) / (1 - p.phi) END AS pred "
+                "FROM bt b JOIN bt_par p ON b.city = p.city WHERE b.pos > b.n_train"),
+    ("bt_city", "SELECT city, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) * (actual - pred))) AS rmse, "
+                "count(*) AS holdout, arg_max(actual, pos) AS last_actual, arg_max(pred, pos) AS last_predicted "
+                "FROM bt_pred GROUP BY city"),
+]
+
+
+@register("backtest_ar1", O.with_ctes(O.finish("SELECT * FROM bt_city", ["mae", "rmse", "last_actual",
+                                                                        "last_predicted"]),
+                                      "master", extra=BT_CTES))
+def q_backtest_ar1(spark, sf_dir):
+    return fc.backtest_ar1(master(spark, sf_dir))
+
+
+@register("backtest_predictions", O.with_ctes(O.finish("SELECT * FROM bt_pred", ["actual", "pred"]),
+                                              "master", extra=BT_CTES))
+def q_backtest_predictions(spark, sf_dir):
+    return fc.backtest_predictions(master(spark, sf_dir))
+
+
+@register("backtest_summary", O.with_ctes(O.finish(
+    "SELECT avg(mae) AS mae_mean, avg(rmse) AS rmse_mean, median(mae) AS mae_median, median(rmse) AS rmse_median, "
+    "count(*) AS cities_trained FROM bt_city", ["mae_mean", "rmse_mean", "mae_median", "rmse_median"]),
+    "master", extra=BT_CTES))
+def q_backtest_summary(spark, sf_dir):
+    return mt.summarise_metrics(fc.backtest_ar1(master(spark, sf_dir)))
+
+
+@register("compare_models", O.with_ctes(O.finish(
+    "SELECT a.metric, a.value AS seq_model, b.value AS baseline, (b.value - a.value) / b.value * 100.0 AS improvement_pct "
+    "FROM (SELECT 'mae' AS metric, mae AS value FROM ev UNION ALL SELECT 'rmse', rmse FROM ev) a JOIN "
+    "(SELECT 'mae' AS metric, avg(mae) AS value FROM bt_city UNION ALL SELECT 'rmse', avg(rmse) FROM bt_city) b "
+    "ON a.metric = b.metric", ["seq_model", "baseline", "improvement_pct"]), "master",
+    extra=SEQ_CTES + BT_CTES + [("ev", "SELECT avg(abs(actual - pred)) AS mae, "
+                                       "sqrt(avg((actual - pred) * (actual - pred))) AS rmse FROM ("
+                                       "SELECT s.label AS actual, " + _UNSCALE.format(x="m.intercept + m.slope * s.last_s")
+                                       + " AS pred FROM scaled s, model m, fit f WHERE s.part = 'test')")]))
+def q_compare_models(spark, sf_dir):
+    s, fit = _seq_frame(spark, sf_dir)
+    ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit)
+    a = ev.select(F.explode(F.array(F.struct(F.lit("mae").alias("metric"), F.col("mae").alias("value")),
+                                    F.struct(F.lit("rmse").alias("metric"), F.col("rmse").alias("value")))).alias("m")
+                  ).select("m.*")
+    sm = mt.summarise_metrics(fc.backtest_ar1(master(spark, sf_dir)))
+    b = sm.select(F.explode(F.array(F.struct(F.lit("mae").alias("metric"), F.col("mae_mean").alias("value")),
+                                    F.struct(F.lit("rmse").alias("metric"), F.col("rmse_mean").alias("value")))).alias("m")
+                  ).select("m.*")
+    return st.compare_models(a, b, "seq_model", "baseline")
+
+
+@register("backtest_arima")
+def q_backtest_arima(spark, sf_dir):
+    return fc.backtest_arima(master(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ M10, A15, M7, M8, J7, A11, A12
+
+TRAIN_KEY_SQL = "city || '|' || strftime(date, '%Y-%m-%d')"
+TRAIN_CTES = [
+    ("prepared", f"SELECT {TRAIN_KEY_SQL} AS row_key, pm25, pm10, no2, so2, co, o3, city, "
+                 + O.sql_lookup("aqi_bucket", risk.BUCKET_TO_CLASS, "aqi_bucket") + " AS label FROM master"),
+    ("labeled", "SELECT * FROM prepared WHERE label IN ('Good', 'Moderate', 'Unhealthy', 'Hazardous')"),
+]
+SAMPLE_MAX = 3000
+
+
+def _training(spark, sf_dir):
+    return cl.prepare_training(master(spark, sf_dir))[0]
+
+
+@register("prepare_training", O.with_ctes(O.finish("SELECT * FROM labeled",
+                                                   ["pm25", "pm10", "no2", "so2", "co", "o3"]),
+                                          "master", extra=TRAIN_CTES))
+def q_prepare_training(spark, sf_dir):
+    return _training(spark, sf_dir)
+
+
+@register("class_fractions", O.with_ctes(O.finish(
+    "SELECT label, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM labeled GROUP BY label",
+    ["share"]), "master", extra=TRAIN_CTES))
+def q_class_fractions(spark, sf_dir):
+    return cl.class_fractions(_training(spark, sf_dir))
+
+
+@register("stratified_sample", O.with_ctes(
+    "SELECT row_key, label FROM (SELECT l.*, row_number() OVER (PARTITION BY l.label ORDER BY md5('42:' || l.row_key), "
+    "l.row_key) AS rk, q.quota FROM labeled l JOIN (SELECT label, round_even(count(*) * "
+    f"{SAMPLE_MAX} / (SELECT count(*) FROM labeled), 0) AS quota FROM labeled GROUP BY label) q "
+    "ON l.label = q.label) WHERE rk <= quota", "master", extra=TRAIN_CTES))
+def q_stratified_sample(spark, sf_dir):
+    return cl.stratified_sample(_training(spark, sf_dir), max_rows=SAMPLE_MAX).select("row_key", "label")
+
+
+HASH_UNIT_SQL = "CAST(('0x' || substr(md5('42:' || row_key), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+
+@register("stratified_split", O.with_ctes(
+    f"SELECT row_key, label, CASE WHEN {HASH_UNIT_SQL} < 0.2 THEN 'test' ELSE 'train' END AS part FROM labeled",
+    "master", extra=TRAIN_CTES))
+def q_stratified_split(spark, sf_dir):
+    return cl.stratified_split(_training(spark, sf_dir)).select("row_key", "label", "part")
+
+
+SPLIT_CTES = TRAIN_CTES + [("train_rows", f"SELECT * FROM labeled WHERE {HASH_UNIT_SQL} >= 0.2")]
+
+
+@register("class_weights", O.with_ctes(O.finish(
+    "SELECT label, count(*) AS n, (SELECT count(*) FROM train_rows) / ((SELECT count(DISTINCT label) FROM train_rows) "
+    "* count(*)) AS weight FROM train_rows GROUP BY label", ["weight"]), "master", extra=SPLIT_CTES))
+def q_class_weights(spark, sf_dir):
+    t = cl.stratified_split(_training(spark, sf_dir)).where(F.col("part") == "train")
+    w = cl.with_class_weights(t)
+    return w.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"))
+
+
+IMPUTE_NUMERIC = ["pm25", "pm10", "no2", "so2", "co", "o3"]
+
+
+@register("fit_impute", O.with_ctes(O.finish(
+    "SELECT " + ", ".join(f"median({c}) AS {c}" for c in IMPUTE_NUMERIC) +
+    ", (SELECT city FROM train_rows WHERE city IS NOT NULL GROUP BY city ORDER BY count(*) DESC, city LIMIT 1) AS city "
+    "FROM train_rows", IMPUTE_NUMERIC), "master", extra=SPLIT_CTES))
+def q_fit_impute(spark, sf_dir):
+    t = cl.stratified_split(_training(spark, sf_dir)).where(F.col("part") == "train")
+    return cl.fit_impute(t, IMPUTE_NUMERIC, ["city"])
+
+
+@register("fit_standard", O.with_ctes(O.finish(
+    "SELECT " + ", ".join(f"avg({c}) AS {c}__mean, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END "
+                         f"AS {c}__std" for c in IMPUTE_NUMERIC) +
+    " FROM (SELECT " + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM train_rows)) AS {c}" for c in IMPUTE_NUMERIC)
+    + " FROM train_rows)", [f"{c}__{k}" for c in IMPUTE_NUMERIC for k in ("mean", "std")]),
+    "master", extra=SPLIT_CTES))
+def q_fit_standard(spark, sf_dir):
+    t = cl.stratified_split(_training(spark, sf_dir)).where(F.col("part") == "train")
+    imp = cl.fit_impute(t, IMPUTE_NUMERIC, ["city"])
+    return cl.fit_standard(cl._impute_only(t, imp, IMPUTE_NUMERIC, ["city"]), IMPUTE_NUMERIC)

@@ -222,11 +222,19 @@ def _arma_roll(h: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(h)), init, step, lambda acc: acc["levels"])
 
 
-def _score(frame: DataFrame, params: DataFrame, holdout: int) -> DataFrame:
-    """Roll each city's forecast, align with the holdout by position, score."""
-    fc = params.withColumn("levels", _arma_roll(holdout)).select("city", "levels", "n_train")
+def _positions(frame: DataFrame, params: DataFrame, holdout: int) -> DataFrame:
+    """Roll each city's forecast and align it with the holdout by position."""
+    from ..operators.status import prediction_actuals
+    fc = params.withColumn("levels", _arma_roll(holdout))
+    preds = fc.select("city", F.posexplode("levels").alias("k", "pred"), "n_train") \
+              .select("city", (F.col("k") + F.col("n_train") + 1).alias("pos"), "pred")
     test = frame.where(F.col("part") == "test").select("city", "pos", F.col("aqi").alias("actual"))
-    j = test.join(fc, "city").withColumn("pred", F.element_at("levels", F.col("pos") - F.col("n_train")))
+    return prediction_actuals(test, preds)
+
+
+def _score(frame: DataFrame, params: DataFrame, holdout: int) -> DataFrame:
+    """Score the aligned forecasts per city (A5 + W7)."""
+    j = _positions(frame, params, holdout)
     err = F.col("actual") - F.col("pred")
     return j.groupBy("city").agg(
         F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
@@ -243,17 +251,26 @@ def _train_state(frame: DataFrame) -> DataFrame:
                                  F.first("n_train").alias("n_train")), d
 
 
-def backtest_ar1(master: DataFrame, holdout: int = 72, min_train: int = 40, top_k: int = 8) -> DataFrame:
-    """M6 with order (1,1,0): AR(1) on differences without constant, by least squares."""
-    frame = backtest_frame(master, holdout, min_train, top_k)
+def _ar1_params(frame: DataFrame) -> DataFrame:
     state, d = _train_state(frame)
     phi = d.where(F.col("d_lag1").isNotNull()).groupBy("city").agg(
         (F.sum(F.col("d") * F.col("d_lag1")) / F.sum(F.col("d_lag1") * F.col("d_lag1"))).alias("phi1"))
-    params = (state.join(phi, "city")
-              .withColumn("phi1", F.coalesce(F.col("phi1"), F.lit(0.0)))
-              .withColumn("phi2", F.lit(0.0)).withColumn("theta1", F.lit(0.0))
-              .withColumn("theta2", F.lit(0.0)).withColumn("e1", F.lit(0.0)).withColumn("e2", F.lit(0.0)))
-    return _score(frame, params, holdout)
+    return (state.join(phi, "city")
+            .withColumn("phi1", F.coalesce(F.col("phi1"), F.lit(0.0)))
+            .withColumn("phi2", F.lit(0.0)).withColumn("theta1", F.lit(0.0))
+            .withColumn("theta2", F.lit(0.0)).withColumn("e1", F.lit(0.0)).withColumn("e2", F.lit(0.0)))
+
+
+def backtest_predictions(master: DataFrame, holdout: int = 72, min_train: int = 40, top_k: int = 8) -> DataFrame:
+    """M6 (1,1,0) forecasts aligned with the actual holdout values: (city, pos, actual, pred)."""
+    frame = backtest_frame(master, holdout, min_train, top_k)
+    return _positions(frame, _ar1_params(frame), holdout)
+
+
+def backtest_ar1(master: DataFrame, holdout: int = 72, min_train: int = 40, top_k: int = 8) -> DataFrame:
+    """M6 with order (1,1,0): AR(1) on differences without constant, by least squares."""
+    frame = backtest_frame(master, holdout, min_train, top_k)
+    return _score(frame, _ar1_params(frame), holdout)
 
 
 def backtest_arima(master: DataFrame, holdout: int = 72, min_train: int = 40, top_k: int = 8,
