@@ -902,3 +902,112 @@ def q_fit_standard(spark, sf_dir):
     t = cl.stratified_split(_training(spark, sf_dir)).where(F.col("part") == "train")
     imp = cl.fit_impute(t, IMPUTE_NUMERIC, ["city"])
     return cl.fit_standard(cl._impute_only(t, imp, IMPUTE_NUMERIC, ["city"]), IMPUTE_NUMERIC)
+
+
+# ------------------------------------------------------------------ T1-T6 (Structured Streaming)
+
+from ..streaming import streams as ss  # noqa: E402
+
+_LANDED: dict = {}
+
+
+def landed_polls(spark, sf_dir) -> str:
+    """Land the stand-in polls as JSON once per session and scale (shared scratch folder)."""
+    key = (id(spark), sf_dir)
+    if key not in _LANDED:
+        path = ss.scratch_dir(spark, "polls")
+        ss.land_payloads(si.poll_payloads(spark, sf_dir), path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+def _status_stream(spark, sf_dir):
+    return ss.stream_status(ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir))),
+                            master(spark, sf_dir))
+
+
+def _run_to_parquet(spark, df, mode="append", foreach_batch=None, name="sink"):
+    sink = ss.scratch_dir(spark, name)
+    ss.run_available(df, sink, sink + "-checkpoint", mode=mode, foreach_batch=foreach_batch)
+    return sink
+
+
+STREAM_STATUS_SQL = (
+    "SELECT l.city, l.ts, l.event_id, CASE WHEN l.aqi IS NOT NULL THEN 'LIVE SATELLITE' ELSE 'CSV FALLBACK' END AS source, "
+    "CASE WHEN l.aqi IS NOT NULL THEN l.aqi ELSE h.aqi END AS aqi, "
+    "CASE WHEN l.aqi IS NOT NULL THEN l.pm25 ELSE h.pm25 END AS pm25, "
+    "CASE WHEN l.aqi IS NOT NULL THEN l.pm10 ELSE h.pm10 END AS pm10, "
+    "CASE WHEN l.aqi IS NOT NULL THEN l.no2 ELSE h.no2 END AS no2 "
+    "FROM live l LEFT JOIN hist_latest h ON l.city = h.city WHERE l.aqi IS NOT NULL OR h.aqi IS NOT NULL")
+STREAM_CTES = [("hist_latest", _LATEST_SQL), ("sstatus0", STREAM_STATUS_SQL),
+               ("sstatus", "SELECT *, " + O.us_level("aqi") + " AS risk_level, " + O.us_color("aqi")
+                + " AS risk_color FROM sstatus0")]
+S_DOUBLES = ["aqi", "pm25", "pm10", "no2"]
+
+
+@register("stream_status", O.with_ctes(O.finish("SELECT * FROM sstatus", S_DOUBLES, stamps=["ts"]),
+                                       "master", "live", extra=STREAM_CTES))
+def q_stream_status(spark, sf_dir):
+    return spark.read.parquet(_run_to_parquet(spark, _status_stream(spark, sf_dir), name="status"))
+
+
+STREAM_ALERT_SQL = (
+    "SELECT city, ts, event_id, aqi, {lvl} AS risk_level, "
+    "'CRITICAL AIR QUALITY ALERT: ' || upper(city) || ' AQI ' || CAST(CAST(floor(aqi + 0.5) AS BIGINT) AS VARCHAR) "
+    "|| ' — ' || {lvl} AS alert_text FROM sstatus WHERE aqi > 150.0").format(lvl=O.display_level("aqi"))
+
+
+@register("stream_alerts", O.with_ctes(O.finish(STREAM_ALERT_SQL, ["aqi"], stamps=["ts"]),
+                                       "master", "live", extra=STREAM_CTES))
+def q_stream_alerts(spark, sf_dir):
+    return spark.read.parquet(_run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)),
+                                              name="alerts"))
+
+
+@register("stream_alert_history", O.with_ctes(O.finish(
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) AS rank "
+    f"FROM ({STREAM_ALERT_SQL})) WHERE rank <= 20", ["aqi"], stamps=["ts"]), "master", "live", extra=STREAM_CTES))
+def q_stream_alert_history(spark, sf_dir):
+    sink = _run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)), name="alerts")
+    return tb.recent_log(spark.read.parquet(sink), 20, key="city")
+
+
+def _complete_table(path):
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(path)
+    return write
+
+
+@register("stream_latest", O.with_ctes(O.finish(
+    "SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) "
+    "AS rn_ FROM sstatus) WHERE rn_ = 1", S_DOUBLES, stamps=["ts"]), "master", "live", extra=STREAM_CTES))
+def q_stream_latest(spark, sf_dir):
+    out = ss.scratch_dir(spark, "latest")
+    _run_to_parquet(spark, ss.stream_latest(_status_stream(spark, sf_dir)), mode="complete",
+                    foreach_batch=_complete_table(out), name="latest")
+    return spark.read.parquet(out)
+
+
+@register("stream_store", O.with_ctes(O.finish(
+    "SELECT city, source, aqi, pm25, pm10, no2, so2, temperature, humidity, wind_speed, ts AS observed_ts "
+    "FROM readings", ["aqi", "pm25", "pm10", "no2", "so2", "temperature", "humidity", "wind_speed"],
+    stamps=["observed_ts"]), "readings"))
+def q_stream_store(spark, sf_dir):
+    readings, weather = ss.scratch_dir(spark, "readings"), ss.scratch_dir(spark, "weather")
+    polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
+    _run_to_parquet(spark, polls, foreach_batch=ss.store_batches(readings, weather), name="store")
+    return spark.read.parquet(readings).drop("ts", "batch")
+
+
+@register("stream_monitor_log", O.with_ctes(O.finish(
+    "SELECT strftime(r.ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, r.city, r.source, r.aqi AS aqi_now, "
+    f"r.pm25, r.pm10, r.no2, r.so2, {O.us_level('r.aqi')} AS risk_now, "
+    "p.pred_24h AS aqi_24h, p.pred_48h AS aqi_48h, p.pred_72h AS aqi_72h, r.event_id "
+    "FROM readings r ASOF LEFT JOIN predictions p ON r.city = p.city AND r.ts >= p.ts",
+    ["aqi_now", "pm25", "pm10", "no2", "so2", "aqi_24h", "aqi_48h", "aqi_72h"]), "readings", "predictions"))
+def q_stream_monitor_log(spark, sf_dir):
+    out = ss.scratch_dir(spark, "monitor")
+    polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
+    _run_to_parquet(spark, polls, foreach_batch=ss.monitor_batches(si.predictions_log(spark, sf_dir), out),
+                    name="monitor")
+    return spark.read.parquet(out).drop("batch")

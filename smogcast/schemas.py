@@ -55,6 +55,16 @@ WEATHER_PAYLOAD = T.StructType([
     T.StructField("current", WEATHER_CURRENT),
 ])
 
+# One poll as landed: both API answers of one city at one time.
+POLL_PAYLOAD = T.StructType([
+    T.StructField("city", S), T.StructField("ts", T.TimestampType()),
+    T.StructField("event_id", T.LongType()),
+    T.StructField("current", AQI_CURRENT), T.StructField("weather", WEATHER_CURRENT),
+])
+
+# JSON timestamps keep microseconds (the default text format drops them).
+JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 # Historical CSV (legacy names) and modern CSV (external names), read as text
 # first where the reference parses; numbers typed, bad cells -> NULL.
 HISTORICAL_CSV = T.StructType([

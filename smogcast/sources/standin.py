@@ -117,7 +117,10 @@ def _events_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cn = cust.join(nation, cust.c_nationkey == nation.n_nationkey).select("c_custkey", "n_name")
+    # The tables store wall-clock TIMESTAMP_NTZ; the canonical schema is a UTC
+    # TIMESTAMP (same wall clock under the UTC session).
     return (ev.join(cn, ev.user_id == cn.c_custkey)
+              .withColumn("ts", F.col("ts").cast("timestamp"))
               .withColumn("k", F.get_json_object("props", "$.k").cast("double"))
               .select(F.col("n_name").alias("city"), "ts", "event_id", "event_type", "value", "k"))
 
@@ -191,3 +194,10 @@ def nation_city_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_name").alias("city"),
                     (F.lit(LAT_BASE) + key * F.lit(LAT_STEP)).alias("lat"),
                     (F.lit(LON_BASE) + key * F.lit(LON_STEP)).alias("lon"))
+
+
+def poll_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One landed poll per event: both API answers (AQI and weather) of one city at one time."""
+    a = aqi_payloads(spark, sf_dir)
+    w = weather_payloads(spark, sf_dir).select("event_id", F.col("current").alias("weather"))
+    return a.join(w, "event_id").select("city", "ts", "event_id", "current", "weather")
