@@ -1011,3 +1011,118 @@ def q_stream_monitor_log(spark, sf_dir):
     _run_to_parquet(spark, polls, foreach_batch=ss.monitor_batches(si.predictions_log(spark, sf_dir), out),
                     name="monitor")
     return spark.read.parquet(out).drop("batch")
+
+
+# ------------------------------------------------------------------ S1, S2, K1, S3: CSV round trip
+
+from ..sources import files as fl  # noqa: E402
+
+
+@register("master_from_csv", O.with_ctes(O.finish("SELECT * FROM master", MASTER_DOUBLES, ["date"]), "master"))
+def q_master_from_csv(spark, sf_dir):
+    """Land both sources as CSV files in file order, read them back with the CSV readers
+    (S1/S2, file order -> row_ord), fuse (U3), write partitioned by year (K1), scan (S3)."""
+    root = ss.scratch_dir(spark, "csv")
+    hist = si.historical(spark, sf_dir).orderBy("row_ord").drop("row_ord")
+    hist.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{root}/historical")
+    mod = si.modern(spark, sf_dir).orderBy("row_ord").drop("row_ord")
+    mod.write.option("header", True).csv(f"{root}/modern")
+    built = build_master(fl.read_historical(spark, f"{root}/historical"), fl.read_modern(spark, f"{root}/modern"))
+    from .master import write_master
+    write_master(built, f"{root}/master")
+    return fl.read_master(spark, f"{root}/master").drop("year")
+
+
+# ------------------------------------------------------------------ M11-M14, M9, A16, M15, J9, K5, K6
+
+_TRAINED: dict = {}
+
+
+def trained(spark, sf_dir):
+    """Fit the classifier once per session and scale (both fits run on executors)."""
+    key = (id(spark), sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = cl.train_and_select(master(spark, sf_dir))
+    return _TRAINED[key]
+
+
+@register("train_classifier")
+def q_train_classifier(spark, sf_dir):
+    return trained(spark, sf_dir)[1]
+
+
+@register("classify_status")
+def q_classify_status(spark, sf_dir):
+    model, _, meta = trained(spark, sf_dir)
+    status = tb.valid_rows(status_frame(spark, sf_dir)).select("city", "source", "aqi", "pm25", "pm10", "no2",
+                                                              "so2", "co", "o3", "risk_level")
+    return cl.classify(status, model, meta)
+
+
+@register("training_summary")
+def q_training_summary(spark, sf_dir):
+    """A16 over the logistic fit's objective history (loss per optimiser round)."""
+    _, _, meta = trained(spark, sf_dir)
+    hist = spark.createDataFrame([("logistic_regression", meta["objective_history"])],
+                                 "model STRING, objective_history ARRAY<DOUBLE>")
+    return mt.training_summary(hist).drop("objective_history")
+
+
+@register("linear30_model")
+def q_linear30(spark, sf_dir):
+    s, fit = _seq_frame(spark, sf_dir)
+    m = fc.fit_lag_model(s.where(F.col("part") == "train"), "linear30")
+    return fc.evaluate_lag_model(s, m, fit)
+
+
+@register("gbt30_forecast")
+def q_gbt30(spark, sf_dir):
+    m = master(spark, sf_dir)
+    s, fit = fc.scaled_sequences(m)
+    model = fc.fit_lag_model(s.where(F.col("part") == "train"), "gbt30")
+    seqs = st.hybrid_sequence(si.live_rows(spark, sf_dir), m, 30)
+    r = fc.forecast_roll_gbt(seqs, model, fit, steps=3, revert=True)
+    return r.select("city", "data_source", *[F.col("preds")[i].alias(f"pred_{h}h") for i, h in enumerate((24, 48, 72))])
+
+
+def _metrics_root(spark, sf_dir):
+    from . import reports as rp
+    from .sinks import write_metrics
+    key = ("metrics", id(spark), sf_dir)
+    if key not in _LANDED:
+        root = ss.scratch_dir(spark, "metrics")
+        m = master(spark, sf_dir)
+        s, fit = fc.scaled_sequences(m)
+        ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit)
+        prof = tb.profile(m.where(F.col("aqi").isNotNull()))
+        write_metrics(rp.sequence_metrics_doc(ev, prof), f"{root}/sequence")
+        per_city = fc.backtest_arima(m)
+        write_metrics(rp.arima_metrics_doc(per_city, mt.summarise_metrics(per_city)), f"{root}/arima")
+        _, metrics, meta = trained(spark, sf_dir)
+        write_metrics(rp.classifier_metrics_doc(metrics, meta["features"]), f"{root}/classifier")
+        _LANDED[key] = root
+    return _LANDED[key]
+
+
+@register("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    from . import reports as rp
+    mm = rp.model_metrics(spark, _metrics_root(spark, sf_dir))
+    return mm.select("sequence_available", "classifier_available", "arima_available",
+                     F.col("sequence_metrics.mae").alias("sequence_mae"),
+                     F.col("sequence_metrics.rmse").alias("sequence_rmse"),
+                     F.col("classifier_metrics.selected_model").alias("selected_model"),
+                     F.col("arima_metrics.aggregate.mae_mean").alias("arima_mae_mean"),
+                     F.col("arima_metrics.cities_trained").alias("arima_cities"))
+
+
+@register("report_summary")
+def q_report_summary(spark, sf_dir):
+    from . import reports as rp
+    from .sinks import export_report
+    mm = rp.model_metrics(spark, _metrics_root(spark, sf_dir))
+    rep = st.report_summary(tb.valid_rows(status_frame(spark, sf_dir)), prediction_frame(spark, sf_dir), mm)
+    named = export_report(rep, ss.scratch_dir(spark, "reports"))
+    return named.select("city", "file", F.col("current_status.source").alias("source"),
+                        F.col("current_status.aqi").alias("aqi"), F.col("forecast.pred_24h").alias("pred_24h"),
+                        F.col("model_metrics.classifier_available").alias("classifier_available"))
