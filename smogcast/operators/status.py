@@ -142,15 +142,24 @@ def compare_models(a: DataFrame, b: DataFrame, a_name: str = "a", b_name: str =
         "improvement_pct", F.try_divide(F.col(b_name) - F.col(a_name), F.col(b_name)) * 100.0))
 
 
-def monitor_log(readings: DataFrame, predictions: DataFrame) -> DataFrame:
+def monitor_log(readings: DataFrame, predictions: DataFrame, chunks: int | None = None) -> DataFrame:
     """Each reading with the newest prediction of its city whose ts is not later.
 
-    As-of join without a per-city sort of the whole feed: rows are bucketed by
-    (city, day).  Inside a bucket a window carries the last prediction forward;
-    across buckets the last prediction of earlier days comes from a per-city
-    window over the small (city, day) table.  A prediction with the same ts as a
-    reading (same poll) counts as not later.
+    A skew-proof as-of join, all declarative:
+
+    1. the union of readings and predictions is range-partitioned on
+       (city, ts, kind, id): a hot city or day is split over many balanced
+       chunks (the range key is unique, so even one timestamp can split);
+    2. it is checkpointed, which freezes the chunk ids (``spark_partition_id``)
+       and cuts the lineage in the shared checkpoint folder;
+    3. inside each (chunk, city) a window carries the last prediction forward;
+    4. the last prediction of earlier chunks comes from a per-city window over
+       the small (city, chunk) summary table and fills the gaps.
+
+    A prediction with the same ts as a reading (same poll) counts as not later.
     """
+    spark = readings.sparkSession
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pred_cols = ["pred_24h", "pred_48h", "pred_72h"]
     r = readings.select("city", "ts", "event_id", "source", F.col("aqi").alias("aqi_now"),
                         "pm25", "pm10", "no2", "so2", F.lit(1).alias("_kind"))
@@ -158,21 +167,18 @@ def monitor_log(readings: DataFrame, predictions: DataFrame) -> DataFrame:
                            F.struct(F.col("ts").alias("pts"), F.col("event_id").alias("pid"),
                                     *pred_cols).alias("_pred"),
                            F.lit(0).alias("_kind"))
-    u = r.unionByName(p, allowMissingColumns=True).withColumn("_day", F.to_date("ts"))
-    w_in = (Window.partitionBy("city", "_day").orderBy("ts", "_kind", "event_id")
+    u = (r.unionByName(p, allowMissingColumns=True)
+          .repartitionByRange(n, "city", "ts", "_kind", "event_id")
+          .withColumn("_chunk", F.spark_partition_id())
+          .checkpoint(eager=True))
+    w_in = (Window.partitionBy("_chunk", "city").orderBy("ts", "_kind", "event_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     within = u.withColumn("_in", F.last("_pred", ignorenulls=True).over(w_in)).where(F.col("_kind") == 1)
-
-    day_last = (p.withColumn("_day", F.to_date("ts")).groupBy("city", "_day")
-                .agg(F.max_by("_pred", F.struct("ts", "event_id")).alias("_dl")))
-    days = (r.select("city", F.to_date("ts").alias("_day")).distinct()
-            .unionByName(day_last.select("city", "_day")).distinct()
-            .join(day_last, ["city", "_day"], "left"))
-    w_days = (Window.partitionBy("city").orderBy("_day")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = days.withColumn("_carry", F.last("_dl", ignorenulls=True).over(w_days)).select(
-        "city", "_day", "_carry")
-    j = within.join(carry, ["city", "_day"], "left")
+    summary = (u.groupBy("city", "_chunk")
+                .agg(F.max_by("_pred", F.when(F.col("_kind") == 0, F.struct("ts", "event_id"))).alias("_last")))
+    w_prev = Window.partitionBy("city").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select("city", "_chunk", F.last("_last", ignorenulls=True).over(w_prev).alias("_carry"))
+    j = within.join(carry, ["city", "_chunk"], "left")
     best = F.coalesce(F.col("_in"), F.col("_carry"))
     return j.select(iso_ts("ts").alias("timestamp"), "city", "source", "aqi_now", "pm25", "pm10",
                     "no2", "so2", health_risk("aqi_now")["level"].alias("risk_now"),

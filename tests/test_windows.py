@@ -111,3 +111,30 @@ def test_monitor_log_asof(spark):
     out = {r.event_id: r for r in st.monitor_log(readings, preds).collect()}
     assert out[1].aqi_24h == 1.0 and out[2].aqi_24h == 1.0 and out[3].aqi_24h == 4.0
     assert out[4].aqi_24h is None and out[2].risk_now == "Unhealthy"
+
+
+def test_monitor_log_hot_city_is_split_and_exact(spark):
+    """One city holds almost every row: chunks split it, results equal a brute-force as-of."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    t0 = pd.Timestamp("2024-01-01")
+    rows, preds = [], []
+    for i in range(3000):
+        city = "HOT" if i % 100 else "COLD"
+        rows.append((city, (t0 + pd.Timedelta(seconds=int(rng.integers(0, 86400 * 3)))).to_pydatetime(), i,
+                     "LIVE SATELLITE", float(i % 400), 1.0, 1.0, 1.0, 1.0))
+    for j in range(200):
+        city = "HOT" if j % 10 else "COLD"
+        preds.append((city, (t0 + pd.Timedelta(seconds=int(rng.integers(0, 86400 * 3)))).to_pydatetime(),
+                      10000 + j, float(j), float(j) + 0.5, float(j) + 0.75))
+    rs = "city string, ts timestamp, event_id long, source string, aqi double, pm25 double, pm10 double, no2 double, so2 double"
+    ps = "city string, ts timestamp, event_id long, pred_24h double, pred_48h double, pred_72h double"
+    got = {r.event_id: r.aqi_24h for r in st.monitor_log(spark.createDataFrame(rows, rs),
+                                                        spark.createDataFrame(preds, ps), chunks=8).collect()}
+    rp = pd.DataFrame(rows, columns=["city", "ts", "event_id", "source", "aqi", "a", "b", "c", "d"]).sort_values("ts")
+    pp = pd.DataFrame(preds, columns=["city", "ts", "pid", "p24", "p48", "p72"]).sort_values(["ts", "pid"])
+    want = pd.merge_asof(rp, pp, on="ts", by="city", direction="backward")
+    for eid, p in zip(want.event_id, want.p24):
+        assert (got[eid] is None and pd.isna(p)) or got[eid] == p
+    assert len(got) == len(rows)
