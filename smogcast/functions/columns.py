@@ -208,3 +208,14 @@ def fmt(x, decimals: int = 1, missing: str = "N/A") -> Column:
 def r6(x) -> Column:
     """Round a double to 6 decimals: the precision our oracle compares at."""
     return F.round(_col(x), 6)
+
+
+def predictions_struct(p24, p48, p72) -> Column:
+    """nested ``{24h: {aqi, health_risk}, 48h: ..., 72h: ...}`` with rounded AQI.
+
+    The risk is taken on the unrounded value, as the reference classifies
+    before rounding.
+    """
+    from .risk import health_risk
+    return F.struct(*[F.struct(round2(c).alias("aqi"), health_risk(c).alias("health_risk")).alias(h)
+                      for c, h in ((_col(p24), "24h"), (_col(p48), "48h"), (_col(p72), "72h"))])

@@ -1014,7 +1014,7 @@ def q_stream_store(spark, sf_dir):
     readings, weather = ss.scratch_dir(spark, "readings"), ss.scratch_dir(spark, "weather")
     polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
     _run_to_parquet(spark, polls, foreach_batch=ss.store_batches(readings, weather), name="store")
-    return spark.read.parquet(readings).drop("ts", "batch")
+    return fl.read_log(spark, readings, "").drop("ts", "batch")
 
 
 @register("stream_monitor_log", O.with_ctes(O.finish(
@@ -1144,3 +1144,50 @@ def q_report_summary(spark, sf_dir):
     return named.select("city", "file", F.col("current_status.source").alias("source"),
                         F.col("current_status.aqi").alias("aqi"), F.col("forecast.pred_24h").alias("pred_24h"),
                         F.col("model_metrics.classifier_available").alias("classifier_available"))
+
+
+# ------------------------------------------------------------------ S5/S6 batch, U2, F23, F26
+
+@register("live_from_json", O.with_ctes(O.finish(
+    "SELECT l.city, l.ts, l.event_id, l.pm25, l.pm10, l.no2, l.so2, l.co, l.o3, l.aqi, w.temperature, w.humidity, "
+    "w.wind_speed, w.weather_code FROM live l JOIN weather w ON l.event_id = w.event_id",
+    ["pm25", "pm10", "no2", "so2", "co", "o3", "aqi", "temperature", "humidity", "wind_speed"], stamps=["ts"]),
+    "live", "weather"))
+def q_live_from_json(spark, sf_dir):
+    """Landed AQI and weather answers read back with the batch JSON readers."""
+    root = ss.scratch_dir(spark, "payloads")
+    a, w = f"{root}/aqi", f"{root}/weather"
+    ss.land_payloads(si.aqi_payloads(spark, sf_dir), a)
+    ss.land_payloads(si.weather_payloads(spark, sf_dir), w)
+    live = fl.read_aqi_payloads(spark, a)
+    weather = fl.read_weather_payloads(spark, w).drop("city", "ts")
+    return live.join(weather, "event_id")
+
+
+@register("append_live", O.with_ctes(O.finish(
+    "SELECT city, date, aqi, 'CSV' AS origin FROM (" + LAST_N_SQL.format(n=29) + ") UNION ALL "
+    "SELECT city, CAST(ts AS DATE) AS date, aqi, 'LIVE' AS origin FROM live_latest WHERE aqi IS NOT NULL",
+    ["aqi"], ["date"]), "master", "live", extra=[("live_latest", _NEWEST_SQL.format(src="live"))]))
+def q_append_live(spark, sf_dir):
+    hist = tb.last_n(master(spark, sf_dir), 29).select("city", "date", "aqi", F.lit("CSV").alias("origin"))
+    live = (st.newest_per_city(si.live_rows(spark, sf_dir)).where(F.col("aqi").isNotNull())
+            .select("city", F.to_date("ts").alias("date"), "aqi", F.lit("LIVE").alias("origin")))
+    return tb.append_live(hist, live)
+
+
+@register("classifier_metrics_rows")
+def q_classifier_metrics_rows(spark, sf_dir):
+    """F23 over the classifier metrics document read back from storage."""
+    doc = fl.read_metrics(spark, f"{_metrics_root(spark, sf_dir)}/classifier", "classifier")
+    return mt.explode_metrics(doc, "all_metrics", "model")
+
+
+@register("predict_document")
+def q_predict_document(spark, sf_dir):
+    m = master(spark, sf_dir)
+    s, fit = fc.scaled_sequences(m)
+    model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
+    d = fc.predict_document(si.live_rows(spark, sf_dir), m, model, fit)
+    return d.select("city", "status", "data_source", "predicted_aqi_tomorrow",
+                    F.col("predictions.72h.aqi").alias("aqi_72h"),
+                    F.col("predictions.72h.health_risk.level").alias("risk_72h"), "json")

@@ -134,13 +134,30 @@ def forecast_roll_gbt(df: DataFrame, model, fit: DataFrame, steps: int = 3, reve
 
 # ------------------------------------------------------------------ M4 / M5
 
+def predict_raw(live: DataFrame, master: DataFrame, model: DataFrame, fit: DataFrame,
+                n: int = SEQ_LEN) -> DataFrame:
+    """M4 before rounding: (city, data_source, raw_24, raw_48, raw_72)."""
+    seqs = hybrid_sequence(live, master, n)
+    rolled = forecast_roll(seqs, model, fit, steps=3, revert=True)
+    return rolled.select("city", "data_source",
+                         *[F.col("preds")[i].alias(f"raw_{h}") for i, h in enumerate((24, 48, 72))])
+
+
+def predict_document(live: DataFrame, master: DataFrame, model: DataFrame, fit: DataFrame) -> DataFrame:
+    """M4 as the reference's response document per city (F26), plus its JSON text."""
+    from ..functions.columns import predictions_struct
+    raw = predict_raw(live, master, model, fit)
+    doc = raw.select("city", F.lit("LIVE").alias("status"), "data_source",
+                     round2("raw_24").alias("predicted_aqi_tomorrow"),
+                     health_risk("raw_24").alias("health_risk"),
+                     predictions_struct("raw_24", "raw_48", "raw_72").alias("predictions"))
+    return doc.withColumn("json", F.to_json(F.struct(*[c for c in doc.columns if c != "city"])))
+
+
 def predict(live: DataFrame, master: DataFrame, model: DataFrame, fit: DataFrame,
             n: int = SEQ_LEN) -> DataFrame:
     """M4: hybrid sequence -> 3 reverted daily steps -> rounded forecasts with risk, per city."""
-    seqs = hybrid_sequence(live, master, n)
-    rolled = forecast_roll(seqs, model, fit, steps=3, revert=True)
-    out = rolled.select("city", "data_source",
-                        *[F.col("preds")[i].alias(f"raw_{h}") for i, h in enumerate((24, 48, 72))])
+    out = predict_raw(live, master, model, fit, n)
     return out.select("city", "data_source",
                       *[round2(f"raw_{h}").alias(f"pred_{h}h") for h in (24, 48, 72)],
                       *[health_risk(f"raw_{h}")["level"].alias(f"risk_{h}h") for h in (24, 48, 72)])

@@ -68,8 +68,9 @@ def read_first_available(spark: SparkSession, paths, fmt: str = "parquet") -> Da
 def read_aqi_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Landed live-AQI JSON -> canonical live row (city, ts, 7 fields)."""
     reader = spark.readStream if stream else spark.read
-    raw = reader.schema(schemas.AQI_PAYLOAD).json(path)
-    return aqi_payload_fields(raw)
+    raw = (reader.schema(schemas.AQI_PAYLOAD.add("event_id", "long"))
+           .option("timestampFormat", schemas.JSON_TS_FORMAT).json(path))
+    return aqi_payload_fields(raw, keep=("event_id",))
 
 
 def aqi_payload_fields(raw: DataFrame, keep=()) -> DataFrame:
@@ -86,8 +87,9 @@ def aqi_payload_fields(raw: DataFrame, keep=()) -> DataFrame:
 def read_weather_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Landed live-weather JSON -> (city, ts, temperature, humidity, wind_speed, weather_code)."""
     reader = spark.readStream if stream else spark.read
-    raw = reader.schema(schemas.WEATHER_PAYLOAD).json(path)
-    return weather_payload_fields(raw)
+    raw = (reader.schema(schemas.WEATHER_PAYLOAD.add("event_id", "long"))
+           .option("timestampFormat", schemas.JSON_TS_FORMAT).json(path))
+    return weather_payload_fields(raw, keep=("event_id",))
 
 
 def weather_payload_fields(raw: DataFrame, keep=()) -> DataFrame:
@@ -125,7 +127,7 @@ def read_metrics(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
 
 def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Scan one of the three append logs (readings / predictions / weather)."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}" if name else root)
 
 
 def read_monitor_log(spark: SparkSession, path: str) -> DataFrame:
