@@ -31,6 +31,8 @@ def finish(df: DataFrame) -> DataFrame:
         c = F.col(f"`{name}`")
         if t in ("double", "float"):
             c = F.round(c.cast("double"), 6)
+        elif t in ("int", "smallint", "tinyint"):
+            c = c.cast("long")
         elif t == "date":
             c = date_text(c)
         elif t.startswith("timestamp"):
@@ -188,7 +190,7 @@ def _precaution_band_sql(x):
 
 
 @register("precautions", O.with_ctes(O.finish(
-    "SELECT l.city, l.aqi, c.pos, c.icon, c.title, c.\"desc\" FROM latest l JOIN cards c "
+    "SELECT l.city, l.aqi, CAST(c.pos AS BIGINT) AS pos, c.icon, c.title, c.\"desc\" FROM latest l JOIN cards c "
     f"ON c.band = {_precaution_band_sql('l.aqi')}", ["aqi"]), "master",
     extra=[("latest", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY date DESC) "
                       "AS rn FROM master WHERE aqi IS NOT NULL) WHERE rn = 1"),
@@ -239,7 +241,7 @@ def q_recent_table(spark, sf_dir):
 
 
 @register("historical", O.with_ctes(O.finish(
-    "SELECT city, pos, strftime(date, '%Y-%m-%d') AS date, aqi, pm25, pm10, no2, 90 AS days_requested, "
+    "SELECT city, pos, strftime(date, '%Y-%m-%d') AS date, aqi, pm25, pm10, no2, CAST(90 AS BIGINT) AS days_requested, "
     "count(*) OVER (PARTITION BY city) AS records_returned FROM (" + LAST_N_SQL.format(n=90) + ")",
     ["aqi", "pm25", "pm10", "no2"]), "master"))
 def q_historical(spark, sf_dir):
@@ -628,7 +630,7 @@ def q_predict(spark, sf_dir):
 
 
 @register("worst_horizon", O.with_ctes(O.finish(
-    "SELECT city, h AS worst_hours, v AS worst_aqi, " + O.india("v") + " AS worst_risk, "
+    "SELECT city, CAST(h AS BIGINT) AS worst_hours, v AS worst_aqi, " + O.india("v") + " AS worst_risk, "
     + O.sql_lookup(O.india("v"), risk.RECOMMENDATIONS, O.q(risk.DEFAULT_RECOMMENDATION)) + " AS advice FROM ("
     "SELECT city, CASE WHEN pred_24h >= pred_48h AND pred_24h >= pred_72h THEN 24 "
     "WHEN pred_48h >= pred_72h THEN 48 ELSE 72 END AS h, "
@@ -646,7 +648,7 @@ def q_worst_horizon(spark, sf_dir):
 
 @register("horizon_rows", O.with_ctes(O.finish(
     "SELECT city, data_source, horizon_hours, predicted_aqi, " + O.india("predicted_aqi") + " AS risk FROM ("
-    "SELECT city, data_source, 24 AS horizon_hours, pred_24h AS predicted_aqi FROM prediction UNION ALL "
+    "SELECT city, data_source, CAST(24 AS BIGINT) AS horizon_hours, pred_24h AS predicted_aqi FROM prediction UNION ALL "
     "SELECT city, data_source, 48, pred_48h FROM prediction UNION ALL "
     "SELECT city, data_source, 72, pred_72h FROM prediction)", ["predicted_aqi"]),
     "master", "live", extra=PREDICT_CTES))

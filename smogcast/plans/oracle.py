@@ -84,7 +84,7 @@ def _events_live() -> str:
 def _events_weather() -> str:
     return (f"SELECT city, ts, event_id, {si.TEMP_BASE} + k * {si.TEMP_STEP} AS temperature, "
             f"k AS humidity, value / {si.WIND_DIVISOR} AS wind_speed, "
-            f"CAST(CAST(k AS INTEGER) % 4 AS INTEGER) AS weather_code FROM events_city")
+            f"CAST(CAST(k AS INTEGER) % 4 AS BIGINT) AS weather_code FROM events_city")
 
 
 def _readings() -> str:
@@ -116,11 +116,11 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "modern_raw": (_modern_raw(), ("orders_city",)),
     "hist_clean": ("SELECT location AS city, CAST(try_strptime(date, '%Y-%m-%d') AS DATE) AS date, "
                    "pm2_5 AS pm25, rspm AS pm10, no2, so2, greatest(rspm, no2) * 1.5 AS aqi, row_ord, "
-                   "0 AS source_rank FROM hist_raw "
+                   "CAST(0 AS BIGINT) AS source_rank FROM hist_raw "
                    "WHERE location IS NOT NULL AND try_strptime(date, '%Y-%m-%d') IS NOT NULL", ("hist_raw",)),
     "modern_clean": ('SELECT City AS city, CAST(try_strptime(Date, \'%Y-%m-%d\') AS DATE) AS date, '
                      '"PM2.5" AS pm25, PM10 AS pm10, NO2 AS no2, SO2 AS so2, CO AS co, O3 AS o3, '
-                     'AQI AS aqi, AQI_Bucket AS aqi_bucket, row_ord, 1 AS source_rank FROM modern_raw '
+                     'AQI AS aqi, AQI_Bucket AS aqi_bucket, row_ord, CAST(1 AS BIGINT) AS source_rank FROM modern_raw '
                      "WHERE City IS NOT NULL AND try_strptime(Date, '%Y-%m-%d') IS NOT NULL", ("modern_raw",)),
     "fused": ("SELECT city, date, pm25, pm10, no2, so2, CAST(NULL AS DOUBLE) AS co, CAST(NULL AS DOUBLE) AS o3, "
               "aqi, CAST(NULL AS VARCHAR) AS aqi_bucket, row_ord, source_rank FROM hist_clean "
