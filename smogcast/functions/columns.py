@@ -219,3 +219,9 @@ def predictions_struct(p24, p48, p72) -> Column:
     from .risk import health_risk
     return F.struct(*[F.struct(round2(c).alias("aqi"), health_risk(c).alias("health_risk")).alias(h)
                       for c, h in ((_col(p24), "24h"), (_col(p48), "48h"), (_col(p72), "72h"))])
+
+
+def limits_table(spark):
+    """F8/F9 limits as a 6-row table (pollutant, optimal_max, normal_max, display_max)."""
+    rows = [(p, float(lo), float(hi), float(SCALE_MAX[p])) for p, (lo, hi) in POLLUTANT_LIMITS.items()]
+    return spark.createDataFrame(rows, "pollutant string, optimal_max double, normal_max double, display_max double")

@@ -156,20 +156,17 @@ def _panel_sql():
                                                  "(PARTITION BY city ORDER BY date DESC) AS rn FROM master "
                                                  "WHERE aqi IS NOT NULL) WHERE rn = 1")]))
 def q_pollutant_panel(spark, sf_dir):
-    from ..functions.columns import (POLLUTANT_LIMITS, SCALE_MAX, fmt, or_zero, pollutant_status,
-                                     positive_or_missing, scale_pct)
-    # limits per pollutant as a literal map: (optimal, normal, display max)
+    from ..functions.columns import (fmt, limits_table, or_zero, pollutant_status, positive_or_missing,
+                                     scale_pct)
     latest = tb.latest_per_city(master(spark, sf_dir))
-    long = latest.unpivot(["city"], list(POLLUTANT_LIMITS), "pollutant", "value")
-    lim = F.create_map(*[x for p, (lo, hi) in POLLUTANT_LIMITS.items()
-                         for x in (F.lit(p), F.array(F.lit(float(lo)), F.lit(float(hi)), F.lit(float(SCALE_MAX[p]))))])
-    lims = F.element_at(lim, F.col("pollutant"))
+    long = latest.unpivot(["city"], ["pm25", "pm10", "no2", "so2", "co", "o3"], "pollutant", "value")
+    j = long.join(F.broadcast(limits_table(spark)), "pollutant")   # 6 fixed rows
     z = or_zero("value")
-    return long.select("city", "pollutant", "value",
-                       pollutant_status(z, lims[0], lims[1]).alias("status"),
-                       scale_pct(z, lims[2]).alias("pct"),
-                       positive_or_missing("value").alias("shown"),
-                       fmt("value", 1, "--").alias("text"))
+    return j.select("city", "pollutant", "value",
+                    pollutant_status(z, F.col("optimal_max"), F.col("normal_max")).alias("status"),
+                    scale_pct(z, F.col("display_max")).alias("pct"),
+                    positive_or_missing("value").alias("shown"),
+                    fmt("value", 1, "--").alias("text"))
 
 
 # ------------------------------------------------------------------ F10
