@@ -29,15 +29,19 @@ def sequences(df: DataFrame, n: int = 30, col: str = "aqi", key: str = "city",
               order: str = "date") -> DataFrame:
     """Per key, the ``n`` preceding values (oldest first) and the current one as label.
 
+    ``prev`` (the newest lag) is also a column, so consumers that need only it
+    let Catalyst prune the 30-value arrays away.
+
     A key needs n+1 rows for one sequence.  NULLs are dropped first
     (``collect_list`` would skip them and shift the lags).
     """
     w = Window.partitionBy(key).orderBy(order)
     return (df.where(F.col(col).isNotNull())
               .withColumn("lags", F.collect_list(col).over(w.rowsBetween(-n, -1)))
+              .withColumn("prev", F.lag(col, 1).over(w))
               .withColumn("_rn", F.row_number().over(w))
               .where(F.col("_rn") > n)
-              .select(key, order, "lags", F.col(col).alias("label")))
+              .select(key, order, "lags", "prev", F.col(col).alias("label")))
 
 
 def _global_position(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -569,7 +569,7 @@ _SCALE = "(({x}) - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo E
 def q_evaluate_ar1(spark, sf_dir):
     s, fit = _seq_frame(spark, sf_dir)
     m = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
-    return fc.evaluate_lag_model(s, m, fit)
+    return fc.evaluate_lag_model(s, m, fit, last_only=True)
 
 
 # ------------------------------------------------------------------ M2 / M3 / M4 / A13 / F25 / J8
@@ -821,7 +821,7 @@ def q_backtest_summary(spark, sf_dir):
                                        + " AS pred FROM scaled s, model m, fit f WHERE s.part = 'test')")]))
 def q_compare_models(spark, sf_dir):
     s, fit = _seq_frame(spark, sf_dir)
-    ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit)
+    ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit, last_only=True)
     a = ev.select(F.explode(F.array(F.struct(F.lit("mae").alias("metric"), F.col("mae").alias("value")),
                                     F.struct(F.lit("rmse").alias("metric"), F.col("rmse").alias("value")))).alias("m")
                   ).select("m.*")
@@ -1110,7 +1110,8 @@ def _metrics_root(spark, sf_dir):
         root = ss.scratch_dir(spark, "metrics")
         m = master(spark, sf_dir)
         s, fit = fc.scaled_sequences(m)
-        ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit)
+        ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit,
+                                   last_only=True)
         prof = tb.profile(m.where(F.col("aqi").isNotNull()))
         write_metrics(rp.sequence_metrics_doc(ev, prof), f"{root}/sequence")
         per_city = fc.backtest_arima(m)

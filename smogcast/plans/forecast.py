@@ -44,7 +44,7 @@ def scaled_sequences(master: DataFrame, n: int = SEQ_LEN) -> tuple[DataFrame, Da
     s = seqs.crossJoin(F.broadcast(fit))
     s = (s.withColumn("lags_s", F.transform("lags", lambda x: minmax(x, F.col("lo"), F.col("hi"))))
           .withColumn("label_s", minmax("label", "lo", "hi"))
-          .withColumn("last_s", F.element_at("lags_s", -1))
+          .withColumn("last_s", minmax("prev", "lo", "hi"))
           .drop("lo", "hi"))
     return s, fit
 
@@ -163,11 +163,18 @@ def predict(live: DataFrame, master: DataFrame, model: DataFrame, fit: DataFrame
                       *[health_risk(f"raw_{h}")["level"].alias(f"risk_{h}h") for h in (24, 48, 72)])
 
 
-def evaluate_lag_model(seqs_scaled: DataFrame, model: DataFrame, fit: DataFrame) -> DataFrame:
-    """M5: predictions on the test part, unscaled, scored (MAE / RMSE) with counts."""
-    side = model.select("intercept", "coef").crossJoin(fit)
+def evaluate_lag_model(seqs_scaled: DataFrame, model: DataFrame, fit: DataFrame,
+                       last_only: bool = False) -> DataFrame:
+    """M5: predictions on the test part, unscaled, scored (MAE / RMSE) with counts.
+
+    ``last_only`` (AR(1) models) reads only the newest lag, so the lag arrays
+    are never built.
+    """
+    side = model.select("intercept", "coef", "slope").crossJoin(fit)
     d = seqs_scaled.crossJoin(F.broadcast(side))
-    pred = minmax_inverse(lag_predict(F.col("lags_s"), F.col("intercept"), F.col("coef")), "lo", "hi")
+    scaled = (F.col("intercept") + F.col("slope") * F.col("last_s")) if last_only else \
+        lag_predict(F.col("lags_s"), F.col("intercept"), F.col("coef"))
+    pred = minmax_inverse(scaled, "lo", "hi")
     test = d.where(F.col("part") == "test").select("city", F.col("label").alias("actual"),
                                                  pred.alias("pred"))
     err = F.col("actual") - F.col("pred")
