@@ -65,12 +65,16 @@ def split_feature_types(df: DataFrame, cols: Sequence[str]) -> tuple[list[str],
 
 
 def alerts(df: DataFrame, threshold: float = 150, aqi: str = "aqi") -> DataFrame:
-    """P8 + F11: rows with AQI strictly above ``threshold`` and their alert text."""
+    """P8 + F11: rows with AQI strictly above ``threshold`` and their alert text.
+
+    The banner text names the health level of the status (US scale, F1); the
+    alert history entry keeps the dashboard's short level (F2).
+    """
     from ..functions.columns import alert_text
-    from ..functions.risk import risk_display
+    from ..functions.risk import health_risk, risk_display
     return (df.where(F.col(aqi) > F.lit(float(threshold)))
               .withColumn("risk_level", risk_display(aqi)["level"])
-              .withColumn("alert_text", alert_text("city", aqi, F.col("risk_level"))))
+              .withColumn("alert_text", alert_text("city", aqi, health_risk(aqi)["level"])))
 
 
 def valid_rows(df: DataFrame, error_col: str = "error") -> DataFrame:

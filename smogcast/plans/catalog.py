@@ -204,7 +204,8 @@ def q_precautions(spark, sf_dir):
 ALERT_SQL_BODY = (
     "SELECT city, ts, event_id, aqi, {lvl} AS risk_level, "
     "'CRITICAL AIR QUALITY ALERT: ' || upper(city) || ' AQI ' || CAST(CAST(floor(aqi + 0.5) AS BIGINT) AS VARCHAR) "
-    "|| ' — ' || {lvl} AS alert_text FROM readings WHERE aqi > 150.0").format(lvl=O.display_level("aqi"))
+    "|| ' — ' || {us} AS alert_text FROM readings WHERE aqi > 150.0").format(lvl=O.display_level("aqi"),
+                                                                            us=O.us_level("aqi"))
 
 
 @register("alerts", O.with_ctes(O.finish(ALERT_SQL_BODY, ["aqi"], stamps=["ts"]), "readings"))
@@ -971,7 +972,8 @@ def q_stream_status(spark, sf_dir):
 STREAM_ALERT_SQL = (
     "SELECT city, ts, event_id, aqi, {lvl} AS risk_level, "
     "'CRITICAL AIR QUALITY ALERT: ' || upper(city) || ' AQI ' || CAST(CAST(floor(aqi + 0.5) AS BIGINT) AS VARCHAR) "
-    "|| ' — ' || {lvl} AS alert_text FROM sstatus WHERE aqi > 150.0").format(lvl=O.display_level("aqi"))
+    "|| ' — ' || {us} AS alert_text FROM sstatus WHERE aqi > 150.0").format(lvl=O.display_level("aqi"),
+                                                                           us=O.us_level("aqi"))
 
 
 @register("stream_alerts", O.with_ctes(O.finish(STREAM_ALERT_SQL, ["aqi"], stamps=["ts"]),

@@ -90,7 +90,7 @@ def stream_alerts(status_stream: DataFrame, threshold: float = 150) -> DataFrame
     a = status_stream.where(F.col("aqi") > F.lit(float(threshold)))
     lvl = risk_display("aqi")["level"]
     return a.select("city", "ts", "event_id", "aqi", lvl.alias("risk_level"),
-                    alert_text("city", "aqi", lvl).alias("alert_text"))
+                    alert_text("city", "aqi", health_risk("aqi")["level"]).alias("alert_text"))
 
 
 def stream_latest(status_stream: DataFrame) -> DataFrame:
@@ -148,6 +148,18 @@ def run_available(stream_df: DataFrame, sink_path: str, checkpoint: str, mode: s
     q.awaitTermination()
 
 
+def start_stream(stream_df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append",
+                 foreach_batch=None, every: str = "60 seconds"):
+    """Production start: one micro-batch per poll interval; returns the running query.
+
+    The checkpoint folder must be on shared storage; after a driver restart the
+    query resumes from it (file offsets, dedup and aggregation state).
+    """
+    w = stream_df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
+    w = w.foreachBatch(foreach_batch) if foreach_batch is not None else w.format("parquet").option("path", sink_path)
+    return w.trigger(processingTime=every).start()
+
+
 def land_payloads(df: DataFrame, path: str, files: int = 4) -> None:
     """Write poll rows as JSON files, the way a poller would land them."""
     (df.repartition(files).write.mode("overwrite")

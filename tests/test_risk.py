@@ -85,3 +85,11 @@ def test_horizon_fallback(spark):
     df = spark.createDataFrame([(0.0, None, 80.0, 70.0)], "a double, b double, c double, t double")
     r = df.select(*C.horizon_fallback("a", "b", "c", "t")).first()
     assert (r.aqi_24h, r.aqi_48h, r.aqi_72h) == (70.0, 70.0, 80.0)
+
+
+def test_alert_text_uses_health_level_history_uses_dashboard_level(spark):
+    from smogcast.operators.tables import alerts
+    df = spark.createDataFrame([("Pune", 130.4)], "city string, aqi double")
+    r = alerts(df, 120).first()
+    assert r.alert_text == "CRITICAL AIR QUALITY ALERT: PUNE AQI 130 — Unhealthy for Sensitive Groups"
+    assert r.risk_level == "Unhealthy (S)"
