@@ -50,15 +50,18 @@ def _global_position(df: DataFrame, key: str, order: str) -> DataFrame:
     Counts per key (one row each) -> running offset over that small table ->
     offset + row number inside the key.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(key).orderBy(order)
+    ranked = (df.withColumn("_rk", F.row_number().over(w))
+                .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(key))))
+    # one row per key, taken from data already partitioned by key (no new shuffle)
+    counts = ranked.where(F.col("_rk") == 1).select(key, "_cnt")
     offs = counts.select(
         key,
         F.coalesce(F.sum("_cnt").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy()).alias("_n"))
-    w = Window.partitionBy(key).orderBy(order)
-    return (df.withColumn("_rk", F.row_number().over(w)).join(offs, key)
-              .withColumn("gpos", F.col("_off") + F.col("_rk") - 1).drop("_rk", "_off"))
+    return (ranked.join(offs, key)
+                  .withColumn("gpos", F.col("_off") + F.col("_rk") - 1).drop("_rk", "_off", "_cnt"))
 
 
 def position_split(df: DataFrame, frac: float = 0.8, key: str = "city", order: str = "date") -> DataFrame:
