@@ -1193,3 +1193,21 @@ def q_predict_document(spark, sf_dir):
     return d.select("city", "status", "data_source", "predicted_aqi_tomorrow",
                     F.col("predictions.72h.aqi").alias("aqi_72h"),
                     F.col("predictions.72h.health_risk.level").alias("risk_72h"), "json")
+
+
+def landed_predictions(spark, sf_dir) -> str:
+    key = ("preds", id(spark), sf_dir)
+    if key not in _LANDED:
+        path = ss.scratch_dir(spark, "predictions")
+        ss.land_payloads(si.predictions_log(spark, sf_dir), path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+@register("stream_monitor_state", SQL["stream_monitor_log"])
+def q_stream_monitor_state(spark, sf_dir):
+    """T6 as a stateful stream (one row of state per city) over landed polls and predictions."""
+    polls = ss.read_payload_stream(spark, landed_polls(spark, sf_dir)).where(F.col("aqi").isNotNull())
+    preds = ss.read_prediction_stream(spark, landed_predictions(spark, sf_dir))
+    sink = _run_to_parquet(spark, ss.stream_monitor_state(polls, preds), name="monitor-state")
+    return spark.read.parquet(sink)

@@ -66,9 +66,12 @@ def stream_status(live_stream: DataFrame, master: DataFrame) -> DataFrame:
     The history side is static and reduced to one row per city before the
     join, so each micro-batch joins against a #cities-row table.
     """
+    # Materialised once (reliable checkpoint), not recomputed per micro-batch; a
+    # table of #cities rows with exact statistics, so the planner can broadcast it.
     hist = latest_per_city(master).select(
         "city", F.col("aqi").alias("h_aqi"), F.col("pm25").alias("h_pm25"),
-        F.col("pm10").alias("h_pm10"), F.col("no2").alias("h_no2"), F.col("date").alias("h_date"))
+        F.col("pm10").alias("h_pm10"), F.col("no2").alias("h_no2"), F.col("date").alias("h_date")
+    ).checkpoint(eager=True)
     j = live_stream.join(hist, "city", "left")
     live = F.col("aqi").isNotNull()
     has_h = F.col("h_aqi").isNotNull()
@@ -132,6 +135,71 @@ def monitor_batches(predictions: DataFrame, out_path: str):
     return write
 
 
+MONITOR_STATE_SCHEMA = "pts TIMESTAMP, pid LONG, pred_24h DOUBLE, pred_48h DOUBLE, pred_72h DOUBLE"
+MONITOR_OUT_SCHEMA = ("city STRING, ts TIMESTAMP, event_id LONG, source STRING, aqi_now DOUBLE, pm25 DOUBLE, "
+                      "pm10 DOUBLE, no2 DOUBLE, so2 DOUBLE, aqi_24h DOUBLE, aqi_48h DOUBLE, aqi_72h DOUBLE")
+
+
+def _carry_predictions(key, batches, state):
+    """Per city and micro-batch: order rows by (ts, kind, id), carry the newest
+    prediction forward from the state into the readings, keep the last one."""
+    import pandas as pd
+    pdf = pd.concat(list(batches), ignore_index=True)
+    pdf = pdf.sort_values(["ts", "_kind", "event_id"], kind="mergesort")
+    cols = ["pred_24h", "pred_48h", "pred_72h"]
+    carried = pdf[cols].where(pdf["_kind"] == 0)
+    if state.exists:
+        pts, pid, *vals = state.get
+        first = pd.DataFrame([vals], columns=cols)
+        carried = pd.concat([first, carried], ignore_index=True).ffill().iloc[1:].reset_index(drop=True)
+    else:
+        carried = carried.ffill().reset_index(drop=True)
+    pdf = pdf.reset_index(drop=True)
+    preds = pdf[pdf["_kind"] == 0]
+    if len(preds):
+        last = preds.iloc[-1]
+        state.update((last["ts"], int(last["event_id"]), *[float(last[c]) for c in cols]))
+    out = pdf.loc[pdf["_kind"] == 1, ["city", "ts", "event_id", "source", "aqi", "pm25", "pm10", "no2", "so2"]]
+    out = out.rename(columns={"aqi": "aqi_now"})
+    for c, h in zip(cols, ("aqi_24h", "aqi_48h", "aqi_72h")):
+        out[h] = carried.loc[out.index, c].values
+    yield out
+
+
+def stream_monitor_state(readings_stream: DataFrame, predictions_stream: DataFrame) -> DataFrame:
+    """T6 as a stateful stream: readings as-of joined with the newest prediction per city.
+
+    Both streams are unioned and grouped by city; ``applyInPandasWithState``
+    keeps one row of state per city (its newest prediction).  Each call sees
+    one city's rows of one micro-batch (bounded by the trigger's input limit),
+    never the whole history.  Exact when predictions arrive no later than the
+    readings they precede (as in one poll loop).
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    r = readings_stream.select("city", "ts", "event_id", F.lit(LIVE_TAG).alias("source"), "aqi", "pm25",
+                               "pm10", "no2", "so2",
+                               *[F.lit(None).cast("double").alias(c) for c in ("pred_24h", "pred_48h", "pred_72h")],
+                               F.lit(1).alias("_kind"))
+    p = predictions_stream.select("city", "ts", "event_id", F.lit(None).cast("string").alias("source"),
+                                  *[F.lit(None).cast("double").alias(c) for c in ("aqi", "pm25", "pm10", "no2", "so2")],
+                                  "pred_24h", "pred_48h", "pred_72h", F.lit(0).alias("_kind"))
+    out = r.unionByName(p).groupBy("city").applyInPandasWithState(
+        _carry_predictions, MONITOR_OUT_SCHEMA, MONITOR_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return out.select(iso_ts("ts").alias("timestamp"), "city", "source", "aqi_now", "pm25", "pm10", "no2", "so2",
+                      health_risk("aqi_now")["level"].alias("risk_now"), "aqi_24h", "aqi_48h", "aqi_72h",
+                      "event_id")
+
+
+def read_prediction_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The predictions log as a file stream (explicit schema)."""
+    schema = ("city STRING, data_source STRING, pred_24h DOUBLE, pred_48h DOUBLE, pred_72h DOUBLE, "
+              "ts TIMESTAMP, event_id LONG")
+    r = spark.readStream.schema(schema).option("timestampFormat", schemas.JSON_TS_FORMAT)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.json(path)
+
+
 def run_available(stream_df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append",
                   fmt: str = "parquet", foreach_batch=None) -> None:
     """Run a stream over everything available now, then stop (tests, backfills).

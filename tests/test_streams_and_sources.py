@@ -76,3 +76,36 @@ def test_csv_readers_keep_file_order(spark, tmp_path):
     h = fl.read_historical(spark, p)
     last = h.orderBy(F.col("row_ord").desc()).first()
     assert last.pm2_5 == 4.0
+
+
+def test_stateful_monitor_carries_prediction_across_batches(spark, tmp_path):
+    """A prediction seen in batch 1 is attached to a reading that arrives in batch 2."""
+    rd, pr = str(tmp_path / "readings"), str(tmp_path / "preds")
+    polls_schema = "city string, ts timestamp, event_id long, current struct<pm10:double,pm2_5:double," \
+                   "nitrogen_dioxide:double,sulphur_dioxide:double,carbon_monoxide:double,ozone:double," \
+                   "us_aqi:double>, weather struct<temperature_2m:double,relative_humidity_2m:double," \
+                   "wind_speed_10m:double,weather_code:int>"
+    cur = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 160.0)
+    wea = (20.0, 50.0, 2.0, 1)
+    pred_schema = "city string, data_source string, pred_24h double, pred_48h double, pred_72h double, " \
+                  "ts timestamp, event_id long"
+
+    def land(df, path, name):
+        df.coalesce(1).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") \
+            .json(f"{path}/{name}")
+
+    t = dt.datetime
+    land(spark.createDataFrame([("X", t(2024, 1, 1, 10), 1, cur, wea)], polls_schema), rd, "b1")
+    land(spark.createDataFrame([("X", "s", 7.0, 8.0, 9.0, t(2024, 1, 1, 9), 100)], pred_schema), pr, "b1")
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def run():
+        polls = ss.read_payload_stream(spark, f"{rd}/*").where(F.col("aqi").isNotNull())
+        preds = ss.read_prediction_stream(spark, f"{pr}/*")
+        ss.run_available(ss.stream_monitor_state(polls, preds), out, ck)
+
+    run()
+    land(spark.createDataFrame([("X", t(2024, 1, 2, 10), 2, cur, wea)], polls_schema), rd, "b2")
+    run()                                   # second micro-batch: no prediction, state carries it
+    got = {r.event_id: (r.aqi_24h, r.risk_now) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (7.0, "Unhealthy"), 2: (7.0, "Unhealthy")}
