@@ -931,7 +931,7 @@ _LANDED: dict = {}
 
 def landed_polls(spark, sf_dir) -> str:
     """Land the stand-in polls as JSON once per session and scale (shared scratch folder)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LANDED:
         path = ss.scratch_dir(spark, "polls")
         ss.land_payloads(si.poll_payloads(spark, sf_dir), path)
@@ -1059,7 +1059,7 @@ _TRAINED: dict = {}
 
 def trained(spark, sf_dir):
     """Fit the classifier once per session and scale (both fits run on executors)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
         _TRAINED[key] = cl.train_and_select(master(spark, sf_dir))
     return _TRAINED[key]
@@ -1107,7 +1107,7 @@ def q_gbt30(spark, sf_dir):
 def _metrics_root(spark, sf_dir):
     from . import reports as rp
     from .sinks import write_metrics
-    key = ("metrics", id(spark), sf_dir)
+    key = ("metrics", spark.sparkContext.applicationId, sf_dir)
     if key not in _LANDED:
         root = ss.scratch_dir(spark, "metrics")
         m = master(spark, sf_dir)
@@ -1196,7 +1196,7 @@ def q_predict_document(spark, sf_dir):
 
 
 def landed_predictions(spark, sf_dir) -> str:
-    key = ("preds", id(spark), sf_dir)
+    key = ("preds", spark.sparkContext.applicationId, sf_dir)
     if key not in _LANDED:
         path = ss.scratch_dir(spark, "predictions")
         ss.land_payloads(si.predictions_log(spark, sf_dir), path)

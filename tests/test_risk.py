@@ -93,3 +93,9 @@ def test_alert_text_uses_health_level_history_uses_dashboard_level(spark):
     r = alerts(df, 120).first()
     assert r.alert_text == "CRITICAL AIR QUALITY ALERT: PUNE AQI 130 — Unhealthy for Sensitive Groups"
     assert r.risk_level == "Unhealthy (S)"
+
+
+def test_or_zero_and_to_double(spark):
+    df = spark.createDataFrame([("12.5",), ("n/a",), (None,)], "s string")
+    got = [r.v for r in df.select(C.or_zero(C.to_double("s")).alias("v")).collect()]
+    assert got == [12.5, 0.0, 0.0]
