@@ -92,7 +92,7 @@ def horizon_rows(df: DataFrame, cols=("pred_24h", "pred_48h", "pred_72h"), hours
     keep = [c for c in df.columns if c not in cols]
     stacked = df.unpivot(keep, list(cols), "horizon_col", "predicted_aqi")
     mapping = F.create_map(*[x for c, h in zip(cols, hours) for x in (F.lit(c), F.lit(h))])
-    return (stacked.withColumn("horizon_hours", F.element_at(mapping, F.col("horizon_col")))
+    return (stacked.withColumn("horizon_hours", F.try_element_at(mapping, F.col("horizon_col")))
                    .withColumn("risk", risk_india("predicted_aqi")).drop("horizon_col"))
 
 

@@ -278,7 +278,7 @@ def _train_state(frame: DataFrame) -> DataFrame:
 def _ar1_params(frame: DataFrame) -> DataFrame:
     state, d = _train_state(frame)
     phi = d.where(F.col("d_lag1").isNotNull()).groupBy("city").agg(
-        (F.sum(F.col("d") * F.col("d_lag1")) / F.sum(F.col("d_lag1") * F.col("d_lag1"))).alias("phi1"))
+        F.try_divide(F.sum(F.col("d") * F.col("d_lag1")), F.sum(F.col("d_lag1") * F.col("d_lag1"))).alias("phi1"))
     return (state.join(phi, "city")
             .withColumn("phi1", F.coalesce(F.col("phi1"), F.lit(0.0)))
             .withColumn("phi2", F.lit(0.0)).withColumn("theta1", F.lit(0.0))
@@ -325,7 +325,8 @@ def backtest_arima(master: DataFrame, holdout: int = 72, min_train: int = 40, to
     stage2 = res.where(F.col("e_lag2").isNotNull() & F.col("d_l2").isNotNull())
     b = _moments(stage2, x2, "d").withColumn("b", _ols_solve(x2, 4)("xtx", "xty")).select("city", "b")
     ar1 = (d.where(F.col("d_lag1").isNotNull()).groupBy("city")
-             .agg((F.sum(F.col("d") * F.col("d_lag1")) / F.sum(F.col("d_lag1") * F.col("d_lag1"))).alias("_phi")))
+             .agg(F.try_divide(F.sum(F.col("d") * F.col("d_lag1")),
+                               F.sum(F.col("d_lag1") * F.col("d_lag1"))).alias("_phi")))
     last_e = res.groupBy("city").agg(F.coalesce(F.max_by("e", "pos"), F.lit(0.0)).alias("e1"),
                                      F.coalesce(F.max_by("e_lag1", "pos"), F.lit(0.0)).alias("e2"))
     p1, p2 = F.col("b")[0], F.col("b")[1]

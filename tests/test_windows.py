@@ -138,3 +138,10 @@ def test_monitor_log_hot_city_is_split_and_exact(spark):
     for eid, p in zip(want.event_id, want.p24):
         assert (got[eid] is None and pd.isna(p)) or got[eid] == p
     assert len(got) == len(rows)
+
+
+def test_backtests_on_a_constant_series_do_not_raise(spark):
+    df = series(spark, {"flat": 150}, value=80.0)
+    for fn in (fc.backtest_ar1, fc.backtest_arima):
+        r = fn(df).first()
+        assert r.mae == 0.0 and r.last_predicted == 80.0
