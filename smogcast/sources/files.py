@@ -1,7 +1,8 @@
 """File sources.
 
-All readers pass an explicit schema: no inference pass over the data, malformed
-cells become NULL, and the scan prunes columns and pushes filters.
+All readers fix their output schema: no inference pass over the data, columns
+are matched by name, malformed cells become NULL, and the scan prunes columns
+and pushes filters.
 """
 
 from __future__ import annotations
@@ -14,9 +15,23 @@ from .. import schemas
 from ..functions.columns import parse_date
 
 
-def _csv(spark: SparkSession, schema, encoding: str = "UTF-8"):
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("encoding", encoding))
+def _csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
+    """Read a headed CSV and keep ``schema``'s columns **by name**, typed.
+
+    A user schema on a CSV maps columns by position, but real exports carry
+    extra columns in their own order.  So every field is read as text (no
+    inference pass: only the header line names the columns), the wanted ones
+    are selected by name, numbers are ``try_cast`` (bad cells -> NULL) and a
+    wanted column the file lacks comes back as NULL.
+    """
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+           .option("encoding", encoding).option("inferSchema", False).csv(path))
+    present = set(raw.columns)
+    cols = []
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`") if f.name in present else F.lit(None)
+        cols.append((c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)).alias(f.name))
+    return raw.select(*cols)
 
 
 def _with_row_ord(df: DataFrame) -> DataFrame:
@@ -34,12 +49,12 @@ def _with_row_ord(df: DataFrame) -> DataFrame:
 
 def read_historical(spark: SparkSession, path: str) -> DataFrame:
     """Historical CSV, Latin-1 text, legacy column names; adds ``row_ord``."""
-    return _with_row_ord(_csv(spark, schemas.HISTORICAL_CSV, "ISO-8859-1").csv(path))
+    return _with_row_ord(_csv(spark, path, schemas.HISTORICAL_CSV, "ISO-8859-1"))
 
 
 def read_modern(spark: SparkSession, path: str, parse: bool = False) -> DataFrame:
     """Modern daily CSV; ``parse=True`` also parses ``Date``."""
-    df = _with_row_ord(_csv(spark, schemas.MODERN_CSV).csv(path))
+    df = _with_row_ord(_csv(spark, path, schemas.MODERN_CSV))
     if parse:
         df = df.withColumn("Date", parse_date("Date"))
     return df
@@ -50,7 +65,7 @@ def read_master(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     if fmt == "csv":
         schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "date" else f.dataType)
                                for f in schemas.AIR_DAILY.fields])
-        return (_csv(spark, schema).csv(path).withColumn("date", parse_date("date")))
+        return _csv(spark, path, schema).withColumn("date", parse_date("date"))
     return spark.read.parquet(path)
 
 
@@ -132,7 +147,7 @@ def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def read_monitor_log(spark: SparkSession, path: str) -> DataFrame:
     """CSV monitor log, timestamp parsed as UTC."""
-    return (_csv(spark, schemas.MONITOR_LOG_CSV).csv(path)
+    return (_csv(spark, path, schemas.MONITOR_LOG_CSV)
             .withColumn("ts", F.try_to_timestamp(F.col("timestamp"),
                                                  F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"))))
 

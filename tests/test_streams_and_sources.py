@@ -109,3 +109,21 @@ def test_stateful_monitor_carries_prediction_across_batches(spark, tmp_path):
     run()                                   # second micro-batch: no prediction, state carries it
     got = {r.event_id: (r.aqi_24h, r.risk_now) for r in spark.read.parquet(out).collect()}
     assert got == {1: (7.0, "Unhealthy"), 2: (7.0, "Unhealthy")}
+
+
+def test_csv_columns_matched_by_name_with_extra_columns(spark, tmp_path):
+    """Real exports carry extra columns in their own order; wanted ones are picked by name."""
+    p = tmp_path / "city_day.csv"
+    p.write_text("City,Date,PM2.5,PM10,NO,NO2,NOx,NH3,CO,SO2,O3,Benzene,Toluene,Xylene,AQI,AQI_Bucket\n"
+                 "Delhi,2015-01-01,313.22,607.98,69.16,36.39,110.59,33.85,15.2,9.25,41.68,14.36,24.86,9.84,472,Severe\n"
+                 "Delhi,2015-01-02,bad,,1,2,3,4,5,6,7,8,9,10,,\n")
+    r = fl.read_modern(spark, str(p), parse=True).orderBy("Date").collect()
+    assert r[0]["PM2.5"] == 313.22 and r[0].NO2 == 36.39 and r[0].SO2 == 9.25 and r[0].AQI == 472.0
+    assert r[0].AQI_Bucket == "Severe" and str(r[0].Date) == "2015-01-01"
+    assert r[1]["PM2.5"] is None and r[1].PM10 is None and r[1].AQI is None
+    h = tmp_path / "data.csv"
+    h.write_text("stn_code,sampling_date,state,location,agency,type,so2,no2,rspm,spm,"
+                 "location_monitoring_station,pm2_5,date\n"
+                 "150,February - M021990,Andhra Pradesh,Hyderabad,,Residential,4.8,17.4,,,,,1990-02-01\n")
+    hr = fl.read_historical(spark, str(h)).first()
+    assert (hr.location, hr.date, hr.so2, hr.no2, hr.rspm, hr.pm2_5) == ("Hyderabad", "1990-02-01", 4.8, 17.4, None, None)
