@@ -1,1213 +1,12 @@
-"""Registered queries: one Spark plan and (where SQL can say it) one oracle SQL.
+"""Every registered query: a Spark plan and, where SQL can say it, the oracle SQL.
 
-Each Spark query takes ``(spark, sf_dir)``, reads whole stand-in tables and
-returns a lazy DataFrame.  ``finish`` applies the shared output conventions:
-doubles rounded to 6 decimals, dates as ``yyyy-MM-dd`` text, timestamps as ISO
-text, so the oracle can compare values exactly.
+The queries live in :mod:`smogcast.plans.queries`, one module per topic;
+importing them here registers them, in order, into ``QUERIES`` / ``SQL``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import risk
-from ..functions.columns import date_text, iso_ts
-from ..operators import tables as tb
-from ..sources import standin as si
-from . import oracle as O
-from .master import build_master
-
-SparkQuery = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, SparkQuery] = {}
-SQL: dict[str, str] = {}
-
-
-def finish(df: DataFrame) -> DataFrame:
-    cols = []
-    for name, t in df.dtypes:
-        c = F.col(f"`{name}`")
-        if t in ("double", "float"):
-            c = F.round(c.cast("double"), 6)
-        elif t in ("int", "smallint", "tinyint"):
-            c = c.cast("long")
-        elif t == "date":
-            c = date_text(c)
-        elif t.startswith("timestamp"):
-            c = iso_ts(c)
-        cols.append(c.alias(name))
-    return df.select(*cols)
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: SparkQuery) -> SparkQuery:
-        QUERIES[name] = lambda spark, sf_dir: finish(fn(spark, sf_dir))
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-    return deco
-
-
-# ------------------------------------------------------------------ inputs
-
-def fresh_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused daily series of the stand-in (U3 over historical + modern), as a lazy plan."""
-    return build_master(si.historical(spark, sf_dir), si.modern(spark, sf_dir))
-
-
-_MASTER: dict = {}
-
-
-def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused series, materialised once per session and scale.
-
-    Production builds the master once (K1) and every query scans it (S3); here
-    a reliable checkpoint in the cluster's checkpoint folder plays that part:
-    queries that use the series several times (fit, sequences, history) read
-    it instead of re-joining the sources, and lost executors recompute nothing
-    upstream of it.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MASTER:
-        _MASTER[key] = fresh_master(spark, sf_dir).checkpoint(eager=True)
-    return _MASTER[key]
-
-
-MASTER_DOUBLES = ["pm25", "pm10", "no2", "so2", "co", "o3", "aqi"]
-
-
-# ------------------------------------------------------------------ U3 / W1
-
-@register("build_master", O.with_ctes(
-    O.finish("SELECT * FROM master", MASTER_DOUBLES, ["date"]), "master"))
-def q_build_master(spark, sf_dir):
-    return fresh_master(spark, sf_dir)
-
-
-# ------------------------------------------------------------------ W2 + F1
-
-@register("latest_status", O.with_ctes(O.finish(
-    "SELECT city, date, aqi, pm25, pm10, no2, so2, "
-    f"{O.us_level('aqi')} AS risk_level, {O.us_color('aqi')} AS risk_color, "
-    f"{O.us_advice('aqi')} AS risk_advice FROM ("
-    "SELECT *, row_number() OVER (PARTITION BY city ORDER BY date DESC) AS rn FROM master "
-    "WHERE aqi IS NOT NULL) WHERE rn = 1", ["aqi", "pm25", "pm10", "no2", "so2"], ["date"]), "master"))
-def q_latest_status(spark, sf_dir):
-    latest = tb.latest_per_city(master(spark, sf_dir))
-    hr = risk.health_risk("aqi")
-    return latest.select("city", "date", "aqi", "pm25", "pm10", "no2", "so2",
-                         hr["level"].alias("risk_level"), hr["color"].alias("risk_color"),
-                         hr["advice"].alias("risk_advice"))
-
-
-# ------------------------------------------------------------------ F1-F7 on every row
-
-def _sql_lookup_map(expr, mapping, default):
-    return O.sql_lookup(expr, mapping, default)
-
-
-@register("risk_scales", O.with_ctes(O.finish(
-    "SELECT city, date, aqi, aqi_bucket, "
-    f"{O.us_level('aqi')} AS us_level, {O.display_level('aqi')} AS display_level, "
-    f"{O.sql_band('aqi', risk.DISPLAY_SCALE, 3)} AS display_badge, "
-    f"{O.india('aqi')} AS india_level, {O.bucket4('aqi')} AS class4, "
-    f"{O.sql_lookup(O.india('aqi'), risk.RECOMMENDATIONS, O.q(risk.DEFAULT_RECOMMENDATION))} AS recommendation, "
-    f"{O.sql_lookup(O.bucket4('aqi'), risk.DISPLAY_LABELS, O.bucket4('aqi'))} AS class_display, "
-    f"{O.sql_lookup('aqi_bucket', risk.BUCKET_TO_CLASS, 'aqi_bucket')} AS bucket_class "
-    "FROM master", ["aqi"], ["date"]), "master"))
-def q_risk_scales(spark, sf_dir):
-    m = master(spark, sf_dir)
-    india = risk.risk_india("aqi")
-    c4 = risk.risk_bucket4("aqi")
-    return m.select("city", "date", "aqi", "aqi_bucket",
-                    risk.risk_level("aqi", "us").alias("us_level"),
-                    risk.risk_display("aqi")["level"].alias("display_level"),
-                    risk.risk_display("aqi")["badge"].alias("display_badge"),
-                    india.alias("india_level"), c4.alias("class4"),
-                    risk.recommendation(india).alias("recommendation"),
-                    risk.display_label(c4).alias("class_display"),
-                    risk.normalise_label("aqi_bucket").alias("bucket_class"))
-
-
-# ------------------------------------------------------------------ F8, F9, F20, F24, P9
-
-def _fmt_sql(x, d=1, missing="N/A"):
-    return (f"coalesce(printf('%.{d}f', CAST(round(CAST({x} AS DECIMAL(18,6)), {d}) AS DOUBLE)), "
-            f"{O.q(missing)})")
-
-
-def _panel_sql():
-    from ..functions.columns import POLLUTANT_LIMITS, SCALE_MAX
-    parts = []
-    for p, (lo, hi) in POLLUTANT_LIMITS.items():
-        z = f"coalesce({p}, 0.0)"
-        parts.append(
-            f"SELECT city, {O.q(p)} AS pollutant, {p} AS value, "
-            f"CASE WHEN {z} <= {float(lo)} THEN 'OPTIMAL' WHEN {z} <= {float(hi)} THEN 'NORMAL' "
-            f"ELSE 'ELEVATED' END AS status, least({z} / {float(SCALE_MAX[p])} * 100.0, 100.0) AS pct, "
-            f"CASE WHEN {p} > 0 THEN {p} END AS shown, {_fmt_sql(p, 1, '--')} AS text FROM latest")
-    return " UNION ALL ".join(parts)
-
-
-@register("pollutant_panel", O.with_ctes(O.finish(_panel_sql(), ["value", "pct", "shown"]), "master",
-                                         extra=[("latest", "SELECT * FROM (SELECT *, row_number() OVER "
-                                                 "(PARTITION BY city ORDER BY date DESC) AS rn FROM master "
-                                                 "WHERE aqi IS NOT NULL) WHERE rn = 1")]))
-def q_pollutant_panel(spark, sf_dir):
-    from ..functions.columns import (fmt, limits_table, or_zero, pollutant_status, positive_or_missing,
-                                     scale_pct)
-    latest = tb.latest_per_city(master(spark, sf_dir))
-    long = latest.unpivot(["city"], ["pm25", "pm10", "no2", "so2", "co", "o3"], "pollutant", "value")
-    j = long.join(F.broadcast(limits_table(spark)), "pollutant")   # 6 fixed rows
-    z = or_zero("value")
-    return j.select("city", "pollutant", "value",
-                    pollutant_status(z, F.col("optimal_max"), F.col("normal_max")).alias("status"),
-                    scale_pct(z, F.col("display_max")).alias("pct"),
-                    positive_or_missing("value").alias("shown"),
-                    fmt("value", 1, "--").alias("text"))
-
-
-# ------------------------------------------------------------------ F10
-
-def _precaution_values():
-    from ..functions.columns import PRECAUTIONS
-    rows = []
-    for band_i, (_, items) in enumerate(PRECAUTIONS):
-        for pos, (icon, title, desc) in enumerate(items):
-            rows.append(f"({band_i}, {pos}, {O.q(icon)}, {O.q(title)}, {O.q(desc)})")
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS t(band, pos, icon, title, \"desc\")"
-
-
-def _precaution_band_sql(x):
-    from ..functions.columns import PRECAUTIONS
-    parts = " ".join(f"WHEN {x} <= {float(b)} THEN {i}" for i, (b, _) in enumerate(PRECAUTIONS[:-1]))
-    return f"(CASE {parts} ELSE {len(PRECAUTIONS) - 1} END)"
-
-
-@register("precautions", O.with_ctes(O.finish(
-    "SELECT l.city, l.aqi, CAST(c.pos AS BIGINT) AS pos, c.icon, c.title, c.\"desc\" FROM latest l JOIN cards c "
-    f"ON c.band = {_precaution_band_sql('l.aqi')}", ["aqi"]), "master",
-    extra=[("latest", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY date DESC) "
-                      "AS rn FROM master WHERE aqi IS NOT NULL) WHERE rn = 1"),
-           ("cards", _precaution_values())]))
-def q_precautions(spark, sf_dir):
-    from ..functions.columns import precautions
-    latest = tb.latest_per_city(master(spark, sf_dir))
-    return latest.select("city", "aqi", F.posexplode(precautions("aqi")).alias("pos", "card")) \
-        .select("city", "aqi", "pos", "card.icon", "card.title", "card.desc")
-
-
-# ------------------------------------------------------------------ P8 + F11 + W9
-
-ALERT_SQL_BODY = (
-    "SELECT city, ts, event_id, aqi, {lvl} AS risk_level, "
-    "'CRITICAL AIR QUALITY ALERT: ' || upper(city) || ' AQI ' || CAST(CAST(floor(aqi + 0.5) AS BIGINT) AS VARCHAR) "
-    "|| ' — ' || {us} AS alert_text FROM readings WHERE aqi > 150.0").format(lvl=O.display_level("aqi"),
-                                                                            us=O.us_level("aqi"))
-
-
-@register("alerts", O.with_ctes(O.finish(ALERT_SQL_BODY, ["aqi"], stamps=["ts"]), "readings"))
-def q_alerts(spark, sf_dir):
-    r = si.readings_log(spark, sf_dir)
-    return tb.alerts(r, 150).select("city", "ts", "event_id", "aqi", "risk_level", "alert_text")
-
-
-@register("recent_alerts", O.with_ctes(O.finish(
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) AS rank "
-    "FROM alerts_) WHERE rank <= 20", ["aqi"], stamps=["ts"]), "readings",
-    extra=[("alerts_", ALERT_SQL_BODY)]))
-def q_recent_alerts(spark, sf_dir):
-    r = si.readings_log(spark, sf_dir)
-    a = tb.alerts(r, 150).select("city", "ts", "event_id", "aqi", "risk_level", "alert_text")
-    return tb.recent_log(a, 20, key="city")
-
-
-# ------------------------------------------------------------------ W3, P13, O5, K7
-
-LAST_N_SQL = ("SELECT *, count(*) OVER (PARTITION BY city) - rk + 1 AS pos FROM ("
-              "SELECT *, row_number() OVER (PARTITION BY city ORDER BY date DESC) AS rk FROM master "
-              "WHERE aqi IS NOT NULL) WHERE rk <= {n}")
-
-
-@register("recent_table", O.with_ctes(O.finish(
-    "SELECT city, pos, date, pm25, pm10, no2, co, so2, o3, aqi, aqi_bucket FROM ("
-    + LAST_N_SQL.format(n=5) + ")", MASTER_DOUBLES, ["date"]), "master"))
-def q_recent_table(spark, sf_dir):
-    return tb.recent_table(master(spark, sf_dir), 5)
-
-
-@register("historical", O.with_ctes(O.finish(
-    "SELECT city, pos, strftime(date, '%Y-%m-%d') AS date, aqi, pm25, pm10, no2, CAST(90 AS BIGINT) AS days_requested, "
-    "count(*) OVER (PARTITION BY city) AS records_returned FROM (" + LAST_N_SQL.format(n=90) + ")",
-    ["aqi", "pm25", "pm10", "no2"]), "master"))
-def q_historical(spark, sf_dir):
-    return tb.historical(master(spark, sf_dir), 90)
-
-
-@register("export_rows", O.with_ctes(O.finish(
-    'SELECT strftime(date, \'%Y-%m-%d\') AS "Date", city AS "City", pm25 AS "PM2.5", pm10 AS "PM10", '
-    'no2 AS "NO2", so2 AS "SO2", co AS "CO", o3 AS "O3", aqi AS "AQI", '
-    "'aqi_report_' || city || '_90days.csv' AS file_name FROM (" + LAST_N_SQL.format(n=90) + ")",
-    ["\"PM2.5\"", "PM10", "NO2", "SO2", "CO", "O3", "AQI"]), "master"))
-def q_export_rows(spark, sf_dir):
-    from ..plans.sinks import export_rows
-    return export_rows(master(spark, sf_dir), 90)
-
-
-# ------------------------------------------------------------------ A1-A3, O4, P11, A10
-
-@register("count_by_city", O.with_ctes(
-    "SELECT city, count(*) AS n_rows FROM master GROUP BY city", "master"))
-def q_count_by_city(spark, sf_dir):
-    return tb.count_by(master(spark, sf_dir))
-
-
-@register("distinct_cities", O.with_ctes("SELECT DISTINCT City AS city FROM modern_raw "
-                                         "WHERE City IS NOT NULL", "modern_raw"))
-def q_distinct_cities(spark, sf_dir):
-    return tb.distinct_cities(si.modern(spark, sf_dir).withColumnRenamed("City", "city"))
-
-
-@register("profile", O.with_ctes(
-    "SELECT count(*) AS records, count(DISTINCT city) AS cities, strftime(min(date), '%Y-%m-%d') AS first_date, "
-    "strftime(max(date), '%Y-%m-%d') AS last_date FROM master WHERE aqi IS NOT NULL", "master"))
-def q_profile(spark, sf_dir):
-    return tb.profile(master(spark, sf_dir).where(F.col("aqi").isNotNull()))
-
-
-@register("top_cities", O.with_ctes(
-    "SELECT city, count(*) AS n_rows FROM master WHERE aqi IS NOT NULL GROUP BY city "
-    "ORDER BY n_rows DESC, city LIMIT 8", "master"))
-def q_top_cities(spark, sf_dir):
-    return tb.top_cities(master(spark, sf_dir).where(F.col("aqi").isNotNull()), 8)
-
-
-@register("min_history", O.with_ctes(O.finish(
-    "SELECT * FROM (SELECT city, date, aqi, count(*) OVER (PARTITION BY city) AS n_rows FROM master "
-    "WHERE aqi IS NOT NULL) WHERE n_rows >= 500", ["aqi"], ["date"]), "master"))
-def q_min_history(spark, sf_dir):
-    m = master(spark, sf_dir).where(F.col("aqi").isNotNull()).select("city", "date", "aqi")
-    return tb.min_history(m, 500)
-
-
-@register("log_counts", O.with_ctes(
-    "SELECT 'aqi_readings' AS collection, count(*) AS n_rows FROM readings UNION ALL "
-    "SELECT 'predictions', count(*) FROM predictions UNION ALL "
-    "SELECT 'weather_logs', count(*) FROM weather", "readings", "predictions", "weather"))
-def q_log_counts(spark, sf_dir):
-    return tb.log_counts(si.readings_log(spark, sf_dir), si.predictions_log(spark, sf_dir),
-                         si.weather_log(spark, sf_dir))
-
-
-# ------------------------------------------------------------------ O2, O3
-
-@register("recent_readings", O.with_ctes(O.finish(
-    "SELECT *, count(*) OVER () AS count FROM (SELECT city, source, aqi, pm25, pm10, no2, so2, temperature, "
-    "humidity, wind_speed, ts AS timestamp, event_id FROM readings ORDER BY ts DESC, event_id DESC LIMIT 50)",
-    ["aqi", "pm25", "pm10", "no2", "so2", "temperature", "humidity", "wind_speed"], stamps=["timestamp"]),
-    "readings"))
-def q_recent_readings(spark, sf_dir):
-    return tb.recent_readings(si.readings_log(spark, sf_dir), None, 50)
-
-
-@register("recent_predictions", O.with_ctes(O.finish(
-    "SELECT *, count(*) OVER () AS count FROM (SELECT city, data_source, pred_24h, pred_48h, pred_72h, "
-    "ts AS timestamp, event_id FROM predictions ORDER BY ts DESC, event_id DESC LIMIT 20)",
-    ["pred_24h", "pred_48h", "pred_72h"], stamps=["timestamp"]), "predictions"))
-def q_recent_predictions(spark, sf_dir):
-    return tb.recent_predictions(si.predictions_log(spark, sf_dir), None, 20)
-
-
-# ------------------------------------------------------------------ U1 (before dedup)
-
-@register("fused_rows", O.with_ctes(O.finish("SELECT * FROM fused", MASTER_DOUBLES, ["date"]), "fused"))
-def q_fused_rows(spark, sf_dir):
-    from .master import prepare_historical, prepare_modern
-    return tb.fuse(prepare_historical(si.historical(spark, sf_dir)), prepare_modern(si.modern(spark, sf_dir)))
-
-
-# ------------------------------------------------------------------ J3 + J2 + F1
-
-from ..operators import status as st  # noqa: E402
-
-STATUS_DOUBLES = ["aqi", "pm25", "pm10", "no2", "so2", "co", "o3", "temperature", "humidity", "wind_speed"]
-
-_NEWEST_SQL = ("SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY city "
-               "ORDER BY ts DESC, event_id DESC) AS rn_ FROM {src}) WHERE rn_ = 1")
-_LATEST_SQL = ("SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY city "
-               "ORDER BY date DESC) AS rn_ FROM master WHERE aqi IS NOT NULL) WHERE rn_ = 1")
-
-
-def _status_sql():
-    pick = []
-    for c in ["aqi", "pm25", "pm10", "no2", "so2", "co", "o3"]:
-        pick.append(f"CASE WHEN l.aqi IS NOT NULL THEN l.{c} WHEN h.aqi IS NOT NULL THEN h.{c} END AS {c}")
-    core = (
-        "SELECT coalesce(l.city, h.city) AS city, "
-        "CASE WHEN l.aqi IS NOT NULL THEN 'LIVE SATELLITE' WHEN h.aqi IS NOT NULL THEN 'CSV FALLBACK' END AS source, "
-        "CASE WHEN l.aqi IS NOT NULL THEN strftime(l.ts, '%Y-%m-%dT%H:%M:%S.%f') "
-        "WHEN h.aqi IS NOT NULL THEN strftime(h.date, '%Y-%m-%d') END AS as_of, "
-        + ", ".join(pick) +
-        ", CASE WHEN l.aqi IS NULL AND h.aqi IS NULL THEN 'No data for ' || coalesce(l.city, h.city) END AS error "
-        "FROM live_latest l FULL OUTER JOIN hist_latest h ON l.city = h.city")
-    return (
-        "SELECT s.*, CASE WHEN s.error IS NULL THEN " + O.us_level("s.aqi") + " END AS risk_level, "
-        "CASE WHEN s.error IS NULL THEN " + O.us_color("s.aqi") + " END AS risk_color, "
-        "CASE WHEN s.error IS NULL THEN " + O.us_advice("s.aqi") + " END AS risk_advice, "
-        "w.temperature, w.humidity, w.wind_speed, w.weather_code "
-        f"FROM ({core}) s LEFT JOIN weather_latest w ON s.city = w.city")
-
-
-STATUS_CTES = [("live_latest", _NEWEST_SQL.format(src="live")),
-               ("hist_latest", _LATEST_SQL),
-               ("weather_latest", _NEWEST_SQL.format(src="weather")),
-               ("status", _status_sql())]
-
-
-def status_frame(spark, sf_dir):
-    return st.current_status(si.live_rows(spark, sf_dir), master(spark, sf_dir), si.weather_rows(spark, sf_dir))
-
-
-@register("current_status", O.with_ctes(O.finish("SELECT * FROM status", STATUS_DOUBLES),
-                                        "master", "live", "weather", extra=STATUS_CTES))
-def q_current_status(spark, sf_dir):
-    return status_frame(spark, sf_dir)
-
-
-# ------------------------------------------------------------------ J5 + F18 + O6 + P10
-
-COMPARE_TEXT = " NATION_3, ,NATION_7,NATION_3,NOWHERE,NATION_11,NATION_2"
-
-
-def _compare_sql():
-    from ..functions.columns import city_list  # noqa: F401  (same rule, stated in SQL)
-    asked = ("SELECT pos - 1 AS pos, city FROM (SELECT row_number() OVER () AS pos, city FROM ("
-             f"SELECT trim(unnest(string_split({O.q(COMPARE_TEXT)}, ','))) AS city) WHERE city <> '') "
-             "WHERE pos <= 5")
-    return ("SELECT a.pos, s.city, s.source, s.aqi, s.pm25, s.pm10, s.no2, s.so2, s.risk_level "
-            f"FROM ({asked}) a JOIN status s ON a.city = s.city WHERE s.error IS NULL")
-
-
-@register("compare_cities", O.with_ctes(O.finish(_compare_sql(), ["aqi", "pm25", "pm10", "no2", "so2"]),
-                                        "master", "live", "weather", extra=STATUS_CTES))
-def q_compare_cities(spark, sf_dir):
-    return st.compare_cities(status_frame(spark, sf_dir), st.asked_cities(spark, COMPARE_TEXT, 5))
-
-
-# ------------------------------------------------------------------ J1
-
-@register("with_coords", O.with_ctes(O.finish(
-    "SELECT r.event_id, r.city, r.aqi, d.lat, d.lon FROM readings r JOIN city_dim d ON r.city = d.city",
-    ["aqi", "lat", "lon"]), "readings", "city_dim"))
-def q_with_coords(spark, sf_dir):
-    r = si.readings_log(spark, sf_dir).select("event_id", "city", "aqi")
-    return st.with_coords(r, si.nation_city_dim(spark, sf_dir))
-
-
-# ------------------------------------------------------------------ J11 (as-of)
-
-@register("monitor_log", O.with_ctes(O.finish(
-    "SELECT strftime(r.ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, r.city, r.source, r.aqi AS aqi_now, "
-    f"r.pm25, r.pm10, r.no2, r.so2, {O.us_level('r.aqi')} AS risk_now, "
-    "p.pred_24h AS aqi_24h, p.pred_48h AS aqi_48h, p.pred_72h AS aqi_72h, r.event_id "
-    "FROM readings r ASOF LEFT JOIN predictions p ON r.city = p.city AND r.ts >= p.ts",
-    ["aqi_now", "pm25", "pm10", "no2", "so2", "aqi_24h", "aqi_48h", "aqi_72h"]), "readings", "predictions"))
-def q_monitor_log(spark, sf_dir):
-    return st.monitor_log(si.readings_log(spark, sf_dir), si.predictions_log(spark, sf_dir))
-
-
-# ------------------------------------------------------------------ J13
-
-@register("current_weather", O.with_ctes(O.finish(
-    "SELECT d.city, w.temperature, w.humidity, w.wind_speed, w.weather_code, "
-    "strftime(w.ts, '%Y-%m-%dT%H:%M:%S.%f') AS observed, "
-    "CASE WHEN w.ts IS NULL THEN 'Weather data unavailable for ' || d.city END AS error "
-    "FROM (SELECT DISTINCT city FROM city_dim) d LEFT JOIN weather_latest w ON d.city = w.city",
-    ["temperature", "humidity", "wind_speed"]), "weather", "city_dim",
-    extra=[("weather_latest", _NEWEST_SQL.format(src="weather"))]))
-def q_current_weather(spark, sf_dir):
-    return st.current_weather(si.weather_rows(spark, sf_dir), si.nation_city_dim(spark, sf_dir))
-
-
-# ------------------------------------------------------------------ J4
-
-HYBRID_CTES = [
-    ("live_latest", _NEWEST_SQL.format(src="live")),
-    ("hist30", "SELECT city, list(aqi ORDER BY date) AS h, count(*) AS n_hist FROM ("
-               "SELECT *, row_number() OVER (PARTITION BY city ORDER BY date DESC) AS rk FROM master "
-               "WHERE aqi IS NOT NULL) WHERE rk <= 30 GROUP BY city"),
-    ("hybrid", "SELECT h.city, CASE WHEN l.aqi IS NOT NULL AND h.n_hist >= 29 "
-               "THEN list_concat(h.h[-29:], [l.aqi]) WHEN l.aqi IS NULL AND h.n_hist >= 30 THEN h.h[-30:] END AS seq, "
-               "CASE WHEN l.aqi IS NOT NULL AND h.n_hist >= 29 THEN " + O.q(st.HYBRID_TAG) +
-               " WHEN l.aqi IS NULL AND h.n_hist >= 30 THEN " + O.q(st.CSV_ONLY_TAG) + " END AS data_source "
-               "FROM hist30 h LEFT JOIN live_latest l ON h.city = l.city"),
-]
-
-
-@register("hybrid_sequence", O.with_ctes(O.finish(
-    "SELECT city, data_source, len(seq) AS n, list_sum(seq) AS seq_sum, seq[1] AS first_value, "
-    "seq[len(seq)] AS last_value FROM hybrid WHERE seq IS NOT NULL",
-    ["seq_sum", "first_value", "last_value"]), "master", "live", extra=HYBRID_CTES))
-def q_hybrid_sequence(spark, sf_dir):
-    h = st.hybrid_sequence(si.live_rows(spark, sf_dir), master(spark, sf_dir), 30)
-    return h.select("city", "data_source", F.size("seq").alias("n"),
-                    F.aggregate("seq", F.lit(0.0), lambda a, x: a + x).alias("seq_sum"),
-                    F.element_at("seq", 1).alias("first_value"), F.element_at("seq", -1).alias("last_value"))
-
-
-# ------------------------------------------------------------------ W4-W8, W10, A4, F15
-
-from ..operators import sequences as sq  # noqa: E402
-from . import forecast as fc  # noqa: E402
-
-SEQ_CTES = [
-    ("clean", "SELECT city, date, aqi FROM master WHERE aqi IS NOT NULL"),
-    ("fit", "SELECT min(aqi) AS lo, max(aqi) AS hi FROM clean"),
-    ("seq_all", "SELECT city, date, aqi AS label, "
-                "list(aqi) OVER (PARTITION BY city ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS lags, "
-                "row_number() OVER (PARTITION BY city ORDER BY date) AS rn FROM clean"),
-    ("seqs", "SELECT city, date, lags, label FROM seq_all WHERE rn > 30"),
-    ("seq_pos", "SELECT *, row_number() OVER (ORDER BY city, date) - 1 AS gpos, count(*) OVER () AS n_all "
-                "FROM seqs"),
-    ("seq_split", "SELECT *, CASE WHEN gpos < floor(n_all * 0.8) THEN 'train' ELSE 'test' END AS part "
-                  "FROM seq_pos"),
-    ("scaled", "SELECT s.*, (s.label - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END AS label_s, "
-               "(s.lags[30] - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END AS last_s "
-               "FROM seq_split s, fit f"),
-    ("model", "SELECT regr_intercept(label_s, last_s) AS intercept, regr_slope(label_s, last_s) AS slope "
-              "FROM scaled WHERE part = 'train'"),
-]
-
-
-def _seq_frame(spark, sf_dir):
-    return fc.scaled_sequences(master(spark, sf_dir))
-
-
-@register("sequences", O.with_ctes(O.finish(
-    "SELECT city, date, len(lags) AS n_lags, list_sum(lags) AS lag_sum, lags[1] AS lag_first, "
-    "lags[len(lags)] AS lag_last, label FROM seqs", ["lag_sum", "lag_first", "lag_last", "label"], ["date"]),
-    "master", extra=SEQ_CTES[:4]))
-def q_sequences(spark, sf_dir):
-    s = sq.sequences(master(spark, sf_dir), 30)
-    return s.select("city", "date", F.size("lags").alias("n_lags"),
-                    F.aggregate("lags", F.lit(0.0), lambda a, x: a + x).alias("lag_sum"),
-                    F.element_at("lags", 1).alias("lag_first"), F.element_at("lags", -1).alias("lag_last"),
-                    "label")
-
-
-@register("position_split", O.with_ctes(O.finish(
-    "SELECT city, date, gpos, part FROM seq_split", (), ["date"]), "master", extra=SEQ_CTES[:6]))
-def q_position_split(spark, sf_dir):
-    return sq.position_split(sq.sequences(master(spark, sf_dir), 30)).select("city", "date", "gpos", "part")
-
-
-@register("validation_tail", O.with_ctes(O.finish(
-    "SELECT city, date, gpos, CASE WHEN gpos < floor(n_t * 0.9) THEN 'fit' ELSE 'validation' END AS part FROM ("
-    "SELECT city, date, row_number() OVER (ORDER BY city, date) - 1 AS gpos, count(*) OVER () AS n_t "
-    "FROM seq_split WHERE part = 'train')", (), ["date"]), "master", extra=SEQ_CTES[:6]))
-def q_validation_tail(spark, sf_dir):
-    s = sq.position_split(sq.sequences(master(spark, sf_dir), 30))
-    train = s.where(F.col("part") == "train").select("city", "date")
-    return sq.validation_tail(train, 0.1).select("city", "date", "gpos", "part")
-
-
-@register("holdout_split", O.with_ctes(O.finish(
-    "SELECT city, date, aqi, pos, CASE WHEN pos > n - 72 THEN 'test' ELSE 'train' END AS part FROM ("
-    "SELECT *, row_number() OVER (PARTITION BY city ORDER BY date) AS pos, count(*) OVER (PARTITION BY city) AS n "
-    "FROM clean)", ["aqi"], ["date"]), "master", extra=SEQ_CTES[:1]))
-def q_holdout_split(spark, sf_dir):
-    c = master(spark, sf_dir).where(F.col("aqi").isNotNull()).select("city", "date", "aqi")
-    return sq.holdout_split(c, 72)
-
-
-@register("differences", O.with_ctes(O.finish(
-    "SELECT city, date, aqi, d, lag(d, 1) OVER w AS d_lag1, lag(d, 2) OVER w AS d_lag2 FROM ("
-    "SELECT *, aqi - lag(aqi) OVER w AS d FROM clean WINDOW w AS (PARTITION BY city ORDER BY date)) "
-    "WINDOW w AS (PARTITION BY city ORDER BY date)", ["aqi", "d", "d_lag1", "d_lag2"], ["date"]),
-    "master", extra=SEQ_CTES[:1]))
-def q_differences(spark, sf_dir):
-    c = master(spark, sf_dir).where(F.col("aqi").isNotNull()).select("city", "date", "aqi")
-    return sq.differences(c)
-
-
-@register("minmax_scaled", O.with_ctes(O.finish(
-    "SELECT c.city, c.date, c.aqi, f.lo, f.hi, (c.aqi - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END "
-    "AS aqi_scaled, ((c.aqi - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END) * "
-    "CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END + f.lo AS aqi_back FROM clean c, fit f",
-    ["aqi", "lo", "hi", "aqi_scaled", "aqi_back"], ["date"]), "master", extra=SEQ_CTES[:2]))
-def q_minmax_scaled(spark, sf_dir):
-    from ..functions.columns import minmax_inverse
-    c = master(spark, sf_dir).where(F.col("aqi").isNotNull()).select("city", "date", "aqi")
-    s = sq.scale_minmax(c, sq.fit_minmax(c))
-    return s.withColumn("aqi_back", minmax_inverse("aqi_scaled", "lo", "hi"))
-
-
-# ------------------------------------------------------------------ M1 / M5
-
-@register("ar1_model", O.with_ctes(O.finish(
-    "SELECT m.intercept, m.slope, f.lo, f.hi, (SELECT count(*) FROM scaled WHERE part = 'train') AS train_sequences "
-    "FROM model m, fit f", ["intercept", "slope", "lo", "hi"]), "master", extra=SEQ_CTES))
-def q_ar1_model(spark, sf_dir):
-    s, fit = _seq_frame(spark, sf_dir)
-    train = s.where(F.col("part") == "train")
-    m = fc.fit_lag_model(train, "ar1").select("intercept", "slope")
-    n = train.agg(F.count(F.lit(1)).alias("train_sequences"))
-    return m.crossJoin(fit).crossJoin(n)
-
-
-_UNSCALE = "({x}) * CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END + f.lo"
-_SCALE = "(({x}) - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END"
-
-
-@register("evaluate_ar1", O.with_ctes(O.finish(
-    "SELECT avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) * (actual - pred))) AS rmse, "
-    "(SELECT count(*) FROM scaled WHERE part = 'train') AS train_sequences, "
-    "(SELECT count(*) FROM scaled WHERE part = 'test') AS test_sequences FROM ("
-    "SELECT s.label AS actual, " + _UNSCALE.format(x="m.intercept + m.slope * s.last_s") + " AS pred "
-    "FROM scaled s, model m, fit f WHERE s.part = 'test')", ["mae", "rmse"]), "master", extra=SEQ_CTES))
-def q_evaluate_ar1(spark, sf_dir):
-    s, fit = _seq_frame(spark, sf_dir)
-    m = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
-    return fc.evaluate_lag_model(s, m, fit, last_only=True)
-
-
-# ------------------------------------------------------------------ M2 / M3 / M4 / A13 / F25 / J8
-
-def _unrolled_sql(seq_table: str, revert: bool) -> str:
-    """3 steps of the AR(1) roll written out; with AR(1) only the newest value matters.
-
-    Nested selects, so each step reads the previous one; ``base`` is the last
-    observed value the reverted forecast is pulled toward.
-    """
-    sql = f"SELECT t.*, t.x0 AS base FROM {seq_table} t"
-    for i in range(3):
-        w = 0.15 * (i + 1)
-        prevcol = "x0" if i == 0 else f"p{i - 1}"
-        raw = _UNSCALE.format(x="m.intercept + m.slope * " + _SCALE.format(x=f"s.{prevcol}"))
-        val = f"({raw}) * (1 - {w!r}) + s.base * {w!r}" if revert else f"({raw})"
-        sql = f"SELECT s.*, {val} AS p{i} FROM ({sql}) s, model m, fit f"
-    return sql
-
-
-@register("forecast_roll", O.with_ctes(O.finish(
-    "SELECT city, p0 AS step1, p1 AS step2, p2 AS step3 FROM (" + _unrolled_sql("roll_in", False) + ")",
-    ["step1", "step2", "step3"]), "master", extra=SEQ_CTES + HYBRID_CTES[1:2] + [
-        ("roll_in", "SELECT city, h[len(h)] AS x0 FROM hist30 WHERE n_hist >= 30")]))
-def q_forecast_roll(spark, sf_dir):
-    m = master(spark, sf_dir)
-    s, fit = _seq_frame(spark, sf_dir)
-    model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
-    seqs = st.history_sequence(m, 30).where(F.col("n_hist") >= 30).withColumnRenamed("h", "seq")
-    r = fc.forecast_roll(seqs, model, fit, steps=3, revert=False)
-    return r.select("city", *[F.col("preds")[i].alias(f"step{i + 1}") for i in range(3)])
-
-
-PREDICT_CTES = SEQ_CTES + [c for c in HYBRID_CTES] + [
-    ("roll_in", "SELECT city, data_source, seq[30] AS x0 FROM hybrid WHERE seq IS NOT NULL"),
-    ("predicted", "SELECT city, data_source, p0 AS raw_24, p1 AS raw_48, p2 AS raw_72 FROM ("
-                  + _unrolled_sql("roll_in", True) + ")"),
-    ("prediction", "SELECT city, data_source, round(raw_24, 2) AS pred_24h, round(raw_48, 2) AS pred_48h, "
-                   "round(raw_72, 2) AS pred_72h, " + O.us_level("raw_24") + " AS risk_24h, "
-                   + O.us_level("raw_48") + " AS risk_48h, " + O.us_level("raw_72") + " AS risk_72h FROM predicted"),
-]
-
-
-def prediction_frame(spark, sf_dir):
-    m = master(spark, sf_dir)
-    s, fit = fc.scaled_sequences(m)
-    model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
-    return fc.predict(si.live_rows(spark, sf_dir), m, model, fit)
-
-
-@register("predict", O.with_ctes(O.finish("SELECT * FROM prediction", ["pred_24h", "pred_48h", "pred_72h"]),
-                                 "master", "live", extra=PREDICT_CTES))
-def q_predict(spark, sf_dir):
-    return prediction_frame(spark, sf_dir)
-
-
-@register("worst_horizon", O.with_ctes(O.finish(
-    "SELECT city, CAST(h AS BIGINT) AS worst_hours, v AS worst_aqi, " + O.india("v") + " AS worst_risk, "
-    + O.sql_lookup(O.india("v"), risk.RECOMMENDATIONS, O.q(risk.DEFAULT_RECOMMENDATION)) + " AS advice FROM ("
-    "SELECT city, CASE WHEN pred_24h >= pred_48h AND pred_24h >= pred_72h THEN 24 "
-    "WHEN pred_48h >= pred_72h THEN 48 ELSE 72 END AS h, "
-    "CASE WHEN pred_24h >= pred_48h AND pred_24h >= pred_72h THEN pred_24h "
-    "WHEN pred_48h >= pred_72h THEN pred_48h ELSE pred_72h END AS v FROM prediction)", ["worst_aqi"]),
-    "master", "live", extra=PREDICT_CTES))
-def q_worst_horizon(spark, sf_dir):
-    p = prediction_frame(spark, sf_dir)
-    h = st.worst_horizon(p)
-    v = F.when(h == 24, F.col("pred_24h")).when(h == 48, F.col("pred_48h")).otherwise(F.col("pred_72h"))
-    india = risk.risk_india(v)
-    return p.select("city", h.alias("worst_hours"), v.alias("worst_aqi"), india.alias("worst_risk"),
-                    risk.recommendation(india).alias("advice"))
-
-
-@register("horizon_rows", O.with_ctes(O.finish(
-    "SELECT city, data_source, horizon_hours, predicted_aqi, " + O.india("predicted_aqi") + " AS risk FROM ("
-    "SELECT city, data_source, CAST(24 AS BIGINT) AS horizon_hours, pred_24h AS predicted_aqi FROM prediction UNION ALL "
-    "SELECT city, data_source, 48, pred_48h FROM prediction UNION ALL "
-    "SELECT city, data_source, 72, pred_72h FROM prediction)", ["predicted_aqi"]),
-    "master", "live", extra=PREDICT_CTES))
-def q_horizon_rows(spark, sf_dir):
-    from ..operators.metrics import horizon_rows
-    p = prediction_frame(spark, sf_dir).select("city", "data_source", "pred_24h", "pred_48h", "pred_72h")
-    return horizon_rows(p)
-
-
-@register("forecast_delta", O.with_ctes(O.finish(
-    "SELECT p.city, p.pred_24h, coalesce(h.aqi, p.pred_24h) AS latest_aqi, "
-    "p.pred_24h - coalesce(h.aqi, p.pred_24h) AS delta_24h FROM prediction p "
-    "LEFT JOIN hist_latest h ON p.city = h.city", ["pred_24h", "latest_aqi", "delta_24h"]),
-    "master", "live", extra=PREDICT_CTES + [("hist_latest", _LATEST_SQL)]))
-def q_forecast_delta(spark, sf_dir):
-    p = prediction_frame(spark, sf_dir).select("city", "pred_24h")
-    return st.forecast_delta(p, tb.latest_per_city(master(spark, sf_dir)))
-
-
-# ------------------------------------------------------------------ A5-A9, A14 on a stand-in predictor
-
-from ..operators import metrics as mt  # noqa: E402
-from . import classify as cl  # noqa: E402
-from pyspark.sql import Window as _W  # noqa: E402
-
-
-def persistence(spark, sf_dir, lag: int = 1) -> DataFrame:
-    """Stand-in classifier output: label = 4-class risk of today's AQI,
-    prediction = 4-class risk of the AQI ``lag`` rows earlier (a persistence model)."""
-    c = master(spark, sf_dir).where(F.col("aqi").isNotNull()).select("city", "date", "aqi")
-    w = _W.partitionBy("city").orderBy("date")
-    prev = F.lag("aqi", lag).over(w)
-    return (c.withColumn("prev_aqi", prev).where(F.col("prev_aqi").isNotNull())
-             .select("city", "date", F.col("aqi").alias("actual"), F.col("prev_aqi").alias("pred"),
-                     risk.risk_bucket4("aqi").alias("label"), risk.risk_bucket4("prev_aqi").alias("prediction")))
-
-
-def _persist_sql(lag):
-    return ("SELECT city, date, aqi AS actual, prev_aqi AS pred, " + O.bucket4("aqi") + " AS label, "
-            + O.bucket4("prev_aqi") + " AS prediction FROM (SELECT city, date, aqi, "
-            f"lag(aqi, {lag}) OVER (PARTITION BY city ORDER BY date) AS prev_aqi FROM master "
-            "WHERE aqi IS NOT NULL) WHERE prev_aqi IS NOT NULL")
-
-
-CONF_SQL = "SELECT label, prediction, count(*) AS n FROM p1 GROUP BY label, prediction"
-REPORT_SQL = (
-    "SELECT cls AS class, coalesce(tp / nullif(predicted, 0), 0.0) AS precision, "
-    "coalesce(tp / nullif(support, 0), 0.0) AS recall, "
-    "coalesce(2 * (coalesce(tp / nullif(predicted, 0), 0.0) * coalesce(tp / nullif(support, 0), 0.0)) / "
-    "nullif(coalesce(tp / nullif(predicted, 0), 0.0) + coalesce(tp / nullif(support, 0), 0.0), 0), 0.0) AS f1, "
-    "CAST(support AS BIGINT) AS support FROM ("
-    "SELECT c.cls, CAST(coalesce(s.support, 0) AS DOUBLE) AS support, CAST(coalesce(p.predicted, 0) AS DOUBLE) AS predicted, "
-    "CAST(coalesce(t.tp, 0) AS DOUBLE) AS tp FROM "
-    "(SELECT label AS cls FROM conf UNION SELECT prediction FROM conf) c "
-    "LEFT JOIN (SELECT label AS cls, sum(n) AS support FROM conf GROUP BY label) s ON c.cls = s.cls "
-    "LEFT JOIN (SELECT prediction AS cls, sum(n) AS predicted FROM conf GROUP BY prediction) p ON c.cls = p.cls "
-    "LEFT JOIN (SELECT label AS cls, sum(n) AS tp FROM conf WHERE label = prediction GROUP BY label) t "
-    "ON c.cls = t.cls)")
-OVERALL_SQL = (
-    "SELECT sum(recall * support) / sum(support) AS accuracy, avg(precision) AS macro_precision, "
-    "avg(recall) AS macro_recall, avg(f1) AS macro_f1, sum(precision * support) / sum(support) AS weighted_precision, "
-    "sum(recall * support) / sum(support) AS weighted_recall, sum(f1 * support) / sum(support) AS weighted_f1, "
-    "CAST(sum(support) AS BIGINT) AS support FROM report")
-METRIC_CTES = [("p1", _persist_sql(1)), ("conf", CONF_SQL), ("report", REPORT_SQL)]
-
-
-@register("confusion", O.with_ctes("SELECT * FROM conf", "master", extra=METRIC_CTES[:2]))
-def q_confusion(spark, sf_dir):
-    return mt.confusion(persistence(spark, sf_dir, 1))
-
-
-@register("class_report", O.with_ctes(O.finish("SELECT * FROM report", ["precision", "recall", "f1"]),
-                                      "master", extra=METRIC_CTES))
-def q_class_report(spark, sf_dir):
-    return mt.class_report(mt.confusion(persistence(spark, sf_dir, 1)))
-
-
-@register("overall_report", O.with_ctes(O.finish(OVERALL_SQL, [
-    "accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall",
-    "weighted_f1"]), "master", extra=METRIC_CTES))
-def q_overall_report(spark, sf_dir):
-    return mt.overall_report(mt.class_report(mt.confusion(persistence(spark, sf_dir, 1))))
-
-
-def _model_scores_sql():
-    parts = []
-    for order, lag in enumerate((1, 7)):
-        ctes = (f"WITH p AS ({_persist_sql(lag)}), conf AS ({CONF_SQL.replace('p1', 'p')}), "
-                f"report AS ({REPORT_SQL}) ")
-        parts.append(f"SELECT 'persistence_{lag}d' AS model, {order} AS ord, * FROM ({ctes}{OVERALL_SQL})")
-    return " UNION ALL ".join(f"({p})" for p in parts)
-
-
-@register("select_best", O.with_ctes(O.finish(
-    "SELECT arg_max(model, weighted_f1 * 1e12 - ord) AS selected_model, max(weighted_f1) AS selected_score "
-    f"FROM ({_model_scores_sql()})", ["selected_score"]), "master"))
-def q_select_best(spark, sf_dir):
-    scores = None
-    for order, lag in enumerate((1, 7)):
-        ov = mt.overall_report(mt.class_report(mt.confusion(persistence(spark, sf_dir, lag))))
-        one = ov.select(F.lit(f"persistence_{lag}d").alias("model"), F.lit(order).alias("ord"),
-                        F.col("weighted_f1").alias("f1_weighted"))
-        scores = one if scores is None else scores.unionByName(one)
-    return mt.select_best(scores)
-
-
-@register("error_metrics", O.with_ctes(O.finish(
-    "SELECT city, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) * (actual - pred))) AS rmse, "
-    "count(*) AS n FROM p1 GROUP BY city", ["mae", "rmse"]), "master", extra=METRIC_CTES[:1]))
-def q_error_metrics(spark, sf_dir):
-    return mt.error_metrics(persistence(spark, sf_dir, 1), by=["city"])
-
-
-@register("summarise_metrics", O.with_ctes(O.finish(
-    "SELECT avg(mae) AS mae_mean, avg(rmse) AS rmse_mean, median(mae) AS mae_median, median(rmse) AS rmse_median, "
-    "count(*) AS cities_trained FROM (SELECT city, avg(abs(actual - pred)) AS mae, "
-    "sqrt(avg((actual - pred) * (actual - pred))) AS rmse FROM p1 GROUP BY city)",
-    ["mae_mean", "rmse_mean", "mae_median", "rmse_median"]), "master", extra=METRIC_CTES[:1]))
-def q_summarise_metrics(spark, sf_dir):
-    return mt.summarise_metrics(mt.error_metrics(persistence(spark, sf_dir, 1), by=["city"]))
-
-
-# ------------------------------------------------------------------ M6 (1,1,0), W7, J12, J10
-
-BT_CTES = [
-    ("bt_clean", "SELECT city, date, aqi FROM master WHERE aqi IS NOT NULL"),
-    ("bt_top", "SELECT city FROM bt_clean GROUP BY city ORDER BY count(*) DESC, city LIMIT 8"),
-    ("bt", "SELECT *, n - 72 AS n_train FROM (SELECT c.*, row_number() OVER (PARTITION BY c.city ORDER BY date) AS pos, "
-           "count(*) OVER (PARTITION BY c.city) AS n FROM bt_clean c WHERE city IN (SELECT city FROM bt_top)) "
-           "WHERE n >= 112"),
-    ("bt_tr", "SELECT *, lag(d) OVER (PARTITION BY city ORDER BY pos) AS d_lag1 FROM ("
-              "SELECT *, aqi - lag(aqi) OVER (PARTITION BY city ORDER BY pos) AS d FROM bt WHERE pos <= n_train)"),
-    ("bt_par", "SELECT city, coalesce(sum(d * d_lag1) / sum(d_lag1 * d_lag1), 0.0) AS phi, arg_max(aqi, pos) AS y_last, "
-               "arg_max(d, pos) AS d_last FROM bt_tr GROUP BY city"),
-    ("bt_pred", "SELECT b.city, b.pos, b.aqi AS actual, p.y_last + p.d_last * CASE WHEN p.phi = 1 THEN (b.pos - b.n_train) "
-                "ELSE p.phi * (1 - pow(p.phi, b.pos - b.n_train)) / (1 - p.phi) END AS pred "
-                "FROM bt b JOIN bt_par p ON b.city = p.city WHERE b.pos > b.n_train"),
-    ("bt_city", "SELECT city, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) * (actual - pred))) AS rmse, "
-                "count(*) AS holdout, arg_max(actual, pos) AS last_actual, arg_max(pred, pos) AS last_predicted "
-                "FROM bt_pred GROUP BY city"),
-]
-
-
-@register("backtest_ar1", O.with_ctes(O.finish("SELECT * FROM bt_city", ["mae", "rmse", "last_actual",
-                                                                        "last_predicted"]),
-                                      "master", extra=BT_CTES))
-def q_backtest_ar1(spark, sf_dir):
-    return fc.backtest_ar1(master(spark, sf_dir))
-
-
-@register("backtest_predictions", O.with_ctes(O.finish("SELECT * FROM bt_pred", ["actual", "pred"]),
-                                              "master", extra=BT_CTES))
-def q_backtest_predictions(spark, sf_dir):
-    return fc.backtest_predictions(master(spark, sf_dir))
-
-
-@register("backtest_summary", O.with_ctes(O.finish(
-    "SELECT avg(mae) AS mae_mean, avg(rmse) AS rmse_mean, median(mae) AS mae_median, median(rmse) AS rmse_median, "
-    "count(*) AS cities_trained FROM bt_city", ["mae_mean", "rmse_mean", "mae_median", "rmse_median"]),
-    "master", extra=BT_CTES))
-def q_backtest_summary(spark, sf_dir):
-    return mt.summarise_metrics(fc.backtest_ar1(master(spark, sf_dir)))
-
-
-@register("compare_models", O.with_ctes(O.finish(
-    "SELECT a.metric, a.value AS seq_model, b.value AS baseline, (b.value - a.value) / b.value * 100.0 AS improvement_pct "
-    "FROM (SELECT 'mae' AS metric, mae AS value FROM ev UNION ALL SELECT 'rmse', rmse FROM ev) a JOIN "
-    "(SELECT 'mae' AS metric, avg(mae) AS value FROM bt_city UNION ALL SELECT 'rmse', avg(rmse) FROM bt_city) b "
-    "ON a.metric = b.metric", ["seq_model", "baseline", "improvement_pct"]), "master",
-    extra=SEQ_CTES + BT_CTES + [("ev", "SELECT avg(abs(actual - pred)) AS mae, "
-                                       "sqrt(avg((actual - pred) * (actual - pred))) AS rmse FROM ("
-                                       "SELECT s.label AS actual, " + _UNSCALE.format(x="m.intercept + m.slope * s.last_s")
-                                       + " AS pred FROM scaled s, model m, fit f WHERE s.part = 'test')")]))
-def q_compare_models(spark, sf_dir):
-    s, fit = _seq_frame(spark, sf_dir)
-    ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit, last_only=True)
-    a = ev.select(F.explode(F.array(F.struct(F.lit("mae").alias("metric"), F.col("mae").alias("value")),
-                                    F.struct(F.lit("rmse").alias("metric"), F.col("rmse").alias("value")))).alias("m")
-                  ).select("m.*")
-    sm = mt.summarise_metrics(fc.backtest_ar1(master(spark, sf_dir)))
-    b = sm.select(F.explode(F.array(F.struct(F.lit("mae").alias("metric"), F.col("mae_mean").alias("value")),
-                                    F.struct(F.lit("rmse").alias("metric"), F.col("rmse_mean").alias("value")))).alias("m")
-                  ).select("m.*")
-    return st.compare_models(a, b, "seq_model", "baseline")
-
-
-@register("backtest_arima")
-def q_backtest_arima(spark, sf_dir):
-    return fc.backtest_arima(master(spark, sf_dir))
-
-
-# ------------------------------------------------------------------ M10, A15, M7, M8, J7, A11, A12
-
-TRAIN_KEY_SQL = "city || '|' || strftime(date, '%Y-%m-%d')"
-TRAIN_CTES = [
-    ("prepared", f"SELECT {TRAIN_KEY_SQL} AS row_key, pm25, pm10, no2, so2, co, o3, city, "
-                 + O.sql_lookup("aqi_bucket", risk.BUCKET_TO_CLASS, "aqi_bucket") + " AS label FROM master"),
-    ("labeled", "SELECT * FROM prepared WHERE label IN ('Good', 'Moderate', 'Unhealthy', 'Hazardous')"),
-]
-SAMPLE_MAX = 3000
-
-
-def _training(spark, sf_dir):
-    return cl.prepare_training(master(spark, sf_dir))[0]
-
-
-@register("prepare_training", O.with_ctes(O.finish("SELECT * FROM labeled",
-                                                   ["pm25", "pm10", "no2", "so2", "co", "o3"]),
-                                          "master", extra=TRAIN_CTES))
-def q_prepare_training(spark, sf_dir):
-    return _training(spark, sf_dir)
-
-
-@register("class_fractions", O.with_ctes(O.finish(
-    "SELECT label, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM labeled GROUP BY label",
-    ["share"]), "master", extra=TRAIN_CTES))
-def q_class_fractions(spark, sf_dir):
-    return cl.class_fractions(_training(spark, sf_dir))
-
-
-@register("stratified_sample", O.with_ctes(
-    "SELECT row_key, label FROM (SELECT l.*, row_number() OVER (PARTITION BY l.label ORDER BY md5('42:' || l.row_key), "
-    "l.row_key) AS rk, q.quota FROM labeled l JOIN (SELECT label, round_even(count(*) * "
-    f"{SAMPLE_MAX} / (SELECT count(*) FROM labeled), 0) AS quota FROM labeled GROUP BY label) q "
-    "ON l.label = q.label) WHERE rk <= quota", "master", extra=TRAIN_CTES))
-def q_stratified_sample(spark, sf_dir):
-    return cl.stratified_sample(_training(spark, sf_dir), max_rows=SAMPLE_MAX).select("row_key", "label")
-
-
-HASH_UNIT_SQL = "CAST(('0x' || substr(md5('42:' || row_key), 1, 13)) AS BIGINT) / 4503599627370496.0"
-
-
-@register("stratified_split", O.with_ctes(
-    f"SELECT row_key, label, CASE WHEN {HASH_UNIT_SQL} < 0.2 THEN 'test' ELSE 'train' END AS part FROM labeled",
-    "master", extra=TRAIN_CTES))
-def q_stratified_split(spark, sf_dir):
-    return cl.stratified_split(_training(spark, sf_dir)).select("row_key", "label", "part")
-
-
-SPLIT_CTES = TRAIN_CTES + [("train_rows", f"SELECT * FROM labeled WHERE {HASH_UNIT_SQL} >= 0.2")]
-
-
-@register("class_weights", O.with_ctes(O.finish(
-    "SELECT label, count(*) AS n, (SELECT count(*) FROM train_rows) / ((SELECT count(DISTINCT label) FROM train_rows) "
-    "* count(*)) AS weight FROM train_rows GROUP BY label", ["weight"]), "master", extra=SPLIT_CTES))
-def q_class_weights(spark, sf_dir):
-    t = cl.stratified_split(_training(spark, sf_dir)).where(F.col("part") == "train")
-    w = cl.with_class_weights(t)
-    return w.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"))
-
-
-IMPUTE_NUMERIC = ["pm25", "pm10", "no2", "so2", "co", "o3"]
-
-
-@register("fit_impute", O.with_ctes(O.finish(
-    "SELECT " + ", ".join(f"median({c}) AS {c}" for c in IMPUTE_NUMERIC) +
-    ", (SELECT city FROM train_rows WHERE city IS NOT NULL GROUP BY city ORDER BY count(*) DESC, city LIMIT 1) AS city "
-    "FROM train_rows", IMPUTE_NUMERIC), "master", extra=SPLIT_CTES))
-def q_fit_impute(spark, sf_dir):
-    t = cl.stratified_split(_training(spark, sf_dir)).where(F.col("part") == "train")
-    return cl.fit_impute(t, IMPUTE_NUMERIC, ["city"])
-
-
-@register("fit_standard", O.with_ctes(O.finish(
-    "SELECT " + ", ".join(f"avg({c}) AS {c}__mean, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END "
-                         f"AS {c}__std" for c in IMPUTE_NUMERIC) +
-    " FROM (SELECT " + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM train_rows)) AS {c}" for c in IMPUTE_NUMERIC)
-    + " FROM train_rows)", [f"{c}__{k}" for c in IMPUTE_NUMERIC for k in ("mean", "std")]),
-    "master", extra=SPLIT_CTES))
-def q_fit_standard(spark, sf_dir):
-    t = cl.stratified_split(_training(spark, sf_dir)).where(F.col("part") == "train")
-    imp = cl.fit_impute(t, IMPUTE_NUMERIC, ["city"])
-    return cl.fit_standard(cl._impute_only(t, imp, IMPUTE_NUMERIC, ["city"]), IMPUTE_NUMERIC)
-
-
-# ------------------------------------------------------------------ T1-T6 (Structured Streaming)
-
-from ..streaming import streams as ss  # noqa: E402
-
-_LANDED: dict = {}
-
-
-def landed_polls(spark, sf_dir) -> str:
-    """Land the stand-in polls as JSON once per session and scale (shared scratch folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LANDED:
-        path = ss.scratch_dir(spark, "polls")
-        ss.land_payloads(si.poll_payloads(spark, sf_dir), path)
-        _LANDED[key] = path
-    return _LANDED[key]
-
-
-def _status_stream(spark, sf_dir):
-    return ss.stream_status(ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir))),
-                            master(spark, sf_dir))
-
-
-def _run_to_parquet(spark, df, mode="append", foreach_batch=None, name="sink"):
-    sink = ss.scratch_dir(spark, name)
-    ss.run_available(df, sink, sink + "-checkpoint", mode=mode, foreach_batch=foreach_batch)
-    return sink
-
-
-STREAM_STATUS_SQL = (
-    "SELECT l.city, l.ts, l.event_id, CASE WHEN l.aqi IS NOT NULL THEN 'LIVE SATELLITE' ELSE 'CSV FALLBACK' END AS source, "
-    "CASE WHEN l.aqi IS NOT NULL THEN l.aqi ELSE h.aqi END AS aqi, "
-    "CASE WHEN l.aqi IS NOT NULL THEN l.pm25 ELSE h.pm25 END AS pm25, "
-    "CASE WHEN l.aqi IS NOT NULL THEN l.pm10 ELSE h.pm10 END AS pm10, "
-    "CASE WHEN l.aqi IS NOT NULL THEN l.no2 ELSE h.no2 END AS no2 "
-    "FROM live l LEFT JOIN hist_latest h ON l.city = h.city WHERE l.aqi IS NOT NULL OR h.aqi IS NOT NULL")
-STREAM_CTES = [("hist_latest", _LATEST_SQL), ("sstatus0", STREAM_STATUS_SQL),
-               ("sstatus", "SELECT *, " + O.us_level("aqi") + " AS risk_level, " + O.us_color("aqi")
-                + " AS risk_color FROM sstatus0")]
-S_DOUBLES = ["aqi", "pm25", "pm10", "no2"]
-
-
-@register("stream_status", O.with_ctes(O.finish("SELECT * FROM sstatus", S_DOUBLES, stamps=["ts"]),
-                                       "master", "live", extra=STREAM_CTES))
-def q_stream_status(spark, sf_dir):
-    return spark.read.parquet(_run_to_parquet(spark, _status_stream(spark, sf_dir), name="status"))
-
-
-STREAM_ALERT_SQL = (
-    "SELECT city, ts, event_id, aqi, {lvl} AS risk_level, "
-    "'CRITICAL AIR QUALITY ALERT: ' || upper(city) || ' AQI ' || CAST(CAST(floor(aqi + 0.5) AS BIGINT) AS VARCHAR) "
-    "|| ' — ' || {us} AS alert_text FROM sstatus WHERE aqi > 150.0").format(lvl=O.display_level("aqi"),
-                                                                           us=O.us_level("aqi"))
-
-
-@register("stream_alerts", O.with_ctes(O.finish(STREAM_ALERT_SQL, ["aqi"], stamps=["ts"]),
-                                       "master", "live", extra=STREAM_CTES))
-def q_stream_alerts(spark, sf_dir):
-    return spark.read.parquet(_run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)),
-                                              name="alerts"))
-
-
-@register("stream_alert_history", O.with_ctes(O.finish(
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) AS rank "
-    f"FROM ({STREAM_ALERT_SQL})) WHERE rank <= 20", ["aqi"], stamps=["ts"]), "master", "live", extra=STREAM_CTES))
-def q_stream_alert_history(spark, sf_dir):
-    sink = _run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)), name="alerts")
-    return tb.recent_log(spark.read.parquet(sink), 20, key="city")
-
-
-def _complete_table(path):
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(path)
-    return write
-
-
-@register("stream_latest", O.with_ctes(O.finish(
-    "SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) "
-    "AS rn_ FROM sstatus) WHERE rn_ = 1", S_DOUBLES, stamps=["ts"]), "master", "live", extra=STREAM_CTES))
-def q_stream_latest(spark, sf_dir):
-    out = ss.scratch_dir(spark, "latest")
-    _run_to_parquet(spark, ss.stream_latest(_status_stream(spark, sf_dir)), mode="complete",
-                    foreach_batch=_complete_table(out), name="latest")
-    return spark.read.parquet(out)
-
-
-@register("stream_store", O.with_ctes(O.finish(
-    "SELECT city, source, aqi, pm25, pm10, no2, so2, temperature, humidity, wind_speed, ts AS observed_ts "
-    "FROM readings", ["aqi", "pm25", "pm10", "no2", "so2", "temperature", "humidity", "wind_speed"],
-    stamps=["observed_ts"]), "readings"))
-def q_stream_store(spark, sf_dir):
-    readings, weather = ss.scratch_dir(spark, "readings"), ss.scratch_dir(spark, "weather")
-    polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
-    _run_to_parquet(spark, polls, foreach_batch=ss.store_batches(readings, weather), name="store")
-    return fl.read_log(spark, readings, "").drop("ts", "batch")
-
-
-@register("stream_monitor_log", O.with_ctes(O.finish(
-    "SELECT strftime(r.ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, r.city, r.source, r.aqi AS aqi_now, "
-    f"r.pm25, r.pm10, r.no2, r.so2, {O.us_level('r.aqi')} AS risk_now, "
-    "p.pred_24h AS aqi_24h, p.pred_48h AS aqi_48h, p.pred_72h AS aqi_72h, r.event_id "
-    "FROM readings r ASOF LEFT JOIN predictions p ON r.city = p.city AND r.ts >= p.ts",
-    ["aqi_now", "pm25", "pm10", "no2", "so2", "aqi_24h", "aqi_48h", "aqi_72h"]), "readings", "predictions"))
-def q_stream_monitor_log(spark, sf_dir):
-    out = ss.scratch_dir(spark, "monitor")
-    polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
-    _run_to_parquet(spark, polls, foreach_batch=ss.monitor_batches(si.predictions_log(spark, sf_dir), out),
-                    name="monitor")
-    return spark.read.parquet(out).drop("batch")
-
-
-# ------------------------------------------------------------------ S1, S2, K1, S3: CSV round trip
-
-from ..sources import files as fl  # noqa: E402
-
-
-@register("master_from_csv", O.with_ctes(O.finish("SELECT * FROM master", MASTER_DOUBLES, ["date"]), "master"))
-def q_master_from_csv(spark, sf_dir):
-    """Land both sources as CSV files in file order, read them back with the CSV readers
-    (S1/S2, file order -> row_ord), fuse (U3), write partitioned by year (K1), scan (S3)."""
-    root = ss.scratch_dir(spark, "csv")
-    hist = si.historical(spark, sf_dir).orderBy("row_ord").drop("row_ord")
-    hist.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{root}/historical")
-    mod = si.modern(spark, sf_dir).orderBy("row_ord").drop("row_ord")
-    mod.write.option("header", True).csv(f"{root}/modern")
-    built = build_master(fl.read_historical(spark, f"{root}/historical"), fl.read_modern(spark, f"{root}/modern"))
-    from .master import write_master
-    write_master(built, f"{root}/master")
-    return fl.read_master(spark, f"{root}/master").drop("year")
-
-
-# ------------------------------------------------------------------ M11-M14, M9, A16, M15, J9, K5, K6
-
-_TRAINED: dict = {}
-
-
-def trained(spark, sf_dir):
-    """Fit the classifier once per session and scale (both fits run on executors)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = cl.train_and_select(master(spark, sf_dir))
-    return _TRAINED[key]
-
-
-@register("train_classifier")
-def q_train_classifier(spark, sf_dir):
-    return trained(spark, sf_dir)[1]
-
-
-@register("classify_status")
-def q_classify_status(spark, sf_dir):
-    model, _, meta = trained(spark, sf_dir)
-    status = tb.valid_rows(status_frame(spark, sf_dir)).select("city", "source", "aqi", "pm25", "pm10", "no2",
-                                                              "so2", "co", "o3", "risk_level")
-    return cl.classify(status, model, meta)
-
-
-@register("training_summary")
-def q_training_summary(spark, sf_dir):
-    """A16 over the logistic fit's objective history (loss per optimiser round)."""
-    _, _, meta = trained(spark, sf_dir)
-    hist = spark.createDataFrame([("logistic_regression", meta["objective_history"])],
-                                 "model STRING, objective_history ARRAY<DOUBLE>")
-    return mt.training_summary(hist).drop("objective_history")
-
-
-@register("linear30_model")
-def q_linear30(spark, sf_dir):
-    s, fit = _seq_frame(spark, sf_dir)
-    m = fc.fit_lag_model(s.where(F.col("part") == "train"), "linear30")
-    return fc.evaluate_lag_model(s, m, fit)
-
-
-@register("gbt30_forecast")
-def q_gbt30(spark, sf_dir):
-    m = master(spark, sf_dir)
-    s, fit = fc.scaled_sequences(m)
-    model = fc.fit_lag_model(s.where(F.col("part") == "train"), "gbt30")
-    seqs = st.hybrid_sequence(si.live_rows(spark, sf_dir), m, 30)
-    r = fc.forecast_roll_gbt(seqs, model, fit, steps=3, revert=True)
-    return r.select("city", "data_source", *[F.col("preds")[i].alias(f"pred_{h}h") for i, h in enumerate((24, 48, 72))])
-
-
-def _metrics_root(spark, sf_dir):
-    from . import reports as rp
-    from .sinks import write_metrics
-    key = ("metrics", spark.sparkContext.applicationId, sf_dir)
-    if key not in _LANDED:
-        root = ss.scratch_dir(spark, "metrics")
-        m = master(spark, sf_dir)
-        s, fit = fc.scaled_sequences(m)
-        ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit,
-                                   last_only=True)
-        prof = tb.profile(m.where(F.col("aqi").isNotNull()))
-        write_metrics(rp.sequence_metrics_doc(ev, prof), f"{root}/sequence")
-        per_city = fc.backtest_arima(m)
-        write_metrics(rp.arima_metrics_doc(per_city, mt.summarise_metrics(per_city)), f"{root}/arima")
-        _, metrics, meta = trained(spark, sf_dir)
-        write_metrics(rp.classifier_metrics_doc(metrics, meta["features"]), f"{root}/classifier")
-        _LANDED[key] = root
-    return _LANDED[key]
-
-
-@register("model_metrics")
-def q_model_metrics(spark, sf_dir):
-    from . import reports as rp
-    mm = rp.model_metrics(spark, _metrics_root(spark, sf_dir))
-    return mm.select("sequence_available", "classifier_available", "arima_available",
-                     F.col("sequence_metrics.mae").alias("sequence_mae"),
-                     F.col("sequence_metrics.rmse").alias("sequence_rmse"),
-                     F.col("classifier_metrics.selected_model").alias("selected_model"),
-                     F.col("arima_metrics.aggregate.mae_mean").alias("arima_mae_mean"),
-                     F.col("arima_metrics.cities_trained").alias("arima_cities"))
-
-
-@register("report_summary")
-def q_report_summary(spark, sf_dir):
-    from . import reports as rp
-    from .sinks import export_report
-    mm = rp.model_metrics(spark, _metrics_root(spark, sf_dir))
-    rep = st.report_summary(tb.valid_rows(status_frame(spark, sf_dir)), prediction_frame(spark, sf_dir), mm)
-    named = export_report(rep, ss.scratch_dir(spark, "reports"))
-    return named.select("city", "file", F.col("current_status.source").alias("source"),
-                        F.col("current_status.aqi").alias("aqi"), F.col("forecast.pred_24h").alias("pred_24h"),
-                        F.col("model_metrics.classifier_available").alias("classifier_available"))
-
-
-# ------------------------------------------------------------------ S5/S6 batch, U2, F23, F26
-
-@register("live_from_json", O.with_ctes(O.finish(
-    "SELECT l.city, l.ts, l.event_id, l.pm25, l.pm10, l.no2, l.so2, l.co, l.o3, l.aqi, w.temperature, w.humidity, "
-    "w.wind_speed, w.weather_code FROM live l JOIN weather w ON l.event_id = w.event_id",
-    ["pm25", "pm10", "no2", "so2", "co", "o3", "aqi", "temperature", "humidity", "wind_speed"], stamps=["ts"]),
-    "live", "weather"))
-def q_live_from_json(spark, sf_dir):
-    """Landed AQI and weather answers read back with the batch JSON readers."""
-    root = ss.scratch_dir(spark, "payloads")
-    a, w = f"{root}/aqi", f"{root}/weather"
-    ss.land_payloads(si.aqi_payloads(spark, sf_dir), a)
-    ss.land_payloads(si.weather_payloads(spark, sf_dir), w)
-    live = fl.read_aqi_payloads(spark, a)
-    weather = fl.read_weather_payloads(spark, w).drop("city", "ts")
-    return live.join(weather, "event_id")
-
-
-@register("append_live", O.with_ctes(O.finish(
-    "SELECT city, date, aqi, 'CSV' AS origin FROM (" + LAST_N_SQL.format(n=29) + ") UNION ALL "
-    "SELECT city, CAST(ts AS DATE) AS date, aqi, 'LIVE' AS origin FROM live_latest WHERE aqi IS NOT NULL",
-    ["aqi"], ["date"]), "master", "live", extra=[("live_latest", _NEWEST_SQL.format(src="live"))]))
-def q_append_live(spark, sf_dir):
-    hist = tb.last_n(master(spark, sf_dir), 29).select("city", "date", "aqi", F.lit("CSV").alias("origin"))
-    live = (st.newest_per_city(si.live_rows(spark, sf_dir)).where(F.col("aqi").isNotNull())
-            .select("city", F.to_date("ts").alias("date"), "aqi", F.lit("LIVE").alias("origin")))
-    return tb.append_live(hist, live)
-
-
-@register("classifier_metrics_rows")
-def q_classifier_metrics_rows(spark, sf_dir):
-    """F23 over the classifier metrics document read back from storage."""
-    doc = fl.read_metrics(spark, f"{_metrics_root(spark, sf_dir)}/classifier", "classifier")
-    return mt.explode_metrics(doc, "all_metrics", "model")
-
-
-@register("predict_document")
-def q_predict_document(spark, sf_dir):
-    m = master(spark, sf_dir)
-    s, fit = fc.scaled_sequences(m)
-    model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
-    d = fc.predict_document(si.live_rows(spark, sf_dir), m, model, fit)
-    return d.select("city", "status", "data_source", "predicted_aqi_tomorrow",
-                    F.col("predictions.72h.aqi").alias("aqi_72h"),
-                    F.col("predictions.72h.health_risk.level").alias("risk_72h"), "json")
-
-
-def landed_predictions(spark, sf_dir) -> str:
-    key = ("preds", spark.sparkContext.applicationId, sf_dir)
-    if key not in _LANDED:
-        path = ss.scratch_dir(spark, "predictions")
-        ss.land_payloads(si.predictions_log(spark, sf_dir), path)
-        _LANDED[key] = path
-    return _LANDED[key]
-
-
-@register("stream_monitor_state", SQL["stream_monitor_log"])
-def q_stream_monitor_state(spark, sf_dir):
-    """T6 as a stateful stream (one row of state per city) over landed polls and predictions."""
-    polls = ss.read_payload_stream(spark, landed_polls(spark, sf_dir)).where(F.col("aqi").isNotNull())
-    preds = ss.read_prediction_stream(spark, landed_predictions(spark, sf_dir))
-    sink = _run_to_parquet(spark, ss.stream_monitor_state(polls, preds), name="monitor-state")
-    return spark.read.parquet(sink)
+from .queries.registry import QUERIES, SQL, finish, fresh_master, master, register  # noqa: F401
+from .queries import tables, status, forecasting, metrics, training, streams, documents  # noqa: F401,E402
+from .queries.status import status_frame  # noqa: F401
+from .queries.forecasting import prediction_frame  # noqa: F401
