@@ -80,10 +80,15 @@ def read_first_available(spark: SparkSession, paths, fmt: str = "parquet") -> Da
     raise FileNotFoundError(f"No dataset found. Expected one of: {list(paths)}")
 
 
+def _with_event_id(schema: T.StructType) -> T.StructType:
+    """A new schema with the poll id appended (``StructType.add`` would mutate the shared one)."""
+    return T.StructType(list(schema.fields) + [T.StructField("event_id", T.LongType())])
+
+
 def read_aqi_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Landed live-AQI JSON -> canonical live row (city, ts, 7 fields)."""
     reader = spark.readStream if stream else spark.read
-    raw = (reader.schema(schemas.AQI_PAYLOAD.add("event_id", "long"))
+    raw = (reader.schema(_with_event_id(schemas.AQI_PAYLOAD))
            .option("timestampFormat", schemas.JSON_TS_FORMAT).json(path))
     return aqi_payload_fields(raw, keep=("event_id",))
 
@@ -102,7 +107,7 @@ def aqi_payload_fields(raw: DataFrame, keep=()) -> DataFrame:
 def read_weather_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Landed live-weather JSON -> (city, ts, temperature, humidity, wind_speed, weather_code)."""
     reader = spark.readStream if stream else spark.read
-    raw = (reader.schema(schemas.WEATHER_PAYLOAD.add("event_id", "long"))
+    raw = (reader.schema(_with_event_id(schemas.WEATHER_PAYLOAD))
            .option("timestampFormat", schemas.JSON_TS_FORMAT).json(path))
     return weather_payload_fields(raw, keep=("event_id",))
 

@@ -127,3 +127,14 @@ def test_csv_columns_matched_by_name_with_extra_columns(spark, tmp_path):
                  "150,February - M021990,Andhra Pradesh,Hyderabad,,Residential,4.8,17.4,,,,,1990-02-01\n")
     hr = fl.read_historical(spark, str(h)).first()
     assert (hr.location, hr.date, hr.so2, hr.no2, hr.rspm, hr.pm2_5) == ("Hyderabad", "1990-02-01", 4.8, 17.4, None, None)
+
+
+def test_payload_readers_do_not_mutate_shared_schemas(spark, tmp_path):
+    from smogcast import schemas
+    before = len(schemas.AQI_PAYLOAD.fields), len(schemas.WEATHER_PAYLOAD.fields)
+    p = str(tmp_path / "x")
+    spark.createDataFrame([("X",)], "city string").write.json(p)
+    for _ in range(2):
+        fl.read_aqi_payloads(spark, p)
+        fl.read_weather_payloads(spark, p)
+    assert (len(schemas.AQI_PAYLOAD.fields), len(schemas.WEATHER_PAYLOAD.fields)) == before
