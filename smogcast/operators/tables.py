@@ -158,7 +158,11 @@ def recent_log(df: DataFrame, k: int, key: str | None = "city", ts: str = "ts",
                tiebreak: str | None = "event_id") -> DataFrame:
     """Newest ``k`` entries per key (or overall when ``key`` is None), rank 1 = newest."""
     order = [F.col(ts).desc()] + ([F.col(tiebreak).desc()] if tiebreak else [])
-    w = Window.partitionBy(key).orderBy(*order) if key else Window.orderBy(*order)
+    if key is None:
+        # global newest k: a top-k per task, then a merge; only k rows are ranked
+        top = df.orderBy(*order).limit(k)
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

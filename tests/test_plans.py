@@ -65,3 +65,14 @@ def test_as_of_join_has_no_unpartitioned_window_over_rows(q):
     # every window over the feed is partitioned: by (chunk, city) or by city over the chunk summary
     assert "Window" in ops(t)
     assert not re.search(r"Arguments: \[[^\]]*\], \[\], \[", t)
+
+
+def test_global_recent_log_is_a_top_k_not_a_global_window(spark, sf_dir):
+    from smogcast.operators.tables import recent_log
+    from smogcast.sources import standin as si
+    df = recent_log(si.readings_log(spark, sf_dir), 20, key=None)
+    names = ops(plan(df))
+    assert "TakeOrderedAndProject" in names or "TopK" in " ".join(names) or "Limit" in " ".join(names)
+    rows = df.orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 21))
+    assert all(rows[i].ts >= rows[i + 1].ts for i in range(19))
