@@ -72,6 +72,20 @@ def position_split(df: DataFrame, frac: float = 0.8, key: str = "city", order: s
              .drop("_n"))
 
 
+def time_split(df: DataFrame, frac: float = 0.8, key: str = "city", order: str = "date") -> DataFrame:
+    """W5 variant (Q6): per key, the first ``int(frac * n_key)`` rows in time are ``train``.
+
+    Unlike the positional split, every city contributes its own past to train
+    and its own future to test.  One exchange on ``key``, shared with W4.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    return (df.withColumn("_rk", F.row_number().over(w)).withColumn("_n", n)
+              .withColumn("part", F.when(F.col("_rk") <= F.floor(F.col("_n") * F.lit(frac)), "train")
+                          .otherwise("test"))
+              .drop("_rk", "_n"))
+
+
 def validation_tail(train: DataFrame, frac: float = 0.1, key: str = "city", order: str = "date") -> DataFrame:
     """The last ``frac`` of the training rows (in order) are held for validation."""
     g = _global_position(train.drop("gpos", "part") if "gpos" in train.columns else train, key, order)

@@ -60,6 +60,14 @@ def q_position_split(spark, sf_dir):
     return sq.position_split(sq.sequences(master(spark, sf_dir), 30)).select("city", "date", "gpos", "part")
 
 
+@register("time_split", O.with_ctes(O.finish(
+    "SELECT city, date, CASE WHEN rk <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM ("
+    "SELECT city, date, row_number() OVER (PARTITION BY city ORDER BY date) AS rk, "
+    "count(*) OVER (PARTITION BY city) AS n FROM seqs)", (), ["date"]), "master", extra=SEQ_CTES[:4]))
+def q_time_split(spark, sf_dir):
+    return sq.time_split(sq.sequences(master(spark, sf_dir), 30)).select("city", "date", "part")
+
+
 @register("validation_tail", O.with_ctes(O.finish(
     "SELECT city, date, gpos, CASE WHEN gpos < floor(n_t * 0.9) THEN 'fit' ELSE 'validation' END AS part FROM ("
     "SELECT city, date, row_number() OVER (ORDER BY city, date) - 1 AS gpos, count(*) OVER () AS n_t "
