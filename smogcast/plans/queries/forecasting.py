@@ -169,6 +169,22 @@ def q_forecast_roll(spark, sf_dir):
     return r.select("city", *[F.col("preds")[i].alias(f"step{i + 1}") for i in range(3)])
 
 
+@register("forecast_roll_72", O.with_ctes(O.finish(
+    "SELECT city, " + ", ".join(
+        f"({_UNSCALE.format(x=f'm.intercept * (1 - pow(m.slope, {k})) / (1 - m.slope) + pow(m.slope, {k}) * ' + _SCALE.format(x='r.x0'))}) AS step{k}"
+        for k in (24, 48, 72)) + " FROM roll_in r, model m, fit f",
+    ["step24", "step48", "step72"]), "master", extra=SEQ_CTES + HYBRID_CTES[1:2] + [
+        ("roll_in", "SELECT city, h[len(h)] AS x0 FROM hist30 WHERE n_hist >= 30")]))
+def q_forecast_roll_72(spark, sf_dir):
+    """Q9: the dashboard's fallback rolls 72 daily steps (no reversion) and reads steps 24/48/72."""
+    m = master(spark, sf_dir)
+    s, fit = _seq_frame(spark, sf_dir)
+    model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
+    seqs = st.history_sequence(m, 30).where(F.col("n_hist") >= 30).withColumnRenamed("h", "seq")
+    r = fc.forecast_roll(seqs, model, fit, steps=72, revert=False)
+    return r.select("city", *[F.col("preds")[k - 1].alias(f"step{k}") for k in (24, 48, 72)])
+
+
 PREDICT_CTES = SEQ_CTES + [c for c in HYBRID_CTES] + [
     ("roll_in", "SELECT city, data_source, seq[30] AS x0 FROM hybrid WHERE seq IS NOT NULL"),
     ("predicted", "SELECT city, data_source, p0 AS raw_24, p1 AS raw_48, p2 AS raw_72 FROM ("
