@@ -49,7 +49,7 @@ def test_per_city_windows_share_one_exchange(q):
 
 
 def test_no_python_in_the_forecast_path(q):
-    for name in ("predict", "forecast_roll", "backtest_ar1"):
+    for name in ("predict", "forecast_roll", "forecast_roll_72", "backtest_ar1", "backtest_arima"):
         names = ops(q(name))
         assert not any("EvalPython" in n for n in names), name
 
