@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import city_list, date_text, iso_ts
 from ..functions.risk import health_risk
+from ..session import reliable_checkpoint
 from .tables import dedup_last, last_n, latest_per_city, valid_rows
 
 LIVE_TAG = "LIVE SATELLITE"
@@ -167,10 +168,9 @@ def monitor_log(readings: DataFrame, predictions: DataFrame, chunks: int | None
                            F.struct(F.col("ts").alias("pts"), F.col("event_id").alias("pid"),
                                     *pred_cols).alias("_pred"),
                            F.lit(0).alias("_kind"))
-    u = (r.unionByName(p, allowMissingColumns=True)
-          .repartitionByRange(n, "city", "ts", "_kind", "event_id")
-          .withColumn("_chunk", F.spark_partition_id())
-          .checkpoint(eager=True))
+    u = reliable_checkpoint(r.unionByName(p, allowMissingColumns=True)
+                            .repartitionByRange(n, "city", "ts", "_kind", "event_id")
+                            .withColumn("_chunk", F.spark_partition_id()))
     w_in = (Window.partitionBy("_chunk", "city").orderBy("ts", "_kind", "event_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     within = u.withColumn("_in", F.last("_pred", ignorenulls=True).over(w_in)).where(F.col("_kind") == 1)

@@ -23,6 +23,7 @@ from ..operators.sequences import (differences, fit_minmax, holdout_split, posit
                                    sequences)
 from ..operators.status import hybrid_sequence, restrict_to
 from ..operators.tables import top_cities
+from ..session import reliable_checkpoint
 
 SEQ_LEN = 30
 MAX_REVERT_STEPS = 6   # beyond this the reversion weight passes 1 (Q8)
@@ -319,7 +320,7 @@ def backtest_arima(master: DataFrame, holdout: int = 72, min_train: int = 40, to
     # The frame (top_k cities, calendar-bounded) and the residuals feed several
     # branches (state, two regressions, fallback, last shocks): materialise
     # each once instead of re-deriving it per branch.
-    frame = backtest_frame(master, holdout, min_train, top_k).checkpoint(eager=True)
+    frame = reliable_checkpoint(backtest_frame(master, holdout, min_train, top_k))
     state, d = _train_state(frame)
     w = Window.partitionBy("city").orderBy("pos")
     lagc = [f"_l{i}" for i in range(1, long_ar + 1)]
@@ -332,9 +333,9 @@ def backtest_arima(master: DataFrame, holdout: int = 72, min_train: int = 40, to
         "e", F.col("d") - sum((F.col("a")[i] * F.coalesce(F.col(c), F.lit(0.0)) for i, c in enumerate(lagc)),
                               F.lit(0.0)))
     res = res.withColumn("e", F.when(F.col(lagc[-1]).isNotNull(), F.col("e")))
-    res = (res.withColumn("e_lag1", F.lag("e", 1).over(w)).withColumn("e_lag2", F.lag("e", 2).over(w))
-              .withColumn("d_l1", F.lag("d", 1).over(w)).withColumn("d_l2", F.lag("d", 2).over(w))
-              .checkpoint(eager=True))
+    res = reliable_checkpoint(
+        res.withColumn("e_lag1", F.lag("e", 1).over(w)).withColumn("e_lag2", F.lag("e", 2).over(w))
+           .withColumn("d_l1", F.lag("d", 1).over(w)).withColumn("d_l2", F.lag("d", 2).over(w)))
     x2 = ["d_l1", "d_l2", "e_lag1", "e_lag2"]
     stage2 = res.where(F.col("e_lag2").isNotNull() & F.col("d_l2").isNotNull())
     b = _moments(stage2, x2, "d").withColumn("b", spd_solve(F.col("xtx"), F.col("xty"), 4)).select("city", "b")

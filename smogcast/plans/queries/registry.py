@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..master import build_master
+from ...session import reliable_checkpoint
 from ...sources import standin as si
 from ...functions.columns import date_text, iso_ts
 
@@ -68,7 +69,7 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MASTER:
-        _MASTER[key] = fresh_master(spark, sf_dir).checkpoint(eager=True)
+        _MASTER[key] = reliable_checkpoint(fresh_master(spark, sf_dir))
     return _MASTER[key]
 
 

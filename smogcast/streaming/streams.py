@@ -30,7 +30,7 @@ from ..functions.columns import alert_text, iso_ts
 from ..functions.risk import health_risk, risk_display
 from ..operators.status import FALLBACK_TAG, LIVE_TAG, monitor_log
 from ..operators.tables import latest_per_city
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, reliable_checkpoint
 from ..sources.files import aqi_payload_fields
 from .. import schemas
 
@@ -68,10 +68,9 @@ def stream_status(live_stream: DataFrame, master: DataFrame) -> DataFrame:
     """
     # Materialised once (reliable checkpoint), not recomputed per micro-batch; a
     # table of #cities rows with exact statistics, so the planner can broadcast it.
-    hist = latest_per_city(master).select(
+    hist = reliable_checkpoint(latest_per_city(master).select(
         "city", F.col("aqi").alias("h_aqi"), F.col("pm25").alias("h_pm25"),
-        F.col("pm10").alias("h_pm10"), F.col("no2").alias("h_no2"), F.col("date").alias("h_date")
-    ).checkpoint(eager=True)
+        F.col("pm10").alias("h_pm10"), F.col("no2").alias("h_no2"), F.col("date").alias("h_date")))
     j = live_stream.join(hist, "city", "left")
     live = F.col("aqi").isNotNull()
     has_h = F.col("h_aqi").isNotNull()

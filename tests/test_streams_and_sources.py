@@ -138,3 +138,19 @@ def test_payload_readers_do_not_mutate_shared_schemas(spark, tmp_path):
         fl.read_aqi_payloads(spark, p)
         fl.read_weather_payloads(spark, p)
     assert (len(schemas.AQI_PAYLOAD.fields), len(schemas.WEATHER_PAYLOAD.fields)) == before
+
+
+def test_checkpoint_dir_is_set_when_the_session_has_none(spark, tmp_path):
+    """Operators that checkpoint work even if the context has no checkpoint folder yet."""
+    from smogcast.session import reliable_checkpoint
+    sc = spark.sparkContext
+    saved = sc.getCheckpointDir()
+    setter = getattr(sc._jsc.sc(), "checkpointDir_$eq")
+    setter(sc._jvm.scala.Option.empty())   # simulate a session without a checkpoint folder
+    try:
+        assert sc.getCheckpointDir() is None
+        out = reliable_checkpoint(spark.range(10))
+        assert out.count() == 10 and sc.getCheckpointDir()
+    finally:
+        if saved:
+            setter(sc._jvm.scala.Option.apply(saved))
