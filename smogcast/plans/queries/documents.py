@@ -38,7 +38,8 @@ def q_master_from_csv(spark, sf_dir):
     built = build_master(fl.read_historical(spark, f"{root}/historical"), fl.read_modern(spark, f"{root}/modern"))
     from ..master import write_master
     write_master(built, f"{root}/master")
-    return fl.read_master(spark, f"{root}/master").drop("year")
+    # The first existing of an ordered list of locations
+    return fl.read_first_available(spark, [f"{root}/master-missing", f"{root}/master"]).drop("year")
 
 
 # ------------------------------------------------------------------ M11-M14, M9, A16, M15, J9, K5, K6
@@ -200,3 +201,34 @@ def q_stream_monitor_state(spark, sf_dir):
     preds = ss.read_prediction_stream(spark, landed_predictions(spark, sf_dir))
     sink = _run_to_parquet(spark, ss.stream_monitor_state(polls, preds), name="monitor-state")
     return spark.read.parquet(sink)
+
+
+@register("log_roundtrip", O.with_ctes(
+    "SELECT 'aqi_readings' AS collection, count(*) AS n_rows FROM readings UNION ALL "
+    "SELECT 'predictions', count(*) FROM predictions UNION ALL "
+    "SELECT 'weather_logs', count(*) FROM weather", "readings", "predictions", "weather"))
+def q_log_roundtrip(spark, sf_dir):
+    """K2-K4 append every reading, prediction and weather row to day-partitioned logs; S8 reads
+    them back; A10 counts them."""
+    from ..sinks import append_predictions, append_readings, append_weather
+    root = ss.scratch_dir(spark, "logs")
+    append_readings(si.readings_log(spark, sf_dir), f"{root}/aqi_readings")
+    append_predictions(si.predictions_log(spark, sf_dir), f"{root}/predictions")
+    append_weather(si.weather_log(spark, sf_dir), f"{root}/weather_logs")
+    return tb.log_counts(fl.read_log(spark, root, "aqi_readings"), fl.read_log(spark, root, "predictions"),
+                         fl.read_log(spark, root, "weather_logs"))
+
+
+@register("monitor_log_csv", O.with_ctes(O.finish(
+    "SELECT strftime(r.ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, r.city, r.source, r.aqi AS aqi_now, "
+    f"r.pm25, r.pm10, r.no2, r.so2, {O.us_level('r.aqi')} AS risk_now, "
+    "p.pred_24h AS aqi_24h, p.pred_48h AS aqi_48h, p.pred_72h AS aqi_72h "
+    "FROM readings r ASOF LEFT JOIN predictions p ON r.city = p.city AND r.ts >= p.ts",
+    ["aqi_now", "pm25", "pm10", "no2", "so2", "aqi_24h", "aqi_48h", "aqi_72h"]), "readings", "predictions"))
+def q_monitor_log_csv(spark, sf_dir):
+    """J11 written as the monitor-log CSV (the reference's column layout) and read back."""
+    path = ss.scratch_dir(spark, "monitor-csv")
+    log = st.monitor_log(si.readings_log(spark, sf_dir), si.predictions_log(spark, sf_dir))
+    (log.withColumn("timestamp", F.concat(F.col("timestamp"), F.lit("Z"))).drop("event_id")
+        .write.option("header", True).csv(path))
+    return fl.read_monitor_log(spark, path).drop("ts")
