@@ -18,7 +18,7 @@ from ...streaming import streams as ss
 from .registry import MASTER_DOUBLES, SQL, master, register
 from .tables import LAST_N_SQL
 from .status import _NEWEST_SQL, status_frame
-from .forecasting import _seq_frame, prediction_frame
+from .forecasting import PREDICT_CTES, _seq_frame, prediction_frame
 from .streams import _LANDED, _run_to_parquet, landed_polls
 
 
@@ -174,15 +174,26 @@ def q_classifier_metrics_rows(spark, sf_dir):
     return mt.explode_metrics(doc, "all_metrics", "model")
 
 
-@register("predict_document")
+@register("predict_document", O.with_ctes(O.finish(
+    "SELECT city, 'LIVE' AS status, data_source, round(raw_24, 2) AS predicted_aqi_tomorrow, "
+    + O.us_level("raw_24") + " AS risk_24h, " + O.us_color("raw_24") + " AS color_24h, "
+    "round(raw_48, 2) AS aqi_48h, " + O.us_level("raw_48") + " AS risk_48h, "
+    "round(raw_72, 2) AS aqi_72h, " + O.us_level("raw_72") + " AS risk_72h FROM predicted",
+    ["predicted_aqi_tomorrow", "aqi_48h", "aqi_72h"]), "master", "live", extra=PREDICT_CTES))
 def q_predict_document(spark, sf_dir):
+    """the nested prediction document per city, compared field by field (its JSON text is
+    unit-tested)."""
     m = master(spark, sf_dir)
     s, fit = fc.scaled_sequences(m)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     d = fc.predict_document(si.live_rows(spark, sf_dir), m, model, fit)
     return d.select("city", "status", "data_source", "predicted_aqi_tomorrow",
+                    F.col("predictions.24h.health_risk.level").alias("risk_24h"),
+                    F.col("predictions.24h.health_risk.color").alias("color_24h"),
+                    F.col("predictions.48h.aqi").alias("aqi_48h"),
+                    F.col("predictions.48h.health_risk.level").alias("risk_48h"),
                     F.col("predictions.72h.aqi").alias("aqi_72h"),
-                    F.col("predictions.72h.health_risk.level").alias("risk_72h"), "json")
+                    F.col("predictions.72h.health_risk.level").alias("risk_72h"))
 
 
 def landed_predictions(spark, sf_dir) -> str:

@@ -72,8 +72,13 @@ def test_projections(spark):
 
 
 def test_predict_document_json(spark, sf_dir):
-    import __spark_entry__ as entry
-    doc = entry.queries()["predict_document"](spark, sf_dir).first()
+    from smogcast.plans import forecast as fc
+    from smogcast.plans.catalog import master
+    from smogcast.sources import standin as si
+    m = master(spark, sf_dir)
+    s, fit = fc.scaled_sequences(m)
+    model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
+    doc = fc.predict_document(si.live_rows(spark, sf_dir), m, model, fit).first()
     parsed = json.loads(doc.json)
     assert set(parsed["predictions"]) == {"24h", "48h", "72h"}
     assert parsed["predictions"]["24h"]["aqi"] == parsed["predicted_aqi_tomorrow"]
