@@ -31,19 +31,25 @@ MAX_REVERT_STEPS = 6   # beyond this the reversion weight passes 1 (Q8)
 
 # ------------------------------------------------------------------ M1
 
-def scaled_sequences(master: DataFrame, n: int = SEQ_LEN) -> tuple[DataFrame, DataFrame]:
+def scaled_sequences(master: DataFrame, n: int = SEQ_LEN, arrays: bool = True) -> tuple[DataFrame, DataFrame]:
     """(sequences with scaled lags/label and train/test part, one-row min-max fit).
 
     The scaler is fitted on every AQI value (all cities, as the reference),
-    the split is positional over (city, date) (Q6).
+    the split is positional over (city, date) (Q6).  With ``arrays=False``
+    (AR(1) consumers) the lag arrays are never built and the compact result
+    is materialised once, so fit, evaluation and counts read it instead of
+    re-deriving windows and splits per branch.
     """
     clean = master.where(F.col("aqi").isNotNull())
     fit = fit_minmax(clean)
     seqs = position_split(sequences(clean, n))
     s = seqs.crossJoin(F.broadcast(fit))
+    s = (s.withColumn("label_s", minmax("label", "lo", "hi"))
+          .withColumn("last_s", minmax("prev", "lo", "hi")))
+    if not arrays:
+        s = reliable_checkpoint(s.select("city", "date", "gpos", "part", "prev", "label", "label_s", "last_s"))
+        return s, reliable_checkpoint(fit)
     s = (s.withColumn("lags_s", F.transform("lags", lambda x: minmax(x, F.col("lo"), F.col("hi"))))
-          .withColumn("label_s", minmax("label", "lo", "hi"))
-          .withColumn("last_s", minmax("prev", "lo", "hi"))
           .drop("lo", "hi"))
     return s, fit
 

@@ -18,7 +18,7 @@ from ...streaming import streams as ss
 from .registry import MASTER_DOUBLES, SQL, master, register
 from .tables import LAST_N_SQL
 from .status import _NEWEST_SQL, status_frame
-from .forecasting import PREDICT_CTES, _seq_frame, prediction_frame
+from .forecasting import PREDICT_CTES, _ar1_frame, _seq_frame, prediction_frame
 from .streams import _LANDED, _run_to_parquet, landed_polls
 
 
@@ -101,7 +101,7 @@ def _metrics_root(spark, sf_dir):
     if key not in _LANDED:
         root = ss.scratch_dir(spark, "metrics")
         m = master(spark, sf_dir)
-        s, fit = fc.scaled_sequences(m)
+        s, fit = _ar1_frame(spark, sf_dir)
         ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit,
                                    last_only=True)
         prof = tb.profile(m.where(F.col("aqi").isNotNull()))
@@ -184,7 +184,7 @@ def q_predict_document(spark, sf_dir):
     """the nested prediction document per city, compared field by field (its JSON text is
     unit-tested)."""
     m = master(spark, sf_dir)
-    s, fit = fc.scaled_sequences(m)
+    s, fit = _ar1_frame(spark, sf_dir)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     d = fc.predict_document(si.live_rows(spark, sf_dir), m, model, fit)
     return d.select("city", "status", "data_source", "predicted_aqi_tomorrow",

@@ -39,9 +39,21 @@ SEQ_CTES = [
 
 
 def _seq_frame(spark, sf_dir):
+    """Scaled sequences with lag arrays (for the multi-lag models)."""
     return fc.scaled_sequences(master(spark, sf_dir))
 
 
+_AR1: dict = {}
+
+
+def _ar1_frame(spark, sf_dir):
+    """Compact scaled sequences for AR(1) consumers, materialised once per session and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _AR1:
+        _AR1[key] = fc.scaled_sequences(master(spark, sf_dir), arrays=False)
+    return _AR1[key]
+
+
 @register("sequences", O.with_ctes(O.finish(
     "SELECT city, date, len(lags) AS n_lags, list_sum(lags) AS lag_sum, lags[1] AS lag_first, "
     "lags[len(lags)] AS lag_last, label FROM seqs", ["lag_sum", "lag_first", "lag_last", "label"], ["date"]),
@@ -115,7 +127,7 @@ def q_minmax_scaled(spark, sf_dir):
     "SELECT m.intercept, m.slope, f.lo, f.hi, (SELECT count(*) FROM scaled WHERE part = 'train') AS train_sequences "
     "FROM model m, fit f", ["intercept", "slope", "lo", "hi"]), "master", extra=SEQ_CTES))
 def q_ar1_model(spark, sf_dir):
-    s, fit = _seq_frame(spark, sf_dir)
+    s, fit = _ar1_frame(spark, sf_dir)
     train = s.where(F.col("part") == "train")
     m = fc.fit_lag_model(train, "ar1").select("intercept", "slope")
     n = train.agg(F.count(F.lit(1)).alias("train_sequences"))
@@ -133,7 +145,7 @@ _SCALE = "(({x}) - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo E
     "SELECT s.label AS actual, " + _UNSCALE.format(x="m.intercept + m.slope * s.last_s") + " AS pred "
     "FROM scaled s, model m, fit f WHERE s.part = 'test')", ["mae", "rmse"]), "master", extra=SEQ_CTES))
 def q_evaluate_ar1(spark, sf_dir):
-    s, fit = _seq_frame(spark, sf_dir)
+    s, fit = _ar1_frame(spark, sf_dir)
     m = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     return fc.evaluate_lag_model(s, m, fit, last_only=True)
 
@@ -162,7 +174,7 @@ def _unrolled_sql(seq_table: str, revert: bool) -> str:
         ("roll_in", "SELECT city, h[len(h)] AS x0 FROM hist30 WHERE n_hist >= 30")]))
 def q_forecast_roll(spark, sf_dir):
     m = master(spark, sf_dir)
-    s, fit = _seq_frame(spark, sf_dir)
+    s, fit = _ar1_frame(spark, sf_dir)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     seqs = st.history_sequence(m, 30).where(F.col("n_hist") >= 30).withColumnRenamed("h", "seq")
     r = fc.forecast_roll(seqs, model, fit, steps=3, revert=False)
@@ -178,7 +190,7 @@ def q_forecast_roll(spark, sf_dir):
 def q_forecast_roll_72(spark, sf_dir):
     """Q9: the dashboard's fallback rolls 72 daily steps (no reversion) and reads steps 24/48/72."""
     m = master(spark, sf_dir)
-    s, fit = _seq_frame(spark, sf_dir)
+    s, fit = _ar1_frame(spark, sf_dir)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     seqs = st.history_sequence(m, 30).where(F.col("n_hist") >= 30).withColumnRenamed("h", "seq")
     r = fc.forecast_roll(seqs, model, fit, steps=72, revert=False)
@@ -197,7 +209,7 @@ PREDICT_CTES = SEQ_CTES + [c for c in HYBRID_CTES] + [
 
 def prediction_frame(spark, sf_dir):
     m = master(spark, sf_dir)
-    s, fit = fc.scaled_sequences(m)
+    s, fit = _ar1_frame(spark, sf_dir)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     return fc.predict(si.live_rows(spark, sf_dir), m, model, fit)
 
