@@ -182,7 +182,7 @@ def or_zero(x) -> Column:
 
 def to_double(x) -> Column:
     """typed cast, bad text -> NULL."""
-    return F.try_cast(_col(x), "double") if hasattr(F, "try_cast") else _col(x).try_cast("double")
+    return _col(x).try_cast("double")
 
 
 def horizon_fallback(p24, p48, p72, tomorrow=None):
@@ -205,11 +205,6 @@ def fmt(x, decimals: int = 1, missing: str = "N/A") -> Column:
     return F.when(x.isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{int(decimals)}f", x))
 
 
-def r6(x) -> Column:
-    """Round a double to 6 decimals: the precision our oracle compares at."""
-    return F.round(_col(x), 6)
-
-
 def predictions_struct(p24, p48, p72) -> Column:
     """nested ``{24h: {aqi, health_risk}, 48h: ..., 72h: ...}`` with rounded AQI.
 

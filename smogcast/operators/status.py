@@ -112,8 +112,9 @@ def hybrid_sequence(live: DataFrame, master: DataFrame, n: int = 30) -> DataFram
 
 def asked_cities(spark: SparkSession, text: str, max_cities: int = 5) -> DataFrame:
     """F18 + O6: parse the comma list, keep the first ``max_cities`` with their position."""
+    from .tables import first_k_items
     return (spark.range(1)
-            .select(F.posexplode(F.slice(city_list(F.lit(text)), 1, max_cities)).alias("pos", "city")))
+            .select(F.posexplode(first_k_items(city_list(F.lit(text)), max_cities)).alias("pos", "city")))
 
 
 def compare_cities(status: DataFrame, asked: DataFrame) -> DataFrame:

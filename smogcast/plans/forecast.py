@@ -275,12 +275,11 @@ def _positions(frame: DataFrame, params: DataFrame, holdout: int) -> DataFrame:
 
 def _score(frame: DataFrame, params: DataFrame, holdout: int) -> DataFrame:
     """Score the aligned forecasts per city (A5 + W7)."""
+    from ..operators.metrics import error_metrics
+    from ..operators.sequences import last_pair
     j = _positions(frame, params, holdout)
-    err = F.col("actual") - F.col("pred")
-    return j.groupBy("city").agg(
-        F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.count(F.lit(1)).alias("holdout"),
-        F.max_by("actual", "pos").alias("last_actual"), F.max_by("pred", "pos").alias("last_predicted"))
+    scores = error_metrics(j, by=["city"]).withColumnRenamed("n", "holdout")
+    return scores.join(last_pair(j), "city")
 
 
 def _train_state(frame: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import aqi_proxy, parse_date
-from ..operators.tables import align_columns, dedup_last, drop_missing, fuse, select_available
+from ..operators.tables import align_columns, dedup_last, drop_missing, fuse, select_available, sort_master
 from ..schemas import HISTORICAL_RENAMES, MASTER_COLUMNS, MODERN_RENAMES
 
 HIST_RANK, MODERN_RANK = 0, 1
@@ -54,4 +54,4 @@ def write_master(df: DataFrame, path: str, partition_by_year: bool = True) -> No
            .sortWithinPartitions("year", "city", "date")
            .write.mode("overwrite").partitionBy("year").parquet(path))
     else:
-        df.sortWithinPartitions("city", "date").write.mode("overwrite").parquet(path)
+        sort_master(df).write.mode("overwrite").parquet(path)

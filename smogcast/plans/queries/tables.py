@@ -38,10 +38,6 @@ def q_latest_status(spark, sf_dir):
 
 # ------------------------------------------------------------------ F1-F7 on every row
 
-def _sql_lookup_map(expr, mapping, default):
-    return O.sql_lookup(expr, mapping, default)
-
-
 @register("risk_scales", O.with_ctes(O.finish(
     "SELECT city, date, aqi, aqi_bucket, "
     f"{O.us_level('aqi')} AS us_level, {O.display_level('aqi')} AS display_level, "

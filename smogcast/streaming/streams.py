@@ -231,11 +231,3 @@ def land_payloads(df: DataFrame, path: str, files: int = 4) -> None:
     """Write poll rows as JSON files, the way a poller would land them."""
     (df.repartition(files).write.mode("overwrite")
        .option("timestampFormat", schemas.JSON_TS_FORMAT).json(path))
-
-
-def status_stream_job(spark: SparkSession, payload_path: str, master: DataFrame, sink: str,
-                      checkpoint: str) -> DataFrame:
-    """T1 end to end: payload files -> status rows in a Parquet sink; returns the sink."""
-    s = stream_status(dedup_replays(read_payload_stream(spark, payload_path)), master)
-    run_available(s, sink, checkpoint)
-    return spark.read.parquet(sink)
