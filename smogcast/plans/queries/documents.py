@@ -196,20 +196,34 @@ def q_predict_document(spark, sf_dir):
                     F.col("predictions.72h.health_risk.level").alias("risk_72h"))
 
 
-def landed_predictions(spark, sf_dir) -> str:
-    key = ("preds", spark.sparkContext.applicationId, sf_dir)
+def landed_slices(spark, sf_dir, n_slices: int = 4):
+    """Polls and predictions landed as ``n_slices`` time slices, one file per slice and kind,
+    written in time order (a poller appends as time passes)."""
+    key = ("slices", spark.sparkContext.applicationId, sf_dir, n_slices)
     if key not in _LANDED:
-        path = ss.scratch_dir(spark, "predictions")
-        ss.land_payloads(si.predictions_log(spark, sf_dir), path)
-        _LANDED[key] = path
+        root = ss.scratch_dir(spark, "slices")
+        polls, preds = si.poll_payloads(spark, sf_dir), si.predictions_log(spark, sf_dir)
+        lo, hi = polls.agg(F.min("ts"), F.max("ts")).first()
+        step = (hi - lo) / n_slices
+        for k in range(n_slices):
+            a, b = lo + step * k, (lo + step * (k + 1) if k < n_slices - 1 else None)
+            def cut(df):
+                d = df.where(F.col("ts") >= F.lit(a))
+                return d.where(F.col("ts") < F.lit(b)) if b is not None else d
+            ss.land_payloads(cut(polls), f"{root}/polls/slice={k:04d}", files=1)
+            ss.land_payloads(cut(preds), f"{root}/preds/slice={k:04d}", files=1)
+        _LANDED[key] = root
     return _LANDED[key]
 
 
 @register("stream_monitor_state", SQL["stream_monitor_log"])
 def q_stream_monitor_state(spark, sf_dir):
-    """T6 as a stateful stream (one row of state per city) over landed polls and predictions."""
-    polls = ss.read_payload_stream(spark, landed_polls(spark, sf_dir)).where(F.col("aqi").isNotNull())
-    preds = ss.read_prediction_stream(spark, landed_predictions(spark, sf_dir))
+    """T6 as a stateful stream over time-sliced landed files: one slice of each kind per
+    micro-batch (``maxFilesPerTrigger=1``), state (newest prediction per city) carried between
+    batches, so no call ever sees more than one slice of one city."""
+    root = landed_slices(spark, sf_dir)
+    polls = ss.read_payload_stream(spark, f"{root}/polls/*/", max_files_per_trigger=1).where(F.col("aqi").isNotNull())
+    preds = ss.read_prediction_stream(spark, f"{root}/preds/*/", max_files_per_trigger=1)
     sink = _run_to_parquet(spark, ss.stream_monitor_state(polls, preds), name="monitor-state")
     return spark.read.parquet(sink)
 
