@@ -17,7 +17,10 @@ grows with the scale factor:
 * city dimension : ``nation`` with coordinates derived from its key.
 
 Missing values are made by key rules (``key % m == r`` -> NULL): the source
-tables hold no NULLs.  These rules only blank cells; no row is filtered out.
+tables hold no NULLs.  The rules only blank cells.  The only rows that later
+disappear are the ones the fusion's own cleaning drops, exactly as the
+reference does (no city, or a date that does not parse); every query still
+reads whole tables.
 """
 
 from __future__ import annotations
