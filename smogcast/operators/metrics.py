@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 from ..functions.risk import risk_india
 
 
+def error_aggs(y: str = "actual", yhat: str = "pred") -> list:
+    """A5 as aggregate expressions (compose them into one aggregation)."""
+    err = F.col(y) - F.col(yhat)
+    return [F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
+            F.count(F.lit(1)).alias("n")]
+
+
 def error_metrics(df: DataFrame, y: str = "actual", yhat: str = "pred",
                   by: Sequence[str] = ()) -> DataFrame:
     """A5: MAE = avg|y-ŷ|, RMSE = sqrt(avg (y-ŷ)²), count; global or per ``by``."""
-    err = F.col(y) - F.col(yhat)
-    aggs = [F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
-            F.count(F.lit(1)).alias("n")]
+    aggs = error_aggs(y, yhat)
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 

@@ -104,11 +104,15 @@ def holdout_split(df: DataFrame, h: int = 72, key: str = "city", order: str = "d
               .drop("_n"))
 
 
+def last_pair_aggs(actual: str = "actual", pred: str = "pred", pos: str = "pos") -> list:
+    """W7 as aggregate expressions: the values at the greatest position."""
+    return [F.max_by(actual, pos).alias("last_actual"), F.max_by(pred, pos).alias("last_predicted")]
+
+
 def last_pair(df: DataFrame, actual: str = "actual", pred: str = "pred", pos: str = "pos",
               key: str = "city") -> DataFrame:
     """Last actual and last predicted value per key."""
-    return df.groupBy(key).agg(F.max_by(actual, pos).alias("last_actual"),
-                               F.max_by(pred, pos).alias("last_predicted"))
+    return df.groupBy(key).agg(*last_pair_aggs(actual, pred, pos))
 
 
 def differences(df: DataFrame, col: str = "aqi", key: str = "city", order: str = "date") -> DataFrame:

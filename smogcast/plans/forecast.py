@@ -275,11 +275,12 @@ def _positions(frame: DataFrame, params: DataFrame, holdout: int) -> DataFrame:
 
 def _score(frame: DataFrame, params: DataFrame, holdout: int) -> DataFrame:
     """Score the aligned forecasts per city (A5 + W7)."""
-    from ..operators.metrics import error_metrics
-    from ..operators.sequences import last_pair
+    from ..operators.metrics import error_aggs
+    from ..operators.sequences import last_pair_aggs
     j = _positions(frame, params, holdout)
-    scores = error_metrics(j, by=["city"]).withColumnRenamed("n", "holdout")
-    return scores.join(last_pair(j), "city")
+    # A5 and W7 composed into one aggregation per city
+    return (j.groupBy("city").agg(*error_aggs(), *last_pair_aggs())
+             .withColumnRenamed("n", "holdout"))
 
 
 def _train_state(frame: DataFrame) -> DataFrame:
