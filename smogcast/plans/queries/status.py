@@ -137,3 +137,30 @@ def q_hybrid_sequence(spark, sf_dir):
     return h.select("city", "data_source", F.size("seq").alias("n"),
                     F.aggregate("seq", F.lit(0.0), lambda a, x: a + x).alias("seq_sum"),
                     F.element_at("seq", 1).alias("first_value"), F.element_at("seq", -1).alias("last_value"))
+
+
+# ------------------------------------------------------------------ J13 + F24: weather panel text
+
+WEATHER_TEXT = [("temperature", 1, " °C"), ("humidity", 0, " %"), ("wind_speed", 1, " km/h")]
+
+
+def _weather_text_sql():
+    from .tables import _fmt_sql
+    cols = []
+    for c, d, unit in WEATHER_TEXT:
+        cols.append(f"CASE WHEN w.{c} IS NULL THEN 'N/A' ELSE {_fmt_sql('w.' + c, d)} || {O.q(unit)} END "
+                    f"AS {c}_text")
+    return cols
+
+
+@register("weather_panel", O.with_ctes(O.finish(
+    "SELECT d.city, " + ", ".join(_weather_text_sql()) +
+    " FROM (SELECT DISTINCT city FROM city_dim) d LEFT JOIN weather_latest w ON d.city = w.city"),
+    "weather", "city_dim", extra=[("weather_latest", _NEWEST_SQL.format(src="weather"))]))
+def q_weather_panel(spark, sf_dir):
+    """The dashboard's weather cards for every city: newest weather (J13) as fixed-decimal text."""
+    from ...functions.columns import fmt
+    w = st.current_weather(si.weather_rows(spark, sf_dir), si.nation_city_dim(spark, sf_dir))
+    return w.select("city", *[F.when(F.col(c).isNull(), F.lit("N/A"))
+                              .otherwise(F.concat(fmt(c, d), F.lit(unit))).alias(f"{c}_text")
+                              for c, d, unit in WEATHER_TEXT])

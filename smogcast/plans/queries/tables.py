@@ -256,3 +256,19 @@ def q_recent_predictions(spark, sf_dir):
 def q_fused_rows(spark, sf_dir):
     from ..master import prepare_historical, prepare_modern
     return tb.fuse(prepare_historical(si.historical(spark, sf_dir)), prepare_modern(si.modern(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ O2 + P5: one city's stored readings
+
+READINGS_CITY = "NATION_7"
+
+
+@register("recent_readings_city", O.with_ctes(O.finish(
+    "SELECT *, count(*) OVER () AS count FROM (SELECT city, source, aqi, pm25, pm10, no2, so2, temperature, "
+    "humidity, wind_speed, ts AS timestamp, event_id FROM readings WHERE city = " + O.q(READINGS_CITY) +
+    " ORDER BY ts DESC, event_id DESC LIMIT 10)",
+    ["aqi", "pm25", "pm10", "no2", "so2", "temperature", "humidity", "wind_speed"], stamps=["timestamp"]),
+    "readings"))
+def q_recent_readings_city(spark, sf_dir):
+    """The dashboard's stored-readings table for one city (city filter, newest 10)."""
+    return tb.recent_readings(si.readings_log(spark, sf_dir), READINGS_CITY, 10)
