@@ -96,7 +96,7 @@ def stream_alerts(status_stream: DataFrame, threshold: float = 150) -> DataFrame
 
 
 def stream_latest(status_stream: DataFrame) -> DataFrame:
-    """Current status per city (update mode; state = one row per city)."""
+    """Current status per city (update or complete mode; state = one row per city)."""
     cols = [c for c in status_stream.columns if c != "city"]
     return (status_stream.groupBy("city")
             .agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("s"))
