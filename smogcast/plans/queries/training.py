@@ -52,14 +52,44 @@ def q_stratified_sample(spark, sf_dir):
 HASH_UNIT_SQL = "CAST(('0x' || substr(md5('42:' || row_key), 1, 13)) AS BIGINT) / 4503599627370496.0"
 
 
-@register("stratified_split", O.with_ctes(
-    f"SELECT row_key, label, CASE WHEN {HASH_UNIT_SQL} < 0.2 THEN 'test' ELSE 'train' END AS part FROM labeled",
-    "master", extra=TRAIN_CTES))
+def _alloc_sql(name, src, col, n_expr):
+    """Largest-remainder allocation of ``n_expr`` draws over the classes of ``src`` by ``col``."""
+    return [
+        (f"{name}_c", f"SELECT label, {col} AS k, {col} * ({n_expr}) / sum({col}) OVER () AS cont FROM {src}"),
+        (f"{name}_f", f"SELECT *, floor(cont) AS fl FROM {name}_c"),
+        (f"{name}_r", f"SELECT *, ({n_expr}) - sum(fl) OVER () AS need, "
+                      f"row_number() OVER (ORDER BY cont - fl DESC, label) AS rr FROM {name}_f"),
+        (name, f"SELECT label, k, CAST(fl AS BIGINT) + CASE WHEN rr <= need THEN 1 ELSE 0 END AS q FROM {name}_r"),
+    ]
+
+
+SPLIT_QUOTA_CTES = (
+    [("split_counts", "SELECT label, count(*) AS cnt FROM labeled GROUP BY label"),
+     ("split_tot", "SELECT sum(cnt) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(cnt)) AS BIGINT) AS n_test "
+                   "FROM split_counts")]
+    + _alloc_sql("alloc_train", "split_counts", "cnt", "(SELECT n - n_test FROM split_tot)")
+    + [("split_rest", "SELECT label, k - q AS rest FROM alloc_train")]
+    + _alloc_sql("alloc_test", "split_rest", "rest", "(SELECT n_test FROM split_tot)")
+    + [("split", "SELECT l.*, CASE WHEN row_number() OVER (PARTITION BY l.label ORDER BY md5('42:' || l.row_key), "
+                 "l.row_key) <= a.q THEN 'test' ELSE 'train' END AS part FROM labeled l "
+                 "JOIN alloc_test a ON l.label = a.label")])
+
+
+@register("stratified_split", O.with_ctes("SELECT row_key, label, part FROM split", "master",
+                                          extra=TRAIN_CTES + SPLIT_QUOTA_CTES))
 def q_stratified_split(spark, sf_dir):
     return cl.stratified_split(_training(spark, sf_dir)).select("row_key", "label", "part")
 
 
-SPLIT_CTES = TRAIN_CTES + [("train_rows", f"SELECT * FROM labeled WHERE {HASH_UNIT_SQL} >= 0.2")]
+@register("stratified_split_hash", O.with_ctes(
+    f"SELECT row_key, label, CASE WHEN {HASH_UNIT_SQL} < 0.2 THEN 'test' ELSE 'train' END AS part FROM labeled",
+    "master", extra=TRAIN_CTES))
+def q_stratified_split_hash(spark, sf_dir):
+    """M8 for unbounded inputs: per-row Bernoulli split by hash fraction (no shuffle)."""
+    return cl.stratified_split(_training(spark, sf_dir), exact=False).select("row_key", "label", "part")
+
+
+SPLIT_CTES = TRAIN_CTES + SPLIT_QUOTA_CTES + [("train_rows", "SELECT * FROM split WHERE part = 'train'")]
 
 
 @register("class_weights", O.with_ctes(O.finish(

@@ -145,3 +145,17 @@ def test_backtests_on_a_constant_series_do_not_raise(spark):
     for fn in (fc.backtest_ar1, fc.backtest_arima):
         r = fn(df).first()
         assert r.mae == 0.0 and r.last_predicted == 80.0
+
+
+def test_exact_stratified_split_counts(spark):
+    from smogcast.plans import classify as cl
+    rows = [(f"k{i}", "A") for i in range(23)] + [(f"m{i}", "B") for i in range(11)] + [(f"n{i}", "C") for i in range(4)]
+    df = spark.createDataFrame(rows, "row_key string, label string")
+    q = cl.split_quotas({"A": 23, "B": 11, "C": 4}, 0.2)
+    assert sum(q.values()) == 8                       # ceil(0.2 * 38)
+    got = {r.label: r.n for r in cl.stratified_split(df).where("part = 'test'").groupBy("label")
+           .agg(F.count("*").alias("n")).collect()}
+    assert got == {k: v for k, v in q.items() if v}
+    again = cl.stratified_split(df).where("part = 'test'").select("row_key").collect()
+    assert {r.row_key for r in again} == {r.row_key for r in cl.stratified_split(df).where("part = 'test'")
+                                          .select("row_key").collect()}   # deterministic
