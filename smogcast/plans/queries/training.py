@@ -42,8 +42,8 @@ def q_class_fractions(spark, sf_dir):
 
 @register("stratified_sample", O.with_ctes(
     "SELECT row_key, label FROM (SELECT l.*, row_number() OVER (PARTITION BY l.label ORDER BY md5('42:' || l.row_key), "
-    "l.row_key) AS rk, q.quota FROM labeled l JOIN (SELECT label, round_even(count(*) * "
-    f"{SAMPLE_MAX} / (SELECT count(*) FROM labeled), 0) AS quota FROM labeled GROUP BY label) q "
+    "l.row_key) AS rk, q.quota FROM labeled l JOIN (SELECT label, round_even("
+    f"({SAMPLE_MAX} / (SELECT count(*) FROM labeled)) * count(*), 0) AS quota FROM labeled GROUP BY label) q "
     "ON l.label = q.label) WHERE rk <= quota", "master", extra=TRAIN_CTES))
 def q_stratified_sample(spark, sf_dir):
     return cl.stratified_sample(_training(spark, sf_dir), max_rows=SAMPLE_MAX).select("row_key", "label")
