@@ -159,3 +159,14 @@ def test_exact_stratified_split_counts(spark):
     again = cl.stratified_split(df).where("part = 'test'").select("row_key").collect()
     assert {r.row_key for r in again} == {r.row_key for r in cl.stratified_split(df).where("part = 'test'")
                                           .select("row_key").collect()}   # deterministic
+
+
+def test_sample_sizes_round_half_even(spark):
+    """FIXTURES: classes of 5 and 3 rows, half kept -> 2 and 2 (half-even rounding)."""
+    from smogcast.plans import classify as cl
+    rows = [(f"a{i}", "A") for i in range(5)] + [(f"b{i}", "B") for i in range(3)]
+    df = spark.createDataFrame(rows, "row_key string, label string")
+    got = {r.label: r.n for r in cl.stratified_sample(df, max_rows=4).groupBy("label")
+           .agg(F.count("*").alias("n")).collect()}
+    assert got == {"A": 2, "B": 2}
+    assert cl.stratified_sample(df, max_rows=8).count() == 8      # not larger than max: unchanged
