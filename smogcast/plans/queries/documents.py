@@ -15,6 +15,7 @@ from ...operators import tables as tb
 from ...sources import files as fl
 from ...sources import standin as si
 from ...streaming import streams as ss
+from ...session import reliable_checkpoint
 from .registry import MASTER_DOUBLES, SQL, master, register
 from .tables import LAST_N_SQL
 from .status import _NEWEST_SQL, status_frame
@@ -202,7 +203,9 @@ def landed_slices(spark, sf_dir, n_slices: int = 4):
     key = ("slices", spark.sparkContext.applicationId, sf_dir, n_slices)
     if key not in _LANDED:
         root = ss.scratch_dir(spark, "slices")
-        polls, preds = si.poll_payloads(spark, sf_dir), si.predictions_log(spark, sf_dir)
+        # derive each source once; the slices below are cheap filters of the materialised data
+        polls = reliable_checkpoint(si.poll_payloads(spark, sf_dir))
+        preds = reliable_checkpoint(si.predictions_log(spark, sf_dir))
         lo, hi = polls.agg(F.min("ts"), F.max("ts")).first()
         step = (hi - lo) / n_slices
         for k in range(n_slices):
