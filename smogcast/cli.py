@@ -79,8 +79,11 @@ def cmd_backtest(spark, a) -> dict:
     order = tuple(int(x) for x in a.order.split(","))
     per_city = fc.backtest_arima(m) if order == (2, 1, 2) else fc.backtest_ar1(m)
     summary = summarise_metrics(per_city)
+    result = summary.first().asDict()
+    if not result["cities_trained"]:
+        raise RuntimeError("No city had sufficient data to train the ARIMA baseline")
     write_metrics(arima_metrics_doc(per_city, summary, order), a.out)
-    return summary.first().asDict()
+    return result
 
 
 def cmd_train_classifier(spark, a) -> dict:
