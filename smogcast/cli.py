@@ -4,7 +4,7 @@
     python -m smogcast train-forecaster --master master/ --out models/forecaster [--kind ar1|linear30]
     python -m smogcast backtest --master master/ --out models/arima [--order 2,1,2|1,1,0]
     python -m smogcast train-classifier --master master/ --out models/classifier
-    python -m smogcast status --master master/ --polls polls/ --out status/
+    python -m smogcast status --master master/ --polls polls/ --out status/ [--classifier models/classifier]
     python -m smogcast predict --master master/ --polls polls/ --model models/forecaster --log logs/
     python -m smogcast stream --master master/ --polls polls/ --logs logs/ --checkpoint ck/ [--once]
 
@@ -102,6 +102,12 @@ def cmd_status(spark, a) -> dict:
     from .operators.status import current_status
     live, weather = _polls(spark, a.polls)
     st = current_status(live, spark.read.parquet(a.master), weather)
+    if a.classifier:   # M9: the classifier's level next to the rule-based one
+        from .operators.tables import valid_rows
+        from .plans.classify import classify
+        from .plans.sinks import load_model
+        model, meta = load_model(a.classifier)
+        st = classify(valid_rows(st), model, meta)
     st.write.mode("overwrite").json(a.out)
     return {"cities": st.count()}
 
@@ -149,6 +155,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--out", required=True)
     s = sub.add_parser("status"); s.add_argument("--master", required=True)
     s.add_argument("--polls", required=True); s.add_argument("--out", required=True)
+    s.add_argument("--classifier", default=None, help="saved classifier (train-classifier --out)")
     r = sub.add_parser("predict"); r.add_argument("--master", required=True)
     r.add_argument("--polls", required=True); r.add_argument("--model", required=True)
     r.add_argument("--log", required=True)

@@ -69,3 +69,22 @@ def test_cli_classifier_refuses_too_few_rows(spark, landed):
     if n < 1000:
         with pytest.raises(ValueError, match="Insufficient training rows"):
             cli.main(["train-classifier", "--master", f"{r}/master2", "--out", f"{r}/clf"], spark)
+
+
+def test_cli_classifier_train_and_score(spark, tmp_path):
+    """sf0.01 has enough labelled rows: train, save (K8), load and score the status (M9)."""
+    sf = "/root/testdata/sf0.01"
+    r = str(tmp_path)
+    si.historical(spark, sf).orderBy("row_ord").drop("row_ord").write.option("header", True).csv(f"{r}/data.csv")
+    si.modern(spark, sf).orderBy("row_ord").drop("row_ord").write.option("header", True).csv(f"{r}/city_day.csv")
+    ss.land_payloads(si.poll_payloads(spark, sf), f"{r}/polls", files=2)
+    cli.main(["build-master", "--historical", f"{r}/data.csv", "--modern", f"{r}/city_day.csv",
+              "--out", f"{r}/master"], spark)
+    res = cli.main(["train-classifier", "--master", f"{r}/master", "--out", f"{r}/clf"], spark)
+    assert res["selected_model"] in ("random_forest", "logistic_regression") and 0 < res["f1_weighted"] <= 1
+    doc = spark.read.json(f"{r}/clf/metrics").first()
+    assert doc.selected_model == res["selected_model"] and "city" in doc.feature_columns
+    cli.main(["status", "--master", f"{r}/master", "--polls", f"{r}/polls", "--out", f"{r}/status",
+              "--classifier", f"{r}/clf"], spark)
+    st = spark.read.json(f"{r}/status")
+    assert st.count() > 0 and st.where(~F.col("ml_level").isin("Good", "Moderate", "Unhealthy", "Hazardous")).count() == 0
