@@ -70,13 +70,20 @@ def read_master(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 def read_first_available(spark: SparkSession, paths, fmt: str = "parquet") -> DataFrame:
-    """The first path of an ordered list that exists; error if none does."""
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    """The first path of an ordered list that exists; error if none does.
+
+    Resolving a read lists the path (no data is scanned), so a missing path
+    fails at once with ``PATH_NOT_FOUND`` and the next candidate is tried.
+    """
+    from pyspark.errors import AnalysisException
     for p in paths:
-        jpath = jvm.org.apache.hadoop.fs.Path(p)
-        if jpath.getFileSystem(hconf).exists(jpath):
-            return read_master(spark, p, fmt)
+        try:
+            df = read_master(spark, p, fmt)
+            df.schema   # noqa: B018 - forces path resolution
+            return df
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+                raise
     raise FileNotFoundError(f"No dataset found. Expected one of: {list(paths)}")
 
 
