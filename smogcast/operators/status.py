@@ -11,6 +11,8 @@ size at run time; beyond that it falls back to a shuffle join.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -210,9 +212,10 @@ def report_summary(status: DataFrame, forecast: DataFrame, metrics: DataFrame) -
     st = status.select("city", F.struct(*[c for c in status.columns if c != "city"]).alias("current_status"))
     fc = forecast.select("city", F.struct(*[c for c in forecast.columns if c != "city"]).alias("forecast"))
     m = metrics.select(F.struct(*metrics.columns).alias("model_metrics"))
+    # one generation time, fixed on the driver: the same in every action on the result
+    generated = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     return (st.join(fc, "city", "left").crossJoin(F.broadcast(m))
-              .select(F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
-                               F.lit("Z")).alias("generated_at"),
+              .select(F.lit(generated).alias("generated_at"),
                       "city", "current_status", "forecast", "model_metrics"))
 
 

@@ -8,6 +8,7 @@ session), as the reference stamps processing time.
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,11 @@ def export_report(df: DataFrame, out_dir: str) -> DataFrame:
     Written partitioned by the name column, so each city's document lands in
     its own folder; returns the rows with their names.
     """
-    named = df.withColumn("file", report_name("city", F.current_timestamp()))
+    # one generation time for the whole export, fixed before the write, so the
+    # returned names are the written ones (current_timestamp() would be
+    # re-evaluated by every later action on the returned frame)
+    stamp = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    named = df.withColumn("file", report_name("city", F.lit(stamp).cast("timestamp")))
     named.write.mode("overwrite").partitionBy("file").json(out_dir)
     return named
 

@@ -82,3 +82,16 @@ def test_predict_document_json(spark, sf_dir):
     parsed = json.loads(doc.json)
     assert set(parsed["predictions"]) == {"24h", "48h", "72h"}
     assert parsed["predictions"]["24h"]["aqi"] == parsed["predicted_aqi_tomorrow"]
+
+
+def test_export_report_names_and_content(spark, tmp_path):
+    import os
+    import re
+    df = spark.createDataFrame([("New Delhi", 153.0), ("Pune", 70.0)], "city string, aqi double")
+    named = sinks.export_report(df, str(tmp_path / "reports"))
+    names = sorted(r.file for r in named.select("file").distinct().collect())
+    assert all(re.fullmatch(r"report_summary_(New_Delhi|Pune)_\d{8}_\d{6}\.json", n) for n in names)
+    folders = sorted(d for d in os.listdir(tmp_path / "reports") if d.startswith("file="))
+    assert folders == ["file=" + n for n in names]     # returned names are the written ones
+    back = spark.read.json(str(tmp_path / "reports"))
+    assert {r.city: r.aqi for r in back.collect()} == {"New Delhi": 153.0, "Pune": 70.0}
