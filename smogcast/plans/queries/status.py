@@ -65,9 +65,9 @@ COMPARE_TEXT = " NATION_3, ,NATION_7,NATION_3,NOWHERE,NATION_11,NATION_2"
 
 def _compare_sql():
     from ...functions.columns import city_list  # noqa: F401  (same rule, stated in SQL)
-    asked = ("SELECT pos - 1 AS pos, city FROM (SELECT row_number() OVER () AS pos, city FROM ("
-             f"SELECT trim(unnest(string_split({O.q(COMPARE_TEXT)}, ','))) AS city) WHERE city <> '') "
-             "WHERE pos <= 5")
+    asked = ("SELECT CAST(i - 1 AS BIGINT) AS pos, l[i] AS city FROM (SELECT list_filter(list_transform("
+             f"string_split({O.q(COMPARE_TEXT)}, ','), lambda x: trim(x)), lambda x: x <> '') AS l) AS a, "
+             "generate_series(1, least(len(a.l), 5)) AS t(i)")
     return ("SELECT a.pos, s.city, s.source, s.aqi, s.pm25, s.pm10, s.no2, s.so2, s.risk_level "
             f"FROM ({asked}) a JOIN status s ON a.city = s.city WHERE s.error IS NULL")
 
