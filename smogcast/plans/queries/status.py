@@ -164,3 +164,11 @@ def q_weather_panel(spark, sf_dir):
     return w.select("city", *[F.when(F.col(c).isNull(), F.lit("N/A"))
                               .otherwise(F.concat(fmt(c, d), F.lit(unit))).alias(f"{c}_text")
                               for c, d, unit in WEATHER_TEXT])
+
+
+# ------------------------------------------------------------------ S10: the supported cities
+
+@register("cities", O.with_ctes(O.finish("SELECT city, lat, lon FROM city_dim", ["lat", "lon"]), "city_dim"))
+def q_cities(spark, sf_dir):
+    """The supported cities with their coordinates (the city-list endpoint)."""
+    return si.nation_city_dim(spark, sf_dir)
