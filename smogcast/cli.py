@@ -145,24 +145,23 @@ def cmd_stream(spark, a) -> dict:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="smogcast", description=__doc__.split("\n\n")[0])
     sub = p.add_subparsers(dest="command", required=True)
-    b = sub.add_parser("build-master"); b.add_argument("--historical", required=True)
-    b.add_argument("--modern", required=True); b.add_argument("--out", required=True)
-    t = sub.add_parser("train-forecaster"); t.add_argument("--master", required=True)
-    t.add_argument("--out", required=True); t.add_argument("--kind", default="ar1", choices=["ar1", "linear30"])
-    k = sub.add_parser("backtest"); k.add_argument("--master", required=True)
-    k.add_argument("--out", required=True); k.add_argument("--order", default="2,1,2", choices=["2,1,2", "1,1,0"])
-    c = sub.add_parser("train-classifier"); c.add_argument("--master", required=True)
-    c.add_argument("--out", required=True)
-    s = sub.add_parser("status"); s.add_argument("--master", required=True)
-    s.add_argument("--polls", required=True); s.add_argument("--out", required=True)
-    s.add_argument("--classifier", default=None, help="saved classifier (train-classifier --out)")
-    r = sub.add_parser("predict"); r.add_argument("--master", required=True)
-    r.add_argument("--polls", required=True); r.add_argument("--model", required=True)
-    r.add_argument("--log", required=True)
-    m = sub.add_parser("stream"); m.add_argument("--master", required=True)
-    m.add_argument("--polls", required=True); m.add_argument("--logs", required=True)
-    m.add_argument("--checkpoint", required=True); m.add_argument("--once", action="store_true")
-    m.add_argument("--max-files", type=int, default=16)
+    spec = {
+        "build-master": [("--historical", {}), ("--modern", {}), ("--out", {})],
+        "train-forecaster": [("--master", {}), ("--out", {}),
+                             ("--kind", {"default": "ar1", "choices": ["ar1", "linear30"]})],
+        "backtest": [("--master", {}), ("--out", {}),
+                     ("--order", {"default": "2,1,2", "choices": ["2,1,2", "1,1,0"]})],
+        "train-classifier": [("--master", {}), ("--out", {})],
+        "status": [("--master", {}), ("--polls", {}), ("--out", {}),
+                   ("--classifier", {"default": None, "help": "saved classifier (train-classifier --out)"})],
+        "predict": [("--master", {}), ("--polls", {}), ("--model", {}), ("--log", {})],
+        "stream": [("--master", {}), ("--polls", {}), ("--logs", {}), ("--checkpoint", {}),
+                   ("--once", {"action": "store_true"}), ("--max-files", {"type": int, "default": 16})],
+    }
+    for name, args in spec.items():
+        sp = sub.add_parser(name, help=COMMANDS[name].__doc__.split("\n")[0])
+        for flag, kw in args:   # flags without options are required
+            sp.add_argument(flag, **(kw or {"required": True}))
     return p
 
 
