@@ -53,6 +53,18 @@ def _polls(spark, path):
     return live, weather
 
 
+def _poll_rows(spark, path):
+    """Landed polls as one row per poll with both answers (one scan)."""
+    from . import schemas
+    from .sources.files import aqi_payload_fields
+    raw = (spark.read.schema(schemas.POLL_PAYLOAD).option("timestampFormat", schemas.JSON_TS_FORMAT)
+           .json(path))
+    weather = [F.col("weather." + f).alias(n) for f, n in (
+        ("temperature_2m", "temperature"), ("relative_humidity_2m", "humidity"),
+        ("wind_speed_10m", "wind_speed"), ("weather_code", "weather_code"))]
+    return aqi_payload_fields(raw, keep=("event_id", *weather))
+
+
 def cmd_train_forecaster(spark, a) -> dict:
     """M1 + M5 + K5: pooled next-day model, its test metrics, the model as a one-row table."""
     from .plans import forecast as fc
@@ -100,8 +112,8 @@ def cmd_train_classifier(spark, a) -> dict:
 def cmd_status(spark, a) -> dict:
     """J3 + J2 + F1: current status of every city (live poll, else history), written as JSON."""
     from .operators.status import current_status
-    live, weather = _polls(spark, a.polls)
-    st = current_status(live, spark.read.parquet(a.master), weather)
+    polls = _poll_rows(spark, a.polls)
+    st = current_status(polls, spark.read.parquet(a.master))   # weather from the same polls
     if a.classifier:   # M9: the classifier's level next to the rule-based one
         from .operators.tables import valid_rows
         from .plans.classify import classify

@@ -47,16 +47,23 @@ def with_weather(df: DataFrame, weather_latest: DataFrame) -> DataFrame:
     return df.join(w, "city", "left")
 
 
+WEATHER_COLS = ["temperature", "humidity", "wind_speed", "weather_code"]
+
+
 def current_status(live: DataFrame, master: DataFrame, weather: DataFrame | None = None) -> DataFrame:
     """Per city, the newest live poll if its AQI is not NULL, else the latest history row.
 
     ``live``: canonical live rows (city, ts, pollutants, aqi), any number per city.
-    ``master``: the fused daily series.  ``weather``: canonical weather rows.
+    ``master``: the fused daily series.  ``weather``: canonical weather rows of a
+    separate feed; when it is omitted and the poll rows carry the weather
+    answer too, the newest poll's weather is used (one scan and one
+    aggregation of the feed instead of two).
     A city with neither gets an ``error`` row (dropped by :func:`valid_rows`).
     """
+    carried = [c for c in WEATHER_COLS if weather is None and c in live.columns]
     lv = newest_per_city(live).select(
         "city", F.col("ts").alias("live_ts"), F.col("aqi").alias("live_aqi"),
-        *[F.col(c).alias("live_" + c) for c in POLLUTANT_COLS])
+        *[F.col(c).alias("live_" + c) for c in POLLUTANT_COLS], *carried)
     hs = latest_per_city(master).select(
         "city", F.col("date").alias("hist_date"), F.col("aqi").alias("hist_aqi"),
         *[F.col(c).alias("hist_" + c) for c in POLLUTANT_COLS])
@@ -72,12 +79,14 @@ def current_status(live: DataFrame, master: DataFrame, weather: DataFrame | None
         F.when(use_live, F.lit(LIVE_TAG)).when(has_hist, F.lit(FALLBACK_TAG)).alias("source"),
         F.when(use_live, iso_ts("live_ts")).when(has_hist, date_text("hist_date")).alias("as_of"),
         pick("aqi"), *[pick(c) for c in POLLUTANT_COLS],
-        F.when(~use_live & ~has_hist, F.concat(F.lit("No data for "), F.col("city"))).alias("error"))
+        F.when(~use_live & ~has_hist, F.concat(F.lit("No data for "), F.col("city"))).alias("error"),
+        *carried)
     hr = health_risk("aqi")
     ok = F.col("error").isNull()
-    out = out.select("*", F.when(ok, hr["level"]).alias("risk_level"),
+    out = out.select(*[c for c in out.columns if c not in carried],
+                     F.when(ok, hr["level"]).alias("risk_level"),
                      F.when(ok, hr["color"]).alias("risk_color"),
-                     F.when(ok, hr["advice"]).alias("risk_advice"))
+                     F.when(ok, hr["advice"]).alias("risk_advice"), *carried)
     if weather is not None:
         out = with_weather(out, newest_per_city(weather))
     return out

@@ -49,7 +49,8 @@ STATUS_CTES = [("live_latest", _NEWEST_SQL.format(src="live")),
 
 
 def status_frame(spark, sf_dir):
-    return st.current_status(si.live_rows(spark, sf_dir), master(spark, sf_dir), si.weather_rows(spark, sf_dir))
+    """J3 over the poll rows, which carry both answers: one scan of the feed."""
+    return st.current_status(si.poll_rows(spark, sf_dir), master(spark, sf_dir))
 
 
 @register("current_status", O.with_ctes(O.finish("SELECT * FROM status", STATUS_DOUBLES),

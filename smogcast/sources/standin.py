@@ -204,3 +204,17 @@ def poll_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = aqi_payloads(spark, sf_dir)
     w = weather_payloads(spark, sf_dir).select("event_id", F.col("current").alias("weather"))
     return a.join(w, "event_id").select("city", "ts", "event_id", "current", "weather")
+
+
+def poll_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical rows of every poll with both answers (AQI fields and weather), one scan."""
+    e = _events_city(spark, sf_dir)
+    v, k = F.col("value"), F.col("k")
+    return e.select("city", "ts", "event_id",
+                    *[(v * F.lit(LIVE_FACTORS[f])).alias(n) for f, n in (
+                        ("pm2_5", "pm25"), ("pm10", "pm10"), ("nitrogen_dioxide", "no2"),
+                        ("sulphur_dioxide", "so2"), ("carbon_monoxide", "co"), ("ozone", "o3"))],
+                    F.when(F.col("event_type") == NO_AQI_EVENT, F.lit(None).cast("double")).otherwise(v)
+                    .alias("aqi"),
+                    (F.lit(TEMP_BASE) + k * F.lit(TEMP_STEP)).alias("temperature"), k.alias("humidity"),
+                    (v / F.lit(WIND_DIVISOR)).alias("wind_speed"), (k.cast("int") % 4).alias("weather_code"))
