@@ -41,18 +41,6 @@ def cmd_build_master(spark, a) -> dict:
     return {"records": out.count(), "cities": out.select("city").distinct().count()}
 
 
-def _polls(spark, path):
-    """Landed polls (AQI + weather answers per city and time) as canonical live rows."""
-    from . import schemas
-    raw = (spark.read.schema(schemas.POLL_PAYLOAD).option("timestampFormat", schemas.JSON_TS_FORMAT)
-           .json(path))
-    from .sources.files import aqi_payload_fields, weather_payload_fields
-    live = aqi_payload_fields(raw, keep=("event_id",))
-    weather = weather_payload_fields(raw.select("city", "ts", "event_id", F.col("weather").alias("current")),
-                                     keep=("event_id",))
-    return live, weather
-
-
 def _poll_rows(spark, path):
     """Landed polls as one row per poll with both answers (one scan)."""
     from . import schemas
@@ -128,7 +116,7 @@ def cmd_predict(spark, a) -> dict:
     """M4 + K3: 24/48/72 h outlook for every city, appended to the predictions log."""
     from .plans import forecast as fc
     from .plans.sinks import append_predictions
-    live, _ = _polls(spark, a.polls)
+    live = _poll_rows(spark, a.polls)
     saved = spark.read.parquet(f"{a.model}/model")
     if saved.first()["kind"] not in ("ar1", "linear30"):
         raise ValueError("predict needs a linear lag model (ar1 or linear30)")
