@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import oracle as O
 from ...operators import status as st
 from ...sources import standin as si
-from .registry import master, register
+from .registry import SQL, master, register
 
 
 # ------------------------------------------------------------------ J3 + J2 + F1
@@ -59,6 +59,12 @@ def q_current_status(spark, sf_dir):
     return status_frame(spark, sf_dir)
 
 
+@register("current_status_feeds", SQL["current_status"])
+def q_current_status_feeds(spark, sf_dir):
+    """J3 with weather as a separate feed (the reference's second API call), attached by J2."""
+    return st.current_status(si.live_rows(spark, sf_dir), master(spark, sf_dir), si.weather_rows(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ J5 + F18 + O6 + P10
 
 COMPARE_TEXT = " NATION_3, ,NATION_7,NATION_3,NOWHERE,NATION_11,NATION_2"
