@@ -98,7 +98,7 @@ def cmd_train_classifier(spark, a) -> dict:
 
 
 def cmd_status(spark, a) -> dict:
-    """J3 + J2 + F1: current status of every city (live poll, else history), written as JSON."""
+    """J3 + F1: current status of every city (live poll, else history; the poll's weather), as JSON."""
     from .operators.status import current_status
     polls = _poll_rows(spark, a.polls)
     st = current_status(polls, spark.read.parquet(a.master))   # weather from the same polls
