@@ -18,9 +18,9 @@ from ...streaming import streams as ss
 from ...session import reliable_checkpoint
 from .registry import MASTER_DOUBLES, SQL, master, register
 from .tables import LAST_N_SQL
-from .status import _NEWEST_SQL, status_frame
-from .forecasting import PREDICT_CTES, _ar1_frame, _seq_frame, prediction_frame
-from .streams import _LANDED, _run_to_parquet, landed_polls
+from .status import NEWEST_SQL, status_frame
+from .forecasting import PREDICT_CTES, ar1_frame, seq_frame, prediction_frame
+from .streams import LANDED, run_to_parquet, landed_polls
 
 
 # ------------------------------------------------------------------ S1, S2, K1, S3: CSV round trip
@@ -80,7 +80,7 @@ def q_training_summary(spark, sf_dir):
 
 @register("linear30_model")
 def q_linear30(spark, sf_dir):
-    s, fit = _seq_frame(spark, sf_dir)
+    s, fit = seq_frame(spark, sf_dir)
     m = fc.fit_lag_model(s.where(F.col("part") == "train"), "linear30")
     return fc.evaluate_lag_model(s, m, fit)
 
@@ -99,10 +99,10 @@ def _metrics_root(spark, sf_dir):
     from .. import reports as rp
     from ..sinks import write_metrics
     key = ("metrics", spark.sparkContext.applicationId, sf_dir)
-    if key not in _LANDED:
+    if key not in LANDED:
         root = ss.scratch_dir(spark, "metrics")
         m = master(spark, sf_dir)
-        s, fit = _ar1_frame(spark, sf_dir)
+        s, fit = ar1_frame(spark, sf_dir)
         ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit,
                                    last_only=True)
         prof = tb.profile(m.where(F.col("aqi").isNotNull()))
@@ -111,8 +111,8 @@ def _metrics_root(spark, sf_dir):
         write_metrics(rp.arima_metrics_doc(per_city, mt.summarise_metrics(per_city)), f"{root}/arima")
         _, metrics, meta = trained(spark, sf_dir)
         write_metrics(rp.classifier_metrics_doc(metrics, meta["features"]), f"{root}/classifier")
-        _LANDED[key] = root
-    return _LANDED[key]
+        LANDED[key] = root
+    return LANDED[key]
 
 
 @register("model_metrics")
@@ -160,7 +160,7 @@ def q_live_from_json(spark, sf_dir):
 @register("append_live", O.with_ctes(O.finish(
     "SELECT city, date, aqi, 'CSV' AS origin FROM (" + LAST_N_SQL.format(n=29) + ") UNION ALL "
     "SELECT city, CAST(ts AS DATE) AS date, aqi, 'LIVE' AS origin FROM live_latest WHERE aqi IS NOT NULL",
-    ["aqi"], ["date"]), "master", "live", extra=[("live_latest", _NEWEST_SQL.format(src="live"))]))
+    ["aqi"], ["date"]), "master", "live", extra=[("live_latest", NEWEST_SQL.format(src="live"))]))
 def q_append_live(spark, sf_dir):
     hist = tb.last_n(master(spark, sf_dir), 29).select("city", "date", "aqi", F.lit("CSV").alias("origin"))
     live = (st.newest_per_city(si.live_rows(spark, sf_dir)).where(F.col("aqi").isNotNull())
@@ -185,7 +185,7 @@ def q_predict_document(spark, sf_dir):
     """the nested prediction document per city, compared field by field (its JSON text is
     unit-tested)."""
     m = master(spark, sf_dir)
-    s, fit = _ar1_frame(spark, sf_dir)
+    s, fit = ar1_frame(spark, sf_dir)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     d = fc.predict_document(si.live_rows(spark, sf_dir), m, model, fit)
     return d.select("city", "status", "data_source", "predicted_aqi_tomorrow",
@@ -201,7 +201,7 @@ def landed_slices(spark, sf_dir, n_slices: int = 4):
     """Polls and predictions landed as ``n_slices`` time slices, one file per slice and kind,
     written in time order (a poller appends as time passes)."""
     key = ("slices", spark.sparkContext.applicationId, sf_dir, n_slices)
-    if key not in _LANDED:
+    if key not in LANDED:
         root = ss.scratch_dir(spark, "slices")
         # derive each source once; the slices below are cheap filters of the materialised data
         polls = reliable_checkpoint(si.poll_payloads(spark, sf_dir))
@@ -215,8 +215,8 @@ def landed_slices(spark, sf_dir, n_slices: int = 4):
                 return d.where(F.col("ts") < F.lit(b)) if b is not None else d
             ss.land_payloads(cut(polls), f"{root}/polls/slice={k:04d}", files=1)
             ss.land_payloads(cut(preds), f"{root}/preds/slice={k:04d}", files=1)
-        _LANDED[key] = root
-    return _LANDED[key]
+        LANDED[key] = root
+    return LANDED[key]
 
 
 @register("stream_monitor_state", SQL["stream_monitor_log"])
@@ -227,7 +227,7 @@ def q_stream_monitor_state(spark, sf_dir):
     root = landed_slices(spark, sf_dir)
     polls = ss.read_payload_stream(spark, f"{root}/polls/*/", max_files_per_trigger=1).where(F.col("aqi").isNotNull())
     preds = ss.read_prediction_stream(spark, f"{root}/preds/*/", max_files_per_trigger=1)
-    sink = _run_to_parquet(spark, ss.stream_monitor_state(polls, preds), name="monitor-state")
+    sink = run_to_parquet(spark, ss.stream_monitor_state(polls, preds), name="monitor-state")
     return spark.read.parquet(sink)
 
 

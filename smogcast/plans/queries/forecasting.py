@@ -13,7 +13,7 @@ from ...operators import status as st
 from ...operators import tables as tb
 from ...sources import standin as si
 from .registry import master, register
-from .status import HYBRID_CTES, _LATEST_SQL
+from .status import HYBRID_CTES, LATEST_SQL
 
 
 # ------------------------------------------------------------------ W4-W8, W10, A4, F15
@@ -38,7 +38,7 @@ SEQ_CTES = [
 ]
 
 
-def _seq_frame(spark, sf_dir):
+def seq_frame(spark, sf_dir):
     """Scaled sequences with lag arrays (for the multi-lag models)."""
     return fc.scaled_sequences(master(spark, sf_dir))
 
@@ -46,7 +46,7 @@ def _seq_frame(spark, sf_dir):
 _AR1: dict = {}
 
 
-def _ar1_frame(spark, sf_dir):
+def ar1_frame(spark, sf_dir):
     """Compact scaled sequences for AR(1) consumers, materialised once per session and scale."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _AR1:
@@ -127,25 +127,25 @@ def q_minmax_scaled(spark, sf_dir):
     "SELECT m.intercept, m.slope, f.lo, f.hi, (SELECT count(*) FROM scaled WHERE part = 'train') AS train_sequences "
     "FROM model m, fit f", ["intercept", "slope", "lo", "hi"]), "master", extra=SEQ_CTES))
 def q_ar1_model(spark, sf_dir):
-    s, fit = _ar1_frame(spark, sf_dir)
+    s, fit = ar1_frame(spark, sf_dir)
     train = s.where(F.col("part") == "train")
     m = fc.fit_lag_model(train, "ar1").select("intercept", "slope")
     n = train.agg(F.count(F.lit(1)).alias("train_sequences"))
     return m.crossJoin(fit).crossJoin(n)
 
 
-_UNSCALE = "({x}) * CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END + f.lo"
-_SCALE = "(({x}) - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END"
+UNSCALE_SQL = "({x}) * CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END + f.lo"
+SCALE_SQL = "(({x}) - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END"
 
 
 @register("evaluate_ar1", O.with_ctes(O.finish(
     "SELECT avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) * (actual - pred))) AS rmse, "
     "(SELECT count(*) FROM scaled WHERE part = 'train') AS train_sequences, "
     "(SELECT count(*) FROM scaled WHERE part = 'test') AS test_sequences FROM ("
-    "SELECT s.label AS actual, " + _UNSCALE.format(x="m.intercept + m.slope * s.last_s") + " AS pred "
+    "SELECT s.label AS actual, " + UNSCALE_SQL.format(x="m.intercept + m.slope * s.last_s") + " AS pred "
     "FROM scaled s, model m, fit f WHERE s.part = 'test')", ["mae", "rmse"]), "master", extra=SEQ_CTES))
 def q_evaluate_ar1(spark, sf_dir):
-    s, fit = _ar1_frame(spark, sf_dir)
+    s, fit = ar1_frame(spark, sf_dir)
     m = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     return fc.evaluate_lag_model(s, m, fit, last_only=True)
 
@@ -162,7 +162,7 @@ def _unrolled_sql(seq_table: str, revert: bool) -> str:
     for i in range(3):
         w = 0.15 * (i + 1)
         prevcol = "x0" if i == 0 else f"p{i - 1}"
-        raw = _UNSCALE.format(x="m.intercept + m.slope * " + _SCALE.format(x=f"s.{prevcol}"))
+        raw = UNSCALE_SQL.format(x="m.intercept + m.slope * " + SCALE_SQL.format(x=f"s.{prevcol}"))
         val = f"({raw}) * (1 - {w!r}) + s.base * {w!r}" if revert else f"({raw})"
         sql = f"SELECT s.*, {val} AS p{i} FROM ({sql}) s, model m, fit f"
     return sql
@@ -174,7 +174,7 @@ def _unrolled_sql(seq_table: str, revert: bool) -> str:
         ("roll_in", "SELECT city, h[len(h)] AS x0 FROM hist30 WHERE n_hist >= 30")]))
 def q_forecast_roll(spark, sf_dir):
     m = master(spark, sf_dir)
-    s, fit = _ar1_frame(spark, sf_dir)
+    s, fit = ar1_frame(spark, sf_dir)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     seqs = st.history_sequence(m, 30).where(F.col("n_hist") >= 30).withColumnRenamed("h", "seq")
     r = fc.forecast_roll(seqs, model, fit, steps=3, revert=False)
@@ -183,14 +183,14 @@ def q_forecast_roll(spark, sf_dir):
 
 @register("forecast_roll_72", O.with_ctes(O.finish(
     "SELECT city, " + ", ".join(
-        f"({_UNSCALE.format(x=f'm.intercept * (1 - pow(m.slope, {k})) / (1 - m.slope) + pow(m.slope, {k}) * ' + _SCALE.format(x='r.x0'))}) AS step{k}"
+        f"({UNSCALE_SQL.format(x=f'm.intercept * (1 - pow(m.slope, {k})) / (1 - m.slope) + pow(m.slope, {k}) * ' + SCALE_SQL.format(x='r.x0'))}) AS step{k}"
         for k in (24, 48, 72)) + " FROM roll_in r, model m, fit f",
     ["step24", "step48", "step72"]), "master", extra=SEQ_CTES + HYBRID_CTES[1:2] + [
         ("roll_in", "SELECT city, h[len(h)] AS x0 FROM hist30 WHERE n_hist >= 30")]))
 def q_forecast_roll_72(spark, sf_dir):
     """Q9: the dashboard's fallback rolls 72 daily steps (no reversion) and reads steps 24/48/72."""
     m = master(spark, sf_dir)
-    s, fit = _ar1_frame(spark, sf_dir)
+    s, fit = ar1_frame(spark, sf_dir)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     seqs = st.history_sequence(m, 30).where(F.col("n_hist") >= 30).withColumnRenamed("h", "seq")
     r = fc.forecast_roll(seqs, model, fit, steps=72, revert=False)
@@ -209,7 +209,7 @@ PREDICT_CTES = SEQ_CTES + [c for c in HYBRID_CTES] + [
 
 def prediction_frame(spark, sf_dir):
     m = master(spark, sf_dir)
-    s, fit = _ar1_frame(spark, sf_dir)
+    s, fit = ar1_frame(spark, sf_dir)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1")
     return fc.predict(si.live_rows(spark, sf_dir), m, model, fit)
 
@@ -253,7 +253,7 @@ def q_horizon_rows(spark, sf_dir):
     "SELECT p.city, p.pred_24h, coalesce(h.aqi, p.pred_24h) AS latest_aqi, "
     "p.pred_24h - coalesce(h.aqi, p.pred_24h) AS delta_24h FROM prediction p "
     "LEFT JOIN hist_latest h ON p.city = h.city", ["pred_24h", "latest_aqi", "delta_24h"]),
-    "master", "live", extra=PREDICT_CTES + [("hist_latest", _LATEST_SQL)]))
+    "master", "live", extra=PREDICT_CTES + [("hist_latest", LATEST_SQL)]))
 def q_forecast_delta(spark, sf_dir):
     p = prediction_frame(spark, sf_dir).select("city", "pred_24h")
     return st.forecast_delta(p, tb.latest_per_city(master(spark, sf_dir)))

@@ -13,7 +13,7 @@ from ...functions import risk
 from ...operators import metrics as mt
 from ...operators import status as st
 from .registry import master, register
-from .forecasting import SEQ_CTES, _UNSCALE, _ar1_frame
+from .forecasting import SEQ_CTES, UNSCALE_SQL, ar1_frame
 
 
 # ------------------------------------------------------------------ A5-A9, A14 on a stand-in predictor
@@ -165,10 +165,10 @@ def q_backtest_summary(spark, sf_dir):
     "ON a.metric = b.metric", ["seq_model", "baseline", "improvement_pct"]), "master",
     extra=SEQ_CTES + BT_CTES + [("ev", "SELECT avg(abs(actual - pred)) AS mae, "
                                        "sqrt(avg((actual - pred) * (actual - pred))) AS rmse FROM ("
-                                       "SELECT s.label AS actual, " + _UNSCALE.format(x="m.intercept + m.slope * s.last_s")
+                                       "SELECT s.label AS actual, " + UNSCALE_SQL.format(x="m.intercept + m.slope * s.last_s")
                                        + " AS pred FROM scaled s, model m, fit f WHERE s.part = 'test')")]))
 def q_compare_models(spark, sf_dir):
-    s, fit = _ar1_frame(spark, sf_dir)
+    s, fit = ar1_frame(spark, sf_dir)
     ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit, last_only=True)
     a = ev.select(F.explode(F.array(F.struct(F.lit("mae").alias("metric"), F.col("mae").alias("value")),
                                     F.struct(F.lit("rmse").alias("metric"), F.col("rmse").alias("value")))).alias("m")

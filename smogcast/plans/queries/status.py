@@ -16,9 +16,9 @@ from .registry import SQL, master, register
 
 STATUS_DOUBLES = ["aqi", "pm25", "pm10", "no2", "so2", "co", "o3", "temperature", "humidity", "wind_speed"]
 
-_NEWEST_SQL = ("SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY city "
+NEWEST_SQL = ("SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY city "
                "ORDER BY ts DESC, event_id DESC) AS rn_ FROM {src}) WHERE rn_ = 1")
-_LATEST_SQL = ("SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY city "
+LATEST_SQL = ("SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY city "
                "ORDER BY date DESC) AS rn_ FROM master WHERE aqi IS NOT NULL) WHERE rn_ = 1")
 
 
@@ -42,9 +42,9 @@ def _status_sql():
         f"FROM ({core}) s LEFT JOIN weather_latest w ON s.city = w.city")
 
 
-STATUS_CTES = [("live_latest", _NEWEST_SQL.format(src="live")),
-               ("hist_latest", _LATEST_SQL),
-               ("weather_latest", _NEWEST_SQL.format(src="weather")),
+STATUS_CTES = [("live_latest", NEWEST_SQL.format(src="live")),
+               ("hist_latest", LATEST_SQL),
+               ("weather_latest", NEWEST_SQL.format(src="weather")),
                ("status", _status_sql())]
 
 
@@ -115,7 +115,7 @@ def q_monitor_log(spark, sf_dir):
     "CASE WHEN w.ts IS NULL THEN 'Weather data unavailable for ' || d.city END AS error "
     "FROM (SELECT DISTINCT city FROM city_dim) d LEFT JOIN weather_latest w ON d.city = w.city",
     ["temperature", "humidity", "wind_speed"]), "weather", "city_dim",
-    extra=[("weather_latest", _NEWEST_SQL.format(src="weather"))]))
+    extra=[("weather_latest", NEWEST_SQL.format(src="weather"))]))
 def q_current_weather(spark, sf_dir):
     return st.current_weather(si.weather_rows(spark, sf_dir), si.nation_city_dim(spark, sf_dir))
 
@@ -123,7 +123,7 @@ def q_current_weather(spark, sf_dir):
 # ------------------------------------------------------------------ J4
 
 HYBRID_CTES = [
-    ("live_latest", _NEWEST_SQL.format(src="live")),
+    ("live_latest", NEWEST_SQL.format(src="live")),
     ("hist30", "SELECT city, list(aqi ORDER BY date) AS h, count(*) AS n_hist FROM ("
                "SELECT *, row_number() OVER (PARTITION BY city ORDER BY date DESC) AS rk FROM master "
                "WHERE aqi IS NOT NULL) WHERE rk <= 30 GROUP BY city"),
@@ -152,10 +152,10 @@ WEATHER_TEXT = [("temperature", 1, " °C"), ("humidity", 0, " %"), ("wind_speed"
 
 
 def _weather_text_sql():
-    from .tables import _fmt_sql
+    from .tables import fmt_sql
     cols = []
     for c, d, unit in WEATHER_TEXT:
-        cols.append(f"CASE WHEN w.{c} IS NULL THEN 'N/A' ELSE {_fmt_sql('w.' + c, d)} || {O.q(unit)} END "
+        cols.append(f"CASE WHEN w.{c} IS NULL THEN 'N/A' ELSE {fmt_sql('w.' + c, d)} || {O.q(unit)} END "
                     f"AS {c}_text")
     return cols
 
@@ -163,7 +163,7 @@ def _weather_text_sql():
 @register("weather_panel", O.with_ctes(O.finish(
     "SELECT d.city, " + ", ".join(_weather_text_sql()) +
     " FROM (SELECT DISTINCT city FROM city_dim) d LEFT JOIN weather_latest w ON d.city = w.city"),
-    "weather", "city_dim", extra=[("weather_latest", _NEWEST_SQL.format(src="weather"))]))
+    "weather", "city_dim", extra=[("weather_latest", NEWEST_SQL.format(src="weather"))]))
 def q_weather_panel(spark, sf_dir):
     """The dashboard's weather cards for every city: newest weather (J13) as fixed-decimal text."""
     from ...functions.columns import fmt

@@ -10,23 +10,23 @@ from ...sources import files as fl
 from ...sources import standin as si
 from ...streaming import streams as ss
 from .registry import master, register
-from .status import _LATEST_SQL
+from .status import LATEST_SQL
 
 
 # ------------------------------------------------------------------ T1-T6 (Structured Streaming)
 
 
-_LANDED: dict = {}
+LANDED: dict = {}
 
 
 def landed_polls(spark, sf_dir) -> str:
     """Land the stand-in polls as JSON once per session and scale (shared scratch folder)."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LANDED:
+    if key not in LANDED:
         path = ss.scratch_dir(spark, "polls")
         ss.land_payloads(si.poll_payloads(spark, sf_dir), path)
-        _LANDED[key] = path
-    return _LANDED[key]
+        LANDED[key] = path
+    return LANDED[key]
 
 
 def _status_stream(spark, sf_dir):
@@ -34,7 +34,7 @@ def _status_stream(spark, sf_dir):
                             master(spark, sf_dir))
 
 
-def _run_to_parquet(spark, df, mode="append", foreach_batch=None, name="sink"):
+def run_to_parquet(spark, df, mode="append", foreach_batch=None, name="sink"):
     sink = ss.scratch_dir(spark, name)
     ss.run_available(df, sink, sink + "-checkpoint", mode=mode, foreach_batch=foreach_batch)
     return sink
@@ -47,7 +47,7 @@ STREAM_STATUS_SQL = (
     "CASE WHEN l.aqi IS NOT NULL THEN l.pm10 ELSE h.pm10 END AS pm10, "
     "CASE WHEN l.aqi IS NOT NULL THEN l.no2 ELSE h.no2 END AS no2 "
     "FROM live l LEFT JOIN hist_latest h ON l.city = h.city WHERE l.aqi IS NOT NULL OR h.aqi IS NOT NULL")
-STREAM_CTES = [("hist_latest", _LATEST_SQL), ("sstatus0", STREAM_STATUS_SQL),
+STREAM_CTES = [("hist_latest", LATEST_SQL), ("sstatus0", STREAM_STATUS_SQL),
                ("sstatus", "SELECT *, " + O.us_level("aqi") + " AS risk_level, " + O.us_color("aqi")
                 + " AS risk_color FROM sstatus0")]
 S_DOUBLES = ["aqi", "pm25", "pm10", "no2"]
@@ -56,7 +56,7 @@ S_DOUBLES = ["aqi", "pm25", "pm10", "no2"]
 @register("stream_status", O.with_ctes(O.finish("SELECT * FROM sstatus", S_DOUBLES, stamps=["ts"]),
                                        "master", "live", extra=STREAM_CTES))
 def q_stream_status(spark, sf_dir):
-    return spark.read.parquet(_run_to_parquet(spark, _status_stream(spark, sf_dir), name="status"))
+    return spark.read.parquet(run_to_parquet(spark, _status_stream(spark, sf_dir), name="status"))
 
 
 STREAM_ALERT_SQL = (
@@ -69,7 +69,7 @@ STREAM_ALERT_SQL = (
 @register("stream_alerts", O.with_ctes(O.finish(STREAM_ALERT_SQL, ["aqi"], stamps=["ts"]),
                                        "master", "live", extra=STREAM_CTES))
 def q_stream_alerts(spark, sf_dir):
-    return spark.read.parquet(_run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)),
+    return spark.read.parquet(run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)),
                                               name="alerts"))
 
 
@@ -77,7 +77,7 @@ def q_stream_alerts(spark, sf_dir):
     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) AS rank "
     f"FROM ({STREAM_ALERT_SQL})) WHERE rank <= 20", ["aqi"], stamps=["ts"]), "master", "live", extra=STREAM_CTES))
 def q_stream_alert_history(spark, sf_dir):
-    sink = _run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)), name="alerts")
+    sink = run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)), name="alerts")
     return tb.recent_log(spark.read.parquet(sink), 20, key="city")
 
 
@@ -92,7 +92,7 @@ def _complete_table(path):
     "AS rn_ FROM sstatus) WHERE rn_ = 1", S_DOUBLES, stamps=["ts"]), "master", "live", extra=STREAM_CTES))
 def q_stream_latest(spark, sf_dir):
     out = ss.scratch_dir(spark, "latest")
-    _run_to_parquet(spark, ss.stream_latest(_status_stream(spark, sf_dir)), mode="complete",
+    run_to_parquet(spark, ss.stream_latest(_status_stream(spark, sf_dir)), mode="complete",
                     foreach_batch=_complete_table(out), name="latest")
     return spark.read.parquet(out)
 
@@ -104,7 +104,7 @@ def q_stream_latest(spark, sf_dir):
 def q_stream_store(spark, sf_dir):
     readings, weather = ss.scratch_dir(spark, "readings"), ss.scratch_dir(spark, "weather")
     polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
-    _run_to_parquet(spark, polls, foreach_batch=ss.store_batches(readings, weather), name="store")
+    run_to_parquet(spark, polls, foreach_batch=ss.store_batches(readings, weather), name="store")
     return fl.read_log(spark, readings, "").drop("ts", "batch")
 
 
@@ -117,6 +117,6 @@ def q_stream_store(spark, sf_dir):
 def q_stream_monitor_log(spark, sf_dir):
     out = ss.scratch_dir(spark, "monitor")
     polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
-    _run_to_parquet(spark, polls, foreach_batch=ss.monitor_batches(si.predictions_log(spark, sf_dir), out),
+    run_to_parquet(spark, polls, foreach_batch=ss.monitor_batches(si.predictions_log(spark, sf_dir), out),
                     name="monitor")
     return spark.read.parquet(out).drop("batch")

@@ -63,7 +63,7 @@ def q_risk_scales(spark, sf_dir):
 
 # ------------------------------------------------------------------ F8, F9, F20, F24, P9
 
-def _fmt_sql(x, d=1, missing="N/A"):
+def fmt_sql(x, d=1, missing="N/A"):
     return (f"coalesce(printf('%.{d}f', CAST(round(CAST({x} AS DECIMAL(18,6)), {d}) AS DOUBLE)), "
             f"{O.q(missing)})")
 
@@ -77,7 +77,7 @@ def _panel_sql():
             f"SELECT city, {O.q(p)} AS pollutant, {p} AS value, "
             f"CASE WHEN {z} <= {float(lo)} THEN 'OPTIMAL' WHEN {z} <= {float(hi)} THEN 'NORMAL' "
             f"ELSE 'ELEVATED' END AS status, least({z} / {float(SCALE_MAX[p])} * 100.0, 100.0) AS pct, "
-            f"CASE WHEN {p} > 0 THEN {p} END AS shown, {_fmt_sql(p, 1, '--')} AS text FROM latest")
+            f"CASE WHEN {p} > 0 THEN {p} END AS shown, {fmt_sql(p, 1, '--')} AS text FROM latest")
     return " UNION ALL ".join(parts)
 
 
