@@ -21,9 +21,9 @@ from ..functions.risk import health_risk
 from ..session import reliable_checkpoint
 from .tables import dedup_last, last_n, latest_per_city, valid_rows
 
+# Source tags of the status (J3) and of the hybrid forecast input.
 LIVE_TAG = "LIVE SATELLITE"
 FALLBACK_TAG = "CSV FALLBACK"
-# Data-source tags of the hybrid forecast input.
 HYBRID_TAG = "HYBRID (29 CSV + 1 LIVE)"
 CSV_ONLY_TAG = "CSV ONLY (satellite unreachable)"
 POLLUTANT_COLS = ["pm25", "pm10", "no2", "so2", "co", "o3"]
