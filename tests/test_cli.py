@@ -88,3 +88,19 @@ def test_cli_classifier_train_and_score(spark, tmp_path):
               "--classifier", f"{r}/clf"], spark)
     st = spark.read.json(f"{r}/status")
     assert st.count() > 0 and st.where(~F.col("ml_level").isin("Good", "Moderate", "Unhealthy", "Hazardous")).count() == 0
+
+
+def test_cli_linear30_forecaster_feeds_predict(spark, sf_dir, landed):
+    r = str(landed)
+    cli.main(["build-master", "--historical", f"{r}/data.csv", "--modern", f"{r}/city_day.csv",
+              "--out", f"{r}/master3"], spark)
+    fc = cli.main(["train-forecaster", "--master", f"{r}/master3", "--out", f"{r}/models/lin",
+                   "--kind", "linear30"], spark)
+    assert fc["train_sequences"] > 0 and fc["mae"] >= 0
+    model = spark.read.parquet(f"{r}/models/lin/model").first()
+    assert len(model.coef) == 30 and model.kind == "linear30"
+    out = cli.main(["predict", "--master", f"{r}/master3", "--polls", f"{r}/polls", "--model", f"{r}/models/lin",
+                    "--log", f"{r}/logs-lin"], spark)
+    preds = spark.read.parquet(f"{r}/logs-lin/predictions")
+    assert preds.count() == out["cities"] > 0
+    assert preds.where(F.col("pred_24h").isNull() | F.col("pred_72h").isNull()).count() == 0
