@@ -1,7 +1,7 @@
 """Command line: the reference's scripts and endpoints as Spark jobs.
 
     python -m smogcast build-master --historical data.csv --modern city_day.csv --out master/
-    python -m smogcast train-forecaster --master master/ --out models/forecaster [--kind ar1|linear30]
+    python -m smogcast train-forecaster --master master/ --out models/forecaster [--kind ar1|linear30|gbt30]
     python -m smogcast backtest --master master/ --out models/arima [--order 2,1,2|1,1,0]
     python -m smogcast train-classifier --master master/ --out models/classifier
     python -m smogcast status --master master/ --polls polls/ --out status/ [--classifier models/classifier]
@@ -63,8 +63,14 @@ def cmd_train_forecaster(spark, a) -> dict:
     ar1 = a.kind == "ar1"
     s, fit = fc.scaled_sequences(m, arrays=not ar1)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), a.kind)
-    ev = fc.evaluate_lag_model(s, model, fit, last_only=ar1)
-    model.crossJoin(fit).withColumn("kind", F.lit(a.kind)).write.mode("overwrite").parquet(f"{a.out}/model")
+    if a.kind == "gbt30":
+        # a tree model has no coefficient row: save the MLlib model and the scaler fit
+        model.write().overwrite().save(f"{a.out}/gbt")
+        fit.withColumn("kind", F.lit(a.kind)).write.mode("overwrite").parquet(f"{a.out}/model")
+        ev = fc.evaluate_gbt_model(s, model, fit)
+    else:
+        ev = fc.evaluate_lag_model(s, model, fit, last_only=ar1)
+        model.crossJoin(fit).withColumn("kind", F.lit(a.kind)).write.mode("overwrite").parquet(f"{a.out}/model")
     write_metrics(sequence_metrics_doc(ev, profile(m.where(F.col("aqi").isNotNull()))), f"{a.out}/metrics")
     return ev.first().asDict()
 
@@ -118,10 +124,12 @@ def cmd_predict(spark, a) -> dict:
     from .plans.sinks import append_predictions
     live = _poll_rows(spark, a.polls)
     saved = spark.read.parquet(f"{a.model}/model")
-    if saved.first()["kind"] not in ("ar1", "linear30"):
-        raise ValueError("predict needs a linear lag model (ar1 or linear30)")
-    pred = fc.predict(live, spark.read.parquet(a.master), saved.select("intercept", "coef"),
-                      saved.select("lo", "hi"))
+    master = spark.read.parquet(a.master)
+    if saved.first()["kind"] == "gbt30":
+        from pyspark.ml.regression import GBTRegressionModel
+        pred = fc.predict_gbt(live, master, GBTRegressionModel.load(f"{a.model}/gbt"), saved.select("lo", "hi"))
+    else:
+        pred = fc.predict(live, master, saved.select("intercept", "coef"), saved.select("lo", "hi"))
     append_predictions(pred, f"{a.log}/predictions")
     return {"cities": pred.count()}
 
@@ -148,7 +156,7 @@ def parser() -> argparse.ArgumentParser:
     spec = {
         "build-master": [("--historical", {}), ("--modern", {}), ("--out", {})],
         "train-forecaster": [("--master", {}), ("--out", {}),
-                             ("--kind", {"default": "ar1", "choices": ["ar1", "linear30"]})],
+                             ("--kind", {"default": "ar1", "choices": ["ar1", "linear30", "gbt30"]})],
         "backtest": [("--master", {}), ("--out", {}),
                      ("--order", {"default": "2,1,2", "choices": ["2,1,2", "1,1,0"]})],
         "train-classifier": [("--master", {}), ("--out", {})],

@@ -168,6 +168,31 @@ def predict(live: DataFrame, master: DataFrame, model: DataFrame, fit: DataFrame
                       *[health_risk(f"raw_{h}")["level"].alias(f"risk_{h}h") for h in (24, 48, 72)])
 
 
+def predict_gbt(live: DataFrame, master: DataFrame, model, fit: DataFrame, n: int = SEQ_LEN) -> DataFrame:
+    """M4 with the tree model (``gbt30``): same hybrid input, reversion and output as :func:`predict`."""
+    seqs = hybrid_sequence(live, master, n)
+    rolled = forecast_roll_gbt(seqs, model, fit, steps=3, revert=True)
+    out = rolled.select("city", "data_source",
+                        *[F.col("preds")[i].alias(f"raw_{h}") for i, h in enumerate((24, 48, 72))])
+    return out.select("city", "data_source",
+                      *[round2(f"raw_{h}").alias(f"pred_{h}h") for h in (24, 48, 72)],
+                      *[health_risk(f"raw_{h}")["level"].alias(f"risk_{h}h") for h in (24, 48, 72)])
+
+
+def evaluate_gbt_model(seqs_scaled: DataFrame, model, fit: DataFrame) -> DataFrame:
+    """M5 for the tree model: score the test part, unscale, MAE / RMSE with counts."""
+    from pyspark.ml.functions import array_to_vector
+    test = (seqs_scaled.where(F.col("part") == "test")
+            .withColumn("features", array_to_vector("lags_s")))
+    scored = model.transform(test).crossJoin(F.broadcast(fit.select("lo", "hi")))
+    pred = minmax_inverse(F.col("prediction"), "lo", "hi")
+    err = F.col("label") - pred
+    metrics = scored.agg(F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
+    counts = seqs_scaled.agg(F.sum(F.when(F.col("part") == "train", 1).otherwise(0)).alias("train_sequences"),
+                             F.sum(F.when(F.col("part") == "test", 1).otherwise(0)).alias("test_sequences"))
+    return metrics.crossJoin(counts)
+
+
 def evaluate_lag_model(seqs_scaled: DataFrame, model: DataFrame, fit: DataFrame,
                        last_only: bool = False) -> DataFrame:
     """M5: predictions on the test part, unscaled, scored (MAE / RMSE) with counts.

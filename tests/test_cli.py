@@ -104,3 +104,17 @@ def test_cli_linear30_forecaster_feeds_predict(spark, sf_dir, landed):
     preds = spark.read.parquet(f"{r}/logs-lin/predictions")
     assert preds.count() == out["cities"] > 0
     assert preds.where(F.col("pred_24h").isNull() | F.col("pred_72h").isNull()).count() == 0
+
+
+def test_cli_gbt30_forecaster_feeds_predict(spark, landed):
+    r = str(landed)
+    cli.main(["build-master", "--historical", f"{r}/data.csv", "--modern", f"{r}/city_day.csv",
+              "--out", f"{r}/master4"], spark)
+    fc = cli.main(["train-forecaster", "--master", f"{r}/master4", "--out", f"{r}/models/gbt",
+                   "--kind", "gbt30"], spark)
+    assert fc["train_sequences"] > 0 and fc["rmse"] >= fc["mae"] >= 0
+    out = cli.main(["predict", "--master", f"{r}/master4", "--polls", f"{r}/polls", "--model", f"{r}/models/gbt",
+                    "--log", f"{r}/logs-gbt"], spark)
+    preds = spark.read.parquet(f"{r}/logs-gbt/predictions")
+    assert preds.count() == out["cities"] > 0
+    assert preds.where(F.col("pred_24h").isNull()).count() == 0
