@@ -87,12 +87,11 @@ def q_linear30(spark, sf_dir):
 
 @register("gbt30_forecast")
 def q_gbt30(spark, sf_dir):
+    """M1 ``gbt30`` + M4: the tree model's 24/48/72 h outlook per city (same shape as ``predict``)."""
     m = master(spark, sf_dir)
     s, fit = fc.scaled_sequences(m)
     model = fc.fit_lag_model(s.where(F.col("part") == "train"), "gbt30")
-    seqs = st.hybrid_sequence(si.live_rows(spark, sf_dir), m, 30)
-    r = fc.forecast_roll_gbt(seqs, model, fit, steps=3, revert=True)
-    return r.select("city", "data_source", *[F.col("preds")[i].alias(f"pred_{h}h") for i, h in enumerate((24, 48, 72))])
+    return fc.predict_gbt(si.live_rows(spark, sf_dir), m, model, fit)
 
 
 def _metrics_root(spark, sf_dir):
