@@ -170,3 +170,13 @@ def test_sample_sizes_round_half_even(spark):
            .agg(F.count("*").alias("n")).collect()}
     assert got == {"A": 2, "B": 2}
     assert cl.stratified_sample(df, max_rows=8).count() == 8      # not larger than max: unchanged
+
+
+def test_exact_split_falls_back_to_hash_split_above_its_bound(spark):
+    from smogcast.plans import classify as cl
+    rows = [(f"k{i}", "A" if i % 3 else "B") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_key string, label string")
+    big = cl.stratified_split(df, exact_max_rows=10)          # pretend 60 rows is "too many"
+    hashed = cl.stratified_split(df, exact=False)
+    assert sorted(big.collect()) == sorted(hashed.collect())
+    assert big.count() == 60                                   # every row assigned
