@@ -196,9 +196,19 @@ def q_predict_document(spark, sf_dir):
                     F.col("predictions.72h.health_risk.level").alias("risk_72h"))
 
 
+def _file_count(spark, path) -> int:
+    """Data files under ``path``, counted by Spark (works on any shared storage)."""
+    return spark.read.text(path).select(F.input_file_name()).distinct().count()
+
+
 def landed_slices(spark, sf_dir, n_slices: int = 4):
-    """Polls and predictions landed as ``n_slices`` time slices, one file per slice and kind,
-    written in time order (a poller appends as time passes)."""
+    """Polls and predictions landed as ``n_slices`` time slices, written in time order (a poller
+    appends as time passes), each slice as several files written in parallel.
+
+    Returns (root, files per poll slice, files per prediction slice): reading each kind with
+    that many files per trigger makes every micro-batch exactly one slice of each kind.  If a
+    kind's slices do not all have the same file count, it is landed again one file per slice.
+    """
     key = ("slices", spark.sparkContext.applicationId, sf_dir, n_slices)
     if key not in LANDED:
         root = ss.scratch_dir(spark, "slices")
@@ -207,25 +217,36 @@ def landed_slices(spark, sf_dir, n_slices: int = 4):
         preds = reliable_checkpoint(si.predictions_log(spark, sf_dir))
         lo, hi = polls.agg(F.min("ts"), F.max("ts")).first()
         step = (hi - lo) / n_slices
-        for k in range(n_slices):
+
+        def cut(df, k):
             a, b = lo + step * k, (lo + step * (k + 1) if k < n_slices - 1 else None)
-            def cut(df):
-                d = df.where(F.col("ts") >= F.lit(a))
-                return d.where(F.col("ts") < F.lit(b)) if b is not None else d
-            ss.land_payloads(cut(polls), f"{root}/polls/slice={k:04d}", files=1)
-            ss.land_payloads(cut(preds), f"{root}/preds/slice={k:04d}", files=1)
-        LANDED[key] = root
+            d = df.where(F.col("ts") >= F.lit(a))
+            return d.where(F.col("ts") < F.lit(b)) if b is not None else d
+
+        def land(df, kind, files):
+            tag = f"{kind}-{files}"
+            for k in range(n_slices):
+                ss.land_payloads(cut(df, k), f"{root}/{tag}/slice={k:04d}", files=files)
+            counts = {_file_count(spark, f"{root}/{tag}/slice={k:04d}") for k in range(n_slices)}
+            return (f"{root}/{tag}", counts.pop()) if len(counts) == 1 else None
+
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        out = []
+        for df, kind in ((polls, "polls"), (preds, "preds")):
+            out.append(land(df, kind, width) or land(df, kind, 1))
+        LANDED[key] = tuple(out)
     return LANDED[key]
 
 
 @register("stream_monitor_state", SQL["stream_monitor_log"])
 def q_stream_monitor_state(spark, sf_dir):
     """T6 as a stateful stream over time-sliced landed files: one slice of each kind per
-    micro-batch (``maxFilesPerTrigger=1``), state (newest prediction per city) carried between
-    batches, so no call ever sees more than one slice of one city."""
-    root = landed_slices(spark, sf_dir)
-    polls = ss.read_payload_stream(spark, f"{root}/polls/*/", max_files_per_trigger=1).where(F.col("aqi").isNotNull())
-    preds = ss.read_prediction_stream(spark, f"{root}/preds/*/", max_files_per_trigger=1)
+    micro-batch, state (newest prediction per city) carried between batches, so no call ever
+    sees more than one slice of one city."""
+    (polls_root, polls_files), (preds_root, preds_files) = landed_slices(spark, sf_dir)
+    polls = ss.read_payload_stream(spark, f"{polls_root}/*/", max_files_per_trigger=polls_files) \
+        .where(F.col("aqi").isNotNull())
+    preds = ss.read_prediction_stream(spark, f"{preds_root}/*/", max_files_per_trigger=preds_files)
     sink = run_to_parquet(spark, ss.stream_monitor_state(polls, preds), name="monitor-state")
     return spark.read.parquet(sink)
 
