@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .suffixes import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,5 +44,39 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
 
-QUERIES = {"op7_near_duplicates": op7_near_duplicates}
-SQL = {"op7_near_duplicates": _OP7_SQL}
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(0, greatest(n - 49, 0))) AS i, x FROM d),
+h AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 100)) AS a, md5_number(substr(x, 2 * i + 1, 100)) AS b FROM w),
+f AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, min(doc_id) OVER (PARTITION BY a, b) AS m FROM h) WHERE m < doc_id),
+g AS (
+  SELECT doc_id, i, i + 50 AS e, lag(i + 50) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM f),
+r AS (
+  SELECT doc_id, i, e, sum(CASE WHEN p IS NULL OR p < i THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+s AS (SELECT doc_id, k, min(i) AS s, max(e) AS e FROM r GROUP BY doc_id, k),
+t AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM s),
+k AS (
+  SELECT t.doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last,
+         string_agg(substr(x, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) AS head
+  FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op7_near_duplicates": op7_near_duplicates}
+SQL = {"op3_suffix_dedup": _OP3_SQL, "op7_near_duplicates": _OP7_SQL}
