@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .minhash import near_duplicates
 from .suffixes import remove_repeats
+from .toxicity import toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,5 +81,18 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op7_near_duplicates": op7_near_duplicates}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe,
+           "op7_near_duplicates": op7_near_duplicates, "op10_toxicity": op10_toxicity}
 SQL = {"op3_suffix_dedup": _OP3_SQL, "op7_near_duplicates": _OP7_SQL}
