@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .decontaminate import contaminated
 from .minhash import near_duplicates
+from .quality import quality
 from .suffixes import remove_repeats
 from .toxicity import toxicity
 
@@ -93,6 +95,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe,
-           "op7_near_duplicates": op7_near_duplicates, "op10_toxicity": op10_toxicity}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality(docs, _read(spark, sf_dir, "labels"), F.col("source"), F.col("lang")).withColumnRenamed(
+        "host", "source").withColumnRenamed("path", "lang")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality,
+           "op7_near_duplicates": op7_near_duplicates, "op9_decontamination": op9_decontamination,
+           "op10_toxicity": op10_toxicity}
 SQL = {"op3_suffix_dedup": _OP3_SQL, "op7_near_duplicates": _OP7_SQL}
