@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .chat import format_chats, learnt_text, parse
 from .decontaminate import contaminated
+from .licences import TEMPLATES, scan
 from .minhash import near_duplicates
 from .mtree import top_k
 from .quality import quality
 from .suffixes import remove_repeats
 from .toxicity import toxicity
+from .url_filter import host_of, judge_urls, match_rules, path_of
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -158,8 +160,85 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learnt)::BIGINT AS
 FROM g
 """.replace("\\\\", "\\")
 
-QUERIES = {"op2_mtree_top_k": op2_mtree_top_k, "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe,
-           "op5_quality": op5_quality, "op7_near_duplicates": op7_near_duplicates, "op8_chat_format": op8_chat_format,
-           "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
-SQL = {"op2_mtree_top_k": _OP2_SQL, "op3_suffix_dedup": _OP3_SQL, "op7_near_duplicates": _OP7_SQL,
-       "op8_chat_format": _OP8_SQL}
+# The directory of a document: its source, then the digits of doc_id div 10 without trailing
+# zeros, one a level; documents that start with a licence notice act as its licence file.
+_DIRECTORY = "concat_ws('/', source, nullif(concat_ws('/', split(rtrim('0', cast(doc_id div 10 as string)), '')), ''))"
+_STARTS = "coalesce(lower(substring_index(text, '\\n', 1)) rlike 'licen[cs]e|permission is hereby granted|copyright', false)"
+
+
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = scan(docs, "doc_id", "text", F.expr(f"concat({_DIRECTORY}, '/', cast(doc_id as string), '.txt')"),
+                 F.expr(_STARTS))
+    return found.withColumnRenamed("id", "doc_id").withColumn("score", F.round("score", 6))
+
+
+_OP1_SQL = r"""
+WITH t AS (SELECT * FROM (VALUES @TEMPLATES@) v(licence, notice)),
+d AS (
+  SELECT doc_id, lower(coalesce(text, '')) AS text,
+    source || coalesce('/' || nullif(array_to_string(string_split(rtrim(CAST(doc_id // 10 AS VARCHAR), '0'), ''), '/'), ''), '')
+      || '/' AS directory FROM documents),
+l AS (
+  SELECT DISTINCT doc_id, array_to_string(regexp_extract_all(line, '[a-z0-9]+(?:[.-][a-z0-9]+)*'), ' ') AS notice
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, 'licen[cs]e|permission is hereby granted|copyright')),
+n AS (SELECT notice, count(*) AS n FROM l GROUP BY notice),
+nw AS (SELECT notice, n, unnest(regexp_extract_all(notice, '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS word FROM n),
+tw AS (SELECT licence, notice AS template, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS word FROM t),
+df AS (SELECT word, sum(n) AS df FROM (SELECT DISTINCT notice, n, word FROM nw) GROUP BY word),
+idf AS (
+  SELECT word, ln((1 + (SELECT coalesce(sum(n), 0) FROM n)) / (1 + coalesce(df, 0))) + 1 AS idf
+  FROM df FULL JOIN (SELECT DISTINCT word FROM tw) USING (word)),
+a AS (SELECT notice, word, count(*) * any_value(idf) AS w FROM nw JOIN idf USING (word) GROUP BY notice, word),
+b AS (SELECT licence, template, word, count(*) * any_value(idf) AS w FROM tw JOIN idf USING (word) GROUP BY ALL),
+an AS (SELECT notice, sqrt(sum(w * w)) AS s FROM a GROUP BY notice),
+bn AS (SELECT template, sqrt(sum(w * w)) AS s FROM b GROUP BY template),
+c AS (
+  SELECT notice, licence, template, round(sum((a.w / an.s) * (b.w / bn.s)), 9) AS score
+  FROM a JOIN an USING (notice) JOIN b USING (word) JOIN bn USING (template) GROUP BY ALL),
+e AS (
+  SELECT notice, licence, score FROM c WHERE score >= 0.5
+  QUALIFY row_number() OVER (PARTITION BY notice ORDER BY score DESC, licence) = 1),
+o AS (
+  SELECT doc_id, licence, score FROM l JOIN e USING (notice)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
+m AS (SELECT doc_id, directory, directory || doc_id || '.txt' AS path, licence, score,
+        regexp_matches(string_split(text, chr(10))[1], 'licen[cs]e|permission is hereby granted|copyright') AS named
+      FROM d LEFT JOIN o USING (doc_id)),
+h AS (
+  SELECT directory AS up, licence AS fl, score AS fs, path AS fp FROM m WHERE named AND licence IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY score DESC, licence, path) = 1),
+i AS (
+  SELECT doc_id, fl, fs, fp FROM m JOIN h ON starts_with(m.directory, h.up)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(up) DESC) = 1)
+SELECT doc_id, path, coalesce(licence, fl) AS licence, round(coalesce(score, fs), 6) AS score,
+       CASE WHEN licence IS NOT NULL THEN 'header' WHEN fl IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN licence IS NOT NULL THEN path ELSE fp END AS from_path
+FROM m LEFT JOIN i USING (doc_id)
+""".replace("@TEMPLATES@", ", ".join("('{}', '{}')".format(*t) for t in TEMPLATES))
+
+# The rules, and the words of hosts that are known to be bad.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+BAD_HOSTS = "casino|bets|pills|ads-|spam|adult"
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled URLs: bad where a known bad host or blocked by a rule, good where a rule allows them."""
+    pages = _read(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    url = F.col("url")
+    told = match_rules(pages.select("url").withColumns({"host": host_of(url), "path": path_of(url)}), rules)
+    labelled = told.select("url", F.when(F.rlike("host", F.lit(BAD_HOSTS)), 1).when(
+        F.col("action") == "block", 1).when(F.col("action") == "allow", 0).alias("bad"))
+    return judge_urls(pages, rules, labelled)
+
+
+QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_mtree_top_k": op2_mtree_top_k,
+           "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality,
+           "op6_url_filter": op6_url_filter, "op7_near_duplicates": op7_near_duplicates,
+           "op8_chat_format": op8_chat_format, "op9_decontamination": op9_decontamination,
+           "op10_toxicity": op10_toxicity}
+SQL = {"op1_licence_scan": _OP1_SQL, "op2_mtree_top_k": _OP2_SQL, "op3_suffix_dedup": _OP3_SQL,
+       "op7_near_duplicates": _OP7_SQL, "op8_chat_format": _OP8_SQL}

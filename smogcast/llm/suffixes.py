@@ -377,7 +377,7 @@ def _windows(groups: int):
     return run
 
 
-def _cut(columns: list[str]):
+def _cut(columns: list[str], characters: bool):
     """Documents of a group without what is repeated."""
 
     def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -402,8 +402,17 @@ def _cut(columns: list[str]):
         gone = np.cumsum(gone[:-1]) > 0
         spans, kept, removed = [], [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            edge = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0))
-            spans.append(edge.reshape(-1, 2).tolist())
+            edge = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+            if characters and len(edge):
+                own = data[a:b]
+                starts = np.append(np.flatnonzero((own & 0xC0) != 0x80), b - a)
+                first = starts[np.searchsorted(starts, edge[:, 0], "left")]
+                last = starts[np.searchsorted(starts, edge[:, 1], "right") - 1]
+                edge = np.stack([first, last], 1)[first < last]
+                gone[a:b] = False
+                for x, y in edge.tolist():
+                    gone[a + x:a + y] = True
+            spans.append(edge.tolist())
             kept.append(data[a:b][~gone[a:b]].tobytes())
             removed.append(b - a - len(kept[-1]))
         out = table.select(columns).to_pandas()
@@ -412,14 +421,16 @@ def _cut(columns: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   characters: bool = False) -> DataFrame:
     """Documents without the bytes that a smaller document also has, in runs of 50 bytes or more.
 
     Every byte covered by a 50-byte string that also starts in a document with a
     smaller id is removed; overlaps count, and strings are judged on the input.
     Returns all columns of ``docs`` (the texts as they were) and n_bytes,
     n_removed, spans (array of [start, end) of the maximal removed runs) and
-    kept (binary, the bytes that stay, concatenated).
+    kept (binary, the bytes that stay, concatenated).  With ``characters`` a run
+    begins and ends between characters, so that what stays is UTF-8 again.
 
     Null or empty texts and texts of less than 50 bytes stay as they are.  Rows
     that repeat an id are parts of one document and never remove from each other;
@@ -450,7 +461,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     result = rows.mapInArrow(_packed(groups), "target int, rows binary").groupBy("target").cogroup(
         found.where(F.col("kind") == _WHOLE).union(runs).groupBy("target")).applyInPandas(
-        _cut(columns), f"{schema}, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+        _cut(columns, characters), f"{schema}, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
     back = {"doc_id": id_col, "text": text_col} | {n: c for c, n in carried.items()}
     result = result.select(*(F.col(n).alias(back[n]) for n in columns), "n_bytes", "n_removed", "spans", "kept")
     loose = docs.where(F.col(f"`{id_col}`").isNull()).select(
