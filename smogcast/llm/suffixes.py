@@ -34,6 +34,8 @@ WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM          # the last place of a 16-gram in a window
 #: Bytes of text whose suffixes one task refines, and whose documents one group holds.
 BUCKET_BYTES, GROUP_BYTES = 24 << 20, 8 << 20
+#: The same where buckets are refined to single windows, which are many more.
+WINDOWS_BYTES = 5 << 20
 #: Bytes of text that a task combines before it sends anything.
 UNIT_BYTES = 16 << 20
 #: Bytes of one numpy pass, small enough for the processor's cache.
@@ -449,9 +451,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .repartition(buckets, "target").mapInArrow(_refine(groups), _DEALT_SQL), "found")
     split = found.where(F.col("kind") == _SPLIT)
     packed = texts.mapInArrow(_packed(groups), "target int, rows binary")
+    fine = math.ceil((size + 1) / WINDOWS_BYTES)
     contexts = packed.groupBy("target").cogroup(split.groupBy("target")).applyInPandas(
-        _contexts(buckets), "target int, rows binary, text binary, n long")
-    runs = tables.store(contexts.repartition(buckets, "target").mapInArrow(_windows(groups), _DEALT_SQL), "runs")
+        _contexts(fine), "target int, rows binary, text binary, n long")
+    runs = tables.store(contexts.repartition(fine, "target").mapInArrow(_windows(groups), _DEALT_SQL), "runs")
 
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     carried = {c: f"c{i}" for i, c in enumerate(others)}
