@@ -93,7 +93,11 @@ def log_ratio(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 
 def likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Length-normalised log-ratio of each row, and of its best window."""
+    """Length-normalised log-ratio of each row, and of its best window.
+
+    A row shorter than a window counts as one window long, so that an empty text
+    or a single word says little.
+    """
     cells, ends = grams(data, offsets)
     sums = np.concatenate([[0], np.cumsum(table[cells], dtype=np.float64)])
     size = np.diff(ends)
@@ -104,7 +108,7 @@ def likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
         windows = np.append((sums[WINDOW:] - sums[:-WINDOW]) / WINDOW, -np.inf)
         edges = np.stack([ends[:-1][long], ends[1:][long] - WINDOW + 1], 1).ravel()
         peak[long] = np.maximum.reduceat(windows, edges)[::2]
-    return whole / size, peak
+    return whole / np.maximum(size, WINDOW), peak
 
 
 def _scored(tables):
