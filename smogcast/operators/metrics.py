@@ -88,8 +88,12 @@ def class_fractions(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def training_summary(history: DataFrame, col: str = "objective_history") -> DataFrame:
-    """Lowest loss and number of rounds of a fit's objective history array."""
-    return history.select("*", F.array_min(col).alias("best_loss"), F.size(col).alias("rounds"))
+    """Lowest loss and number of rounds run of a fit's objective history array.
+
+    The history starts with the loss before the first round, which is no round.
+    """
+    return history.select("*", F.array_min(col).alias("best_loss"),
+                          F.greatest(F.size(col) - 1, F.lit(0)).alias("rounds"))
 
 
 def horizon_rows(df: DataFrame, cols=("pred_24h", "pred_48h", "pred_72h"), hours=(24, 48, 72)) -> DataFrame:

@@ -68,16 +68,22 @@ def fmt_sql(x, d=1, missing="N/A"):
             f"{O.q(missing)})")
 
 
+#: Gases that the panel shows as "--" when missing or zero; the others show 0.0.
+HIDDEN_WHEN_ZERO = ("co", "o3")
+
+
 def _panel_sql():
     from ...functions.columns import POLLUTANT_LIMITS, SCALE_MAX
     parts = []
     for p, (lo, hi) in POLLUTANT_LIMITS.items():
         z = f"coalesce({p}, 0.0)"
+        hide = f"WHEN NOT {z} > 0 THEN '--' " if p in HIDDEN_WHEN_ZERO else ""
+        text = f"CASE {hide}ELSE {fmt_sql(z)} END" if hide else fmt_sql(z)
         parts.append(
             f"SELECT city, {O.q(p)} AS pollutant, {p} AS value, "
-            f"CASE WHEN {z} <= {float(lo)} THEN 'OPTIMAL' WHEN {z} <= {float(hi)} THEN 'NORMAL' "
+            f"CASE {hide}WHEN {z} <= {float(lo)} THEN 'OPTIMAL' WHEN {z} <= {float(hi)} THEN 'NORMAL' "
             f"ELSE 'ELEVATED' END AS status, least({z} / {float(SCALE_MAX[p])} * 100.0, 100.0) AS pct, "
-            f"CASE WHEN {p} > 0 THEN {p} END AS shown, {fmt_sql(p, 1, '--')} AS text FROM latest")
+            f"CASE WHEN {p} > 0 THEN {p} END AS shown, {text} AS text FROM latest")
     return " UNION ALL ".join(parts)
 
 
@@ -92,11 +98,13 @@ def q_pollutant_panel(spark, sf_dir):
     long = latest.unpivot(["city"], ["pm25", "pm10", "no2", "so2", "co", "o3"], "pollutant", "value")
     j = long.join(F.broadcast(limits_table(spark)), "pollutant")   # 6 fixed rows
     z = or_zero("value")
+    hidden = F.col("pollutant").isin(*HIDDEN_WHEN_ZERO) & ~(z > 0)
     return j.select("city", "pollutant", "value",
-                    pollutant_status(z, F.col("optimal_max"), F.col("normal_max")).alias("status"),
+                    F.when(hidden, F.lit("--")).otherwise(
+                        pollutant_status(z, F.col("optimal_max"), F.col("normal_max"))).alias("status"),
                     scale_pct(z, F.col("display_max")).alias("pct"),
                     positive_or_missing("value").alias("shown"),
-                    fmt("value", 1, "--").alias("text"))
+                    F.when(hidden, F.lit("--")).otherwise(fmt(z, 1)).alias("text"))
 
 
 # ------------------------------------------------------------------ F10

@@ -2,7 +2,8 @@
 
 Everything is written by Spark to the given (shared) path: no driver-local
 files.  Append logs stamp the write time with ``current_timestamp()`` (UTC
-session), as the reference stamps processing time.
+session), as the reference stamps processing time, and keep the poll's id and
+observed time, which the log operators order and join by.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ WEATHER_COLS = ["city", "temperature", "humidity", "wind_speed"]
 
 
 def _append(df: DataFrame, cols, path: str, stamp: bool = True) -> None:
-    out = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in cols])
+    kept = {"event_id": ("event_id", "long"), "observed_ts": ("ts", "timestamp")}
+    out = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in cols],
+                    *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(n) for n, (c, t) in kept.items()])
     if stamp:
         out = out.withColumn("ts", F.current_timestamp())
     (out.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path))

@@ -172,11 +172,31 @@ def test_sample_sizes_round_half_even(spark):
     assert cl.stratified_sample(df, max_rows=8).count() == 8      # not larger than max: unchanged
 
 
-def test_exact_split_falls_back_to_hash_split_above_its_bound(spark):
+def test_exact_split_takes_the_smallest_hashes_of_each_class(spark):
     from smogcast.plans import classify as cl
-    rows = [(f"k{i}", "A" if i % 3 else "B") for i in range(60)]
+    from pyspark.sql import functions as F
+    rows = [(f"k{i}", "A" if i % 3 else "B") for i in range(600)] + [("z", "C")]
     df = spark.createDataFrame(rows, "row_key string, label string")
-    big = cl.stratified_split(df, exact_max_rows=10)          # pretend 60 rows is "too many"
-    hashed = cl.stratified_split(df, exact=False)
-    assert sorted(big.collect()) == sorted(hashed.collect())
-    assert big.count() == 60                                   # every row assigned
+    got = cl.stratified_split(df).withColumn("h", cl.row_hash(F.col("row_key"), 42)).collect()
+    quota = cl.split_quotas({"A": 400, "B": 200, "C": 1})
+    assert len(got) == 601
+    for c, n in quota.items():
+        own = sorted((r.h, r.row_key, r.part) for r in got if r.label == c)
+        assert [x[2] for x in own] == ["test"] * n + ["train"] * (len(own) - n)
+    assert cl.stratified_split(df.limit(0)).count() == 0
+
+
+def test_exact_medians_do_not_depend_on_brackets(spark, monkeypatch):
+    import random
+    import statistics
+    from smogcast.plans import classify as cl
+    monkeypatch.setattr(cl, "MEDIAN_ROWS", 5)
+    rng = random.Random(1)
+    for n in (1, 2, 7, 300, 301):
+        rows = [(rng.gauss(0, 1), float(rng.randrange(3)), 5.0, None if rng.random() < 0.3 else rng.random() * 1e6)
+                for _ in range(n)]
+        df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+        got = cl.exact_medians(df, ["a", "b", "c", "d"])
+        for k, c in enumerate("abcd"):
+            values = [r[k] for r in rows if r[k] is not None]
+            assert got[c] == (statistics.median(values) if values else None), (n, c)
