@@ -1,9 +1,9 @@
-"""Toxicity by two class-conditional Kneser-Ney models with shared backoff counts.
+"""Toxicity by class-conditional Kneser-Ney models with shared backoff counts, of words and of characters.
 
-The models are over characters (30 symbols, order 4), since toxic expressions
-here are often compounds seen once: their rare words share character sequences.
-A model is a table of 30^4 cells whatever the corpus: a proven bound for what
-the driver gathers and broadcasts, while its counts come from all labelled rows.
+The word models count every word of all labelled rows, in any script; their tables
+stay in Spark, grow with the corpus and meet the documents in a join.  The
+character models (30 symbols, order 4) judge compounds seen once by sequences that
+they share: tables of 30^4 cells, a proven bound for what the driver broadcasts.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import byte_set, hash_words
 from .shared import Tables, id_and_text, prepare, slices, utf8
 
 ORDER, SYMBOLS = 4, 30
@@ -24,6 +25,11 @@ DISCOUNT = 0.75
 #: Symbols of the window whose length-normalised log-ratio is a document's peak.
 WINDOW = 16
 THRESHOLD = 0.7
+EVIDENCE = ["mean", "peak", "expression"]
+#: A word is an expression of toxicity from this log-ratio of its probabilities (e^2: seven times likelier).
+EXPRESSION = 2.0
+#: Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z read as a-z.
+_GAP = byte_set((0, 47), (58, 64), (91, 96), (123, 127))
 
 _SPACE = 26
 _SYMBOL = np.full(256, 29, np.int32)     # other ASCII
@@ -70,6 +76,72 @@ def _counts(batches):
                                          ["cell", "n0", "n1", "n2", "n3"])
 
 
+def _row_words(batch):
+    """(first row, word hashes, row of each word) for slices of a batch's texts."""
+    data, offsets = utf8(batch.column("text"))
+    for a, b in slices(offsets):
+        part = offsets[a:b + 1]
+        words, _, first = hash_words(data[part[0]:part[-1]], part - part[0], _GAP)
+        yield words, a + np.repeat(np.arange(b - a), np.diff(first))
+
+
+def _word_counts(batches):
+    """For each class and training part, in how many rows each word occurs: sums by batch."""
+    for batch in batches:
+        kind = batch.column("kind").to_numpy(zero_copy_only=False)
+        for words, row in _row_words(batch):
+            known, at = np.unique(words, return_inverse=True)
+            pair = np.unique(at * len(kind) + row)
+            n = np.bincount(pair // len(kind) * 4 + kind[pair % len(kind)], minlength=4 * len(known)).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64))] + [pa.array(x) for x in n.T.astype(np.int64)],
+                                             ["word", "n0", "n1", "n2", "n3"])
+
+
+def _distinct_words(batches):
+    """Each row's distinct words, with what tells the row."""
+    for batch in batches:
+        for words, row in _row_words(batch):
+            order = np.lexsort((words, row))
+            words, row = words[order], row[order]
+            new = np.ones(len(words), bool)
+            new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
+            row = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(row) for c in ("doc_id", "fold", "content")] + [pa.array(words[new].view(np.int64))],
+                ["doc_id", "fold", "content", "word"])
+
+
+def expressions(counts: DataFrame) -> DataFrame:
+    """(word, ratio, ratio0, ratio2): words that are toxic expressions by all training rows, or by one part's.
+
+    ``counts`` has the ordinary and toxic rows that hold a word in part 0 (n0, n1)
+    and part 2 (n2, n3).  p(word | class) is interpolated Kneser-Ney with the class
+    as history: the lower order, shared by both, is in how many classes a word
+    occurs, not how often.  So a word seen once in one class says little, and one
+    that no model has seen, or a model without one of the classes, nothing (0).
+    """
+    models = {"ratio": (F.col("n0") + F.col("n2"), F.col("n1") + F.col("n3")),
+              "ratio0": (F.col("n0"), F.col("n1")), "ratio2": (F.col("n2"), F.col("n3"))}
+    totals = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)).cast("double").alias(f"{name}_{k}")
+                          for name, (ordinary, toxic) in models.items()
+                          for k, x in (("o", ordinary), ("t", toxic),
+                                       ("ko", (ordinary > 0).cast("long")), ("kt", (toxic > 0).cast("long"))))).first()
+
+    def share(n, total, kinds, lower):
+        return (F.greatest(n - F.lit(DISCOUNT), F.lit(0.0)) + F.lit(DISCOUNT * kinds) * lower) / F.lit(total)
+
+    ratios = []
+    for name, (ordinary, toxic) in models.items():
+        o, t, ko, kt = (totals[f"{name}_{k}"] for k in ("o", "t", "ko", "kt"))
+        if not (o and t):
+            ratios.append(F.lit(0.0).alias(name))
+            continue
+        lower = ((ordinary > 0).cast("double") + (toxic > 0).cast("double")) / F.lit(ko + kt)
+        ratio = F.when(lower > 0, F.log(share(toxic, t, kt, lower) / share(ordinary, o, ko, lower))).otherwise(0.0)
+        ratios.append(F.when(ratio >= EXPRESSION, ratio).otherwise(0.0).alias(name))
+    return counts.select("word", *ratios).where("greatest(ratio, ratio0, ratio2) > 0")
+
+
 def _smoothed(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Interpolated Kneser-Ney: discounted counts of each history, the rest to ``lower``."""
     table = counts.reshape(-1, SYMBOLS)
@@ -130,19 +202,22 @@ def _scored(tables):
                         found = likelihoods(bytes_, part, other)
                         out[2, a + rows], out[3, a + rows] = found[0][rows], found[1][rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("fold")] + [pa.array(x) for x in out],
-                ["doc_id", "fold", "mean", "peak", "cross_mean", "cross_peak"])
+                [batch.column(c) for c in ("doc_id", "fold", "content")] + [pa.array(x) for x in out],
+                ["doc_id", "fold", "content", "mean", "peak", "cross_mean", "cross_peak"])
 
     return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """(doc_id, held_out, mean, peak, score, predicted) for each row of ``docs``.
+    """(doc_id, held_out, mean, peak, expression, score, predicted) for each row of ``docs``.
 
-    Labels count only for rows whose crc32(id as text) mod 3 is not 1.  The two
-    remaining parts score each other for the calibration (a logistic regression
-    on mean and peak); the models that score are of both parts together.
+    ``mean`` and ``peak`` are length-normalised log-ratios of the character models,
+    over the whole text and in its best window; ``expression`` is the log-ratio of
+    the text's most toxic word by the word models.  Labels count only for rows
+    whose crc32(id as text) mod 3 is not 1.  The two remaining parts score each
+    other for the calibration (a logistic regression on the three); the models
+    that score are of both parts together.
 
     An id labelled several times is toxic if one label says so; null labels don't
     count.  A null text is empty and scored as such; a null id is scored, never
@@ -153,7 +228,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     prepare(spark)
     tables = Tables(spark, "toxicity")
     texts = id_and_text(docs, id_col, text_col).withColumn(
-        "fold", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(1)).cast("int"))
+        "fold", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(1)).cast("int")).withColumn(
+        "content", F.xxhash64("text"))
     marks = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"),
                           F.col(f"`{label_col}`").cast("int").alias("y")).where(
         "y is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 != 1").groupBy("doc_id").agg(
@@ -171,17 +247,31 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                        log_ratio(found[0], found[1]), log_ratio(found[2], found[3])])
     scored = tables.store(texts.mapInArrow(
         _scored(spark.sparkContext.broadcast(ratios)),
-        "doc_id long, fold int, mean double, peak double, cross_mean double, cross_peak double"), "scored")
+        "doc_id long, fold int, content long, mean double, peak double, cross_mean double, cross_peak double"), "scored")
+
+    # the word models: broadcast by Spark only while the list of expressions is below its threshold
+    words = tables.store(learnt.mapInArrow(
+        _word_counts, "word long, n0 long, n1 long, n2 long, n3 long").groupBy("word").agg(
+        *(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))), "words")
+    lexicon = tables.store(expressions(words), "expressions")
+    said = texts.mapInArrow(_distinct_words, "doc_id long, fold int, content long, word long").join(lexicon, "word")
+    said = tables.store(said.groupBy("doc_id", "content").agg(
+        F.max("ratio").alias("expression"),
+        F.max(F.when(F.col("fold") == 0, F.col("ratio2")).otherwise(F.col("ratio0"))).alias("cross_expression")), "said")
+    said = said.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), "expression", "cross_expression")
+    scored = scored.join(said, scored["doc_id"].eqNullSafe(said["__id"]) & (scored["content"] == said["__content"]),
+                         "left").drop("__id", "__content").fillna(0.0, ["expression", "cross_expression"])
+    scored = tables.store(scored, "judged")
     train = scored.where("fold != 1").join(marks, "doc_id").select(
-        F.col("cross_mean").alias("mean"), F.col("cross_peak").alias("peak"), (F.col("y") > 0).cast("double").alias("y"))
+        *(F.col(f"cross_{c}").alias(c) for c in EVIDENCE), (F.col("y") > 0).cast("double").alias("y"))
     train = tables.store(train, "train")
     n, toxic = train.agg(F.count("*"), F.sum("y")).first()
-    gather = VectorAssembler(inputCols=["mean", "peak"], outputCol="features")
+    gather = VectorAssembler(inputCols=EVIDENCE, outputCol="features")
     if n and 0 < toxic < n:
         model = LogisticRegression(labelCol="y", regParam=1e-4, maxIter=50).fit(gather.transform(train))
         scored = model.transform(gather.transform(scored)).withColumn(
             "score", vector_to_array("probability")[1])
     else:
         scored = scored.withColumn("score", F.lit(float(toxic or 0) / max(n, 1)))
-    return scored.select("doc_id", (F.col("fold") == 1).alias("held_out"), "mean", "peak", "score",
+    return scored.select("doc_id", (F.col("fold") == 1).alias("held_out"), *EVIDENCE, "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

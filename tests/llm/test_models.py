@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from smogcast.llm import queries
 from smogcast.llm.decontaminate import align, contaminated
 from smogcast.llm.quality import quality
-from smogcast.llm.toxicity import CELLS, ORDER, SYMBOLS, _SYMBOL, grams, likelihoods, log_ratio, toxicity
+from smogcast.llm.toxicity import (CELLS, EXPRESSION, ORDER, SYMBOLS, _SYMBOL, expressions, grams, likelihoods,
+                                   log_ratio, toxicity)
 from smogcast.llm.url_filter import host_of, judge_urls, match_rules, path_of
 
 SYLLABLES = ["la", "mo", "ri", "te", "su", "no", "ke", "da", "vi", "po"]
@@ -176,3 +177,40 @@ def test_url_trees_learn_lexical_marks(spark):
     assert sum((by[i] == "block") == bool(b) for i, _, b in rows[300:]) >= 97
     assert judge_urls(pages.limit(0), rules, known).count() == 0
     assert {r.score for r in judge_urls(pages, rules, known.limit(0)).collect()} == {0.5}
+
+
+def test_expressions_match_plain_kneser_ney(spark):
+    rows = [(1, 900, 40, 800, 30), (2, 2, 60, 0, 55), (3, 0, 1, 0, 0), (4, 5, 0, 4, 0), (5, 0, 0, 0, 9), (6, 3, 2, 0, 0)]
+    counts = spark.createDataFrame(rows, "word long, n0 long, n1 long, n2 long, n3 long")
+    models = {"ratio": lambda r: (r[1] + r[3], r[2] + r[4]), "ratio0": lambda r: r[1:3], "ratio2": lambda r: r[3:]}
+    want = {}
+    for name, pick in models.items():
+        total, kinds = ([f(pick(r)[k] for r in rows) for k in range(2)] for f in (sum, lambda x: sum(v > 0 for v in x)))
+        for r in rows:
+            lower = sum(v > 0 for v in pick(r)) / sum(kinds)
+            p = [(max(pick(r)[k] - 0.75, 0) + 0.75 * kinds[k] * lower) / total[k] for k in range(2)]
+            ratio = np.log(p[1] / p[0]) if lower else 0
+            want[r[0], name] = ratio if ratio >= EXPRESSION else 0
+    got = {r.word: r for r in expressions(counts).collect()}
+    assert set(got) == {w for (w, _), x in want.items() if x > 0}
+    assert all(abs(got[w][name] - x) < 1e-9 for (w, name), x in want.items() if w in got)
+    assert expressions(counts.where("n1 + n3 = 0")).count() == 0 and expressions(counts.limit(0)).count() == 0
+
+
+def test_expressions_of_any_script_and_repeated_rows(spark, docs):
+    rng = random.Random(8)
+    signs = [chr(0x4e00 + k) for k in range(60)]
+    texts, toxic = [], []
+    for i in range(600):
+        words = ["".join(rng.choice(signs) for _ in range(2)) for _ in range(20)]
+        toxic.append(i % 5 == 0)
+        if toxic[-1]:
+            words[rng.randrange(20)] = "毒舌"       # same number of bytes as any other word
+        texts.append(" ".join(words))
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    rows = toxicity(docs(texts + [(5, texts[5]), (5, texts[1]), (None, texts[10])]), labels).collect()
+    assert len(rows) == 603
+    got = {r.doc_id: r for r in rows if r.doc_id != 5}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i].predicted == toxic[i] for i in held if i != 5) >= 0.98 * len(held)
+    assert sorted(r.predicted for r in rows if r.doc_id == 5) == [0, 1, 1] and got[None].predicted == 1
