@@ -62,7 +62,8 @@ def cmd_train_forecaster(spark, a) -> dict:
     m = spark.read.parquet(a.master)
     ar1 = a.kind == "ar1"
     s, fit = fc.scaled_sequences(m, arrays=not ar1)
-    model = fc.fit_lag_model(s.where(F.col("part") == "train"), a.kind)
+    train = s.where(F.col("part") == "train")
+    model = fc.fit_lag_model(train, a.kind)
     if a.kind == "gbt30":
         # a tree model has no coefficient row: save the MLlib model and the scaler fit
         model.write().overwrite().save(f"{a.out}/gbt")
@@ -71,7 +72,8 @@ def cmd_train_forecaster(spark, a) -> dict:
     else:
         ev = fc.evaluate_lag_model(s, model, fit, last_only=ar1)
         model.crossJoin(fit).withColumn("kind", F.lit(a.kind)).write.mode("overwrite").parquet(f"{a.out}/model")
-    write_metrics(sequence_metrics_doc(ev, profile(m.where(F.col("aqi").isNotNull()))), f"{a.out}/metrics")
+    loss = fc.validation_loss(train, a.kind, model)
+    write_metrics(sequence_metrics_doc(ev, profile(m.where(F.col("aqi").isNotNull())), loss), f"{a.out}/metrics")
     return ev.first().asDict()
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import blend, minmax, minmax_inverse, round2
 from ..functions.risk import health_risk
 from ..operators.sequences import (differences, fit_minmax, holdout_split, position_split,
-                                   sequences)
+                                   sequences, validation_tail)
 from ..operators.status import hybrid_sequence, restrict_to
 from ..operators.tables import top_cities
 from ..session import reliable_checkpoint
@@ -58,7 +58,8 @@ def fit_lag_model(train: DataFrame, kind: str = "ar1", n: int = SEQ_LEN):
     """Fit the pooled next-day model on scaled training sequences.
 
     Returns a one-row DataFrame (intercept, coef ARRAY<DOUBLE>) for the linear
-    kinds, or a fitted MLlib model for ``gbt30``.
+    kinds, or a fitted MLlib model for ``gbt30``: rounds of trees, stopped early by
+    the loss on the validation tail (W8), which trains no tree.
     """
     if kind == "ar1":
         m = train.agg(F.regr_intercept("label_s", "last_s").alias("intercept"),
@@ -66,7 +67,9 @@ def fit_lag_model(train: DataFrame, kind: str = "ar1", n: int = SEQ_LEN):
         return m.select("intercept", F.concat(F.array_repeat(F.lit(0.0), n - 1),
                                               F.array(F.col("slope"))).alias("coef"), "slope")
     from pyspark.ml.functions import array_to_vector
-    feats = train.select(array_to_vector("lags_s").alias("features"), F.col("label_s").alias("label"))
+    held = F.lit(False) if kind == "linear30" else F.col("part") == "validation"
+    feats = (train if kind == "linear30" else validation_tail(train)).select(
+        array_to_vector("lags_s").alias("features"), F.col("label_s").alias("label"), held.alias("held"))
     if kind == "linear30":
         from pyspark.ml.regression import LinearRegression
         lr = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0,
@@ -79,10 +82,33 @@ def fit_lag_model(train: DataFrame, kind: str = "ar1", n: int = SEQ_LEN):
     if kind == "gbt30":
         from pyspark.ml.regression import GBTRegressor
         return GBTRegressor(featuresCol="features", labelCol="label", maxIter=50, maxDepth=5,
-                            seed=42).fit(feats)
+                            seed=42, validationIndicatorCol="held").fit(feats)
     raise ValueError(f"unknown model kind {kind!r}")
 
 
+def validation_loss(train: DataFrame, kind: str = "ar1", model=None, n: int = SEQ_LEN) -> DataFrame:
+    """One row (best_val_loss, epochs_ran): mean squared scaled error on the validation tail.
+
+    The linear kinds are solved in one round, here from the rows before the tail.
+    ``gbt30`` takes its fitted ``model``: the lowest loss after any round, and the
+    rounds that early stopping kept.  Without validation rows the loss is NULL.
+    """
+    parts = validation_tail(train)
+    held = parts.where(F.col("part") == "validation")
+    if kind == "gbt30":
+        from pyspark.ml.functions import array_to_vector
+        rows = held.select(array_to_vector("lags_s").alias("features"), F.col("label_s").alias("label"))
+        losses = [] if rows.isEmpty() else model.evaluateEachIteration(rows, "squared")
+        return train.sparkSession.createDataFrame(
+            [(min(map(float, losses), default=None), model.getNumTrees)], "best_val_loss DOUBLE, epochs_ran INT")
+    solved = fit_lag_model(parts.where(F.col("part") == "fit"), kind, n)
+    scored = held.crossJoin(F.broadcast(solved.select("intercept", "coef", "slope")))
+    guess = F.col("intercept") + F.col("slope") * F.col("last_s") if kind == "ar1" else \
+        lag_predict(F.col("lags_s"), F.col("intercept"), F.col("coef"))
+    return scored.agg(F.avg((F.col("label_s") - guess) * (F.col("label_s") - guess)).alias("best_val_loss"),
+                      F.lit(1).alias("epochs_ran"))
+
+
 def lag_predict(seq: Column, intercept: Column, coef: Column) -> Column:
     """Linear model on an array: ``intercept + Σ coef_i * seq_i``."""
     return intercept + F.aggregate(F.zip_with(coef, seq, lambda a, b: a * b), F.lit(0.0),

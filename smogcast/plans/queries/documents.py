@@ -102,10 +102,10 @@ def _metrics_root(spark, sf_dir):
         root = ss.scratch_dir(spark, "metrics")
         m = master(spark, sf_dir)
         s, fit = ar1_frame(spark, sf_dir)
-        ev = fc.evaluate_lag_model(s, fc.fit_lag_model(s.where(F.col("part") == "train"), "ar1"), fit,
-                                   last_only=True)
+        train = s.where(F.col("part") == "train")
+        ev = fc.evaluate_lag_model(s, fc.fit_lag_model(train, "ar1"), fit, last_only=True)
         prof = tb.profile(m.where(F.col("aqi").isNotNull()))
-        write_metrics(rp.sequence_metrics_doc(ev, prof), f"{root}/sequence")
+        write_metrics(rp.sequence_metrics_doc(ev, prof, fc.validation_loss(train)), f"{root}/sequence")
         per_city = fc.backtest_arima(m)
         write_metrics(rp.arima_metrics_doc(per_city, mt.summarise_metrics(per_city)), f"{root}/arima")
         _, metrics, meta = trained(spark, sf_dir)

@@ -134,6 +134,19 @@ def q_ar1_model(spark, sf_dir):
     return m.crossJoin(fit).crossJoin(n)
 
 
+@register("forecaster_validation", O.with_ctes(O.finish(
+    "SELECT avg((t.label_s - v.intercept - v.slope * t.last_s) * (t.label_s - v.intercept - v.slope * t.last_s)) "
+    "AS best_val_loss, 1 AS epochs_ran FROM tail t, solved v WHERE t.tpos >= floor(t.n_t * 0.9)", ["best_val_loss"]),
+    "master", extra=SEQ_CTES + [
+        ("tail", "SELECT label_s, last_s, row_number() OVER (ORDER BY city, date) - 1 AS tpos, count(*) OVER () AS n_t "
+                 "FROM scaled WHERE part = 'train'"),
+        ("solved", "SELECT regr_intercept(label_s, last_s) AS intercept, regr_slope(label_s, last_s) AS slope "
+                   "FROM tail WHERE tpos < floor(n_t * 0.9)")]))
+def q_forecaster_validation(spark, sf_dir):
+    s, _ = ar1_frame(spark, sf_dir)
+    return fc.validation_loss(s.where(F.col("part") == "train"), "ar1")
+
+
 UNSCALE_SQL = "({x}) * CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END + f.lo"
 SCALE_SQL = "(({x}) - f.lo) / CASE WHEN f.hi - f.lo = 0 THEN 1.0 ELSE f.hi - f.lo END"
 

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from ..sources.files import read_metrics
 
 
-def sequence_metrics_doc(evaluation: DataFrame, profile: DataFrame, seq_len: int = 30) -> DataFrame:
-    """The sequence-model metrics document (one row) from M5's evaluation and A3's profile."""
-    return evaluation.crossJoin(profile).select(
+def sequence_metrics_doc(evaluation: DataFrame, profile: DataFrame, validation: DataFrame,
+                         seq_len: int = 30) -> DataFrame:
+    """The sequence-model metrics document (one row) from M5's evaluation, A3's profile and M1's validation loss."""
+    return evaluation.crossJoin(profile).crossJoin(validation).select(
         F.lit(seq_len).alias("sequence_length"), F.col("records").cast("long").alias("records"),
         F.col("cities").cast("long").alias("cities"), F.col("train_sequences").cast("long").alias("train_sequences"),
         F.col("test_sequences").cast("long").alias("test_sequences"), "mae", "rmse",
-        F.lit(None).cast("double").alias("best_val_loss"), F.lit(None).cast("int").alias("epochs_ran"))
+        "best_val_loss", "epochs_ran")
 
 
 def arima_metrics_doc(per_city: DataFrame, summary: DataFrame, order=(2, 1, 2)) -> DataFrame:

@@ -33,7 +33,9 @@ def test_cli_chain(spark, sf_dir, landed):
     fc = cli.main(["train-forecaster", "--master", f"{r}/master", "--out", f"{r}/models/fc"], spark)
     ev = q(spark, sf_dir, "evaluate_ar1").first()
     assert round(fc["mae"], 6) == ev.mae and fc["test_sequences"] == ev.test_sequences
-    assert spark.read.json(f"{r}/models/fc/metrics").first().sequence_length == 30
+    doc = spark.read.json(f"{r}/models/fc/metrics").first()
+    assert doc.sequence_length == 30 and doc.epochs_ran == 1
+    assert round(doc.best_val_loss, 6) == q(spark, sf_dir, "forecaster_validation").first().best_val_loss
 
     summ = q(spark, sf_dir, "backtest_summary").first()
     args = ["backtest", "--master", f"{r}/master", "--out", f"{r}/models/arima", "--order", "1,1,0"]
@@ -99,6 +101,8 @@ def test_cli_linear30_forecaster_feeds_predict(spark, sf_dir, landed):
     assert fc["train_sequences"] > 0 and fc["mae"] >= 0
     model = spark.read.parquet(f"{r}/models/lin/model").first()
     assert len(model.coef) == 30 and model.kind == "linear30"
+    doc = spark.read.json(f"{r}/models/lin/metrics").first()
+    assert doc.best_val_loss >= 0 and doc.epochs_ran == 1
     out = cli.main(["predict", "--master", f"{r}/master3", "--polls", f"{r}/polls", "--model", f"{r}/models/lin",
                     "--log", f"{r}/logs-lin"], spark)
     preds = spark.read.parquet(f"{r}/logs-lin/predictions")
@@ -113,6 +117,8 @@ def test_cli_gbt30_forecaster_feeds_predict(spark, landed):
     fc = cli.main(["train-forecaster", "--master", f"{r}/master4", "--out", f"{r}/models/gbt",
                    "--kind", "gbt30"], spark)
     assert fc["train_sequences"] > 0 and fc["rmse"] >= fc["mae"] >= 0
+    doc = spark.read.json(f"{r}/models/gbt/metrics").first()
+    assert doc.best_val_loss > 0 and 1 <= doc.epochs_ran <= 50      # trees kept by the validation tail
     out = cli.main(["predict", "--master", f"{r}/master4", "--polls", f"{r}/polls", "--model", f"{r}/models/gbt",
                     "--log", f"{r}/logs-gbt"], spark)
     preds = spark.read.parquet(f"{r}/logs-gbt/predictions")
