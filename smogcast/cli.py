@@ -6,6 +6,13 @@
     python -m smogcast train-classifier --master master/ --out models/classifier
     python -m smogcast status --master master/ --polls polls/ --out status/ [--classifier models/classifier]
     python -m smogcast predict --master master/ --polls polls/ --model models/forecaster --log logs/
+    python -m smogcast history --master master/ --out history/ [--city NAME] [--rows 90]
+    python -m smogcast export --master master/ --out csv/ [--city NAME] [--rows 90]
+    python -m smogcast compare --master master/ --polls polls/ --cities "A,B" --out compare/
+    python -m smogcast weather --polls polls/ --cities "A,B" --out weather/
+    python -m smogcast logs --logs logs/ --out recent/ [--name predictions] [--city NAME] [--rows 50]
+    python -m smogcast metrics --out metrics/ [--sequence DIR] [--classifier DIR] [--arima DIR]
+    python -m smogcast report --master master/ --polls polls/ --model models/forecaster --out reports/ [metrics as above]
     python -m smogcast stream --master master/ --polls polls/ --logs logs/ --checkpoint ck/ [--once]
 
 Each command is one Spark application over all cities; paths may be any
@@ -53,6 +60,12 @@ def _poll_rows(spark, path):
     return aqi_payload_fields(raw, keep=("event_id", *weather))
 
 
+def _answer(df, out) -> int:
+    """Write an answer as JSON lines; the number of rows comes from what was written."""
+    df.write.mode("overwrite").json(out)
+    return df.sparkSession.read.schema(df.schema).json(out).count()
+
+
 def cmd_train_forecaster(spark, a) -> dict:
     """M1 + M5 + K5: pooled next-day model, its test metrics, the model as a one-row table."""
     from .plans import forecast as fc
@@ -116,24 +129,91 @@ def cmd_status(spark, a) -> dict:
         from .plans.sinks import load_model
         model, meta = load_model(a.classifier)
         st = classify(valid_rows(st), model, meta)
-    st.write.mode("overwrite").json(a.out)
-    return {"cities": st.count()}
+    return {"cities": _answer(st, a.out)}
 
 
-def cmd_predict(spark, a) -> dict:
-    """M4 + K3: 24/48/72 h outlook for every city, appended to the predictions log."""
+def _outlook(spark, live, master, model_path):
+    """M4 with the saved model, whichever kind it is."""
     from .plans import forecast as fc
-    from .plans.sinks import append_predictions
-    live = _poll_rows(spark, a.polls)
-    saved = spark.read.parquet(f"{a.model}/model")
-    master = spark.read.parquet(a.master)
+    saved = spark.read.parquet(f"{model_path}/model")
     if saved.first()["kind"] == "gbt30":
         from pyspark.ml.regression import GBTRegressionModel
-        pred = fc.predict_gbt(live, master, GBTRegressionModel.load(f"{a.model}/gbt"), saved.select("lo", "hi"))
-    else:
-        pred = fc.predict(live, master, saved.select("intercept", "coef"), saved.select("lo", "hi"))
+        return fc.predict_gbt(live, master, GBTRegressionModel.load(f"{model_path}/gbt"), saved.select("lo", "hi"))
+    return fc.predict(live, master, saved.select("intercept", "coef"), saved.select("lo", "hi"))
+
+
+def cmd_predict(spark, a) -> dict:
+    """M4 + K3: 24/48/72 h outlook for every city, appended to the predictions log."""
+    from .plans.sinks import append_predictions
+    pred = _outlook(spark, _poll_rows(spark, a.polls), spark.read.parquet(a.master), a.model).persist()
     append_predictions(pred, f"{a.log}/predictions")
-    return {"cities": pred.count()}
+    cities = pred.count()
+    pred.unpersist()
+    return {"cities": cities}
+
+
+def cmd_history(spark, a) -> dict:
+    """The last rows of one city or of every city, as JSON."""
+    from .operators.tables import historical
+    return {"rows": _answer(historical(spark.read.parquet(a.master), a.rows, a.city), a.out)}
+
+
+def cmd_export(spark, a) -> dict:
+    """K7: the last rows of one city or of every city, as CSV with one folder per city."""
+    from .plans.sinks import export_csv
+    export_csv(spark.read.parquet(a.master), a.out, a.rows, a.city)
+    return {"rows": spark.read.option("header", True).csv(a.out).count()}
+
+
+def cmd_compare(spark, a) -> dict:
+    """Current status of up to five asked cities side by side, in the order asked, as JSON."""
+    from .operators.status import asked_cities, compare_cities, current_status, restrict_to
+    asked = asked_cities(spark, a.cities)
+    st = current_status(restrict_to(_poll_rows(spark, a.polls), asked),
+                        restrict_to(spark.read.parquet(a.master), asked))
+    return {"cities": _answer(compare_cities(st, asked), a.out)}
+
+
+def cmd_weather(spark, a) -> dict:
+    """Newest weather of up to five asked cities, as JSON; a city without any gets an error text."""
+    from .operators.status import asked_cities, current_weather, restrict_to
+    asked = asked_cities(spark, a.cities)
+    seen = restrict_to(_poll_rows(spark, a.polls), asked).where(
+        "coalesce(temperature, humidity, wind_speed, weather_code) is not null")
+    return {"cities": _answer(current_weather(seen, asked), a.out)}
+
+
+def cmd_logs(spark, a) -> dict:
+    """A10 + O2/O3: how many rows each log has, and the newest rows of one of them as JSON."""
+    from .operators.tables import log_counts, recent_rows
+    from .sources.files import read_log
+    logs = {name: read_log(spark, a.logs, name) for name in ("aqi_readings", "predictions", "weather_logs")}
+    counts = {r["collection"]: r["n_rows"] for r in log_counts(*logs.values()).collect()}     # three rows
+    return {**counts, "rows": _answer(recent_rows(logs[a.name], a.city, a.rows), a.out)}
+
+
+def _metrics(spark, a):
+    from .plans.reports import model_metrics
+    return model_metrics(spark, paths={"sequence": a.sequence, "classifier": a.classifier, "arima": a.arima})
+
+
+def cmd_metrics(spark, a) -> dict:
+    """The three models' metrics documents side by side, as JSON."""
+    doc = _metrics(spark, a)
+    _answer(doc, a.out)
+    return doc.select("sequence_available", "classifier_available", "arima_available").first().asDict()
+
+
+def cmd_report(spark, a) -> dict:
+    """J9 + K6: one report per city with its status, outlook and the models' metrics."""
+    from .operators.status import current_status, report_summary
+    from .operators.tables import valid_rows
+    from .plans.sinks import export_report
+    polls, master = _poll_rows(spark, a.polls), spark.read.parquet(a.master)
+    report = report_summary(valid_rows(current_status(polls, master)), _outlook(spark, polls, master, a.model),
+                            _metrics(spark, a))
+    export_report(report, a.out)
+    return {"reports": spark.read.json(a.out).count()}
 
 
 def cmd_stream(spark, a) -> dict:
@@ -155,6 +235,12 @@ def cmd_stream(spark, a) -> dict:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="smogcast", description=__doc__.split("\n\n")[0])
     sub = p.add_subparsers(dest="command", required=True)
+    documents = [(f"--{kind}", {"default": None, "help": f"folder of the {kind} metrics document"})
+                 for kind in ("sequence", "classifier", "arima")]
+
+    def city_rows(n):
+        return [("--city", {"default": None}), ("--rows", {"type": int, "default": n})]
+
     spec = {
         "build-master": [("--historical", {}), ("--modern", {}), ("--out", {})],
         "train-forecaster": [("--master", {}), ("--out", {}),
@@ -165,6 +251,14 @@ def parser() -> argparse.ArgumentParser:
         "status": [("--master", {}), ("--polls", {}), ("--out", {}),
                    ("--classifier", {"default": None, "help": "saved classifier (train-classifier --out)"})],
         "predict": [("--master", {}), ("--polls", {}), ("--model", {}), ("--log", {})],
+        "history": [("--master", {}), ("--out", {}), *city_rows(90)],
+        "export": [("--master", {}), ("--out", {}), *city_rows(90)],
+        "compare": [("--master", {}), ("--polls", {}), ("--cities", {}), ("--out", {})],
+        "weather": [("--polls", {}), ("--cities", {}), ("--out", {})],
+        "logs": [("--logs", {}), ("--out", {}), *city_rows(50),
+                 ("--name", {"default": "aqi_readings", "choices": ["aqi_readings", "predictions", "weather_logs"]})],
+        "metrics": [("--out", {}), *documents],
+        "report": [("--master", {}), ("--polls", {}), ("--model", {}), ("--out", {}), *documents],
         "stream": [("--master", {}), ("--polls", {}), ("--logs", {}), ("--checkpoint", {}),
                    ("--once", {"action": "store_true"}), ("--max-files", {"type": int, "default": 16})],
     }
@@ -177,7 +271,9 @@ def parser() -> argparse.ArgumentParser:
 
 COMMANDS = {"build-master": cmd_build_master, "train-forecaster": cmd_train_forecaster,
             "backtest": cmd_backtest, "train-classifier": cmd_train_classifier, "status": cmd_status,
-            "predict": cmd_predict, "stream": cmd_stream}
+            "predict": cmd_predict, "history": cmd_history, "export": cmd_export, "compare": cmd_compare,
+            "weather": cmd_weather, "logs": cmd_logs, "metrics": cmd_metrics, "report": cmd_report,
+            "stream": cmd_stream}
 
 
 def main(argv=None, spark: SparkSession | None = None) -> dict:

@@ -46,9 +46,14 @@ def classifier_metrics_doc(metrics: DataFrame, features) -> DataFrame:
     return best.crossJoin(allm).withColumn("feature_columns", F.array(*[F.lit(f) for f in features]))
 
 
-def model_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """The three documents side by side with availability flags (one row)."""
-    docs = {k: read_metrics(spark, f"{root}/{k}", k) for k in ("sequence", "classifier", "arima")}
+def model_metrics(spark: SparkSession, root: str | None = None, paths: dict | None = None) -> DataFrame:
+    """The three documents side by side with availability flags (one row).
+
+    They lie below ``root``, or at the ``paths`` given; one without a path is unavailable.
+    """
+    kinds = ("sequence", "classifier", "arima")
+    paths = paths or {k: f"{root}/{k}" for k in kinds}
+    docs = {k: read_metrics(spark, paths[k], k) if paths.get(k) else None for k in kinds}
     cols = []
     for k, df in docs.items():
         cols.append(F.lit(df is not None).alias(f"{k}_available"))

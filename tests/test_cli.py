@@ -61,6 +61,33 @@ def test_cli_chain(spark, sf_dir, landed):
     readings = spark.read.parquet(f"{r}/logs/aqi_readings")
     assert readings.count() == si.readings_log(spark, sf_dir).count()
     assert readings.where(F.col("aqi").isNull()).count() == 0
+    served_answers(spark, sf_dir, r)
+
+
+def served_answers(spark, sf_dir, r):
+    """The commands that answer from the master, the polls, the logs and the models."""
+    files = ["--master", f"{r}/master", "--polls", f"{r}/polls"]
+    status = {row.city: row for row in q(spark, sf_dir, "current_status").where("error is null").collect()}
+    names = sorted(status)[:2]
+    rows = cli.main(["history", "--master", f"{r}/master", "--out", f"{r}/a1", "--city", names[0], "--rows", "7"], spark)
+    hist = spark.read.json(f"{r}/a1").collect()
+    assert rows["rows"] == len(hist) <= 7 and {x.city for x in hist} <= {names[0]}
+    out = cli.main(["export", "--master", f"{r}/master", "--out", f"{r}/a2"], spark)
+    assert out["rows"] == q(spark, sf_dir, "export_rows").count()
+    cli.main(["compare", *files, "--cities", f"{names[1]}, {names[0]}, Nowhere", "--out", f"{r}/a3"], spark)
+    got = spark.read.json(f"{r}/a3").orderBy("pos").collect()
+    assert [x.city for x in got] == names[::-1]
+    assert all(round(x.aqi, 6) == round(status[x.city].aqi, 6) for x in got)
+    assert cli.main(["weather", "--polls", f"{r}/polls", "--cities", f"{names[0]},Nowhere", "--out", f"{r}/a4"], spark)["cities"] == 2
+    assert spark.read.json(f"{r}/a4").where("city = 'Nowhere' and error is not null").count() == 1
+    logs = cli.main(["logs", "--logs", f"{r}/logs", "--out", f"{r}/a5", "--name", "predictions", "--rows", "3"], spark)
+    assert logs["aqi_readings"] == spark.read.parquet(f"{r}/logs/aqi_readings").count()
+    assert logs["rows"] == min(3, logs["predictions"])
+    doc = cli.main(["metrics", "--out", f"{r}/a6", "--sequence", f"{r}/models/fc/metrics", "--arima", f"{r}/none"], spark)
+    assert doc == {"sequence_available": True, "classifier_available": False, "arima_available": False}
+    rep = cli.main(["report", *files, "--model", f"{r}/models/fc", "--sequence", f"{r}/models/fc/metrics",
+                    "--out", f"{r}/a7"], spark)
+    assert rep["reports"] == len(status)
 
 
 def test_cli_classifier_refuses_too_few_rows(spark, landed):
