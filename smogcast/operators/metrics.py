@@ -47,12 +47,14 @@ def class_report(conf: DataFrame) -> DataFrame:
 
     Classes are those seen as label or prediction; undefined ratios are 0.
     """
-    tp = conf.where(F.col("label") == F.col("prediction")).groupBy(F.col("label").alias("cls")).agg(
-        F.sum("n").alias("tp"))
-    sup = conf.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    pred = conf.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    j = (sup.join(pred, "cls", "full_outer").join(tp, "cls", "left")
-         .select("cls", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("support", "predicted", "tp")]))
+    # one pass: each count adds to its label's class and to its prediction's
+    shares = F.explode(F.array(
+        F.struct(F.col("label").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"),
+                 F.lit(0).cast("long").alias("tp"))))
+    j = conf.select(shares.alias("s")).select("s.*").groupBy("cls").agg(
+        *[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     p = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted").cast("double")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))

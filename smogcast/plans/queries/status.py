@@ -82,7 +82,10 @@ def _compare_sql():
 @register("compare_cities", O.with_ctes(O.finish(_compare_sql(), ["aqi", "pm25", "pm10", "no2", "so2"]),
                                         "master", "live", "weather", extra=STATUS_CTES))
 def q_compare_cities(spark, sf_dir):
-    return st.compare_cities(status_frame(spark, sf_dir), st.asked_cities(spark, COMPARE_TEXT, 5))
+    asked = st.asked_cities(spark, COMPARE_TEXT, 5)      # only their polls and history are aggregated
+    status = st.current_status(st.restrict_to(si.poll_rows(spark, sf_dir), asked),
+                               st.restrict_to(master(spark, sf_dir), asked))
+    return st.compare_cities(status, asked)
 
 
 # ------------------------------------------------------------------ J1
