@@ -98,14 +98,14 @@ def q_stream_latest(spark, sf_dir):
 
 
 @register("stream_store", O.with_ctes(O.finish(
-    "SELECT city, source, aqi, pm25, pm10, no2, so2, temperature, humidity, wind_speed, ts AS observed_ts "
+    "SELECT city, source, aqi, pm25, pm10, no2, so2, temperature, humidity, wind_speed, event_id, ts AS observed_ts "
     "FROM readings", ["aqi", "pm25", "pm10", "no2", "so2", "temperature", "humidity", "wind_speed"],
     stamps=["observed_ts"]), "readings"))
 def q_stream_store(spark, sf_dir):
     readings, weather = ss.scratch_dir(spark, "readings"), ss.scratch_dir(spark, "weather")
     polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
     run_to_parquet(spark, polls, foreach_batch=ss.store_batches(readings, weather), name="store")
-    return fl.read_log(spark, readings, "").drop("ts", "batch")
+    return fl.read_log(spark, readings, "").drop("ts", "stream", "batch")
 
 
 @register("stream_monitor_log", O.with_ctes(O.finish(
@@ -119,4 +119,4 @@ def q_stream_monitor_log(spark, sf_dir):
     polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
     run_to_parquet(spark, polls, foreach_batch=ss.monitor_batches(si.predictions_log(spark, sf_dir), out),
                     name="monitor")
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out).drop("stream", "batch")

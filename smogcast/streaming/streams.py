@@ -108,24 +108,36 @@ def stream_latest(status_stream: DataFrame) -> DataFrame:
             .select("city", "s.*"))
 
 
+def _batch_folder(batch: DataFrame, batch_id: int) -> str:
+    """Where a micro-batch's rows go in a log: by stream and batch.
+
+    The stream's id comes from its checkpoint, so a replayed batch finds its own
+    folder again and a stream with another checkpoint never another's.
+    """
+    stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"stream={stream or 'none'}/batch={batch_id}"
+
+
 def store_batches(readings_path: str, weather_path: str):
     """``foreachBatch`` function writing both logs from one cached batch.
 
-    Output folders are keyed by batch id and overwritten, so a batch replayed
-    after a failure replaces its own rows instead of adding them twice.
+    Output folders are keyed by stream and batch and overwritten, so a batch replayed
+    after a failure replaces its own rows instead of adding them twice.  Rows keep
+    the id of their poll, as the logs of batch jobs do.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
+        folder = _batch_folder(batch, batch_id)
         try:
             stamp = F.current_timestamp()
             (batch.where(F.col("aqi").isNotNull())
                   .select("city", F.lit(LIVE_TAG).alias("source"), "aqi", "pm25", "pm10", "no2", "so2",
-                          "temperature", "humidity", "wind_speed", F.col("ts").alias("observed_ts"),
+                          "temperature", "humidity", "wind_speed", "event_id", F.col("ts").alias("observed_ts"),
                           stamp.alias("ts"))
-                  .write.mode("overwrite").parquet(f"{readings_path}/batch={batch_id}"))
-            (batch.select("city", "temperature", "humidity", "wind_speed",
+                  .write.mode("overwrite").parquet(f"{readings_path}/{folder}"))
+            (batch.select("city", "temperature", "humidity", "wind_speed", "event_id",
                           F.col("ts").alias("observed_ts"), stamp.alias("ts"))
-                  .write.mode("overwrite").parquet(f"{weather_path}/batch={batch_id}"))
+                  .write.mode("overwrite").parquet(f"{weather_path}/{folder}"))
         finally:
             batch.unpersist()
     return write
@@ -135,7 +147,8 @@ def monitor_batches(predictions: DataFrame, out_path: str):
     """``foreachBatch`` function: as-of join each batch of readings with predictions."""
     def write(batch: DataFrame, batch_id: int) -> None:
         readings = batch.where(F.col("aqi").isNotNull()).withColumn("source", F.lit(LIVE_TAG))
-        monitor_log(readings, predictions).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        monitor_log(readings, predictions).write.mode("overwrite").parquet(
+            f"{out_path}/{_batch_folder(batch, batch_id)}")
     return write
 
 

@@ -61,6 +61,11 @@ def test_cli_chain(spark, sf_dir, landed):
     readings = spark.read.parquet(f"{r}/logs/aqi_readings")
     assert readings.count() == si.readings_log(spark, sf_dir).count()
     assert readings.where(F.col("aqi").isNull()).count() == 0
+    assert readings.select("stream").distinct().count() == 1
+    cli.main(["stream", "--master", f"{r}/master", "--polls", f"{r}/polls", "--logs", f"{r}/logs",
+              "--checkpoint", f"{r}/ck2", "--once"], spark)      # another checkpoint adds, and overwrites nothing
+    again = spark.read.parquet(f"{r}/logs/aqi_readings").groupBy("stream").count().collect()
+    assert [x["count"] for x in again] == [readings.count()] * 2 and all(x.stream != "none" for x in again)
     served_answers(spark, sf_dir, r)
 
 
@@ -83,6 +88,8 @@ def served_answers(spark, sf_dir, r):
     logs = cli.main(["logs", "--logs", f"{r}/logs", "--out", f"{r}/a5", "--name", "predictions", "--rows", "3"], spark)
     assert logs["aqi_readings"] == spark.read.parquet(f"{r}/logs/aqi_readings").count()
     assert logs["rows"] == min(3, logs["predictions"])
+    city, n = spark.read.parquet(f"{r}/logs/aqi_readings").groupBy("city").count().orderBy("city").first()
+    assert cli.main(["logs", "--logs", f"{r}/logs", "--out", f"{r}/a8", "--city", city], spark)["rows"] == min(50, n)
     doc = cli.main(["metrics", "--out", f"{r}/a6", "--sequence", f"{r}/models/fc/metrics", "--arima", f"{r}/none"], spark)
     assert doc == {"sequence_available": True, "classifier_available": False, "arima_available": False}
     rep = cli.main(["report", *files, "--model", f"{r}/models/fc", "--sequence", f"{r}/models/fc/metrics",
