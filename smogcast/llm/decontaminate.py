@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from .hashing import BYTE, U64, byte_set, hash_words, mix, odd
 from .shared import Tables, id_and_text, prepare, slices, utf8
 
-#: Words of a seed, the share of an item's n-grams that are seeds (its rarest), and
-#: the alignment score by the item's words from which a passage counts as a copy.
-GRAM, RARE, SIMILARITY = 3, 0.5, 0.5
+#: Words of a seed, and the alignment score by the item's words from which a passage
+#: counts as a copy.
+GRAM, SIMILARITY = 3, 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Bytes of benchmark text that are broadcast at once; more is done in blocks of items.
 BLOCK_BYTES = 8 << 20
+#: Hits of seeds, and words of passages, that a task looks at together.
+HITS, PASSAGE_WORDS = 1 << 20, 1 << 20
 
 #: Words are runs of ASCII letters, digits and non-ASCII bytes of the lower-cased text.
 _GAP = byte_set((0, 47), (58, 96), (123, 127))
@@ -64,8 +66,9 @@ class Seeds:
         self.words, _, self.first = words_of(texts)
         grams, whole = grams_of(self.words, self.first)
         at = np.flatnonzero(whole)
-        self._sort(grams[at], np.repeat(np.arange(len(item)), np.diff(self.first))[at],
-                   (at - np.repeat(self.first[:-1], np.diff(self.first))[at]))
+        owner = np.repeat(np.arange(len(item)), np.diff(self.first))
+        self._sort(grams[at], owner[at], (at - np.repeat(self.first[:-1], np.diff(self.first))[at]))
+        self.own, self.own_count = np.unique(self.word_key(owner, self.words), return_counts=True)
 
     def _sort(self, gram, owner, place):
         order = np.lexsort((place, owner, gram))
@@ -74,68 +77,80 @@ class Seeds:
         self.filter = np.zeros(1 << self._BITS, bool)
         self.filter[self.distinct >> U64(64 - self._BITS)] = True
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def word_key(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """What tells a word of an item."""
+        return mix(words + mix(item.astype(U64))) if len(words) else words
+
+    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of known n-grams, and which of the distinct ones each is."""
-        at = np.flatnonzero(self.filter[grams >> U64(64 - self._BITS)])
+        grams, whole = grams_of(words, first)
+        at = np.flatnonzero(self.filter[grams >> U64(64 - self._BITS)] & whole)
         if not len(at):
             return at, at
         which = np.minimum(np.searchsorted(self.distinct, grams[at]), len(self.distinct) - 1)
         same = self.distinct[which] == grams[at]
         return at[same], which[same]
 
-    def keep_rare(self, frequency: np.ndarray, share: float) -> None:
-        """Only the rarest share of each item's n-grams stays (ties by hash; one at least)."""
-        often = frequency[np.searchsorted(self.distinct, self.gram)]
-        order = np.lexsort((self.gram, often, self.owner))
-        owner, gram = self.owner[order], self.gram[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
-        rank = np.cumsum(new)
-        head = np.ones(len(order), bool)
-        head[1:] = owner[1:] != owner[:-1]
-        starts = np.flatnonzero(head)
-        rank = rank - np.repeat(rank[starts], np.diff(starts, append=len(order)))
-        most = np.repeat(np.maximum.reduceat(rank, starts) + 1, np.diff(starts, append=len(order))) if len(starts) else rank
-        kept = order[rank < np.ceil(most * share)]
-        self._sort(self.gram[kept], self.owner[kept], self.place[kept])
-
-
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
-    """Best local alignment of two word sequences: score, and the passage's words [start, end) in it."""
-
-    def best(a, b):
-        row, top, end = np.zeros(len(b) + 1), 0.0, 0
-        gaps = -GAP * np.arange(len(b) + 1)
-        for word in a:
-            fresh = np.maximum(row + GAP, 0)
-            fresh[1:] = np.maximum(fresh[1:], row[:-1] + np.where(b == word, MATCH, MISMATCH))
-            row = np.maximum.accumulate(fresh + gaps) - gaps
-            if row.max() > top:
-                top, end = float(row.max()), int(row.argmax())
-        return top, end
-
-    score, end = best(item, passage)
-    _, back = best(item[::-1], passage[:end][::-1])
-    return score, end - back, end
 
+def _best(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
+    """Score of the best local alignment, and where it ends in the passage."""
+    row, top, end = np.zeros(len(passage) + 1), 0.0, 0
+    gaps = -GAP * np.arange(len(passage) + 1)
+    for word in item:
+        fresh = np.maximum(row + GAP, 0)
+        fresh[1:] = np.maximum(fresh[1:], row[:-1] + np.where(passage == word, MATCH, MISMATCH))
+        row = np.maximum.accumulate(fresh + gaps) - gaps
+        if row.max() > top:
+            top, end = float(row.max()), int(row.argmax())
+    return top, end
 
-def _frequency(seeds):
-    """In how many documents of the task each n-gram occurs."""
 
-    def run(batches):
-        known = seeds.value
-        count = np.zeros(len(known.distinct), np.int64)
-        for batch in batches:
-            words, _, first = words_of(batch.column("text"))
-            grams, whole = grams_of(words, first)
-            at, which = known.hits(grams)
-            row = np.searchsorted(first, at, "right") - 1
-            pairs = np.unique(row[whole[at]] * len(count) + which[whole[at]])
-            count += np.bincount(pairs % max(len(count), 1), minlength=len(count))
-        found = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count[found])], ["gram", "n"])
+def align(item: np.ndarray, passage: np.ndarray, least: float = 0.0) -> tuple[float, int, int]:
+    """Best local alignment of two word sequences: score, and the passage's words [start, end) in it.
 
-    return run
+    Where the score is below ``least`` the start is not looked for.
+    """
+    score, end = _best(item, passage)
+    if score < least:
+        return score, end, end
+    _, back = _best(item[::-1], passage[:end][::-1])
+    return score, end - back, end
+
+
+def _spans(row, item, start, end) -> tuple[np.ndarray, ...]:
+    """Passages of a row that overlap and have the same item, as one."""
+    order = np.lexsort((start, item, row))
+    row, item, start, end = (x[order] for x in (row, item, start, end))
+    if not len(row):
+        return row, item, start, end
+    pair = np.ones(len(row), bool)
+    pair[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    # the furthest end so far in the same row and item: pairs are lifted above each other
+    lift = (np.cumsum(pair) - 1) * (int(end.max()) + 1)
+    furthest = np.maximum.accumulate(end + lift) - lift
+    new = pair.copy()
+    new[1:] |= start[1:] > furthest[:-1]
+    at = np.flatnonzero(new)
+    return row[at], item[at], start[at], furthest[np.append(at[1:], len(row)) - 1]
+
+
+def _hopeful(known: Seeds, words: np.ndarray, item, start, end, similarity: float) -> np.ndarray:
+    """Which passages hold enough of their item's words for the score, in any order (an upper bound)."""
+    out = np.zeros(len(item), bool)
+    size = end - start
+    turn = np.cumsum(size) // PASSAGE_WORDS
+    for a, b in zip(*(np.searchsorted(turn, np.unique(turn), side) for side in ("left", "right"))):
+        n = size[a:b]
+        span = np.repeat(np.arange(b - a), n)
+        place = np.repeat(start[a:b], n) + np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
+        key = known.word_key(item[a:b][span], words[place])
+        which = np.minimum(np.searchsorted(known.own, key), len(known.own) - 1)
+        held = known.own[which] == key
+        pair = np.unique(span[held] * len(known.own) + which[held])
+        found = np.bincount(pair // len(known.own), known.own_count[pair % len(known.own)], b - a)
+        out[a:b] = found * MATCH >= similarity * np.diff(known.first)[item[a:b]] * MATCH - 1e-9
+    return out
 
 
 def _copies(seeds, similarity: float):
@@ -144,34 +159,34 @@ def _copies(seeds, similarity: float):
     def run(batches):
         known = seeds.value
         sizes = np.diff(known.first)
+        # an alignment that passes has at most so many of the passage's words left over
+        pads = np.ceil(2 * (1 - similarity) * sizes).astype(np.int64) + 1
         low, high = (np.searchsorted(known.gram, known.distinct, side) for side in ("left", "right"))
         for batch in batches:
             words, place, first = words_of(batch.column("text"))
-            grams, whole = grams_of(words, first)
-            at, which = known.hits(grams)
-            at, which = at[whole[at]], which[whole[at]]
-            n = (high - low)[which]
-            hit = np.repeat(at, n)
-            entry = np.repeat(low[which], n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
-            row = np.searchsorted(first, hit, "right") - 1
-            item = known.owner[entry]
-            pad = sizes[item] // 4 + 4
-            start = np.maximum(hit - known.place[entry] - pad, first[row])
-            end = np.minimum(hit - known.place[entry] + sizes[item] + pad, first[row + 1])
-            order = np.lexsort((start, item, row))
-            out, last = {}, None
-            spans = []
-            for r, i, a, b in zip(*(x[order].tolist() for x in (row, item, start, end))):
-                if last and last[:2] == [r, i] and a <= last[3]:
-                    last[3] = max(last[3], b)
-                else:
-                    last = [r, i, a, b]
-                    spans.append(last)
-            for r, i, a, b in spans:
-                score, x, y = align(known.words[known.first[i]:known.first[i + 1]], words[a:b])
-                score /= max(int(sizes[i]), 1) * MATCH
-                if score >= similarity and score > out.get((r, i), (0,))[0]:
-                    out[r, i] = (score, a + x - int(first[r]), a + y - int(first[r]))
+            at, which = known.hits(words, first)
+            many = (high - low)[which]
+            row_of = np.searchsorted(first, at, "right") - 1
+            total = np.cumsum(np.bincount(row_of, many, len(first) - 1)).astype(np.int64)
+            turn = (total // HITS)[row_of] if len(at) else at
+            out = {}
+            for t in np.unique(turn):               # whole rows, so passages of a row stay together
+                mine = turn == t
+                n = many[mine]
+                hit = np.repeat(at[mine], n)
+                row = np.repeat(row_of[mine], n)
+                entry = np.repeat(low[which[mine]], n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+                item = known.owner[entry]
+                start = np.maximum(hit - known.place[entry] - pads[item], first[row])
+                end = np.minimum(hit - known.place[entry] + sizes[item] + pads[item], first[row + 1])
+                spans = _spans(row, item, start, end)
+                good = _hopeful(known, words, *spans[1:], similarity)
+                for r, i, a, b in zip(*(x[good].tolist() for x in spans)):
+                    size = max(int(sizes[i]), 1) * MATCH
+                    score, x, y = align(known.words[known.first[i]:known.first[i + 1]], words[a:b], similarity * size)
+                    score /= size
+                    if score >= similarity and score > out.get((r, i), (0,))[0]:
+                        out[r, i] = (score, a + x - int(first[r]), a + y - int(first[r]))
             rows = pa.array([r for r, _ in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(rows), pa.array([known.item[i] for _, i in out], pa.int64())]
@@ -185,11 +200,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) for each document that holds a copy of a test item.
 
-    Seeds are the rarest half of each item's word 3-grams, by the number of all
-    documents that hold them, so also an item that is copied everywhere keeps its
-    seeds.  Passages around seeds are aligned with their item; the score is that
-    of the best alignment over the item's number of words (1: a whole copy).
-    A document has one row for an item, its best passage.
+    Seeds are all word 3-grams of each item, however often documents hold them, so
+    whatever an edited or partial copy keeps of an item is a seed; only a copy
+    without three words in a row of its item has none.  Passages around seeds, as
+    wide as an alignment that passes can be, are aligned with their item unless
+    they hold too few of its words; the score is that of the best alignment over
+    the item's number of words (1: a whole copy).  A document has one row for an
+    item, its best passage.
 
     Null or empty texts hold nothing and leak nothing; rows that repeat an id are
     looked at one by one; null ids are carried.  An item of fewer words is one
@@ -205,11 +222,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block).orderBy("doc_id", "text").toArrow()
         seeds = Seeds(part.column("doc_id").to_numpy(), part.column("text").combine_chunks())
-        counted = texts.mapInArrow(_frequency(spark.sparkContext.broadcast(seeds)), "gram long, n long").groupBy(
-            "gram").agg(F.sum("n").alias("n")).toArrow()      # at most the block's n-grams
-        frequency = np.zeros(len(seeds.distinct), np.int64)
-        frequency[counted.column("gram").to_numpy()] = counted.column("n").to_numpy()
-        seeds.keep_rare(frequency, RARE)
         one = tables.store(texts.mapInArrow(
             _copies(spark.sparkContext.broadcast(seeds), similarity),
             "doc_id long, item_id long, score double, first_word long, end_word long"), f"copies{block}")

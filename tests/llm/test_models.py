@@ -64,6 +64,24 @@ def test_a_passage_in_most_documents_is_still_found(spark, docs):
     assert sorted(r.doc_id for r in contaminated(docs(texts), bench).collect()) == list(range(30))
 
 
+def test_edited_and_partial_copies_match_brute_force(spark, docs):
+    rng = random.Random(4)
+    items = [_prose(rng, 36) for _ in range(4)]
+    every = lambda text, k: " ".join("zz" if n % k == k - 1 else w for n, w in enumerate(text.split()))
+    copies = [f(x) for x in items for f in (lambda x: every(x, 4), lambda x: every(x, 5),
+                                            lambda x: " ".join(x.split()[:18]), lambda x: " ".join(x.split()[18:]))]
+    inserted = " ".join(w + " zz" if n % 3 == 2 else w for n, w in enumerate(items[0].split()))
+    texts = [_prose(rng, 40) + " " + c + " " + _prose(rng, 40) for c in copies + [inserted]]
+    texts += [_prose(rng, 60) + " " + " ".join(items[1].split()[:9]) for _ in range(20)]
+    texts += [every(items[2], 4) + " " + _word(rng) for _ in range(2000)]     # one edited copy, over and over
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(docs(texts), bench).collect()}
+    words = lambda text: np.array([zlib.crc32(w.encode()) for w in text.split()], np.uint64)
+    plain = {(d, i): align(words(x), words(t))[0] / 36 for d, t in enumerate(texts[:60]) for i, x in enumerate(items)}
+    assert {k: v for k, v in got.items() if k[0] < 60} == {k: v for k, v in plain.items() if v >= 0.5}
+    assert {d for d, i in got if i == 2 and d >= 37} == set(range(37, 2037))
+
+
 def test_quality_separates_junk_on_held_out_rows(spark, docs, clashing):
     rng = random.Random(4)
     texts, good = [], []
