@@ -15,6 +15,13 @@ windows are always found through their sampled suffix.
 3. Where a 16-gram bucket splits into several stretches, as at the ends of a
    passage, the bucket is refined again, by the 50-byte identifiers of single
    windows, for one document of each stretch: the smallest one.
+
+A 16-gram that very many stretches share, as boilerplate with other text around
+it, is hot: its suffixes are dealt by 16-gram and stretch, and its windows by
+their own identifier, after each group of documents has kept its smallest
+document of each.  So no task has all suffixes or windows of one 16-gram.  Hot
+16-grams are found in a sample; which ones they are decides where rows go,
+never what comes out.
 """
 
 from __future__ import annotations
@@ -41,6 +48,10 @@ UNIT_BYTES = 16 << 20
 #: Bytes of one numpy pass, small enough for the processor's cache.
 PASS_BYTES = 1 << 18
 
+#: One document of so many is sampled for hot 16-grams, those that so many of the sample's
+#: suffixes have; the threshold grows so that at most HOT_MOST are hot.
+HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 32, 100_000
+
 #: Windows of one pass; a place in it has 22 bits.
 _BLOCK, _PLACE = 1 << 21, U64((1 << 22) - 1)
 _A, _B, _C, _D = (U64(x) for x in mix(np.arange(4, dtype=U64) + U64(9 << 20)) | U64(1))
@@ -159,8 +170,44 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(list(rows), schema=_DEALT)
 
 
-def _suffixes(buckets: int, groups: int):
-    """Sampled suffixes by 16-gram; of equal stretches in one unit only the smallest document's goes on."""
+def _grams(batches):
+    """How many documents of the task have each 16-gram of a sampled suffix."""
+    parts = []
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        for x, y in slices(offsets, PASS_BYTES):
+            part = offsets[x:y + 1]
+            row, _, _, gram, _, _ = sampled(data[part[0]:part[-1]], part - part[0])
+            order = np.lexsort((gram, row))
+            parts.append((gram[order] >> _SHORT)[_runs(gram[order], row[order])])
+    gram, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+
+def hot_grams(texts: DataFrame) -> np.ndarray:
+    """Sorted 16-grams (48 bits) that many documents have, by a sample of the documents."""
+    part = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0)
+    counts = part.mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(
+        F.col("n") >= HOT_LEAST)
+    most = counts.orderBy(F.col("n").desc(), "gram").limit(HOT_MOST).toArrow()
+    return np.sort(most.column("gram").to_numpy().astype(np.int64)).view(U64)
+
+
+def _mixed_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a) + b) if len(a) else a
+
+
+def _is_hot(gram: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(gram), bool)
+    return hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram
+
+
+def _suffixes(buckets: int, groups: int, hot):
+    """Sampled suffixes by 16-gram, those of hot ones also by stretch.
+
+    Of equal stretches in one unit only the smallest document's goes on.
+    """
 
     def flush(parts):
         doc, gram, stretch = (np.concatenate(x) for x in zip(*parts))
@@ -170,7 +217,9 @@ def _suffixes(buckets: int, groups: int):
         least = doc[new][np.cumsum(new) - 1]
         later = (doc > least) & _runs(gram, stretch, doc)
         yield from _dealt(_group_of(doc[later], groups), _WHOLE, doc[later], a=stretch[later])
-        yield from _dealt((gram[new] % U64(buckets)).astype(np.int32), _BUCKET, doc[new], a=gram[new], b=stretch[new])
+        gram, stretch, doc = gram[new], stretch[new], doc[new]
+        place = np.where(_is_hot(gram, hot.value), _mixed_key(gram, stretch), gram)
+        yield from _dealt((place % U64(buckets)).astype(np.int32), _BUCKET, doc, a=gram, b=stretch)
 
     def run(batches):
         parts, size = [], 0
@@ -195,7 +244,7 @@ def _read(batches, kinds: tuple) -> list[dict]:
     return [row for batch in batches for row in batch.to_pylist() if row["kind"] in kinds]
 
 
-def _refine(groups: int):
+def _refine(groups: int, hot):
     """Buckets refined to stretches: which are repeated as a whole, which need their single windows."""
 
     def run(batches):
@@ -222,6 +271,7 @@ def _refine(groups: int):
         if len(doc):
             starts = np.flatnonzero(_runs(gram))
             mixed = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))[bucket]
+            mixed |= _is_hot(gram, hot.value)      # other stretches of a hot 16-gram are in other tasks
             yield _rows(_dealt(_group_of(doc[mixed], groups), _SPLIT, doc[mixed], a=stretch[mixed]))
 
     return run
@@ -298,8 +348,65 @@ class _Found:
         return given[same], entry[same]
 
 
-def _contexts(buckets: int):
-    """The bytes of stretches whose bucket was split, dealt by their 16-gram again."""
+def _spans_of(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of adjacent windows: the owner of each, and its first and last place in one number (never 0)."""
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (np.diff(owner) != 0) | (np.diff(place) != 1)
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(owner)) - 1 if len(start) else start
+    return owner[start], (place[start] * 256 + place[stop] + 1).astype(np.uint16)
+
+
+def _each_window(data: np.ndarray, doc, stretch, start, size):
+    """Windows of stretches of one group of documents.
+
+    Returns the stretches with the windows that a smaller document of the group has
+    (doc, stretch, span), and the windows of the group's smallest document of each
+    identifier, which the other groups' must be compared with (doc, stretch, place,
+    identifier).
+    """
+    parts, n = [], size - WINDOW + 1
+    for a, b in slices(np.concatenate([[0], np.cumsum(size)])):
+        offsets = np.concatenate([[0], np.cumsum(size[a:b])])
+        part = np.repeat(start[a:b] - offsets[:-1], size[a:b]) + np.arange(offsets[-1])
+        fifty = _identifiers(data[part])[1]
+        owner = np.repeat(np.arange(a, b), n[a:b])
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+        parts.append((owner, place, fifty[offsets[owner - a] + place]))
+    owner, place, fifty = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((doc[owner], fifty))
+    owner, place, fifty = owner[order], place[order], fifty[order]
+    new = _runs(fifty)
+    later = doc[owner] > doc[owner][new][np.cumsum(new) - 1]
+    own, span = _spans_of(owner[later], place[later])
+    owner, place, fifty = owner[~later], place[~later], fifty[~later]
+    return (doc[own], stretch[own], span), (doc[owner], stretch[owner], place.astype(np.uint8), fifty)
+
+
+_TEXT, _SINGLE = range(2)
+
+
+def _contexts(buckets: int, hot):
+    """The bytes of stretches whose bucket was split, dealt by their 16-gram again.
+
+    Of hot 16-grams the windows instead, dealt by their identifier, and what the
+    group's own documents tell about them.
+    """
+
+    def singles(data, doc, stretch, start, size):
+        (own, of, span), (doc, stretch, place, fifty) = _each_window(data, doc, stretch, start, size)
+        if len(own):
+            made = pa.table({"doc": own, "stretch": of, "span": span})
+            yield int(own[0] % buckets), _RUNS, _ipc(made), b"", 0       # any task hands them on
+        target = (fifty % U64(buckets)).astype(np.int32)
+        order = np.argsort(target, kind="stable")
+        cut = np.append(np.flatnonzero(_runs(target[order])), len(order))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            pick = order[a:b]
+            made = b"".join(x[pick].tobytes() for x in (doc, stretch, fifty, place))
+            yield int(target[pick[0]]), _SINGLE, made, b"", b - a
 
     def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -322,6 +429,10 @@ def _contexts(buckets: int):
         out = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
         doc, gram, stretch, start, size = out
         made = []
+        lone = _is_hot(gram.view(U64), hot.value)
+        if lone.any():
+            made.extend(singles(data, *(x[lone] for x in (doc, stretch, start, size))))
+            doc, gram, stretch, start, size = (x[~lone] for x in (doc, gram, stretch, start, size))
         if len(doc):
             target = (gram % U64(buckets)).astype(np.int32)
             order = np.argsort(target, kind="stable")
@@ -331,8 +442,8 @@ def _contexts(buckets: int):
                 text = b"".join(data[i:i + n].tobytes() for i, n in zip(start[pick].tolist(), size[pick].tolist()))
                 table = pa.table({"doc": doc[pick], "gram": gram[pick], "stretch": stretch[pick],
                                   "size": size[pick].astype(np.uint8)})
-                made.append((int(target[order[a]]), _ipc(table), pa.compress(text, "zstd", asbytes=True), len(text)))
-        return pd.DataFrame(made, columns=["target", "rows", "text", "n"])
+                made.append((int(target[order[a]]), _TEXT, _ipc(table), pa.compress(text, "zstd", asbytes=True), len(text)))
+        return pd.DataFrame(made, columns=["target", "kind", "rows", "text", "n"])
 
     return run
 
@@ -340,14 +451,9 @@ def _contexts(buckets: int):
 def _windows(groups: int):
     """Split buckets refined by the 50-byte identifiers of their windows."""
 
-    def run(batches):
-        tables, texts = [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                tables.append(pa.ipc.open_stream(row["rows"]).read_all())
-                texts.append(np.frombuffer(pa.decompress(row["text"], row["n"], "zstd", asbytes=True), np.uint8))
-        if not tables:
-            return
+    def texts(rows):
+        tables = [pa.ipc.open_stream(row["rows"]).read_all() for row in rows]
+        texts = [np.frombuffer(pa.decompress(row["text"], row["n"], "zstd", asbytes=True), np.uint8) for row in rows]
         doc, gram, stretch, size = (np.concatenate([t.column(c).to_numpy() for t in tables])
                                     for c in ("doc", "gram", "stretch", "size"))
         offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
@@ -364,17 +470,37 @@ def _windows(groups: int):
         owner, place, fifty = owner[order], place[order], fifty[order]
         new = _runs(gram[owner], fifty)
         later = doc[owner] > doc[owner][new][np.cumsum(new) - 1]
-        owner, place = owner[later], place[later]
-        order = np.lexsort((place, owner))
-        owner, place = owner[order], place[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (np.diff(owner) != 0) | (np.diff(place) != 1)
-        start = np.flatnonzero(new)
-        if len(start):
-            stop = np.append(start[1:], len(owner)) - 1
-            span = (place[start] * 256 + place[stop] + 1).astype(np.uint16)   # never 0
-            own = owner[start]
-            yield _rows(_dealt(_group_of(doc[own], groups), _RUNS, doc[own], a=stretch[own], b=span))
+        own, span = _spans_of(owner[later], place[later])
+        return doc[own], stretch[own], span
+
+    def singles(rows):
+        doc, stretch, fifty, place = (np.concatenate([np.frombuffer(r["rows"], kind, r["n"], at * r["n"]) for r in rows])
+                                      for kind, at in ((np.int64, 0), (U64, 8), (U64, 16), (np.uint8, 24)))
+        order = np.lexsort((doc, fifty))
+        new = _runs(fifty[order])
+        later = order[doc[order] > doc[order][new][np.cumsum(new) - 1]]
+        doc, stretch, place = doc[later], stretch[later], place[later].astype(np.int64)
+        order = np.lexsort((stretch, doc))
+        doc, stretch, place = doc[order], stretch[order], place[order]
+        own, span = _spans_of(np.cumsum(_runs(doc, stretch)) - 1, place)
+        first = np.flatnonzero(_runs(doc, stretch))
+        return doc[first][own], stretch[first][own], span
+
+    def run(batches):
+        kept = {_TEXT: [], _SINGLE: []}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == _RUNS:
+                    told = pa.ipc.open_stream(row["rows"]).read_all()
+                    doc, stretch, span = (told.column(c).to_numpy() for c in ("doc", "stretch", "span"))
+                    yield _rows(_dealt(_group_of(doc, groups), _RUNS, doc, a=stretch, b=span))
+                else:
+                    kept[row["kind"]].append(row)
+        for kind, refine in ((_TEXT, texts), (_SINGLE, singles)):
+            if kept[kind]:
+                doc, stretch, span = refine(kept[kind])
+                if len(doc):
+                    yield _rows(_dealt(_group_of(doc, groups), _RUNS, doc, a=stretch, b=span))
 
     return run
 
@@ -444,16 +570,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = docs.where(F.col(f"`{id_col}`").isNotNull())
     texts = id_and_text(known, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    hot = spark.sparkContext.broadcast(hot_grams(texts))
     buckets, groups = math.ceil((size + 1) / BUCKET_BYTES), math.ceil((size + 1) / GROUP_BYTES)
 
     found = tables.store(
-        texts.mapInArrow(_suffixes(buckets, groups), _DEALT_SQL)
-        .repartition(buckets, "target").mapInArrow(_refine(groups), _DEALT_SQL), "found")
+        texts.mapInArrow(_suffixes(buckets, groups, hot), _DEALT_SQL)
+        .repartition(buckets, "target").mapInArrow(_refine(groups, hot), _DEALT_SQL), "found")
     split = found.where(F.col("kind") == _SPLIT)
     packed = texts.mapInArrow(_packed(groups), "target int, rows binary")
     fine = math.ceil((size + 1) / WINDOWS_BYTES)
     contexts = packed.groupBy("target").cogroup(split.groupBy("target")).applyInPandas(
-        _contexts(fine), "target int, rows binary, text binary, n long")
+        _contexts(fine, hot), "target int, kind int, rows binary, text binary, n long")
     runs = tables.store(contexts.repartition(fine, "target").mapInArrow(_windows(groups), _DEALT_SQL), "runs")
 
     others = [c for c in docs.columns if c not in (id_col, text_col)]

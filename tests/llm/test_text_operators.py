@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from smogcast.llm import bpe
+from smogcast.llm import bpe, suffixes
 from smogcast.llm.components import components
 from smogcast.llm.minhash import near_duplicates
 from smogcast.llm.shared import Tables
@@ -115,6 +115,24 @@ def test_remove_repeats_matches_brute_force(spark, docs, clashing):
         assert got[i].text == texts[i] and got[i].target == 1
 
 
+def test_a_passage_with_many_surroundings_is_dealt_to_many_tasks(spark, docs, monkeypatch):
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = some(70)
+    texts = [some(rng.randrange(90)) + passage + some(rng.randrange(90)) for _ in range(2000)]
+    stored, store = {}, Tables.store
+    monkeypatch.setattr(Tables, "store", lambda self, df, name: stored.setdefault(name, store(self, df, name)))
+    for name in ("BUCKET_BYTES", "WINDOWS_BYTES", "GROUP_BYTES"):
+        monkeypatch.setattr(suffixes, name, 1 << 15)
+    got = {r.doc_id: r for r in remove_repeats(docs(texts)).collect()}
+    for i, (n, removed, spans, kept) in enumerate(_cut(texts)):
+        assert (got[i].n_removed, got[i].spans, bytes(got[i].kept)) == (removed, spans, kept), i
+    for name, kind in (("found", suffixes._SPLIT), ("runs", suffixes._RUNS)):
+        n = [r.n for r in stored[name].where(F.col("kind") == kind).groupBy(F.input_file_name()).agg(
+            F.sum(F.octet_length("a") / 6).alias("n")).collect()]
+        assert max(n) < 0.3 * sum(n), (name, n)
+
+
 def test_remove_repeats_of_long_texts_across_passes(spark, docs):
     rng = random.Random(2)
     long = "".join(rng.choice("abcdefgh \n") for _ in range(700_000))
