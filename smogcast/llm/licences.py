@@ -5,6 +5,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,46 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. {}This software is provided by the copyright holders and contributors "
+        "as is and any express or implied warranties, including, but not limited to, the implied warranties of "
+        "merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright {} or "
+        "contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages "
+        "(including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or "
+        "business interruption) however caused and on any theory of liability, whether in contract, strict liability, or "
+        "tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of "
+        "the possibility of such damage.")
+
+# Whole texts that licence files and header blocks are compared with.
+WHOLE = [
+    ("BSD-2-Clause", _BSD.format("", "holder")),
+    ("BSD-3-Clause", _BSD.format("Neither the name of the copyright holder nor the names of its contributors may be used "
+                                 "to endorse or promote products derived from this software without specific prior "
+                                 "written permission. ", "holder")),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the Software), to deal in the Software without restriction, including without "
+            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+            "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+            "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+            "substantial portions of the Software. The Software is provided as is, without warranty of any kind, express "
+            "or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose "
+            "and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or "
+            "other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection "
+            "with the Software or the use or other dealings in the Software."),
+]
+
+#: A passage as long as a template has its licence from this cosine: it isn't diluted by other words.
+PASSAGE = 0.8
+#: A word that passages are laid around, each as a template has it, and a comment's line.
+_ANCHOR = "^(licen[cs]e[ds]?|spdx-license-identifier|permission)$"
+_COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--|$)"
+
 #: What a line must hold to be a notice.
 _NOTICE = "licen[cs]e|permission is hereby granted|copyright"
+_SPOKEN = r"licen[cs]e|permission\W+is\W+hereby\W+granted|copyright"
 _FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 
 
@@ -54,22 +94,42 @@ def _weights(parts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
     return raw.join(size, key).select(key, "word", (F.col("w") / F.col("size")).alias("w"))
 
 
-def nearest_licences(notices: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(notice, licence, score): for each distinct notice with its number ``n``, the most similar template."""
-    parts = notices.select("notice", "n", F.explode(F.array_distinct(_words(F.col("notice")))).alias("word"))
-    known = patterns.withColumn("template", F.col("notice"))
+def _header(text: Column) -> Column:
+    """The comment that a text starts with."""
+    lines = F.split(text, "\n")
+    comments = F.array_position(F.transform(lines, lambda x: F.rlike(x, F.lit(_COMMENT))), F.lit(False))
+    first = F.when(comments > 1, F.array_join(F.slice(lines, 1, (comments - 1).cast("int")), " ")).when(comments == 0, text)
+    return F.when(F.rlike(text, F.lit(r"^\s*/\*")), F.substring_index(text, "*/", 1)).otherwise(first)
+
+
+def _passages(words: Column, places: list[tuple[int, int]]) -> Column:
+    """Runs of words around each anchor: for each (anchor's place, length) of a template."""
+    anchors = F.filter(F.transform(words, lambda x, i: F.when(F.rlike(x, F.lit(_ANCHOR)), i)), lambda i: i.isNotNull())
+    around = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(n).alias("n")) for p, n in places))
+    runs = F.transform(anchors, lambda i: F.transform(around, lambda t: F.when(i >= t["p"], F.array_join(
+        F.slice(words, i - t["p"] + 1, t["n"]), " "))))
+    return F.array_distinct(F.filter(F.flatten(runs), lambda x: x.isNotNull()))
+
+
+def nearest_licences(notices: DataFrame, patterns: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(notice, licence, score): for each distinct notice with its text and number ``n``, the most similar template.
+
+    A notice is told by a digest, since a whole text would go with each of its words.
+    """
+    parts = notices.select("notice", "n", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    known = patterns.withColumn("template", F.sha2("notice", 256))
     total = notices.agg(F.sum("n")).first()[0] or 0
     df = parts.groupBy("word").agg(F.sum("n").alias("df"))
     one = known.select("licence", "template", F.explode(_words(F.col("notice"))).alias("word"))
     idf = df.join(one.select("word").distinct(), "word", "full_outer").select(
         "word", (F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    own = _weights(notices.select("notice", F.explode(_words(F.col("notice"))).alias("word")), "notice", idf)
+    own = _weights(notices.select("notice", F.explode(_words(F.col("text"))).alias("word")), "notice", idf)
     theirs = _weights(one, "template", idf).withColumnRenamed("w", "v")
     score = own.join(theirs, "word").groupBy("notice", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score"))
     score = score.join(known.select("template", "licence"), "template")
     best = score.groupBy("notice").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
     return best.select("notice", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score")).where(
-        F.col("score") >= SIMILAR)
+        F.col("score") >= similar)
 
 
 def scan(files: DataFrame, id_col: str, text_col: str, path: Column, is_licence_file: Column | None = None,
@@ -77,8 +137,12 @@ def scan(files: DataFrame, id_col: str, text_col: str, path: Column, is_licence_
     """(id, path, licence, score, origin, from_path) for each row of ``files``.
 
     Each line of a whole text that speaks of a licence is a notice; equal notices
-    are compared with the templates once.  A file has the licence of its best
-    notice (ties to the smaller licence id), origin ``header``; else that of the
+    are compared with the templates once.  So are the words of a licence file, and
+    of the comment that another text starts with, with whole licence texts.  A file
+    has the licence of its best notice or whole text (ties to the smaller licence
+    id), origin ``header``.  Where there is none, that of the best passage as long
+    as a template, around a word like licence wherever lines end, so a notice may
+    be wrapped or stand in a long line (origin ``header`` too); else that of the
     licence file in its own or the nearest ancestor directory, origin
     ``inherited``; else none.  Of several licence files in a directory the one
     with the best score counts, ties to the smaller licence id, then path.
@@ -98,16 +162,33 @@ def scan(files: DataFrame, id_col: str, text_col: str, path: Column, is_licence_
         found = found.withColumn("named", named)
     lines = F.when(F.rlike("text", F.lit(_NOTICE)), F.filter(
         F.split("text", "\n"), lambda x: F.rlike(x, F.lit(_NOTICE))))
+    places = sorted({(i, len(words)) for (words,) in patterns.select(_words(F.col("notice"))).collect()   # fixed values
+                     for i, x in enumerate(words) if re.match(_ANCHOR, x)})
+    spoken_of = F.rlike("text", F.lit(_SPOKEN))
+    is_named = F.coalesce("named", F.lit(False))
+    words = _words(F.col("text"))
     rows = tables.store(found.select(
-        "id", "path", F.coalesce("named", F.lit(False)).alias("named"),
+        "id", "path", is_named.alias("named"),
         F.array_distinct(F.transform(lines, lambda x: F.array_join(_words(x), " "))).alias("notices"),
+        F.when(spoken_of, F.array_join(_words(F.when(is_named, F.col("text")).otherwise(_header(F.col("text")))), " ")).alias("whole"),
+        (F.when(spoken_of, _passages(words, places)) if places else F.lit(None).cast("array<string>")).alias("passages"),
         F.monotonically_increasing_id().alias("row")), "rows")
+
+    def licensed(spoken, known, name, similar=SIMILAR):
+        spoken = spoken.where("notice != ''").select("row", F.sha2("notice", 256).alias("notice"), F.col("notice").alias("text"))
+        notices = tables.store(spoken.groupBy("notice").agg(F.count("*").alias("n"), F.first("text").alias("text")), f"{name}_notices")
+        nearest = tables.store(nearest_licences(notices, known, similar), f"{name}_nearest")
+        return spoken.join(nearest, "notice").select("row", "licence", "score")
+
     spoken = rows.where(F.size("notices") > 0).select("row", F.explode("notices").alias("notice"))
-    notices = tables.store(spoken.groupBy("notice").agg(F.count("*").alias("n")), "notices")
-    nearest = tables.store(nearest_licences(notices, patterns), "nearest")
-    own = spoken.join(nearest, "notice").groupBy("row").agg(
+    whole = rows.where("whole is not null").select("row", F.col("whole").alias("notice"))
+    sure = tables.store(licensed(spoken, patterns, "lines").union(
+        licensed(whole, spark.createDataFrame(WHOLE, "licence string, notice string"), "whole")), "sure")
+    passages = rows.where(F.size("passages") > 0).join(sure.select("row").distinct(), "row", "left_anti").select(
+        "row", F.explode("passages").alias("notice"))
+    own = sure.union(licensed(passages, patterns, "passages", PASSAGE)).groupBy("row").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
-    marked = tables.store(rows.drop("notices").join(own, "row", "left").select(
+    marked = tables.store(rows.drop("notices", "whole", "passages").join(own, "row", "left").select(
         "id", "path", "named", F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("directory"),
         F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score")), "marked")
 

@@ -53,6 +53,50 @@ def test_licences_by_header_and_nearest_directory(spark, clashing):
     assert scan(spark.createDataFrame([], "id long, p string, text string"), "id", "text", F.col("p")).count() == 0
 
 
+BSD_3 = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE.
+"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_wrapped_one_line_and_whole_licences(spark):
+    code = " ".join(f"var x{i} = {i};" for i in range(60))
+    wrapped = "# Use of this source code\n# is governed by a\n# BSD-style license\n# that is elsewhere\nimport os"
+    rows = [(1, "a/LICENSE", BSD_3.format(THIRD)), (2, "a/x.py", code), (3, "b/LICENSE", BSD_3.format("")),
+            (4, "c/x.js", f"/* Licensed under the Apache License, Version 2.0 */ {code}"), (5, "c/y.py", wrapped),
+            (6, "c/z.py", "".join(f"# {x}\n" for x in BSD_3.format(THIRD).split("\n")) + code),
+            (7, "c/w.txt", "Permission is hereby\ngranted, free of charge, to any person\nobtaining a copy of this software " + code),
+            (8, "c/v.txt", f"{code} you may not pass copies on under the license terms that you were told of {code}")]
+    got = {r.id: (r.licence, r.origin) for r in scan(
+        spark.createDataFrame(rows, "id long, p string, text string"), "id", "text", F.col("p")).collect()}
+    assert got == {1: ("BSD-3-Clause", "header"), 2: ("BSD-3-Clause", "inherited"), 3: ("BSD-2-Clause", "header"),
+                   4: ("Apache-2.0", "header"), 5: ("BSD-3-Clause", "header"), 6: ("BSD-3-Clause", "header"),
+                   7: ("MIT", "header"), 8: (None, None)}
+
+
 @pytest.mark.parametrize("n,width", [(700, 8), (30, 3)])
 def test_top_k_matches_brute_force(spark, clashing, n, width):
     rng = np.random.default_rng(n)
