@@ -13,6 +13,7 @@ from .licences import TEMPLATES, scan
 from .merkle import manifest
 from .minhash import near_duplicates
 from .mtree import top_k
+from .phrases import collocations
 from .quality import quality
 from .suffixes import remove_repeats
 from .toxicity import toxicity
@@ -236,6 +237,42 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules, labelled)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents")).drop("doc_id", "start")
+
+
+_OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+s AS (SELECT *, unnest(range(1, size)) AS cut FROM c),
+x AS (
+  SELECT s.lang, s.phrase, s.a, cut, y.f AS l, z.f AS r, n.n::BIGINT AS n,
+    ((1000::HUGEINT * s.a * n.n::HUGEINT) // (y.f::HUGEINT * z.f))::BIGINT AS score
+  FROM s JOIN n USING (lang)
+  JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(ws[:cut], ' ')
+  JOIN f z ON z.lang = s.lang AND z.phrase = array_to_string(ws[cut + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY s.lang, s.phrase ORDER BY score, cut) = 1),
+b AS (SELECT lang, a, ws, unnest(range(2, size)) AS k FROM c),
+i AS (
+  SELECT DISTINCT lang, a, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM b),
+o AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL),
+q AS (
+  SELECT x.*, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, x.a DESC, x.phrase) AS rank
+  FROM x LEFT JOIN o ON o.lang = x.lang AND o.phrase = x.phrase WHERE longer IS NULL OR 100 * longer < 100 * x.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM q WHERE rank <= 2000
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_read(spark, sf_dir, "documents")).drop("path")
 
@@ -297,7 +334,8 @@ QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_mtree_top_k": op2_mtree_to
            "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality,
            "op6_url_filter": op6_url_filter, "op7_near_duplicates": op7_near_duplicates,
            "op8_chat_format": op8_chat_format, "op9_decontamination": op9_decontamination,
-           "op10_toxicity": op10_toxicity, "op12_merkle_manifest": op12_merkle_manifest}
+           "op10_toxicity": op10_toxicity, "op11_collocations": op11_collocations,
+           "op12_merkle_manifest": op12_merkle_manifest}
 SQL = {"op1_licence_scan": _OP1_SQL, "op2_mtree_top_k": _OP2_SQL, "op3_suffix_dedup": _OP3_SQL,
        "op7_near_duplicates": _OP7_SQL, "op8_chat_format": _OP8_SQL,
-       "op12_merkle_manifest": _OP12_SQL}
+       "op11_collocations": _OP11_SQL, "op12_merkle_manifest": _OP12_SQL}
