@@ -14,6 +14,7 @@ from .merkle import manifest
 from .minhash import near_duplicates
 from .mtree import top_k
 from .phrases import collocations
+from .pii import KINDS, personal_data
 from .quality import quality
 from .suffixes import remove_repeats
 from .toxicity import toxicity
@@ -330,12 +331,22 @@ JOIN f ON f.grp = p.grp AND f.pos = p.pos AND f.k = s.depth + r.height
 """
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda x: x["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+    return personal_data(_read(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_mtree_top_k": op2_mtree_top_k,
            "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality,
            "op6_url_filter": op6_url_filter, "op7_near_duplicates": op7_near_duplicates,
            "op8_chat_format": op8_chat_format, "op9_decontamination": op9_decontamination,
            "op10_toxicity": op10_toxicity, "op11_collocations": op11_collocations,
-           "op12_merkle_manifest": op12_merkle_manifest}
+           "op12_merkle_manifest": op12_merkle_manifest, "op13_personal_data": op13_personal_data}
 SQL = {"op1_licence_scan": _OP1_SQL, "op2_mtree_top_k": _OP2_SQL, "op3_suffix_dedup": _OP3_SQL,
        "op7_near_duplicates": _OP7_SQL, "op8_chat_format": _OP8_SQL,
        "op11_collocations": _OP11_SQL, "op12_merkle_manifest": _OP12_SQL}
