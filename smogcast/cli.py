@@ -217,19 +217,27 @@ def cmd_report(spark, a) -> dict:
 
 
 def cmd_stream(spark, a) -> dict:
-    """T1 + T2: poll files -> status sink and reading/weather logs, every 60 s (or once)."""
+    """Poll files -> status, alerts, current status, reading and weather logs, every 60 s (or once).
+
+    One read of the polls feeds the four logs; with ``--predictions`` the monitor log is kept too.
+    """
     from .streaming import streams as ss
-    polls = ss.dedup_replays(ss.read_payload_stream(spark, a.polls, max_files_per_trigger=a.max_files))
-    status = ss.stream_status(polls, spark.read.parquet(a.master))
-    store = ss.store_batches(f"{a.logs}/aqi_readings", f"{a.logs}/weather_logs")
+    master = ss.master_snapshot(spark, a.master)
+    sinks = [ss.status_batches(master, f"{a.logs}/status"), ss.alert_batches(master, f"{a.logs}/alerts"),
+             ss.latest_batches(master, f"{a.logs}/latest"),
+             ss.store_batches(f"{a.logs}/aqi_readings", f"{a.logs}/weather_logs")]
+    polls = ss.read_payload_stream(spark, a.polls, max_files_per_trigger=a.max_files)
+    streams = [(polls, ss.all_batches(*sinks), f"{a.checkpoint}/polls")]
+    if a.predictions:
+        feed = ss.read_monitor_feed(polls, ss.read_prediction_stream(spark, a.predictions, a.max_files))
+        streams.append((feed, ss.monitor_batches(f"{a.logs}/monitor"), f"{a.checkpoint}/monitor"))
     if a.once:
-        ss.run_available(status, f"{a.logs}/status", f"{a.checkpoint}/status")
-        ss.run_available(polls, None, f"{a.checkpoint}/store", foreach_batch=store)
+        for stream, write, checkpoint in streams:
+            ss.run_available(stream, None, checkpoint, foreach_batch=write)
         return {"status_rows": spark.read.parquet(f"{a.logs}/status").count()}
-    q1 = ss.start_stream(status, f"{a.logs}/status", f"{a.checkpoint}/status")
-    q2 = ss.start_stream(polls, None, f"{a.checkpoint}/store", foreach_batch=store)
+    running = [ss.start_stream(stream, None, checkpoint, foreach_batch=write) for stream, write, checkpoint in streams]
     spark.streams.awaitAnyTermination()
-    return {"stopped": [q1.id, q2.id]}
+    return {"stopped": [q.id for q in running]}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -260,6 +268,7 @@ def parser() -> argparse.ArgumentParser:
         "metrics": [("--out", {}), *documents],
         "report": [("--master", {}), ("--polls", {}), ("--model", {}), ("--out", {}), *documents],
         "stream": [("--master", {}), ("--polls", {}), ("--logs", {}), ("--checkpoint", {}),
+                   ("--predictions", {"default": None, "help": "folder of landed prediction files"}),
                    ("--once", {"action": "store_true"}), ("--max-files", {"type": int, "default": 16})],
     }
     for name, args in spec.items():

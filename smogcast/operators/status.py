@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import city_list, date_text, iso_ts
 from ..functions.risk import health_risk
-from ..session import reliable_checkpoint
 from .tables import dedup_last, last_n, latest_per_city, valid_rows
 
 # Source tags of the status (J3) and of the hybrid forecast input.
@@ -155,47 +154,67 @@ def compare_models(a: DataFrame, b: DataFrame, a_name: str = "a", b_name: str =
         "improvement_pct", F.try_divide(F.col(b_name) - F.col(a_name), F.col(b_name)) * 100.0))
 
 
-def monitor_log(readings: DataFrame, predictions: DataFrame, chunks: int | None = None) -> DataFrame:
-    """Each reading with the newest prediction of its city whose ts is not later.
+#: Seconds of one bucket of the as-of join: a city's rows are dealt by it.
+BUCKET_SECONDS = 3600
+PRED_COLS = ["pred_24h", "pred_48h", "pred_72h"]
 
-    A skew-proof as-of join, all declarative:
 
-    1. the union of readings and predictions is range-partitioned on
-       (city, ts, kind, id): a hot city or day is split over many balanced
-       chunks (the range key is unique, so even one timestamp can split);
-    2. it is checkpointed, which freezes the chunk ids (``spark_partition_id``)
-       and cuts the lineage in the shared checkpoint folder;
-    3. inside each (chunk, city) a window carries the last prediction forward;
-    4. the last prediction of earlier chunks comes from a per-city window over
-       the small (city, chunk) summary table and fills the gaps.
+def asof_predictions(readings: DataFrame, predictions: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """``readings`` (city, ts, event_id, ...) with ``pred``, the newest prediction of the city that is not later.
 
-    A prediction with the same ts as a reading (same poll) counts as not later.
+    Time is cut into buckets of fixed length, so a hot city is as many keys as it has
+    buckets, and the same input is dealt the same way in every run:
+
+    1. the last prediction of each (city, bucket), combined map-side;
+    2. the carry of a (city, bucket) that has readings: the last prediction of the
+       city's earlier buckets, by a window over that table, which holds one small
+       row per city and bucket;
+    3. readings, predictions and carries are dealt once by (city, bucket), and a
+       window takes the last prediction before each reading, the carry first.
+
+    ``pred`` is (pts, pid, pred_24h, pred_48h, pred_72h), null where there is none.
+    A prediction with the same ts as a reading (same poll) counts as not later, of
+    those with the same ts the greatest id.  Without a ts neither a reading nor a
+    prediction has a match.
     """
-    spark = readings.sparkSession
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pred_cols = ["pred_24h", "pred_48h", "pred_72h"]
-    r = readings.select("city", "ts", "event_id", "source", F.col("aqi").alias("aqi_now"),
-                        "pm25", "pm10", "no2", "so2", F.lit(1).alias("_kind"))
-    p = predictions.select("city", "ts", "event_id",
-                           F.struct(F.col("ts").alias("pts"), F.col("event_id").alias("pid"),
-                                    *pred_cols).alias("_pred"),
-                           F.lit(0).alias("_kind"))
-    u = reliable_checkpoint(r.unionByName(p, allowMissingColumns=True)
-                            .repartitionByRange(n, "city", "ts", "_kind", "event_id")
-                            .withColumn("_chunk", F.spark_partition_id()))
-    w_in = (Window.partitionBy("_chunk", "city").orderBy("ts", "_kind", "event_id")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    within = u.withColumn("_in", F.last("_pred", ignorenulls=True).over(w_in)).where(F.col("_kind") == 1)
-    summary = (u.groupBy("city", "_chunk")
-                .agg(F.max_by("_pred", F.when(F.col("_kind") == 0, F.struct("ts", "event_id"))).alias("_last")))
-    w_prev = Window.partitionBy("city").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select("city", "_chunk", F.last("_last", ignorenulls=True).over(w_prev).alias("_carry"))
-    j = within.join(carry, ["city", "_chunk"], "left")
-    best = F.coalesce(F.col("_in"), F.col("_carry"))
-    return j.select(iso_ts("ts").alias("timestamp"), "city", "source", "aqi_now", "pm25", "pm10",
-                    "no2", "so2", health_risk("aqi_now")["level"].alias("risk_now"),
-                    best["pred_24h"].alias("aqi_24h"), best["pred_48h"].alias("aqi_48h"),
-                    best["pred_72h"].alias("aqi_72h"), "event_id")
+    bucket = F.floor(F.unix_micros("ts") / F.lit(bucket_seconds * 1_000_000)).alias("_bucket")
+    null = lambda of: F.lit(None).cast(of)
+    r = readings.withColumns({"_kind": F.lit(1), "_bucket": bucket})
+    pred = F.struct(F.col("ts").alias("pts"), F.col("event_id").cast("long").alias("pid"),
+                    *[F.col(c).cast("double").alias(c) for c in PRED_COLS])
+    p = predictions.where(F.col("ts").isNotNull()).select("city", "ts", F.col("event_id").cast("long").alias("event_id"),
+                                                          pred.alias("pred"), F.lit(0).alias("_kind"), bucket)
+    last = p.groupBy("city", "_bucket").agg(F.max_by("pred", F.struct("ts", "event_id")).alias("_last"))
+    asked = r.select("city", "_bucket").where("_bucket is not null").distinct()
+    marks = last.select("city", "_bucket", "_last", F.lit(0).alias("_asked")).unionByName(
+        asked.select("city", "_bucket", null("struct<pts:timestamp,pid:bigint,pred_24h:double,pred_48h:double,pred_72h:double>")
+                     .alias("_last"), F.lit(1).alias("_asked")))
+    # an asked bucket comes before its own predictions, which are not carried into it
+    earlier = Window.partitionBy("city").orderBy("_bucket", F.desc("_asked")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = marks.withColumn("pred", F.last("_last", ignorenulls=True).over(earlier)).where(
+        "_asked = 1 and pred is not null").select("city", "_bucket", "pred", F.lit(-1).alias("_kind"))
+    feed = r.unionByName(p, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+    so_far = (Window.partitionBy("city", "_bucket").orderBy(F.col("ts").asc_nulls_first(), "_kind", "event_id")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return feed.withColumn("pred", F.last("pred", ignorenulls=True).over(so_far)).where("_kind = 1").drop("_kind", "_bucket")
+
+
+def monitor_columns(joined: DataFrame) -> DataFrame:
+    """The monitor log's columns of readings with their ``pred``."""
+    return joined.select(iso_ts("ts").alias("timestamp"), "city", "source", "aqi_now", "pm25", "pm10", "no2", "so2",
+                         health_risk("aqi_now")["level"].alias("risk_now"), F.col("pred.pred_24h").alias("aqi_24h"),
+                         F.col("pred.pred_48h").alias("aqi_48h"), F.col("pred.pred_72h").alias("aqi_72h"), "event_id")
+
+
+def monitor_readings(readings: DataFrame, *more: str) -> DataFrame:
+    """The columns of a reading that the monitor log keeps."""
+    return readings.select("city", "ts", F.col("event_id").cast("long").alias("event_id"), "source",
+                           F.col("aqi").alias("aqi_now"), "pm25", "pm10", "no2", "so2", *more)
+
+
+def monitor_log(readings: DataFrame, predictions: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Each reading with the newest prediction of its city whose ts is not later (:func:`asof_predictions`)."""
+    return monitor_columns(asof_predictions(monitor_readings(readings), predictions, bucket_seconds))
 
 
 def prediction_actuals(preds: DataFrame, actuals: DataFrame, keys=("city", "pos")) -> DataFrame:

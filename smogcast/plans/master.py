@@ -55,3 +55,13 @@ def write_master(df: DataFrame, path: str, partition_by_year: bool = True) -> No
            .write.mode("overwrite").partitionBy("year").parquet(path))
     else:
         sort_master(df).write.mode("overwrite").parquet(path)
+
+
+def write_clustered(df: DataFrame, path: str) -> None:
+    """K1 for serving: files are ranges of (city, date), sorted inside.
+
+    Each file's and row group's statistics are then tight, so that a filter on cities
+    or dates skips most of them; a city of any size is split over files by its dates.
+    """
+    (df.repartitionByRange("city", "date").sortWithinPartitions("city", "date")
+       .write.mode("overwrite").parquet(path))

@@ -8,12 +8,15 @@ as ``yyyy-MM-dd`` text and timestamps as ISO text, so values compare exactly.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..master import build_master
-from ...session import reliable_checkpoint
+from ..master import build_master, write_clustered
+from ...session import ensure_checkpoint_dir
+from ...streaming.logs import publish, read_newest
 from ...sources import standin as si
 from ...functions.columns import date_text, iso_ts
 
@@ -58,19 +61,22 @@ def fresh_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MASTER: dict = {}
 
 
-def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused series, materialised once per session and scale.
-
-    Production builds the master once (K1) and every query scans it (S3); here
-    a reliable checkpoint in the cluster's checkpoint folder plays that part:
-    queries that use the series several times (fit, sequences, history) read
-    it instead of re-joining the sources, and lost executors recompute nothing
-    upstream of it.
-    """
+def master_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the published fused series, written once per session and scale (K1)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MASTER:
-        _MASTER[key] = reliable_checkpoint(fresh_master(spark, sf_dir))
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/smogcast-master-{uuid.uuid4().hex[:12]}"
+        publish(fresh_master(spark, sf_dir), path, write_clustered)
+        _MASTER[key] = path
     return _MASTER[key]
 
 
+def master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused series as production serves it: Parquet clustered by (city, date), scanned by every query (S3).
+
+    City and date filters reach the scan, and a query reads only its columns.
+    """
+    return read_newest(spark, master_path(spark, sf_dir))
+
+
 MASTER_DOUBLES = ["pm25", "pm10", "no2", "so2", "co", "o3", "aqi"]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 
 
+from pyspark.sql import functions as F
+
 from .. import oracle as O
 from ...operators import tables as tb
 from ...sources import files as fl
 from ...sources import standin as si
 from ...streaming import streams as ss
-from .registry import master, register
+from ...streaming.logs import read_newest
+from .registry import master_path, register
 from .status import LATEST_SQL
 
 
@@ -29,9 +32,17 @@ def landed_polls(spark, sf_dir) -> str:
     return LANDED[key]
 
 
-def _status_stream(spark, sf_dir):
-    return ss.stream_status(ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir))),
-                            master(spark, sf_dir))
+def _run_batches(spark, sf_dir, sink_of, name):
+    """Stream the landed polls into a new sink through ``sink_of(snapshot of the master, path)``."""
+    path = ss.scratch_dir(spark, name)
+    snapshot = ss.master_snapshot(spark, master_path(spark, sf_dir))
+    ss.run_available(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)), None, path + "-checkpoint",
+                     foreach_batch=sink_of(snapshot, path))
+    return path
+
+
+def _log(spark, path):
+    return spark.read.parquet(path).drop("day", "stream", "batch")
 
 
 def run_to_parquet(spark, df, mode="append", foreach_batch=None, name="sink"):
@@ -56,7 +67,7 @@ S_DOUBLES = ["aqi", "pm25", "pm10", "no2"]
 @register("stream_status", O.with_ctes(O.finish("SELECT * FROM sstatus", S_DOUBLES, stamps=["ts"]),
                                        "master", "live", extra=STREAM_CTES))
 def q_stream_status(spark, sf_dir):
-    return spark.read.parquet(run_to_parquet(spark, _status_stream(spark, sf_dir), name="status"))
+    return _log(spark, _run_batches(spark, sf_dir, ss.status_batches, "status"))
 
 
 STREAM_ALERT_SQL = (
@@ -69,32 +80,21 @@ STREAM_ALERT_SQL = (
 @register("stream_alerts", O.with_ctes(O.finish(STREAM_ALERT_SQL, ["aqi"], stamps=["ts"]),
                                        "master", "live", extra=STREAM_CTES))
 def q_stream_alerts(spark, sf_dir):
-    return spark.read.parquet(run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)),
-                                              name="alerts"))
+    return _log(spark, _run_batches(spark, sf_dir, ss.alert_batches, "alerts"))
 
 
 @register("stream_alert_history", O.with_ctes(O.finish(
     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) AS rank "
     f"FROM ({STREAM_ALERT_SQL})) WHERE rank <= 20", ["aqi"], stamps=["ts"]), "master", "live", extra=STREAM_CTES))
 def q_stream_alert_history(spark, sf_dir):
-    sink = run_to_parquet(spark, ss.stream_alerts(_status_stream(spark, sf_dir)), name="alerts")
-    return tb.recent_log(spark.read.parquet(sink), 20, key="city")
-
-
-def _complete_table(path):
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(path)
-    return write
+    return tb.recent_log(_log(spark, _run_batches(spark, sf_dir, ss.alert_batches, "alerts")), 20, key="city")
 
 
 @register("stream_latest", O.with_ctes(O.finish(
     "SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) "
     "AS rn_ FROM sstatus) WHERE rn_ = 1", S_DOUBLES, stamps=["ts"]), "master", "live", extra=STREAM_CTES))
 def q_stream_latest(spark, sf_dir):
-    out = ss.scratch_dir(spark, "latest")
-    run_to_parquet(spark, ss.stream_latest(_status_stream(spark, sf_dir)), mode="complete",
-                    foreach_batch=_complete_table(out), name="latest")
-    return spark.read.parquet(out)
+    return read_newest(spark, _run_batches(spark, sf_dir, ss.latest_batches, "latest"))
 
 
 @register("stream_store", O.with_ctes(O.finish(
@@ -102,10 +102,24 @@ def q_stream_latest(spark, sf_dir):
     "FROM readings", ["aqi", "pm25", "pm10", "no2", "so2", "temperature", "humidity", "wind_speed"],
     stamps=["observed_ts"]), "readings"))
 def q_stream_store(spark, sf_dir):
+    readings, _ = _stored(spark, sf_dir)
+    return fl.read_log(spark, readings, "").drop("ts", "day", "stream", "batch")
+
+
+def _stored(spark, sf_dir):
     readings, weather = ss.scratch_dir(spark, "readings"), ss.scratch_dir(spark, "weather")
-    polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
-    run_to_parquet(spark, polls, foreach_batch=ss.store_batches(readings, weather), name="store")
-    return fl.read_log(spark, readings, "").drop("ts", "stream", "batch")
+    ss.run_available(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)), None, readings + "-checkpoint",
+                     foreach_batch=ss.store_batches(readings, weather))
+    return readings, weather
+
+
+@register("stream_store_weather", O.with_ctes(O.finish(
+    "SELECT city, temperature, humidity, wind_speed, event_id, ts AS observed_ts FROM weather",
+    ["temperature", "humidity", "wind_speed"], stamps=["observed_ts"]), "weather"))
+def q_stream_store_weather(spark, sf_dir):
+    """T2's weather log, by value."""
+    _, weather = _stored(spark, sf_dir)
+    return fl.read_log(spark, weather, "").drop("ts", "day", "stream", "batch")
 
 
 @register("stream_monitor_log", O.with_ctes(O.finish(
@@ -115,8 +129,22 @@ def q_stream_store(spark, sf_dir):
     "FROM readings r ASOF LEFT JOIN predictions p ON r.city = p.city AND r.ts >= p.ts",
     ["aqi_now", "pm25", "pm10", "no2", "so2", "aqi_24h", "aqi_48h", "aqi_72h"]), "readings", "predictions"))
 def q_stream_monitor_log(spark, sf_dir):
-    out = ss.scratch_dir(spark, "monitor")
-    polls = ss.dedup_replays(ss.read_payload_stream(spark, landed_polls(spark, sf_dir)))
-    run_to_parquet(spark, polls, foreach_batch=ss.monitor_batches(si.predictions_log(spark, sf_dir), out),
-                    name="monitor")
-    return spark.read.parquet(out).drop("stream", "batch")
+    """Four batches of both feeds, whose files mix all times: most predictions come after their readings."""
+    root = ss.scratch_dir(spark, "monitor")
+    polls, preds, files = scattered_feeds(spark, sf_dir)
+    most = -(-files // 4)
+    feed = ss.read_monitor_feed(ss.read_payload_stream(spark, polls, max_files_per_trigger=most),
+                                ss.read_prediction_stream(spark, preds, max_files_per_trigger=most))
+    ss.run_available(feed, None, f"{root}/checkpoint", foreach_batch=ss.monitor_batches(root))
+    return ss.read_monitor(spark, root)
+
+
+def scattered_feeds(spark, sf_dir):
+    """Polls and predictions landed as files dealt by id, not by time; their folders and the files of each."""
+    key = ("scattered", spark.sparkContext.applicationId, sf_dir)
+    if key not in LANDED:
+        root, files = ss.scratch_dir(spark, "scattered"), max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        for df, kind in ((si.poll_payloads(spark, sf_dir), "polls"), (si.predictions_log(spark, sf_dir), "preds")):
+            ss.land_payloads(df.repartition(files, F.xxhash64("event_id")), f"{root}/{kind}")
+        LANDED[key] = (f"{root}/polls", f"{root}/preds", files)
+    return LANDED[key]

@@ -128,25 +128,30 @@ def _events_city(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select(F.col("n_name").alias("city"), "ts", "event_id", "event_type", "value", "k"))
 
 
-def aqi_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live AQI payloads as landed (city, ts, event_id, current struct)."""
-    e = _events_city(spark, sf_dir)
+def _aqi_answer() -> Column:
     v = F.col("value")
     fields = [(v * F.lit(f)).alias(n) for n, f in LIVE_FACTORS.items()]
     fields.append(F.when(F.col("event_type") == NO_AQI_EVENT, F.lit(None).cast("double"))
                   .otherwise(v).alias("us_aqi"))
-    return e.select("city", "ts", "event_id", F.struct(*fields).alias("current"))
+    return F.struct(*fields)
+
+
+def _weather_answer() -> Column:
+    k = F.col("k")
+    return F.struct((F.lit(TEMP_BASE) + k * F.lit(TEMP_STEP)).alias("temperature_2m"),
+                    k.alias("relative_humidity_2m"),
+                    (F.col("value") / F.lit(WIND_DIVISOR)).alias("wind_speed_10m"),
+                    (k.cast("int") % 4).alias("weather_code"))
+
+
+def aqi_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live AQI payloads as landed (city, ts, event_id, current struct)."""
+    return _events_city(spark, sf_dir).select("city", "ts", "event_id", _aqi_answer().alias("current"))
 
 
 def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live weather payloads as landed (city, ts, event_id, current struct)."""
-    e = _events_city(spark, sf_dir)
-    k = F.col("k")
-    cur = F.struct((F.lit(TEMP_BASE) + k * F.lit(TEMP_STEP)).alias("temperature_2m"),
-                   k.alias("relative_humidity_2m"),
-                   (F.col("value") / F.lit(WIND_DIVISOR)).alias("wind_speed_10m"),
-                   (k.cast("int") % 4).alias("weather_code"))
-    return e.select("city", "ts", "event_id", cur.alias("current"))
+    return _events_city(spark, sf_dir).select("city", "ts", "event_id", _weather_answer().alias("current"))
 
 
 def live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,10 +205,9 @@ def nation_city_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poll_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One landed poll per event: both API answers (AQI and weather) of one city at one time."""
-    a = aqi_payloads(spark, sf_dir)
-    w = weather_payloads(spark, sf_dir).select("event_id", F.col("current").alias("weather"))
-    return a.join(w, "event_id").select("city", "ts", "event_id", "current", "weather")
+    """One landed poll per event: both API answers (AQI and weather) of one city at one time, one scan."""
+    e = _events_city(spark, sf_dir)
+    return e.select("city", "ts", "event_id", _aqi_answer().alias("current"), _weather_answer().alias("weather"))
 
 
 def poll_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,20 +3,20 @@
 The reference polls an HTTP API every 60 s and stamps processing time; here
 the payloads land as JSON files and a file stream reads them.  Operators:
 
-* T1 ``stream_status``: each poll -> status (live, or history fallback when the
-  poll has no AQI): a stream-static join against the latest history per city.
-* T2 ``store_batches``: ``foreachBatch`` writes readings and weather logs from
-  one cached batch, into a folder per batch id, so a replayed batch overwrites
-  its own output (idempotent).
-* T3 ``stream_latest``: current value per city, ``max_by`` in update mode;
-  state is one row per city.
-* T4 ``stream_alerts``: stateless filter, append mode.
+* T1 ``status_batches``: each poll -> status (live, or history fallback when the
+  poll has no AQI): joined with the latest history per city of the newest
+  snapshot of the master, which each batch looks up.
+* T2 ``store_batches``: readings and weather logs from one cached batch.
+* T3 ``latest_batches``: current status per city, a versioned table of one row per
+  city that each batch is merged into.
+* T4 ``alert_batches``: statuses above a threshold.
 * T5 alert history: the batch view W9 over T4's sink.
-* T6 ``stream_monitor_log``: each micro-batch of readings as-of-joined with the
-  newest predictions (J11) inside ``foreachBatch``.
+* T6 ``monitor_batches``: readings as-of joined (J11) with the predictions that
+  the same stream collects; a prediction that comes late corrects what was logged.
+  ``stream_monitor_state`` is the stateful form for feeds in order.
 
-Addition for correctness (not in the reference): ``dedup_replays`` drops
-payloads seen before, so replayed files are not stored twice.
+Streams are stateless but for the last: replays are dropped where rows are written,
+against the log's own day partitions (:mod:`smogcast.streaming.logs`).
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import alert_text, iso_ts
 from ..functions.risk import health_risk, risk_display
-from ..operators.status import FALLBACK_TAG, LIVE_TAG, monitor_log
-from ..operators.tables import latest_per_city
-from ..session import ensure_checkpoint_dir, reliable_checkpoint
+from ..operators.status import (FALLBACK_TAG, LIVE_TAG, PRED_COLS, asof_predictions, monitor_columns,
+                                monitor_readings)
+from ..operators.tables import dedup_last, latest_per_city
+from ..session import ensure_checkpoint_dir
 from ..sources.files import aqi_payload_fields
 from .. import schemas
+from .logs import Snapshot, append, append_batches, day_of, log_days, new_rows, publish, read_days, read_newest
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -55,28 +57,19 @@ def read_payload_stream(spark: SparkSession, path: str, max_files_per_trigger: i
     return aqi_payload_fields(raw, keep=("event_id", *weather))
 
 
-def dedup_replays(stream: DataFrame) -> DataFrame:
-    """Drop payloads seen before: same city, ts and event id.
-
-    Without a watermark: a poll that comes late, as in a backfill whose files are
-    not in time order, is kept whatever the batch size.  The state is one key per
-    poll, dealt over the state stores by its hash.
-    """
-    return stream.dropDuplicates(["city", "ts", "event_id"])
+def latest_history(master: DataFrame) -> DataFrame:
+    """The fallback side of T1: the latest history row per city."""
+    return latest_per_city(master).select(
+        "city", F.col("aqi").alias("h_aqi"), F.col("pm25").alias("h_pm25"),
+        F.col("pm10").alias("h_pm10"), F.col("no2").alias("h_no2"), F.col("date").alias("h_date"))
 
 
-def stream_status(live_stream: DataFrame, master: DataFrame) -> DataFrame:
-    """Per poll, the live reading if it has an AQI, else the city's latest history row.
+def poll_status(polls: DataFrame, history: DataFrame) -> DataFrame:
+    """Per poll, the live reading if it has an AQI, else the city's latest history row.
 
-    The history side is static and reduced to one row per city before the
-    join, so each micro-batch joins against a #cities-row table.
+    ``history`` (:func:`latest_history`) has one row per city.
     """
-    # Materialised once (reliable checkpoint), not recomputed per micro-batch; a
-    # table of #cities rows with exact statistics, so the planner can broadcast it.
-    hist = reliable_checkpoint(latest_per_city(master).select(
-        "city", F.col("aqi").alias("h_aqi"), F.col("pm25").alias("h_pm25"),
-        F.col("pm10").alias("h_pm10"), F.col("no2").alias("h_no2"), F.col("date").alias("h_date")))
-    j = live_stream.join(hist, "city", "left")
+    j = polls.join(history, "city", "left")
     live = F.col("aqi").isNotNull()
     has_h = F.col("h_aqi").isNotNull()
     aqi = F.when(live, F.col("aqi")).otherwise(F.col("h_aqi"))
@@ -92,6 +85,34 @@ def stream_status(live_stream: DataFrame, master: DataFrame) -> DataFrame:
         "*", hr["level"].alias("risk_level"), hr["color"].alias("risk_color"))
 
 
+def master_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """The master's fallback rows, looked up again by each batch."""
+    return Snapshot(spark, path, latest_history)
+
+
+def status_batches(master: Snapshot, path: str):
+    """``foreachBatch`` function: the status of each new poll, into a log by day."""
+    return append_batches(path, lambda polls: poll_status(polls, master.current()))
+
+
+def alert_batches(master: Snapshot, path: str, threshold: float = 150):
+    """T4: ``foreachBatch`` function: the alerts of each new poll, into a log by day."""
+    return append_batches(path, lambda polls: stream_alerts(poll_status(polls, master.current()), threshold))
+
+
+def latest_batches(master: Snapshot, path: str):
+    """``foreachBatch`` function: merges each batch into the table of the current status per city.
+
+    The table has one row per city and is published as a new version; a replayed
+    batch merges into the same rows again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = poll_status(batch, master.current())
+        before = read_newest(batch.sparkSession, path)
+        publish(dedup_last(rows if before is None else before.unionByName(rows), ["city"], ["ts", "event_id"]), path)
+    return write
+
+
 def stream_alerts(status_stream: DataFrame, threshold: float = 150) -> DataFrame:
     """T4: alert rows as they come (stateless, append mode)."""
     a = status_stream.where(F.col("aqi") > F.lit(float(threshold)))
@@ -100,56 +121,141 @@ def stream_alerts(status_stream: DataFrame, threshold: float = 150) -> DataFrame
                     alert_text("city", "aqi", health_risk("aqi")["level"]).alias("alert_text"))
 
 
-def stream_latest(status_stream: DataFrame) -> DataFrame:
-    """Current status per city (update or complete mode; state = one row per city)."""
-    cols = [c for c in status_stream.columns if c != "city"]
-    return (status_stream.groupBy("city")
-            .agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("s"))
-            .select("city", "s.*"))
+def store_batches(readings_path: str, weather_path: str):
+    """``foreachBatch`` function writing both logs from one cached batch.
 
+    Rows keep the id and time of their poll, as the logs of batch jobs do, and lie in
+    the folder of the poll's day.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stamped = batch.withColumns({"day": day_of("ts"), "observed_ts": F.col("ts"), "ts": F.current_timestamp()})
+        stamped.persist()
+        key = ("city", "observed_ts", "event_id")
+        readings = stamped.where(F.col("aqi").isNotNull()).select(
+            "city", F.lit(LIVE_TAG).alias("source"), "aqi", "pm25", "pm10", "no2", "so2",
+            "temperature", "humidity", "wind_speed", "event_id", "observed_ts", "ts", "day")
+        weather = stamped.select("city", "temperature", "humidity", "wind_speed", "event_id", "observed_ts", "ts", "day")
+        try:
+            for rows, path in ((readings, readings_path), (weather, weather_path)):
+                append(new_rows(rows, batch_id, path, key), batch_id, path)
+        finally:
+            stamped.unpersist()
+    return write
 
-def _batch_folder(batch: DataFrame, batch_id: int) -> str:
-    """Where a micro-batch's rows go in a log: by stream and batch.
 
-    The stream's id comes from its checkpoint, so a replayed batch finds its own
-    folder again and a stream with another checkpoint never another's.
-    """
-    stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-    return f"stream={stream or 'none'}/batch={batch_id}"
+def all_batches(*sinks):
+    """``foreachBatch`` function: one cached read of a batch for several sinks, each of which is safe to repeat."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            for sink in sinks:
+                sink(batch, batch_id)
+        finally:
+            batch.unpersist()
+    return write
 
 
-def store_batches(readings_path: str, weather_path: str):
-    """``foreachBatch`` function writing both logs from one cached batch.
+# ------------------------------------------------------------------ T6: the monitor log
+
+PREDICTION_ROW = "city string, ts timestamp, event_id long, pred_24h double, pred_48h double, pred_72h double"
+_PRED = "struct<pts:timestamp,pid:bigint,pred_24h:double,pred_48h:double,pred_72h:double>"
+MONITOR_ROW = ("city string, ts timestamp, event_id long, source string, aqi_now double, pm25 double, pm10 double, "
+               f"no2 double, so2 double, pred {_PRED}")
+_PARTS = ", day string, stream string, batch long"
+
+
+def read_monitor_feed(polls: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The streams of polls and of predictions as one, told apart by ``is_poll``."""
+    return polls.withColumn("is_poll", F.lit(True)).unionByName(
+        predictions.select("city", "ts", "event_id", *PRED_COLS, F.lit(False).alias("is_poll")), allowMissingColumns=True)
+
 
-    Output folders are keyed by stream and batch and overwritten, so a batch replayed
-    after a failure replaces its own rows instead of adding them twice.  Rows keep
-    the id of their poll, as the logs of batch jobs do.
+def _order(pred: str):
+    return F.struct(F.col(f"{pred}.pts"), F.col(f"{pred}.pid"))
+
+
+def monitor_batches(root: str):
+    """``foreachBatch`` function over :func:`read_monitor_feed`; its tables lie under ``root``.
+
+    1. New predictions go into ``predictions`` by day, and the last one of each city on
+       each day they touch into ``last_predictions`` (one row per city and day).
+    2. New readings take the newest prediction before them, among those of their days
+       and the last ones of earlier days, and go into ``monitor``.
+    3. Logged readings from the first day of a new prediction on are joined with the
+       batch's predictions; those for which one of them is newer than what they have
+       are logged again.
+
+    So the order in which files land doesn't matter.  :func:`read_monitor` takes the
+    row with the newest prediction of each reading.  A batch reads the days it touches
+    and one row per city and day.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.withColumn("day", day_of("ts"))
         batch.persist()
-        folder = _batch_folder(batch, batch_id)
         try:
-            stamp = F.current_timestamp()
-            (batch.where(F.col("aqi").isNotNull())
-                  .select("city", F.lit(LIVE_TAG).alias("source"), "aqi", "pm25", "pm10", "no2", "so2",
-                          "temperature", "humidity", "wind_speed", "event_id", F.col("ts").alias("observed_ts"),
-                          stamp.alias("ts"))
-                  .write.mode("overwrite").parquet(f"{readings_path}/{folder}"))
-            (batch.select("city", "temperature", "humidity", "wind_speed", "event_id",
-                          F.col("ts").alias("observed_ts"), stamp.alias("ts"))
-                  .write.mode("overwrite").parquet(f"{weather_path}/{folder}"))
+            told = batch.where(~F.col("is_poll") & F.col("ts").isNotNull()).select(
+                "city", "ts", F.col("event_id").cast("long").alias("event_id"), *PRED_COLS, "day")
+            fresh = new_rows(told, batch_id, f"{root}/predictions").persist()
+            days = sorted(r["day"] for r in fresh.select("day").distinct().collect())
+            if days:
+                append(fresh, batch_id, f"{root}/predictions")
+                whole = read_days(spark, f"{root}/predictions", days, PREDICTION_ROW + _PARTS)
+                last = dedup_last(whole.drop("stream", "batch"), ["city", "day"], ["ts", "event_id"])
+                (last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day")
+                     .parquet(f"{root}/last_predictions"))
+            readings = monitor_readings(batch.where(F.col("is_poll") & F.col("aqi").isNotNull())
+                                        .withColumn("source", F.lit(LIVE_TAG)), "day")
+            readings = new_rows(readings, batch_id, f"{root}/monitor").persist()
+            asked = sorted(r["day"] for r in readings.select("day").distinct().collect())
+            out = []
+            if asked:
+                out.append(asof_predictions(readings, _known(spark, root, asked)))
+            if days and (logged := _logged(spark, root, days[0], batch_id)) is not None:
+                later = asof_predictions(logged.withColumnRenamed("pred", "had"), fresh)
+                newer = F.col("pred").isNotNull() & (F.col("had").isNull() | (_order("pred") > _order("had")))
+                out.append(later.where(newer).drop("had"))
+            if out:
+                rows = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+                rows = rows.select(*[c.split(" ")[0] for c in MONITOR_ROW.split(", ")], "day")
+                append(rows.repartitionByRange("day", "city", "ts", "event_id"), batch_id, f"{root}/monitor")
+            fresh.unpersist()
+            readings.unpersist()
         finally:
             batch.unpersist()
     return write
 
 
-def monitor_batches(predictions: DataFrame, out_path: str):
-    """``foreachBatch`` function: as-of join each batch of readings with predictions."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        readings = batch.where(F.col("aqi").isNotNull()).withColumn("source", F.lit(LIVE_TAG))
-        monitor_log(readings, predictions).write.mode("overwrite").parquet(
-            f"{out_path}/{_batch_folder(batch, batch_id)}")
-    return write
+def _known(spark: SparkSession, root: str, days: list[str]) -> DataFrame:
+    """Predictions of ``days``, and the last one of each city on each earlier day."""
+    last = spark.read.schema(PREDICTION_ROW + ", day string").parquet(f"{root}/last_predictions") if log_days(
+        spark, f"{root}/last_predictions") else spark.createDataFrame([], PREDICTION_ROW + ", day string")
+    columns = ["city", "ts", "event_id", *PRED_COLS]
+    out = last.where(F.col("day") < F.lit(days[-1])).select(*columns)
+    near = read_days(spark, f"{root}/predictions", days, PREDICTION_ROW + _PARTS)
+    return out if near is None else out.unionByName(near.select(*columns))
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of each logged reading the row with the newest prediction."""
+    return dedup_last(rows.withColumn("order", _order("pred")), ["city", "ts", "event_id", "day"], ["order"]).drop("order")
+
+
+def _logged(spark: SparkSession, root: str, first: str, batch_id: int) -> DataFrame | None:
+    """What earlier batches logged for ``first`` and later days."""
+    from .logs import stream_id
+    days = [d for d in log_days(spark, f"{root}/monitor") if d >= first]
+    rows = read_days(spark, f"{root}/monitor", days, MONITOR_ROW + _PARTS)
+    if rows is None:
+        return None
+    rows = rows.where(~((F.col("stream") == stream_id(spark)) & (F.col("batch") == batch_id)))
+    return _newest(rows.drop("stream", "batch"))
+
+
+def read_monitor(spark: SparkSession, root: str) -> DataFrame:
+    """The monitor log that :func:`monitor_batches` keeps: each reading once, with its newest prediction."""
+    rows = spark.read.schema(MONITOR_ROW + _PARTS).parquet(f"{root}/monitor")
+    return monitor_columns(_newest(rows.drop("stream", "batch")))
 
 
 MONITOR_STATE_SCHEMA = "pts TIMESTAMP, pid LONG, pred_24h DOUBLE, pred_48h DOUBLE, pred_72h DOUBLE"

@@ -62,9 +62,12 @@ def test_no_cartesian_products(q):
 
 def test_as_of_join_has_no_unpartitioned_window_over_rows(q):
     t = q("monitor_log")
-    # every window over the feed is partitioned: by (chunk, city) or by city over the chunk summary
+    # every window over the feed is partitioned: by (city, bucket), or by city over one row a bucket
     assert "Window" in ops(t)
     assert not re.search(r"Arguments: \[[^\]]*\], \[\], \[", t)
+    # whole readings are dealt once, by (city, bucket), and nothing is sampled or written on the way
+    feed = [x for x in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", t) if "pm25" in x]
+    assert len(feed) == 1 and "rangepartitioning" not in t and "Scan ExistingRDD" not in t
 
 
 def test_global_recent_log_is_a_top_k_not_a_global_window(spark, sf_dir):

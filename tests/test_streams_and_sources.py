@@ -22,17 +22,6 @@ def test_store_batches_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(r).count() == 1 and spark.read.parquet(w).count() == 1
 
 
-def test_replayed_payloads_are_dropped(spark, tmp_path, sf_dir):
-    from smogcast.sources import standin as si
-    polls = si.poll_payloads(spark, sf_dir)
-    path = str(tmp_path / "polls")
-    ss.land_payloads(polls.unionByName(polls), path)           # every payload landed twice
-    out = str(tmp_path / "out")
-    s = ss.dedup_replays(ss.read_payload_stream(spark, path))
-    ss.run_available(s, out, out + "-ck")
-    assert spark.read.parquet(out).count() == polls.count()
-
-
 def test_read_first_available_and_metrics(spark, tmp_path):
     p = str(tmp_path / "m")
     spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0)], "city string, date date, aqi double").write.parquet(p)
@@ -156,33 +145,6 @@ def test_checkpoint_dir_is_set_when_the_session_has_none(spark, tmp_path):
             setter(sc._jvm.scala.Option.apply(saved))
 
 
-def test_start_stream_processing_time_trigger(spark, tmp_path, sf_dir):
-    """The production starter (60 s by default; 1 s here so the watermark batch comes quickly)."""
-    from smogcast.sources import standin as si
-    polls = str(tmp_path / "polls")
-    ss.land_payloads(si.poll_payloads(spark, sf_dir), polls, files=2)
-    out = str(tmp_path / "out")
-    q = ss.start_stream(ss.dedup_replays(ss.read_payload_stream(spark, polls)), out, out + "-ck",
-                        every="1 second")
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert spark.read.parquet(out).count() == si.poll_payloads(spark, sf_dir).count()
-
-
-def test_no_poll_is_lost_at_any_batch_size(spark, tmp_path, sf_dir):
-    """Files in shuffled time order: one batch or many, every poll is kept once."""
-    from smogcast.sources import standin as si
-    polls = si.poll_payloads(spark, sf_dir)
-    path = str(tmp_path / "polls")
-    ss.land_payloads(polls, path, files=12)
-    for files in (1, 4, 16):
-        out = str(tmp_path / f"out{files}")
-        ss.run_available(ss.dedup_replays(ss.read_payload_stream(spark, path, files)), out, out + "-ck")
-        assert spark.read.parquet(out).select("event_id").distinct().count() == polls.count()
-
-
 def test_logs_can_be_read_by_the_log_operators(spark, tmp_path):
     from smogcast.operators.status import monitor_log
     from smogcast.operators.tables import recent_predictions, recent_readings

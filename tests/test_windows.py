@@ -114,7 +114,7 @@ def test_monitor_log_asof(spark):
 
 
 def test_monitor_log_hot_city_is_split_and_exact(spark):
-    """One city holds almost every row: chunks split it, results equal a brute-force as-of."""
+    """One city holds almost every row: buckets split it, results equal a brute-force as-of."""
     import numpy as np
     import pandas as pd
     rng = np.random.default_rng(3)
@@ -131,7 +131,7 @@ def test_monitor_log_hot_city_is_split_and_exact(spark):
     rs = "city string, ts timestamp, event_id long, source string, aqi double, pm25 double, pm10 double, no2 double, so2 double"
     ps = "city string, ts timestamp, event_id long, pred_24h double, pred_48h double, pred_72h double"
     got = {r.event_id: r.aqi_24h for r in st.monitor_log(spark.createDataFrame(rows, rs),
-                                                        spark.createDataFrame(preds, ps), chunks=8).collect()}
+                                                        spark.createDataFrame(preds, ps)).collect()}
     rp = pd.DataFrame(rows, columns=["city", "ts", "event_id", "source", "aqi", "a", "b", "c", "d"]).sort_values("ts")
     pp = pd.DataFrame(preds, columns=["city", "ts", "pid", "p24", "p48", "p72"]).sort_values(["ts", "pid"])
     want = pd.merge_asof(rp, pp, on="ts", by="city", direction="backward")
