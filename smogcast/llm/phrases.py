@@ -30,6 +30,8 @@ from .shared import SLICE_BYTES, Tables, prepare, slices, utf8
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: The bitmap of what may be frequent has two to the power of it bits (8 MB), whatever the corpus.
 FILTER_BITS = 26
+#: Shares that one language's phrases are dealt in.
+SALTS = 64
 #: Fingerprints that a task counts before it sends anything.
 BUFFER = 1 << 21
 
@@ -297,7 +299,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     cuts = cuts.join(part.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"])
     cuts = cuts.join(part.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
     whole = lambda name: F.col(name).cast("decimal(18,0)")
-    cuts = cuts.join(table.where("size = 0").select("lang", "n"), "lang").withColumns({
+    # a language may have most phrases: its words are joined in SALTS shares
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    total = table.where("size = 0").select("lang", "n", salts.alias("salt"))
+    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).join(total, ["lang", "salt"]).withColumns({
         "above": F.lit(1000).cast("decimal(4,0)") * whole("a") * whole("n"), "below": whole("l") * whole("r")})
     best = cuts.withColumn("score", F.expr("above div below")).groupBy("lang", "phrase").agg(
         F.min(F.struct("score", "k", "l", "r", "a", "n", "doc_id", "start")).alias("cut")).select("lang", "phrase", "cut.*")
