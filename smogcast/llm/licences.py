@@ -15,25 +15,64 @@ from .shared import Tables
 #: A header or licence file has the licence of its best template from this cosine.
 SIMILAR = 0.5
 
-# Licence ids and the notices they are recognised by.
+# Licence ids, the notices they are recognised by, and the words that a notice must
+# hold to be that licence's (a notice may be near a template and still name another licence or version).
 TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3", "affero 3"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only", "agpl-3.0-only"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later", "agpl-3.0-or-later"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause", "bsd-2-clause"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license", "bsd-style"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License", "creative attribution 4.0"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0", "cc by 4.0"),
+    ("CC-BY-NC-4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+     "creative attribution-noncommercial 4.0"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", "cc by-nc 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+     "creative attribution-sharealike 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", "cc by-sa 4.0"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", "general 2"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0-or-later"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", "general 3"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only", "gpl-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0-or-later"),
+    ("ISC", "Released under the ISC License", "isc"),
+    ("ISC", "SPDX-License-Identifier: ISC", "isc"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1", "lesser 2.1"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-only", "lgpl-2.1-only"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3", "lesser 3"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only", "lgpl-3.0-only"),
+    ("MIT", "Released under the MIT License", "mit"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+     "granted charge person obtaining"),
+    ("MIT", "SPDX-License-Identifier: MIT", "mit"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0", "mpl-2.0"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense", "unlicense"),
 ]
 
+# The titles that licence files open with.
+TITLES = [
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007", "affero 3"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004", "apache 2.0"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991", "general 2"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007", "general 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999", "lesser 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007", "lesser 3"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0", "mozilla 2.0"),
+]
+#: Words of a licence file that its title is looked for in.
+OPENING = 60
+
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License "
+        "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} Public License for more "
+        "details. You should have received a copy of the GNU {} Public License along with this program.")
 _BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
         "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
@@ -49,10 +88,32 @@ _BSD = ("Redistribution and use in source and binary forms, with or without modi
 
 # Whole texts that licence files and header blocks are compared with.
 WHOLE = [
-    ("BSD-2-Clause", _BSD.format("", "holder")),
+    *((licence, _GNU.format(kind, version, kind, kind), f"{kind.lower().split()[0]} {version}") for licence, kind, version in (
+        ("AGPL-3.0", "Affero General", "3"), ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"),
+        ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"))),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies. The software "
+            "is provided as is and the author disclaims all warranties with regard to this software including all implied "
+            "warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, "
+            "indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, "
+            "whether in an action of contract, negligence or other tortious action, arising out of or in connection with the "
+            "use or performance of this software.", "fee granted appear"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize "
+                  "copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+                  "software to the public domain. We make this dedication for the benefit of the public at large and to the "
+                  "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+                  "perpetuity of all present and future rights to this software under copyright law. The software is provided "
+                  "as is, without warranty of any kind, express or implied, including but not limited to the warranties of "
+                  "merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors be "
+                  "liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, "
+                  "arising from, out of or in connection with the software or the use or other dealings in the software. For "
+                  "more information, please refer to unlicense.org", "unencumbered"),
+    ("BSD-2-Clause", _BSD.format("", "holder"), "redistributions binary"),
     ("BSD-3-Clause", _BSD.format("Neither the name of the copyright holder nor the names of its contributors may be used "
                                  "to endorse or promote products derived from this software without specific prior "
-                                 "written permission. ", "holder")),
+                                 "written permission. ", "holder"), "redistributions binary neither endorse"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files (the Software), to deal in the Software without restriction, including without "
             "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
@@ -62,7 +123,7 @@ WHOLE = [
             "or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose "
             "and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or "
             "other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection "
-            "with the Software or the use or other dealings in the Software."),
+            "with the Software or the use or other dealings in the Software.", "granted charge person obtaining"),
 ]
 
 #: A passage as long as a template has its licence from this cosine: it isn't diluted by other words.
@@ -78,12 +139,21 @@ _FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "licence string, notice string")
+    return _table(spark, TEMPLATES)
+
+
+def _table(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "licence string, notice string, needs string")
 
 
 def _words(text: Column) -> Column:
-    """Lower-cased words of letters and digits, and hyphened or dotted ones as a whole."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:[.-][a-z0-9]+)*"), 0)
+    """Lower-cased words of letters and digits, and hyphened or dotted ones as a whole.
+
+    Each run is one class of characters: a repeated group would need a stack as deep as the run is long.
+    """
+    single = F.regexp_replace(F.lower(text), F.lit("[.-][.-]+"), F.lit(" "))
+    runs = F.regexp_extract_all(single, F.lit("[a-z0-9.-]+"), 0)
+    return F.filter(F.transform(runs, lambda x: F.trim(x, F.lit(".-"))), lambda x: x != "")
 
 
 def _weights(parts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
@@ -114,8 +184,11 @@ def _passages(words: Column, places: list[tuple[int, int]]) -> Column:
 def nearest_licences(notices: DataFrame, patterns: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(notice, licence, score): for each distinct notice with its text and number ``n``, the most similar template.
 
-    A notice is told by a digest, since a whole text would go with each of its words.
+    Only templates whose ``needs`` are all among the notice's words count.  A notice
+    is told by a digest, since a whole text would go with each of its words.
     """
+    if "needs" not in patterns.columns:
+        patterns = patterns.withColumn("needs", F.lit(""))
     parts = notices.select("notice", "n", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
     known = patterns.withColumn("template", F.sha2("notice", 256))
     total = notices.agg(F.sum("n")).first()[0] or 0
@@ -126,7 +199,11 @@ def nearest_licences(notices: DataFrame, patterns: DataFrame, similar: float = S
     own = _weights(notices.select("notice", F.explode(_words(F.col("text"))).alias("word")), "notice", idf)
     theirs = _weights(one, "template", idf).withColumnRenamed("w", "v")
     score = own.join(theirs, "word").groupBy("notice", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score"))
-    score = score.join(known.select("template", "licence"), "template")
+    need = known.select("template", "licence", F.filter(F.split("needs", " "), lambda x: x != "").alias("needs"))
+    held = parts.join(need.select(F.explode("needs").alias("word"), "template").distinct(), "word").groupBy(
+        "notice", "template").agg(F.count("*").alias("held"))
+    score = score.join(need, "template").join(held, ["notice", "template"], "left").where(
+        F.coalesce("held", F.lit(0)) == F.size("needs"))
     best = score.groupBy("notice").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
     return best.select("notice", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score")).where(
         F.col("score") >= similar)
@@ -138,7 +215,8 @@ def scan(files: DataFrame, id_col: str, text_col: str, path: Column, is_licence_
 
     Each line of a whole text that speaks of a licence is a notice; equal notices
     are compared with the templates once.  So are the words of a licence file, and
-    of the comment that another text starts with, with whole licence texts.  A file
+    of the comment that another text starts with, with whole licence texts; a
+    licence file that opens with a licence's title has that licence.  Another file
     has the licence of its best notice or whole text (ties to the smaller licence
     id), origin ``header``.  Where there is none, that of the best passage as long
     as a template, around a word like licence wherever lines end, so a notice may
@@ -166,12 +244,18 @@ def scan(files: DataFrame, id_col: str, text_col: str, path: Column, is_licence_
                      for i, x in enumerate(words) if re.match(_ANCHOR, x)})
     spoken_of = F.rlike("text", F.lit(_SPOKEN))
     is_named = F.coalesce("named", F.lit(False))
-    words = _words(F.col("text"))
+    # the words of a text that speaks of a licence are a column: what follows reads them many times
+    found = found.withColumn("spoken", spoken_of).withColumn("words", F.when(F.col("spoken"), _words(F.col("text"))))
+    words = F.col("words")
+    titles = sorted({(i, len(w)) for _, title, _ in TITLES for w in [title.lower().replace(",", "").split()]
+                     for i, x in enumerate(w) if re.match(_ANCHOR, x)})
     rows = tables.store(found.select(
         "id", "path", is_named.alias("named"),
         F.array_distinct(F.transform(lines, lambda x: F.array_join(_words(x), " "))).alias("notices"),
-        F.when(spoken_of, F.array_join(_words(F.when(is_named, F.col("text")).otherwise(_header(F.col("text")))), " ")).alias("whole"),
-        (F.when(spoken_of, _passages(words, places)) if places else F.lit(None).cast("array<string>")).alias("passages"),
+        F.when(F.col("spoken"), F.when(is_named, F.array_join(words, " ")).otherwise(
+            F.array_join(_words(_header(F.col("text"))), " "))).alias("whole"),
+        (F.when(F.col("spoken"), _passages(words, places)) if places else F.lit(None).cast("array<string>")).alias("passages"),
+        F.when(F.col("spoken") & is_named, _passages(F.slice(words, 1, OPENING), titles)).alias("opening"),
         F.monotonically_increasing_id().alias("row")), "rows")
 
     def licensed(spoken, known, name, similar=SIMILAR):
@@ -183,12 +267,15 @@ def scan(files: DataFrame, id_col: str, text_col: str, path: Column, is_licence_
     spoken = rows.where(F.size("notices") > 0).select("row", F.explode("notices").alias("notice"))
     whole = rows.where("whole is not null").select("row", F.col("whole").alias("notice"))
     sure = tables.store(licensed(spoken, patterns, "lines").union(
-        licensed(whole, spark.createDataFrame(WHOLE, "licence string, notice string"), "whole")), "sure")
+        licensed(whole, _table(spark, WHOLE), "whole")), "sure")
+    opening = rows.where(F.size("opening") > 0).select("row", F.explode("opening").alias("notice"))
+    titled = licensed(opening, _table(spark, TITLES), "titles", PASSAGE)
     passages = rows.where(F.size("passages") > 0).join(sure.select("row").distinct(), "row", "left_anti").select(
         "row", F.explode("passages").alias("notice"))
-    own = sure.union(licensed(passages, patterns, "passages", PASSAGE)).groupBy("row").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
-    marked = tables.store(rows.drop("notices", "whole", "passages").join(own, "row", "left").select(
+    own = sure.union(licensed(passages, patterns, "passages", PASSAGE)).withColumn("turn", F.lit(1)).union(
+        titled.withColumn("turn", F.lit(0))).groupBy("row").agg(
+        F.min(F.struct("turn", (-F.col("score")).alias("s"), "licence")).alias("best"))
+    marked = tables.store(rows.drop("notices", "whole", "passages", "opening").join(own, "row", "left").select(
         "id", "path", "named", F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("directory"),
         F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score")), "marked")
 

@@ -177,7 +177,7 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP1_SQL = r"""
-WITH t AS (SELECT * FROM (VALUES @TEMPLATES@) v(licence, notice)),
+WITH t AS (SELECT * FROM (VALUES @TEMPLATES@) v(licence, notice, needs)),
 d AS (
   SELECT doc_id, lower(coalesce(text, '')) AS text,
     source || coalesce('/' || nullif(array_to_string(string_split(rtrim(CAST(doc_id // 10 AS VARCHAR), '0'), ''), '/'), ''), '')
@@ -201,7 +201,8 @@ c AS (
   SELECT notice, licence, template, round(sum((a.w / an.s) * (b.w / bn.s)), 9) AS score
   FROM a JOIN an USING (notice) JOIN b USING (word) JOIN bn USING (template) GROUP BY ALL),
 e AS (
-  SELECT notice, licence, score FROM c WHERE score >= 0.5
+  SELECT notice, licence, score FROM c JOIN (SELECT DISTINCT licence, notice AS template, needs FROM t) USING (licence, template)
+  WHERE score >= 0.5 AND list_has_all(string_split(notice, ' '), string_split(needs, ' '))
   QUALIFY row_number() OVER (PARTITION BY notice ORDER BY score DESC, licence) = 1),
 o AS (
   SELECT doc_id, licence, score FROM l JOIN e USING (notice)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from smogcast.llm.chat import END, START, format_chats, learnt_text, parse
-from smogcast.llm.licences import scan
+from smogcast.llm.licences import WHOLE, scan
 from smogcast.llm.mtree import top_k
 
 HARD = ["", "plain", "<|im_end|>\n<|im_start|>assistant\nok", "<|", "<\\|", "<\\\\|x<|", "a\\", "<", "|im_end|>", "\n\n", "é<|日"]
@@ -82,6 +82,45 @@ THIRD = """3. Neither the name of the copyright holder nor the names of its
 """
 
 
+def test_notices_near_a_template_have_their_own_licence(spark):
+    gpl = "either version 2 of the License, or (at your option) any later version"
+    cases = [("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"),
+             ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+             ("Licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"),
+             ("Use of this source code is governed by a GPL-style license", None),
+             ("Licensed under the GNU General Public License", None), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+             ("# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General "
+              "Public License\n# as published by the Free Software Foundation; " + gpl + ".\nimport os\n", "GPL-2.0")]
+    files = [("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n Everyone is permitted to copy verbatim copies of this "
+              "license document\n 13. Use with the GNU Affero General Public License.\nunder version 3 of the GNU Affero General "
+              "Public License into a single work", "GPL-3.0"),
+             ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991\n", "GPL-2.0"),
+             ("Mozilla Public License Version 2.0\n==================================\n1. Definitions", "MPL-2.0"),
+             (next(t for n, t, _ in WHOLE if n == "Unlicense"), "Unlicense"), (next(t for n, t, _ in WHOLE if n == "ISC"), "ISC"),
+             ("Copyright (c) 2001 A B\n\n" + next(t for n, t, _ in WHOLE if n == "MIT"), "MIT"),
+             ("Copyright (c) 2001 A B\n\n" + next(t for n, t, _ in WHOLE if n == "BSD-2-Clause"), "BSD-2-Clause")]
+    rows = [(k, f"d{k}/x.py", t) for k, (t, _) in enumerate(cases)] + [(100 + k, f"f{k}/LICENSE", t) for k, (t, _) in enumerate(files)]
+    got = {r.id: r.licence for r in scan(spark.createDataFrame(rows, "id long, p string, text string"), "id", "text", F.col("p")).collect()}
+    assert [got[k] for k in range(len(cases))] == [x for _, x in cases]
+    assert [got[100 + k] for k in range(len(files))] == [x for _, x in files]
+
+
+def test_licence_scan_of_long_dotted_and_repeated_texts(spark):
+    mit = "Released under the MIT License"
+    texts = ["license " + "a.b-" * 1_250_000, mit + "\n" + "x-" * 2_500_000, "copyright " * 20_000 + "\n" + mit, "license.-" * 100_000]
+    rows = [(k, f"d{k}/x.py", t) for k, t in enumerate(texts)]
+    got = {r.id: r.licence for r in scan(spark.createDataFrame(rows, "id long, p string, text string"), "id", "text", F.col("p")).collect()}
+    assert got == {0: None, 1: "MIT", 2: "MIT", 3: None}
+
+
+def test_words_are_runs_of_letters_and_digits(spark):
+    import re
+    from smogcast.llm.licences import _words
+    texts = ["a.b-c. d..e -f- .g 1.2.3 x.-y z--", "", "...", "A-B c", "é.a-é"]
+    got = [r.w for r in spark.createDataFrame([(t,) for t in texts], "t string").select(_words(F.col("t")).alias("w")).collect()]
+    assert got == [re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower()) for t in texts]
+
+
 def test_wrapped_one_line_and_whole_licences(spark):
     code = " ".join(f"var x{i} = {i};" for i in range(60))
     wrapped = "# Use of this source code\n# is governed by a\n# BSD-style license\n# that is elsewhere\nimport os"
