@@ -18,7 +18,7 @@ from .pii import KINDS, personal_data
 from .quality import quality
 from .suffixes import remove_repeats
 from .toxicity import toxicity
-from .url_filter import host_of, judge_urls, match_rules, path_of
+from .url_filter import host_of, judge_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -220,7 +220,7 @@ SELECT doc_id, path, coalesce(licence, fl) AS licence, round(coalesce(score, fs)
        CASE WHEN licence IS NOT NULL THEN 'header' WHEN fl IS NOT NULL THEN 'inherited' END AS origin,
        CASE WHEN licence IS NOT NULL THEN path ELSE fp END AS from_path
 FROM m LEFT JOIN i USING (doc_id)
-""".replace("@TEMPLATES@", ", ".join("('{}', '{}')".format(*t) for t in TEMPLATES))
+""".replace("@TEMPLATES@", ", ".join("('{}', '{}', '{}')".format(*t) for t in TEMPLATES))
 
 # The rules, and the words of hosts that are known to be bad.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -228,15 +228,15 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 BAD_HOSTS = "casino|bets|pills|ads-|spam|adult"
 
 
+def url_labels(urls: DataFrame) -> DataFrame:
+    """(url, bad): 1 on hosts of the list of bad words, 0 on all others; what the rules say is no label."""
+    return urls.select("url", F.rlike(host_of(F.col("url")), F.lit(BAD_HOSTS)).cast("int").alias("bad"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled URLs: bad where a known bad host or blocked by a rule, good where a rule allows them."""
     pages = _read(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
-    url = F.col("url")
-    told = match_rules(pages.select("url").withColumns({"host": host_of(url), "path": path_of(url)}), rules)
-    labelled = told.select("url", F.when(F.rlike("host", F.lit(BAD_HOSTS)), 1).when(
-        F.col("action") == "block", 1).when(F.col("action") == "allow", 0).alias("bad"))
-    return judge_urls(pages, rules, labelled)
+    return judge_urls(pages, rules, url_labels(pages))
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

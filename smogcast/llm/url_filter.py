@@ -66,24 +66,52 @@ def lexical(urls: DataFrame) -> DataFrame:
         "marks": _count(url, "%", "_", "~", "+")})
 
 
+#: So many rules, and labels of the longest one's host, are broadcast; more rules are joined by host.
+SMALL_RULES, SMALL_LABELS = 10_000, 8
+#: Shares that a host's rows are dealt in where rules are joined by host.
+SALTS = 16
+
+
+def _last_labels(host: Column, count) -> Column:
+    """The last ``count`` labels of a host; null if it has fewer."""
+    labels = F.split(host, r"\.")
+    return F.when(F.size(labels) >= count, F.substring_index(host, ".", -count))
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` (with host and path) with ``rule`` and ``action`` of the longest rule that fits, else null.
 
     A rule (host, path, action) fits its host and all subdomains, if the path
-    starts with the rule's.  Each distinct host is looked up once, by its parent
-    domains, so a host with a third of all pages costs one lookup.
+    starts with the rule's.  Only as many parent domains of a host are looked at as
+    the longest rule has labels.  Few rules are broadcast and joined once for each
+    number of labels, without moving a URL; else each distinct host is looked up
+    once and joined back in SALTS shares, so a host with a third of all pages is
+    not one task's.
     """
-    own = rules.select(F.col("host").alias("domain"), F.struct(
+    own = rules.where("host is not null and path is not null").select(F.col("host").alias("domain"), F.struct(
         F.length(F.concat("host", "path")).alias("n"), F.concat("host", "path").alias("rule"),
         F.col("path").alias("path"), "action").alias("found"))
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                          lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    own = own.groupBy("domain").agg(F.collect_set("found").alias("fits"))
+    count, most = rules.agg(F.count("*"), F.max(F.size(F.split("host", r"\.")))).first()
+    most = most or 0
+    best = lambda fits: F.array_max(F.filter(fits, lambda r: F.col("path").startswith(r["path"])))
+    if count <= SMALL_RULES and most <= SMALL_LABELS:
+        for k in range(1, most + 1):
+            of_k = own.where(F.size(F.split("domain", r"\.")) == k).select(
+                F.col("domain").alias(f"domain{k}"), F.col("fits").alias(f"fits{k}"))
+            urls = urls.withColumn(f"domain{k}", _last_labels(F.col("host"), k)).join(F.broadcast(of_k), f"domain{k}", "left")
+        none = F.lit(None).cast("struct<n:int,rule:string,path:string,action:string>")
+        found = F.array_max(F.array(none, *[best(f"fits{k}") for k in range(1, most + 1)]))
+        return urls.withColumn("best", found).withColumns({"rule": F.col("best.rule"), "action": F.col("best.action")}).drop(
+            "best", *[f"{c}{k}" for k in range(1, most + 1) for c in ("domain", "fits")])
+    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(F.split("host", r"\.")), F.lit(most))),
+                          lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
     hosts = urls.select("host").where("host != ''").distinct().withColumn("domain", F.explode(parents))
-    known = hosts.join(own, "domain").groupBy("host").agg(F.collect_set("found").alias("fits"))
-    best = F.array_max(F.filter("fits", lambda r: F.col("path").startswith(r["path"])))
-    return urls.join(known, "host", "left").withColumn("best", best).withColumns(
-        {"rule": F.col("best.rule"), "action": F.col("best.action")}).drop("best", "fits")
+    known = hosts.join(own, "domain").groupBy("host").agg(F.flatten(F.collect_list("fits")).alias("fits"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    urls = urls.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+    return urls.join(known, ["host", "salt"], "left").withColumn("best", best("fits")).withColumns(
+        {"rule": F.col("best.rule"), "action": F.col("best.action")}).drop("best", "fits", "salt")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, labelled: DataFrame, id_col: str = "page_id",

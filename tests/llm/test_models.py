@@ -179,6 +179,41 @@ def test_url_parts_and_rules(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].action) == (host, path, best[1], best[2]), url
 
 
+def test_many_rules_are_joined_by_host(spark, monkeypatch):
+    from smogcast.llm import url_filter
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 3 + ["http://" + "a." * 20_000 + "org/x"])], "page_id long, url string")
+    frame = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    few = sorted((r.page_id, r.rule, r.action) for r in match_rules(frame, rules).collect())
+    monkeypatch.setattr(url_filter, "SMALL_RULES", 0)
+    assert sorted((r.page_id, r.rule, r.action) for r in match_rules(frame, rules).collect()) == few
+    assert few[-1][1:] == ("org/", "allow") and match_rules(frame, rules.limit(0)).where("rule is null").count() == len(few)
+
+
+def test_url_verdicts_on_held_out_hosts_for_each_suffix(spark):
+    rng = random.Random(11)
+    bad_words = ["cheap-pills", "casino-win", "best-bets", "free-ads-now", "spam-farm", "adult-chat"]
+    rows = []
+    for i in range(1200):
+        bad = i % 6 == 0
+        name = f"{rng.choice(bad_words)}{rng.randrange(99) if i % 2 else ''}" if bad else _word(rng) + _word(rng)
+        rows.append((i, f"https://{rng.choice(['www.', 'm.', ''])}{name}.example.{('com', 'net')[i % 2]}/{rng.choice(['en', 'es'])}/{i}", int(bad)))
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 0}
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    known = spark.createDataFrame([(u, b) for i, u, b in rows if i not in held], "url string, bad int")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string").where("path = '/none/'")
+    got = {r.page_id: r.verdict == "block" for r in judge_urls(pages, rules, known).collect()}
+    for k in (0, 1):
+        mine = [(got[i], bool(b)) for i, _, b in rows if i in held and i % 2 == k]
+        good = [x for x, b in mine if not b]
+        assert sum(good) <= 0.05 * len(good) and sum(x for x, b in mine if b) >= 0.8 * sum(b for _, b in mine)
+
+
+def test_url_labels_are_not_the_rules(spark):
+    urls = spark.createDataFrame([("http://x.com/de/1",), ("http://x.org/en/1",), ("http://a.casino-win.com/",), (None,)], "url string")
+    assert [r.bad for r in queries.url_labels(urls).collect()] == [0, 0, 1, 0]
+
+
 def test_url_trees_learn_lexical_marks(spark):
     rng = random.Random(9)
     rows = []
