@@ -56,6 +56,40 @@ def test_contaminated_finds_copies_and_leaves_others(spark, docs, clashing):
     assert contaminated(docs([]), bench).count() == 0 and contaminated(docs(texts), bench.limit(0)).count() == 0
 
 
+def test_any_edit_equals_aligning_every_item_with_every_document(spark, docs):
+    rng = random.Random(12)
+    items = [_prose(rng, n) for n in (3, 5, 8, 17, 40, 41)] + ["solo", "two words", "la la la la la la la", ""]
+    texts = ["xx solo yy", "SOLO", "two other words", "so two words here", "two", "la " * 40, "", "la"]
+    for item in items[:6]:
+        words = item.split()
+        every = lambda k, f: " ".join(f(w) if n % k == k - 1 else w for n, w in enumerate(words))
+        texts += [every(2, lambda w: w + " zz"), every(1, lambda w: w + " zz"), every(4, lambda w: "zz"), every(3, lambda w: ""),
+                  " ".join(words[:len(words) // 2]), " ".join(words[-(len(words) // 2):]), " ".join(rng.sample(words, len(words))),
+                  " ".join(words[1:] + words[:1]), every(2, lambda w: w + " zz zz zz"), "x " * 30 + every(5, lambda w: "q q")]
+    texts = [f"{_prose(rng, rng.randint(0, 30))} {t} {_prose(rng, rng.randint(0, 30))}" if i > 7 else t for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(docs(texts), bench).collect()}
+    words = lambda text: np.array([zlib.crc32(w.encode()) for w in text.lower().split()], np.uint64)
+    plain = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            n = len(x.split())
+            if n and (score := align(words(x), words(t))[0]) >= (n if n < 3 else 0.5 * n) - 1e-9:
+                plain[d, i] = score / n
+    assert got == plain and len(plain) > 40 and (0, 6) in plain and (2, 7) not in plain
+
+
+def test_long_texts_are_looked_at_in_stretches(spark, docs, monkeypatch):
+    from smogcast.llm import decontaminate
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    rng = random.Random(13)
+    item = _prose(rng, 30)
+    long = " ".join(_word(rng) if k % 700 else item for k in range(30_000)) + " " + "a.b-" * 200_000
+    bench = spark.createDataFrame([(1, item), (2, _prose(rng, 25))], "item_id long, text string")
+    got = contaminated(docs([long, item]), bench).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == {(0, 1, 1.0), (1, 1, 1.0)}
+
+
 def test_a_passage_in_most_documents_is_still_found(spark, docs):
     rng = random.Random(3)
     item = _prose(rng, 30)
