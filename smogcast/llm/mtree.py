@@ -189,7 +189,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     Vectors that are null, or hold a null or non-finite component, and null ids
     take no part; of rows that repeat an id the smallest vector does; shorter
     vectors end with zeros (an empty one scores zero).  Fewer candidates than
-    ``k`` are all returned; no vectors or queries, no rows.
+    ``k`` are all returned; no vectors or queries, no rows.  Other columns are not
+    read, whatever their names.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -197,9 +198,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
 
     def clean(df: DataFrame) -> DataFrame:
         whole = F.transform(F.col(f"`{vector_col}`"), lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
-        df = df.withColumnRenamed(id_col, "vec_id") if id_col != "vec_id" else df
-        return df.where(_usable(f"`{vector_col}`") & F.col("vec_id").isNotNull()).select(
-            F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+        own = F.col(f"`{id_col}`").cast("long")
+        return df.where(_usable(f"`{vector_col}`") & own.isNotNull()).select(own.alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     base = tables.store(clean(vectors), "vectors")
     asked = tables.store(clean(queries), "queries")

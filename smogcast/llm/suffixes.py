@@ -550,7 +550,7 @@ def _cut(columns: list[str], characters: bool):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   characters: bool = False) -> DataFrame:
+                   characters: bool = False, prefix: str = "") -> DataFrame:
     """Documents without the bytes that a smaller document also has, in runs of 50 bytes or more.
 
     Every byte covered by a 50-byte string that also starts in a document with a
@@ -558,7 +558,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns all columns of ``docs`` (the texts as they were) and n_bytes,
     n_removed, spans (array of [start, end) of the maximal removed runs) and
     kept (binary, the bytes that stay, concatenated).  With ``characters`` a run
-    begins and ends between characters, so that what stays is UTF-8 again.
+    begins and ends between characters, so that what stays is UTF-8 again.  The
+    names of the four begin with ``prefix``; columns of ``docs`` that have one of
+    these names are replaced.
 
     Null or empty texts and texts of less than 50 bytes stay as they are.  Rows
     that repeat an id are parts of one document and never remove from each other;
@@ -583,7 +585,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _contexts(fine, hot), "target int, kind int, rows binary, text binary, n long")
     runs = tables.store(contexts.repartition(fine, "target").mapInArrow(_windows(groups), _DEALT_SQL), "runs")
 
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    results = {n: prefix + n for n in ("n_bytes", "n_removed", "spans", "kept")}
+    others = [c for c in docs.columns if c not in (id_col, text_col, *results.values())]
     carried = {c: f"c{i}" for i, c in enumerate(others)}
     rows = known.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
                         *(F.col(f"`{c}`").alias(n) for c, n in carried.items()))
@@ -593,10 +596,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found.where(F.col("kind") == _WHOLE).union(runs).groupBy("target")).applyInPandas(
         _cut(columns, characters), f"{schema}, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
     back = {"doc_id": id_col, "text": text_col} | {n: c for c, n in carried.items()}
-    result = result.select(*(F.col(n).alias(back[n]) for n in columns), "n_bytes", "n_removed", "spans", "kept")
+    result = result.select(*(F.col(n).alias(back[n]) for n in columns), *(F.col(n).alias(r) for n, r in results.items()))
     loose = docs.where(F.col(f"`{id_col}`").isNull()).select(
         *(F.col(f"`{back[n]}`").alias(back[n]) for n in columns),
-        F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_bytes"),
-        F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<array<long>>").alias("spans"),
-        F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "utf-8").alias("kept"))
+        F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias(results["n_bytes"]),
+        F.lit(0).cast("long").alias(results["n_removed"]), F.array().cast("array<array<long>>").alias(results["spans"]),
+        F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "utf-8").alias(results["kept"]))
     return result.unionByName(loose)

@@ -168,6 +168,26 @@ def test_pipeline_stages_keep_the_columns(spark, sf_dir):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
 
 
+def test_pipeline_keeps_columns_that_clash_and_texts_that_share_an_id(spark, docs, sf_dir):
+    text = " ".join(f"w{i}" for i in range(40))
+    frame = docs([(1, text), (2, text + " end"), (3, "some other words here"), (3, "and one more text"), (3, "and one more text")])
+    for name in ("gone", "__gone", "kept", "spans", "n_bytes", "cut_kept", "turn", "keep", "host", "path", "k"):
+        frame = frame.withColumn(name, F.lit(name))
+    one = corpus_pipeline.keep_one(spark, frame, sf_dir)
+    assert one.columns == frame.columns and sorted(r.doc_id for r in one.collect()) == [1, 3, 3]
+    cut = corpus_pipeline.cut_repeats(spark, frame, sf_dir)
+    assert cut.columns == frame.columns and all(r.kept == "kept" and r.cut_kept == "cut_kept" for r in cut.collect())
+    for stage in (corpus_pipeline.keep_good, corpus_pipeline.drop_leaks):
+        assert stage(spark, frame, sf_dir).columns == frame.columns
+
+
+def test_top_k_reads_only_its_own_columns(spark):
+    rows = [(k, 100 - k, [float(k), 1.0]) for k in range(30)]
+    df = spark.createDataFrame(rows, "my long, vec_id long, embedding array<float>")
+    got = top_k(df, df.where("my = 3"), 2, id_col="my").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(3, 1, 29), (3, 2, 28)]
+
+
 def test_pipeline_cuts_what_brute_force_cuts(spark, docs, sf_dir):
     shared = "éa" * 40
     frame = docs(["head " + shared, shared + " tail", (None, shared), None, ""])

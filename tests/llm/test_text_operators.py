@@ -108,11 +108,13 @@ def _cut(texts):
 
 def test_remove_repeats_matches_brute_force(spark, docs, clashing):
     texts = _texts(3)
-    frame = clashing(docs(texts)).drop("spans", "kept")
-    got = {r.doc_id: r for r in remove_repeats(frame).collect()}
+    frame = clashing(docs(texts)).withColumn("n_bytes", F.lit("x")).withColumn("n_removed", F.lit("x"))
+    got = {r.doc_id: r for r in remove_repeats(frame).collect()}          # results replace columns of their names
     for i, (n, removed, spans, kept) in enumerate(_cut(texts)):
         assert (got[i].n_bytes, got[i].n_removed, got[i].spans, bytes(got[i].kept)) == (n, removed, spans, kept), i
         assert got[i].text == texts[i] and got[i].target == 1
+    own = remove_repeats(frame, prefix="cut_").collect()                  # or are told apart
+    assert all((r.n_bytes, r.kept, r.cut_n_bytes, bytes(r.cut_kept)) == ("x", 1, got[r.doc_id].n_bytes, bytes(got[r.doc_id].kept)) for r in own)
 
 
 def test_a_passage_with_many_surroundings_is_dealt_to_many_tasks(spark, docs, monkeypatch):
