@@ -14,10 +14,18 @@ from smogcast.llm.shared import Tables
 from smogcast.llm.suffixes import remove_repeats
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``docs`` has or begins with."""
+    while any(c.startswith(name) for c in docs.columns):
+        name = "_" + name
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` but for the ids of ``gone``; rows without an id stay."""
-    gone = gone.select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = _free(docs, "gone")
+    gone = gone.select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +35,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the smallest id; of a repeated id the smallest text."""
+    """One document of each near-duplicate group stays, the smallest id; rows that repeat an id and its text go."""
     left = _without(docs, near_duplicates(docs).where(~F.col("kept")))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("__turn", turn).where("__turn = 1 or doc_id is null").drop("__turn")
+    turn = _free(docs, "turn")
+    same = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
+    left = left.withColumn(turn, F.row_number().over(same))
+    return left.where((F.col(turn) == 1) | F.col("doc_id").isNull()).drop(turn)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a smaller document also has are cut, by whole characters."""
-    done = remove_repeats(docs, characters=True)
-    text = F.when(F.col("text").isNotNull(), F.decode("kept", "utf-8"))
+    prefix = _free(docs, "cut_")
+    done = remove_repeats(docs, characters=True, prefix=prefix)
+    text = F.when(F.col("text").isNotNull(), F.decode(f"{prefix}kept", "utf-8"))
     return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
