@@ -102,7 +102,7 @@ def cmd_backtest(spark, a) -> dict:
     summary = summarise_metrics(per_city)
     result = summary.first().asDict()
     if not result["cities_trained"]:
-        raise RuntimeError("No city had sufficient data to train the ARIMA baseline")
+        raise RuntimeError("every city has too short a series for a backtest")
     write_metrics(arima_metrics_doc(per_city, summary, order), a.out)
     return result
 

@@ -231,8 +231,9 @@ def current_weather(weather: DataFrame, cities: DataFrame) -> DataFrame:
                                         F.concat(F.lit("Weather data unavailable for "), F.col("city"))))
 
 
-def report_summary(status: DataFrame, forecast: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One nested document per city with its generation time.
+def report_summary(status: DataFrame, forecast: DataFrame, metrics: DataFrame,
+                   generated: datetime | None = None) -> DataFrame:
+    """One nested document per city with its generation time (now, unless it is given).
 
     ``metrics`` is one row (the model metrics document); a one-row side is a
     proven-size broadcast.
@@ -241,7 +242,7 @@ def report_summary(status: DataFrame, forecast: DataFrame, metrics: DataFrame) -
     fc = forecast.select("city", F.struct(*[c for c in forecast.columns if c != "city"]).alias("forecast"))
     m = metrics.select(F.struct(*metrics.columns).alias("model_metrics"))
     # one generation time, fixed on the driver: the same in every action on the result
-    generated = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    generated = (generated or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     return (st.join(fc, "city", "left").crossJoin(F.broadcast(m))
               .select(F.lit(generated).alias("generated_at"),
                       "city", "current_status", "forecast", "model_metrics"))

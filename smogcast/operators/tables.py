@@ -37,7 +37,7 @@ def require_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Analysis-time check; raises naming the missing columns."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required pollutant columns: {missing}")
+        raise ValueError(f"columns not in the input: {missing}")
     return df
 
 

@@ -126,16 +126,22 @@ def q_model_metrics(spark, sf_dir):
                      F.col("arima_metrics.cities_trained").alias("arima_cities"))
 
 
-@register("report_summary")
+@register("report_summary", (
+    "SELECT s.city, 'report_summary_' || replace(s.city, ' ', '_') || '_' || strftime((SELECT date_trunc('day', max(ts)) "
+    "FROM events), '%Y%m%d_%H%M%S') || '.json' AS file, s.source, s.aqi, p.pred_24h, true AS classifier_available "
+    f"FROM ({SQL['current_status']}) s LEFT JOIN ({SQL['predict']}) p ON p.city = s.city WHERE s.error IS NULL"))
 def q_report_summary(spark, sf_dir):
+    """The reports of the feed's last day, exported as JSON and read back."""
     from .. import reports as rp
-    from ..sinks import export_report
+    from ..sinks import export_report, read_reports
     mm = rp.model_metrics(spark, _metrics_root(spark, sf_dir))
-    rep = st.report_summary(tb.valid_rows(status_frame(spark, sf_dir)), prediction_frame(spark, sf_dir), mm)
-    named = export_report(rep, ss.scratch_dir(spark, "reports"))
-    return named.select("city", "file", F.col("current_status.source").alias("source"),
-                        F.col("current_status.aqi").alias("aqi"), F.col("forecast.pred_24h").alias("pred_24h"),
-                        F.col("model_metrics.classifier_available").alias("classifier_available"))
+    last = si.poll_rows(spark, sf_dir).agg(F.date_trunc("day", F.max("ts"))).first()[0]
+    rep = st.report_summary(tb.valid_rows(status_frame(spark, sf_dir)), prediction_frame(spark, sf_dir), mm, last)
+    out = ss.scratch_dir(spark, "reports")
+    return read_reports(spark, out, export_report(rep, out)).select(
+        "city", "file", F.col("current_status.source").alias("source"),
+        F.col("current_status.aqi").alias("aqi"), F.col("forecast.pred_24h").alias("pred_24h"),
+        F.col("model_metrics.classifier_available").alias("classifier_available"))
 
 
 # ------------------------------------------------------------------ S5/S6 batch, U2, F23, F26

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import read_metrics
+from ..sources.files import read_metrics_runs
 
 
 def sequence_metrics_doc(evaluation: DataFrame, profile: DataFrame, validation: DataFrame,
@@ -49,18 +49,34 @@ def classifier_metrics_doc(metrics: DataFrame, features) -> DataFrame:
 def model_metrics(spark: SparkSession, root: str | None = None, paths: dict | None = None) -> DataFrame:
     """The three documents side by side with availability flags (one row).
 
-    They lie below ``root``, or at the ``paths`` given; one without a path is unavailable.
+    They lie below ``root``, or at the ``paths`` given; one without a path is
+    unavailable.  Of several documents of a kind the one of the last run (by name)
+    that can be read counts; :func:`metrics_runs` has them all.
     """
     kinds = ("sequence", "classifier", "arima")
     paths = paths or {k: f"{root}/{k}" for k in kinds}
-    docs = {k: read_metrics(spark, paths[k], k) if paths.get(k) else None for k in kinds}
+    docs = {}
+    for k in kinds:
+        runs = read_metrics_runs(spark, paths[k], k) if paths.get(k) else None
+        last = None if runs is None else runs.where(F.col("document").isNotNull()).agg(F.max_by("document", "run").alias("last"))
+        docs[k] = None if last is None or last.where(F.col("last").isNull()).count() else last.select("last.*")
     cols = []
     for k, df in docs.items():
         cols.append(F.lit(df is not None).alias(f"{k}_available"))
     row = spark.range(1).select(*cols)
     for k, df in docs.items():
         if df is not None:
-            row = row.crossJoin(F.broadcast(df.select(F.struct(*df.columns).alias(f"{k}_metrics")).limit(1)))
+            row = row.crossJoin(F.broadcast(df.select(F.struct(*df.columns).alias(f"{k}_metrics"))))   # one row
         else:
             row = row.withColumn(f"{k}_metrics", F.lit(None).cast("string"))
     return row
+
+
+def metrics_runs(spark: SparkSession, paths: dict) -> DataFrame:
+    """Every metrics document: (kind, run, document as JSON, bad); ``bad`` is the text of one that can't be read."""
+    out = spark.createDataFrame([], "kind string, run string, document string, bad string")
+    for kind, path in sorted(paths.items()):
+        runs = read_metrics_runs(spark, path, kind)
+        if runs is not None:
+            out = out.unionByName(runs.select(F.lit(kind).alias("kind"), "run", F.to_json("document").alias("document"), "bad"))
+    return out

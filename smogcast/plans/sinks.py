@@ -61,18 +61,29 @@ def write_metrics(df: DataFrame, path: str) -> None:
 def export_report(df: DataFrame, out_dir: str) -> DataFrame:
     """K6: one JSON report per city, file name column ``report_summary_<city>_<stamp>.json``.
 
-    Written partitioned by the name column, so each city's document lands in
-    its own folder; returns the rows with their names.
+    The stamp is the documents' own generation time (without one, now), so the same
+    documents have the same names and an export that is repeated replaces itself.  Written partitioned by
+    the name column, each city's document in its own folder; the folder is complete when
+    its ``_SUCCESS`` file is there.  Returns the rows with their names.
     """
-    # one generation time for the whole export, fixed before the write, so the
-    # returned names are the written ones (current_timestamp() would be
-    # re-evaluated by every later action on the returned frame)
-    stamp = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    named = df.withColumn("file", report_name("city", F.lit(stamp).cast("timestamp")))
+    now = F.lit(datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))     # fixed before the write
+    stamp = F.col("generated_at") if "generated_at" in df.columns else now
+    named = df.withColumn("file", report_name("city", F.to_timestamp(stamp)))
     named.write.mode("overwrite").partitionBy("file").json(out_dir)
     return named
 
 
+def read_reports(spark: SparkSession, out_dir: str, like: DataFrame) -> DataFrame:
+    """K6 read back: the exported documents in the columns of ``like`` (what :func:`export_report` returned)."""
+    return spark.read.schema(like.schema).json(out_dir)
+
+
+def report_manifest(reports: DataFrame) -> DataFrame:
+    """(file, city, sha256) of each document: what an export holds, to compare two exports by."""
+    return reports.select("file", "city", F.sha2(F.to_json(F.struct(
+        *[c for c in reports.columns if c != "file"])), 256).alias("sha256"))
+
+
 def export_rows(master: DataFrame, n: int = 90, city: str | None = None) -> DataFrame:
     """K7 rows: last ``n`` rows per city with the external column names and date text."""
     rows = last_n(master.where(F.col("date").isNotNull()), n)

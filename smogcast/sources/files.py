@@ -7,6 +7,7 @@ and pushes filters.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,7 +76,6 @@ def read_first_available(spark: SparkSession, paths, fmt: str = "parquet") -> Da
     Resolving a read lists the path (no data is scanned), so a missing path
     fails at once with ``PATH_NOT_FOUND`` and the next candidate is tried.
     """
-    from pyspark.errors import AnalysisException
     for p in paths:
         try:
             df = read_master(spark, p, fmt)
@@ -84,7 +84,7 @@ def read_first_available(spark: SparkSession, paths, fmt: str = "parquet") -> Da
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
                 raise
-    raise FileNotFoundError(f"No dataset found. Expected one of: {list(paths)}")
+    raise FileNotFoundError(f"none of these paths exists: {list(paths)}")
 
 
 def _with_event_id(schema: T.StructType) -> T.StructType:
@@ -141,15 +141,37 @@ METRICS_SCHEMAS = {"classifier": CLASSIFIER_METRICS_SCHEMA, "arima": ARIMA_METRI
                    "sequence": SEQUENCE_METRICS_SCHEMA}
 
 
-def read_metrics(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
-    """Nested metrics JSON; a missing or unreadable file gives ``None``."""
+def read_metrics_runs(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """Every metrics document below ``path``, one row each: (run, document, bad).
+
+    ``run`` is the name of the document's file; a document that is no JSON of the
+    kind's schema, or holds none of its fields, is kept as ``bad`` text with a null
+    ``document``.  A path that does not exist gives ``None``.
+    """
+    names = T.StructType.fromDDL(METRICS_SCHEMAS[kind]).fieldNames()
+    # Spark's reader splits no multi-line document, and says which one it could not parse
+    reader = (spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "bad_record"))
     try:
-        df = (spark.read.option("multiLine", True).option("mode", "FAILFAST")
-              .schema(METRICS_SCHEMAS[kind]).json(path))
-        df.limit(1).collect()   # existence/format probe on one record only
-        return df
-    except Exception:  # noqa: BLE001 - the reference maps any failure to "none"
+        rows = reader.schema(METRICS_SCHEMAS[kind] + ", bad_record STRING").json(path)
+        run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        rows = rows.select(run.alias("run"), "bad_record", F.struct(*names).alias("document"))
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+            raise
+        return None
+    empty = F.forall(F.array(*[F.col(f"document.{n}").isNull() for n in names]), lambda x: x)
+    bad = F.coalesce("bad_record", F.when(empty, F.lit("no field of the kind")))
+    return rows.select("run", F.when(bad.isNull(), F.col("document")).alias("document"), bad.alias("bad"))
+
+
+def read_metrics(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """The metrics documents that can be read, in their own columns; none readable or no path gives ``None``."""
+    runs = read_metrics_runs(spark, path, kind)
+    if runs is None:
         return None
+    good = runs.where(F.col("document").isNotNull()).select("document.*")
+    return good if good.limit(1).count() else None
 
 
 def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -95,3 +95,18 @@ def test_export_report_names_and_content(spark, tmp_path):
     assert folders == ["file=" + n for n in names]     # returned names are the written ones
     back = spark.read.json(str(tmp_path / "reports"))
     assert {r.city: r.aqi for r in back.collect()} == {"New Delhi": 153.0, "Pune": 70.0}
+
+
+def test_the_same_reports_have_the_same_names_and_manifest(spark, tmp_path):
+    rows = [("New Delhi", 153.0, "2024-01-30T05:06:07.000000Z"), ("Pune", 70.0, "2024-01-30T05:06:07.000000Z")]
+    df = spark.createDataFrame(rows, "city string, aqi double, generated_at string")
+    manifests = []
+    for _ in range(2):                       # the second export replaces the first
+        named = sinks.export_report(df, str(tmp_path / "r"))
+        back = sinks.read_reports(spark, str(tmp_path / "r"), named)
+        assert back.count() == 2 and back.columns == named.columns
+        manifests.append(sorted(map(tuple, sinks.report_manifest(back).collect())))
+    assert manifests[0] == manifests[1] == sorted(map(tuple, sinks.report_manifest(named).collect()))
+    assert {m[0] for m in manifests[0]} == {f"report_summary_{c}_20240130_050607.json" for c in ("New_Delhi", "Pune")}
+    other = sinks.report_manifest(named.withColumn("aqi", F.lit(1.0))).collect()
+    assert not {r.sha256 for r in other} & {m[2] for m in manifests[0]}

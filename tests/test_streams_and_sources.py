@@ -160,3 +160,21 @@ def test_logs_can_be_read_by_the_log_operators(spark, tmp_path):
     assert [x.event_id for x in recent_readings(r).collect()] == [7]
     assert [x.event_id for x in recent_predictions(p).collect()] == [6]
     assert [(x.aqi_now, x.aqi_24h, x.aqi_72h) for x in monitor_log(r, p).collect()] == [(50.0, 1.0, 3.0)]
+
+
+def test_metrics_documents_of_several_runs_one_broken(spark, tmp_path):
+    from smogcast.plans import reports as rp
+    root = tmp_path / "arima"
+    root.mkdir()
+    doc = {"model": "ARIMA", "order": [2, 1, 2], "cities_trained": 1, "aggregate": {"mae_mean": 1.0}, "per_city": {}}
+    for name, text in (("run-1.json", json.dumps(doc, indent=2)), ("run-2.json", json.dumps({**doc, "cities_trained": 7})),
+                       ("run-3.json", '{"model": "ARIMA", "order": [2,'), ("run-4.json", '{"other": 1}')):
+        (root / name).write_text(text)
+    runs = {r.run: r for r in fl.read_metrics_runs(spark, str(root), "arima").collect()}
+    assert {k: r.bad is None for k, r in runs.items()} == {"run-1.json": True, "run-2.json": True, "run-3.json": False, "run-4.json": False}
+    assert sorted(r.cities_trained for r in fl.read_metrics(spark, str(root), "arima").collect()) == [1, 7]
+    row = rp.model_metrics(spark, paths={"arima": str(root), "classifier": str(tmp_path / "none")}).first()
+    assert (row.arima_available, row.classifier_available, row.arima_metrics.cities_trained) == (True, False, 7)
+    every = rp.metrics_runs(spark, {"arima": str(root), "sequence": str(tmp_path / "none")}).collect()
+    assert sorted((r.kind, r.run) for r in every if r.document is None) == [("arima", "run-3.json"), ("arima", "run-4.json")]
+    assert len(every) == 4 and fl.read_metrics(spark, str(root / "run-3.json"), "arima") is None
