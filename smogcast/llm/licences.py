@@ -184,11 +184,10 @@ def _passages(words: Column, places: list[tuple[int, int]]) -> Column:
 def nearest_licences(notices: DataFrame, patterns: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(notice, licence, score): for each distinct notice with its text and number ``n``, the most similar template.
 
-    Only templates whose ``needs`` are all among the notice's words count.  A notice
-    is told by a digest, since a whole text would go with each of its words.
+    Templates with ``needs`` (words) count only for notices that hold all of them;
+    only such pairs are compared.  A notice is told by a digest, since a whole text
+    would go with each of its words.
     """
-    if "needs" not in patterns.columns:
-        patterns = patterns.withColumn("needs", F.lit(""))
     parts = notices.select("notice", "n", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
     known = patterns.withColumn("template", F.sha2("notice", 256))
     total = notices.agg(F.sum("n")).first()[0] or 0
@@ -196,14 +195,19 @@ def nearest_licences(notices: DataFrame, patterns: DataFrame, similar: float = S
     one = known.select("licence", "template", F.explode(_words(F.col("notice"))).alias("word"))
     idf = df.join(one.select("word").distinct(), "word", "full_outer").select(
         "word", (F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    own = _weights(notices.select("notice", F.explode(_words(F.col("text"))).alias("word")), "notice", idf)
     theirs = _weights(one, "template", idf).withColumnRenamed("w", "v")
-    score = own.join(theirs, "word").groupBy("notice", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score"))
-    need = known.select("template", "licence", F.filter(F.split("needs", " "), lambda x: x != "").alias("needs"))
-    held = parts.join(need.select(F.explode("needs").alias("word"), "template").distinct(), "word").groupBy(
-        "notice", "template").agg(F.count("*").alias("held"))
-    score = score.join(need, "template").join(held, ["notice", "template"], "left").where(
-        F.coalesce("held", F.lit(0)) == F.size("needs"))
+    if "needs" in patterns.columns:
+        need = known.select("template", F.array_distinct(F.split("needs", " ")).alias("needs"))
+        held = parts.select("notice", "word").join(need.select(
+            F.explode("needs").alias("word"), "template", F.size("needs").alias("size")), "word")
+        pairs = held.groupBy("notice", "template").agg(F.count("*").alias("held"), F.first("size").alias("size")).where(
+            "held = size").select("notice", "template")
+        notices = notices.join(pairs.select("notice").distinct(), "notice", "left_semi")
+        theirs = theirs.join(pairs, "template")
+    own = _weights(notices.select("notice", F.explode(_words(F.col("text"))).alias("word")), "notice", idf)
+    on = ["notice", "word"] if "needs" in patterns.columns else ["word"]
+    score = own.join(theirs, on).groupBy("notice", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score"))
+    score = score.join(known.select("template", "licence"), "template")
     best = score.groupBy("notice").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
     return best.select("notice", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score")).where(
         F.col("score") >= similar)
