@@ -159,20 +159,32 @@ def _spans(row, item, start, end) -> tuple[np.ndarray, ...]:
 
 
 def _hopeful(known: Seeds, words: np.ndarray, item, start, end) -> np.ndarray:
-    """Which passages hold enough of their item's words for the score, in any order (an upper bound)."""
+    """Which passages can hold a copy of their item, by upper bounds of the score.
+
+    A passage must hold enough of the item's words, in any order; and some stretch of it
+    must gain enough if each word that the item has counts as a match and each other
+    as a word put in: no alignment of that stretch scores more.
+    """
     out = np.zeros(len(item), bool)
     size = end - start
     turn = np.cumsum(size) // PASSAGE_WORDS
     for a, b in zip(*(np.searchsorted(turn, np.unique(turn), side) for side in ("left", "right"))):
         n = size[a:b]
         span = np.repeat(np.arange(b - a), n)
-        place = np.repeat(start[a:b], n) + np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
+        first = np.cumsum(n) - n
+        place = np.repeat(start[a:b] - first, n) + np.arange(len(span))
         key = known.word_key(item[a:b][span], words[place])
         which = np.minimum(np.searchsorted(known.own, key), len(known.own) - 1)
         held = known.own[which] == key
-        pair = np.unique(span[held] * len(known.own) + which[held])
+        # the best stretch: a running sum less its least value before, each passage lifted below the last
+        step = np.where(held, MATCH, GAP)
+        total = np.cumsum(step) - span * (2.0 * len(span) + 2)
+        gain = np.maximum.reduceat(total - np.minimum.accumulate(total - step), first)
+        good = gain >= known.score[item[a:b]] - 1e-9
+        some = held & good[span]
+        pair = np.unique(span[some] * len(known.own) + which[some])
         found = np.bincount(pair // len(known.own), known.own_count[pair % len(known.own)], b - a)
-        out[a:b] = found >= known.matched[item[a:b]]
+        out[a:b] = good & (found >= known.matched[item[a:b]])
     return out
 
 
