@@ -157,11 +157,11 @@ def _words(text: Column) -> Column:
 
 
 def _weights(parts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """(key, word, w): term counts by idf, each vector at unit length."""
-    raw = parts.groupBy(key, "word").agg(F.count("*").alias("tf")).join(idf, "word").withColumn(
+    """(kind, key, word, w): term counts by idf, each vector at unit length."""
+    raw = parts.groupBy("kind", key, "word").agg(F.count("*").alias("tf")).join(idf, ["kind", "word"]).withColumn(
         "w", F.col("tf") * F.col("idf"))
-    size = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, key).select(key, "word", (F.col("w") / F.col("size")).alias("w"))
+    size = raw.groupBy("kind", key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    return raw.join(size, ["kind", key]).select("kind", key, "word", (F.col("w") / F.col("size")).alias("w"))
 
 
 def _header(text: Column) -> Column:
@@ -181,36 +181,46 @@ def _passages(words: Column, places: list[tuple[int, int]]) -> Column:
     return F.array_distinct(F.filter(F.flatten(runs), lambda x: x.isNotNull()))
 
 
-def nearest_licences(notices: DataFrame, patterns: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(notice, licence, score): for each distinct notice with its text and number ``n``, the most similar template.
+#: Kinds of notices: the turn in which a kind decides a file's licence, and the cosine that counts.
+KINDS = {"title": (0, PASSAGE), "line": (1, SIMILAR), "whole": (1, SIMILAR), "passage": (2, PASSAGE)}
 
-    Templates with ``needs`` (words) count only for notices that hold all of them;
-    only such pairs are compared.  A notice is told by a digest, since a whole text
-    would go with each of its words.
+
+def _by_kind(values: dict[str, float], other: float = 0.0) -> Column:
+    out = F.lit(other)
+    for kind, value in values.items():
+        out = F.when(F.col("kind") == kind, F.lit(value)).otherwise(out)
+    return out
+
+
+def nearest_licences(notices: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(kind, notice, licence, score): for each distinct notice the most similar template of its kind.
+
+    ``notices`` are (kind, notice, text, n), told by a digest, since a whole text would
+    go with each of its words; each kind is a corpus of its own.  A template with
+    ``needs`` (words) counts only for notices that hold all of them, another for those
+    that hold one of its words; only such pairs are compared.
     """
-    parts = notices.select("notice", "n", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    parts = notices.select("kind", "notice", "n", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
     known = patterns.withColumn("template", F.sha2("notice", 256))
-    total = notices.agg(F.sum("n")).first()[0] or 0
-    df = parts.groupBy("word").agg(F.sum("n").alias("df"))
-    one = known.select("licence", "template", F.explode(_words(F.col("notice"))).alias("word"))
-    idf = df.join(one.select("word").distinct(), "word", "full_outer").select(
-        "word", (F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    theirs = _weights(one, "template", idf).withColumnRenamed("w", "v")
-    if "needs" in patterns.columns:
-        need = known.select("template", F.array_distinct(F.split("needs", " ")).alias("needs"))
-        held = parts.select("notice", "word").join(need.select(
-            F.explode("needs").alias("word"), "template", F.size("needs").alias("size")), "word")
-        pairs = held.groupBy("notice", "template").agg(F.count("*").alias("held"), F.first("size").alias("size")).where(
-            "held = size").select("notice", "template")
-        notices = notices.join(pairs.select("notice").distinct(), "notice", "left_semi")
-        theirs = theirs.join(pairs, "template")
-    own = _weights(notices.select("notice", F.explode(_words(F.col("text"))).alias("word")), "notice", idf)
-    on = ["notice", "word"] if "needs" in patterns.columns else ["word"]
-    score = own.join(theirs, on).groupBy("notice", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score"))
-    score = score.join(known.select("template", "licence"), "template")
-    best = score.groupBy("notice").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
-    return best.select("notice", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score")).where(
-        F.col("score") >= similar)
+    total = {r["kind"]: float(r["n"]) for r in notices.groupBy("kind").agg(F.sum("n").alias("n")).collect()}   # four rows
+    one = known.select("kind", "licence", "template", F.explode(_words(F.col("notice"))).alias("word"))
+    idf = parts.groupBy("kind", "word").agg(F.sum("n").alias("df")).join(
+        one.select("kind", "word").distinct(), ["kind", "word"], "full_outer").select(
+        "kind", "word", (F.log((1.0 + _by_kind(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    need = known.select("kind", "template", F.array_distinct(F.coalesce(F.split("needs", " "), _words(F.col("notice")))).alias("needs"),
+                        F.col("needs").isNull().alias("free"))
+    need = need.select("kind", "template", F.explode("needs").alias("word"),
+                       F.when(F.col("free"), 1).otherwise(F.size("needs")).alias("least"))
+    pairs = parts.select("kind", "notice", "word").join(need, ["kind", "word"]).groupBy("kind", "notice", "template").agg(
+        F.count("*").alias("held"), F.first("least").alias("least")).where("held >= least").select("kind", "notice", "template")
+    theirs = _weights(one, "template", idf).withColumnRenamed("w", "v").join(pairs, ["kind", "template"])
+    compared = notices.join(pairs.select("kind", "notice").distinct(), ["kind", "notice"], "left_semi")
+    own = _weights(compared.select("kind", "notice", F.explode(_words(F.col("text"))).alias("word")), "notice", idf)
+    score = own.join(theirs, ["kind", "notice", "word"]).groupBy("kind", "notice", "template").agg(
+        F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score")).join(known.select("kind", "template", "licence"), ["kind", "template"])
+    best = score.groupBy("kind", "notice").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
+    return best.select("kind", "notice", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score")).where(
+        F.col("score") >= _by_kind({kind: least for kind, (_, least) in KINDS.items()}))
 
 
 def scan(files: DataFrame, id_col: str, text_col: str, path: Column, is_licence_file: Column | None = None,
@@ -262,22 +272,20 @@ def scan(files: DataFrame, id_col: str, text_col: str, path: Column, is_licence_
         F.when(F.col("spoken") & is_named, _passages(F.slice(words, 1, OPENING), titles)).alias("opening"),
         F.monotonically_increasing_id().alias("row")), "rows")
 
-    def licensed(spoken, known, name, similar=SIMILAR):
-        spoken = spoken.where("notice != ''").select("row", F.sha2("notice", 256).alias("notice"), F.col("notice").alias("text"))
-        notices = tables.store(spoken.groupBy("notice").agg(F.count("*").alias("n"), F.first("text").alias("text")), f"{name}_notices")
-        nearest = tables.store(nearest_licences(notices, known, similar), f"{name}_nearest")
-        return spoken.join(nearest, "notice").select("row", "licence", "score")
-
-    spoken = rows.where(F.size("notices") > 0).select("row", F.explode("notices").alias("notice"))
-    whole = rows.where("whole is not null").select("row", F.col("whole").alias("notice"))
-    sure = tables.store(licensed(spoken, patterns, "lines").union(
-        licensed(whole, _table(spark, WHOLE), "whole")), "sure")
-    opening = rows.where(F.size("opening") > 0).select("row", F.explode("opening").alias("notice"))
-    titled = licensed(opening, _table(spark, TITLES), "titles", PASSAGE)
-    passages = rows.where(F.size("passages") > 0).join(sure.select("row").distinct(), "row", "left_anti").select(
-        "row", F.explode("passages").alias("notice"))
-    own = sure.union(licensed(passages, patterns, "passages", PASSAGE)).withColumn("turn", F.lit(1)).union(
-        titled.withColumn("turn", F.lit(0))).groupBy("row").agg(
+    lists = {"line": "notices", "passage": "passages", "title": "opening"}
+    said = rows.where("whole is not null").select("row", F.lit("whole").alias("kind"), F.col("whole").alias("text"))
+    for kind, column in lists.items():
+        said = said.union(rows.where(F.size(column) > 0).select("row", F.lit(kind).alias("kind"), F.explode(column).alias("text")))
+    said = said.where("text != ''").withColumn("notice", F.sha2("text", 256))
+    notices = tables.store(said.groupBy("kind", "notice").agg(F.count("*").alias("n"), F.first("text").alias("text")), "notices")
+    if "needs" not in patterns.columns:
+        patterns = patterns.withColumn("needs", F.lit(None).cast("string"))
+    known = _table(spark, WHOLE).withColumn("kind", F.lit("whole")).union(_table(spark, TITLES).withColumn("kind", F.lit("title")))
+    for kind in ("line", "passage"):
+        known = known.union(patterns.select("licence", "notice", "needs", F.lit(kind)))
+    nearest = tables.store(nearest_licences(notices, known), "nearest")
+    turn = _by_kind({kind: float(turn) for kind, (turn, _) in KINDS.items()}).alias("turn")
+    own = said.select("row", "kind", "notice").join(nearest, ["kind", "notice"]).select("row", turn, "score", "licence").groupBy("row").agg(
         F.min(F.struct("turn", (-F.col("score")).alias("s"), "licence")).alias("best"))
     marked = tables.store(rows.drop("notices", "whole", "passages", "opening").join(own, "row", "left").select(
         "id", "path", "named", F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("directory"),
