@@ -1,4 +1,4 @@
-"""Exact top-k inner products by M-trees: best-first search over paged metric nodes.
+"""Exact top-k inner products by M-trees: blocks of queries search paged metric nodes, nearest pages first.
 
 The inner product is turned into a distance: with M the largest norm, a vector x
 gets one more component sqrt(M^2 - |x|^2) and a query a zero, so that
@@ -9,13 +9,13 @@ each block becomes an M-tree of two levels of routing objects over leaf pages.
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from .shared import Tables, prepare
 
 #: Vectors of one tree, entries of a leaf page, pages below an inner node, queries of one block.
 TREE_ROWS, PAGE_ROWS, FANOUT, QUERY_ROWS = 8192, 256, 8, 1024
+#: Vectors whose trees one task searches for a block of queries, one tree after the other.
+SHARE_ROWS = 4 * TREE_ROWS
 #: Room for rounding in distances, relative to the largest one.
 SLACK = 1e-7
 
@@ -58,7 +60,7 @@ class Tree:
     """Leaf pages and inner nodes with routing objects, covering radii and distances to their parents."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors = ids, _narrow(vectors)
         self.pages, self.page_router, self.page_radius, self.entry_distance = [], [], [], []
         points = self._augmented(vectors, top)
         for rows in _halves(points, np.arange(len(ids)), PAGE_ROWS):
@@ -75,63 +77,119 @@ class Tree:
         self.node_router = np.array([self.page_router[n[0]] for n in self.nodes])
         self.page_distance = [_distances(r[None], self.page_router[n])[0] for r, n in zip(self.node_router, self.nodes)]
         self.node_radius = np.array([(d + self.page_radius[n]).max() for d, n in zip(self.page_distance, self.nodes)])
-        self.points = points
 
     @staticmethod
     def _augmented(vectors: np.ndarray, top: float) -> np.ndarray:
         square = (vectors.astype(np.float64) ** 2).sum(1)
         return np.column_stack([vectors, np.sqrt(np.maximum(top - square, 0))]).astype(np.float64)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, top: float) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` entries nearest to the query: ids and products, ties to smaller ids."""
-        point = np.append(query.astype(np.float64), 0.0)
-        square = float(point @ point) + top
-        slack = SLACK * (math.sqrt(square) + 1)
-        to_node = _distances(point[None], self.node_router)[0]
-        heap = [(max(d - r, 0.0), 0, i, d) for i, (d, r) in enumerate(zip(to_node.tolist(), self.node_radius.tolist()))]
-        heapq.heapify(heap)
-        ids, scores, bound = np.zeros(0, np.int64), np.zeros(0, np.int64), math.inf
-        while heap:
-            least, kind, i, d = heapq.heappop(heap)
-            if least > bound + slack:
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, top: float, best: "Best") -> None:
+        """Put the ``k`` entries nearest to each query into ``best``, which may hold those of other trees.
+
+        Each query takes the pages by their least possible distance until that is beyond its
+        k-th distance so far; queries that take the same page in the same round are multiplied
+        with its entries at once.
+        """
+        points = np.column_stack([queries.astype(np.float64), np.zeros(len(queries))])
+        square = (points * points).sum(1) + top
+        slack = SLACK * (np.sqrt(square) + 1)
+        reach = best.reach(square) + slack
+        to_node = _distances(points, self.node_router)
+        least = np.full((len(queries), len(self.pages)), math.inf)
+        away = np.zeros_like(least)
+        for node, pages in enumerate(self.nodes):
+            alive = np.flatnonzero(to_node[:, node] - self.node_radius[node] <= reach)
+            # by the stored distance to the parent, without computing: |d(q, parent) - d(parent, page)| - radius
+            near = np.abs(to_node[alive, node][:, None] - self.page_distance[node]) - self.page_radius[pages] <= reach[alive, None]
+            pages, alive = pages[near.any(0)], alive[near.any(1)]
+            if len(pages) and len(alive):
+                at = np.ix_(alive, pages)
+                away[at] = _distances(points[alive], self.page_router[pages])
+                least[at] = np.maximum(away[at] - self.page_radius[pages], 0)
+        order = np.argsort(least, axis=1, kind="stable")
+        alive = np.arange(len(queries))
+        for page in order.T:
+            # a query is done when its nearest page left is out of reach
+            alive = alive[least[alive, page[alive]] <= np.minimum(reach, 1e300)[alive]]
+            if not len(alive):
                 break
-            if kind == 0:
-                pages = self.nodes[i]
-                # by the stored distance to the parent, without computing: |d(q, parent) - d(parent, page)| - radius
-                pages = pages[np.abs(d - self.page_distance[i]) - self.page_radius[pages] <= bound + slack]
-                away = _distances(point[None], self.page_router[pages])[0] if len(pages) else pages
-                for page, x in zip(pages.tolist(), away.tolist()):
-                    if x - self.page_radius[page] <= bound + slack:
-                        heapq.heappush(heap, (max(x - self.page_radius[page], 0.0), 1, page, x))
-                continue
-            rows = self.pages[i][np.abs(d - self.entry_distance[i]) <= bound + slack]
-            rows = rows[self.ids[rows] != query_id]
-            ids = np.concatenate([ids, self.ids[rows]])
-            scores = np.concatenate([scores, self.product(rows, query)])
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                bound = math.sqrt(max(square - 2 * float(scores.min()), 0.0))
-        return ids, scores
-
-    def product(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Exact integer products; in floating point only where that is exact."""
+            alive = alive[np.argsort(page[alive], kind="stable")]
+            for own in np.split(alive, np.flatnonzero(np.diff(page[alive])) + 1):
+                of, d = int(page[own[0]]), away[own, page[own[0]]]
+                distance = self.entry_distance[of]
+                rows = self.pages[of][(distance >= (d - reach[own]).min()) & (distance <= (d + reach[own]).max())]
+                best.offer(own, query_ids[own], self.ids[rows], self.product(rows, queries[own]))
+            best.merge()
+            reach = best.reach(square) + slack
+
+    def product(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Exact integer products, a row for each query; in floating point only where that is exact."""
         own = self.vectors[rows]
-        if not len(own):
-            return np.zeros(0, np.int64)
-        if float(np.abs(own).max()) * float(np.abs(query).max()) * len(query) < 2.0 ** 53:
-            return np.rint(own.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-        return own @ query
+        if not own.size or not queries.size:
+            return np.zeros((len(queries), len(own)), np.int64)
+        most = float(np.abs(own.astype(np.float64)).max()) * float(np.abs(queries.astype(np.float64)).max()) * queries.shape[1]
+        for kind, exact in ((np.float32, 2.0 ** 24), (np.float64, 2.0 ** 53)):
+            if most < exact:
+                return np.rint(queries.astype(kind) @ own.astype(kind).T).astype(np.int64)
+        return queries.astype(np.int64) @ own.astype(np.int64).T
+
+
+class Best:
+    """The ``k`` best entries of each query so far: larger scores first, then smaller ids."""
+
+    NONE = -(2 ** 63 - 1)           # the score of a place that is not taken
+
+    def __init__(self, queries: int, k: int):
+        self.ids, self.scores, self.found = np.zeros((queries, k), np.int64), np.full((queries, k), self.NONE), []
+
+    def reach(self, square: np.ndarray) -> np.ndarray:
+        """Distance of each query's last entry; infinite while it has fewer than ``k``."""
+        last = self.scores[:, -1]
+        return np.where(last == self.NONE, math.inf, np.sqrt(np.maximum(square - 2 * last.astype(np.float64), 0)))
+
+    def offer(self, own: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of entries for the queries ``own``; those that can't be among the best are left."""
+        i, j = np.nonzero(scores >= self.scores[own, -1][:, None])
+        other = ids[j] != query_ids[i]
+        i, j = i[other], j[other]
+        self.found.append((own[i], ids[j], scores[i, j]))
+
+    def merge(self) -> None:
+        own, ids, scores = (np.concatenate(x) for x in zip(*self.found))
+        self.found = []
+        asked = np.unique(own)
+        k = self.ids.shape[1]
+        own = np.concatenate([own, np.repeat(asked, k)])
+        ids = np.concatenate([ids, self.ids[asked].ravel()])
+        scores = np.concatenate([scores, self.scores[asked].ravel()])
+        order = np.lexsort((ids, -scores, own))
+        own, ids, scores = own[order], ids[order], scores[order]
+        # each asked query has at least its k old places
+        first = (np.searchsorted(own, asked)[:, None] + np.arange(k)).ravel()
+        self.ids[asked], self.scores[asked] = ids[first].reshape(-1, k), scores[first].reshape(-1, k)
 
 
 def _matrix(column, width: int) -> np.ndarray:
+    """Vectors as rows, shorter ones ending with zeros."""
+    if isinstance(column, (pa.Array, pa.ChunkedArray)):
+        long = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+    else:
+        long = np.fromiter(map(len, column), np.int64, len(column))
+        flat = np.concatenate([np.asarray(x, np.int64) for x in column]) if len(column) else np.zeros(0, np.int64)
     out = np.zeros((len(column), width), np.int64)
-    for i, x in enumerate(column):
-        out[i, :len(x)] = x
+    out[np.arange(width) < long[:, None]] = flat
     return out
 
 
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type that holds them all."""
+    for kind in (np.int8, np.int16, np.int32):
+        if not vectors.size or (vectors.min() >= np.iinfo(kind).min and vectors.max() <= np.iinfo(kind).max):
+            return vectors.astype(kind)
+    return vectors
+
+
 def _build(width: int, top: float, trees: int):
     """Trees of the rows of a partition, a block after the other."""
 
@@ -146,7 +204,7 @@ def _build(width: int, top: float, trees: int):
         from pyspark import TaskContext
         part, turn, rows, n = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            vectors = _matrix(batch.column("v").to_pylist(), width)
+            vectors = _matrix(batch.column("v"), width)
             ids = batch.column("vec_id").to_numpy()
             while len(ids):
                 take = TREE_ROWS - n
@@ -163,16 +221,14 @@ def _build(width: int, top: float, trees: int):
 
 
 def _search(width: int, top: float, k: int):
+    """The best entries of a share of the trees for a block of queries; each tree starts at what the ones before left."""
+
     def run(trees: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        vectors = _matrix(queries["v"], width)
+        asked, vectors, best = queries["vec_id"].to_numpy(), _matrix(queries["v"], width), Best(len(queries), k)
         for blob in trees["blob"]:
-            tree = pickle.loads(blob)
-            for query_id, query in zip(queries["vec_id"].tolist(), vectors):
-                ids, scores = tree.search(query_id, query, k, top)
-                out.append((np.full(len(ids), query_id), ids, scores))
-        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
+            pickle.loads(blob).search(asked, vectors, k, top, best)
+        query, place = np.nonzero(best.scores != best.NONE)
+        return pd.DataFrame({"query_id": asked[query], "vec_id": best.ids[query, place], "score": best.scores[query, place]})
 
     return run
 
@@ -184,7 +240,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     Components become floor(scale * x).  ``queries`` has the columns of
     ``vectors``; a query's own id is no candidate.  Ties go to smaller ids.  All
     vectors are candidates: each block of queries visits every tree, whose
-    best-first search skips what its bounds exclude.
+    search, nearest pages first, skips what its bounds exclude.
 
     Vectors that are null, or hold a null or non-finite component, and null ids
     take no part; of rows that repeat an id the smallest vector does; shorter
@@ -216,12 +272,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
                        F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     index = tables.store(base.withColumn("away", away).repartitionByRange(trees, "away", "vec_id").select("vec_id", "v")
                          .mapInArrow(_build(width, top, trees), "tree long, blob binary"), "index")
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    every = index.select("tree", "blob", numbers.alias("block"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    pairs = asked.join(index.select(F.col("tree").alias("at"), numbers.alias("block")), "block").select(
-        F.col("at").alias("tree"), F.col("block").alias("block"), "vec_id", "v")
-    found = every.groupBy("tree", "block").cogroup(pairs.groupBy("tree", "block")).applyInPandas(
+    shares = math.ceil(n / SHARE_ROWS)
+    every = index.select(F.pmod("tree", F.lit(shares)).cast("int").alias("share"), "blob",
+                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "vec_id", "v",
+                         F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    found = every.groupBy("share", "block").cogroup(pairs.groupBy("share", "block")).applyInPandas(
         _search(width, top, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(

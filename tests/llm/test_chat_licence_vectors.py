@@ -155,6 +155,54 @@ def test_top_k_matches_brute_force(spark, clashing, n, width):
         assert [found[k + 1] for k in range(len(want))] == [(i, -s) for s, i in want]
 
 
+def test_queries_of_a_block_share_their_products_and_bounds(monkeypatch):
+    """A page is multiplied with all queries that take it in a round, and later trees start at the bounds of earlier ones."""
+    from smogcast.llm import mtree
+    rng = np.random.default_rng(1)
+    near, far = rng.integers(20, 60, (1000, 6)), rng.integers(-60, -20, (1000, 6))
+    queries, asked = near[:300], np.arange(300)
+    top, calls, product = float((np.vstack([near, far]) ** 2).sum(1).max()), [], mtree.Tree.product
+    monkeypatch.setattr(mtree.Tree, "product", lambda self, rows, own: calls.append(len(own)) or product(self, rows, own))
+    best = mtree.Best(300, 20)
+    mtree.Tree(np.arange(1000), near, top).search(asked, queries, 20, top, best)
+    assert 0 < len(calls) <= 16
+    calls.clear()
+    mtree.Tree(np.arange(1000, 2000), far, top).search(asked, queries, 20, top, best)
+    assert not calls
+    score = queries @ near.T
+    score[asked, asked] = -10 ** 9
+    want = np.lexsort((np.broadcast_to(np.arange(1000), score.shape), -score), axis=1)[:, :20]
+    assert (best.ids == want).all() and (best.scores == np.take_along_axis(score, want, 1)).all()
+
+
+@pytest.mark.parametrize("most", [3, 2 ** 13, 2 ** 30])
+def test_products_are_exact_at_any_size(most):
+    from smogcast.llm import mtree
+    rng = np.random.default_rng(most)
+    table = rng.integers(-most, most + 1, (600, 5))
+    table[0], table[1] = most, -most
+    top = float((table.astype(np.float64) ** 2).sum(1).max())
+    best = mtree.Best(600, 7)
+    mtree.Tree(np.arange(600), table, top).search(np.arange(600), table, 7, top, best)
+    for q in range(600):
+        want = sorted((-sum(int(x) * int(y) for x, y in zip(table[q], v)), i) for i, v in enumerate(table) if i != q)[:7]
+        assert [(-s, i) for s, i in zip(best.scores[q].tolist(), best.ids[q].tolist())] == want
+
+
+def test_top_k_over_several_shares_of_trees(spark, monkeypatch):
+    from smogcast.llm import mtree
+    monkeypatch.setattr(mtree, "TREE_ROWS", 60)
+    monkeypatch.setattr(mtree, "SHARE_ROWS", 150)
+    monkeypatch.setattr(mtree, "QUERY_ROWS", 12)
+    whole = np.random.default_rng(4).integers(-9, 10, (500, 4))
+    frame = spark.createDataFrame([(i, [x / 64 for x in v]) for i, v in enumerate(whole.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(frame, frame.where("vec_id % 20 = 0"), 20).collect()}
+    assert len(got) == 25 * 20
+    for q in range(0, 500, 20):
+        want = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:20]
+        assert [got[q, n + 1] for n in range(20)] == [(i, -s) for s, i in want]
+
+
 def test_top_k_without_rows(spark):
     frame = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     assert top_k(frame.limit(0), frame).count() == 0 and top_k(frame, frame.limit(0)).count() == 0
