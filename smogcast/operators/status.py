@@ -159,7 +159,8 @@ BUCKET_SECONDS = 3600
 PRED_COLS = ["pred_24h", "pred_48h", "pred_72h"]
 
 
-def asof_predictions(readings: DataFrame, predictions: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def asof_predictions(readings: DataFrame, predictions: DataFrame, bucket_seconds: int = BUCKET_SECONDS,
+                     times: DataFrame | None = None) -> DataFrame:
     """``readings`` (city, ts, event_id, ...) with ``pred``, the newest prediction of the city that is not later.
 
     Time is cut into buckets of fixed length, so a hot city is as many keys as it has
@@ -175,7 +176,8 @@ def asof_predictions(readings: DataFrame, predictions: DataFrame, bucket_seconds
     ``pred`` is (pts, pid, pred_24h, pred_48h, pred_72h), null where there is none.
     A prediction with the same ts as a reading (same poll) counts as not later, of
     those with the same ts the greatest id.  Without a ts neither a reading nor a
-    prediction has a match.
+    prediction has a match.  ``times`` (city, ts) holds at least the times of all
+    readings, where they are cheaper to read than the readings.
     """
     bucket = F.floor(F.unix_micros("ts") / F.lit(bucket_seconds * 1_000_000)).alias("_bucket")
     null = lambda of: F.lit(None).cast(of)
@@ -185,7 +187,7 @@ def asof_predictions(readings: DataFrame, predictions: DataFrame, bucket_seconds
     p = predictions.where(F.col("ts").isNotNull()).select("city", "ts", F.col("event_id").cast("long").alias("event_id"),
                                                           pred.alias("pred"), F.lit(0).alias("_kind"), bucket)
     last = p.groupBy("city", "_bucket").agg(F.max_by("pred", F.struct("ts", "event_id")).alias("_last"))
-    asked = r.select("city", "_bucket").where("_bucket is not null").distinct()
+    asked = (r if times is None else times).select("city", bucket).where("_bucket is not null").distinct()
     marks = last.select("city", "_bucket", "_last", F.lit(0).alias("_asked")).unionByName(
         asked.select("city", "_bucket", null("struct<pts:timestamp,pid:bigint,pred_24h:double,pred_48h:double,pred_72h:double>")
                      .alias("_last"), F.lit(1).alias("_asked")))

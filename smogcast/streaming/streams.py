@@ -34,7 +34,8 @@ from ..operators.tables import dedup_last, latest_per_city
 from ..session import ensure_checkpoint_dir
 from ..sources.files import aqi_payload_fields
 from .. import schemas
-from .logs import Snapshot, append, append_batches, day_of, log_days, new_rows, publish, read_days, read_newest
+from .logs import (FEW_DAYS, Snapshot, append, append_batches, by_day, day_counts, day_of, listed_in_lots, log_days, new_rows,
+                   publish, read_days, read_newest)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -197,28 +198,31 @@ def monitor_batches(root: str):
             told = batch.where(~F.col("is_poll") & F.col("ts").isNotNull()).select(
                 "city", "ts", F.col("event_id").cast("long").alias("event_id"), *PRED_COLS, "day")
             fresh = new_rows(told, batch_id, f"{root}/predictions").persist()
-            days = sorted(r["day"] for r in fresh.select("day").distinct().collect())
+            days = sorted(day_counts(fresh))
             if days:
                 append(fresh, batch_id, f"{root}/predictions")
                 whole = read_days(spark, f"{root}/predictions", days, PREDICTION_ROW + _PARTS)
                 last = dedup_last(whole.drop("stream", "batch"), ["city", "day"], ["ts", "event_id"])
-                (last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day")
-                     .parquet(f"{root}/last_predictions"))
+                # a number of its own: the table is small, but its files are one a day
+                (last.repartition(-(-len(days) // FEW_DAYS), "day").write.mode("overwrite")
+                     .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/last_predictions"))
             readings = monitor_readings(batch.where(F.col("is_poll") & F.col("aqi").isNotNull())
                                         .withColumn("source", F.lit(LIVE_TAG)), "day")
             readings = new_rows(readings, batch_id, f"{root}/monitor").persist()
-            asked = sorted(r["day"] for r in readings.select("day").distinct().collect())
+            counts = day_counts(readings)
             out = []
-            if asked:
-                out.append(asof_predictions(readings, _known(spark, root, asked)))
+            if counts:
+                out.append(asof_predictions(readings, _known(spark, root, sorted(counts))))
             if days and (logged := _logged(spark, root, days[0], batch_id)) is not None:
-                later = asof_predictions(logged.withColumnRenamed("pred", "had"), fresh)
+                later = asof_predictions(_newest(logged).withColumnRenamed("pred", "had"), fresh, times=logged)
                 newer = F.col("pred").isNotNull() & (F.col("had").isNull() | (_order("pred") > _order("had")))
                 out.append(later.where(newer).drop("had"))
+                for day, n in day_counts(logged).items():        # the most that can be corrected
+                    counts[day] = counts.get(day, 0) + n
             if out:
                 rows = out[0] if len(out) == 1 else out[0].unionByName(out[1])
                 rows = rows.select(*[c.split(" ")[0] for c in MONITOR_ROW.split(", ")], "day")
-                append(rows.repartitionByRange("day", "city", "ts", "event_id"), batch_id, f"{root}/monitor")
+                append(by_day(rows, counts), batch_id, f"{root}/monitor")
             fresh.unpersist()
             readings.unpersist()
         finally:
@@ -228,6 +232,7 @@ def monitor_batches(root: str):
 
 def _known(spark: SparkSession, root: str, days: list[str]) -> DataFrame:
     """Predictions of ``days``, and the last one of each city on each earlier day."""
+    listed_in_lots(spark)
     last = spark.read.schema(PREDICTION_ROW + ", day string").parquet(f"{root}/last_predictions") if log_days(
         spark, f"{root}/last_predictions") else spark.createDataFrame([], PREDICTION_ROW + ", day string")
     columns = ["city", "ts", "event_id", *PRED_COLS]
@@ -242,18 +247,19 @@ def _newest(rows: DataFrame) -> DataFrame:
 
 
 def _logged(spark: SparkSession, root: str, first: str, batch_id: int) -> DataFrame | None:
-    """What earlier batches logged for ``first`` and later days."""
+    """What earlier batches logged for ``first`` and later days, corrections beside what they correct."""
     from .logs import stream_id
     days = [d for d in log_days(spark, f"{root}/monitor") if d >= first]
     rows = read_days(spark, f"{root}/monitor", days, MONITOR_ROW + _PARTS)
     if rows is None:
         return None
     rows = rows.where(~((F.col("stream") == stream_id(spark)) & (F.col("batch") == batch_id)))
-    return _newest(rows.drop("stream", "batch"))
+    return rows.drop("stream", "batch")
 
 
 def read_monitor(spark: SparkSession, root: str) -> DataFrame:
     """The monitor log that :func:`monitor_batches` keeps: each reading once, with its newest prediction."""
+    listed_in_lots(spark)
     rows = spark.read.schema(MONITOR_ROW + _PARTS).parquet(f"{root}/monitor")
     return monitor_columns(_newest(rows.drop("stream", "batch")))
 

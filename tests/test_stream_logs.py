@@ -132,6 +132,55 @@ def test_monitor_equals_a_batch_as_of_join_in_any_order_of_arrival(spark, tmp_pa
     assert last.count() == last.select("city", "day").distinct().count() == len(p.assign(d=p.ts.dt.date)[["city", "d"]].drop_duplicates())
 
 
+def test_a_batch_writes_one_file_a_day(spark, tmp_path):
+    """Also where a batch is checked against what the log holds, and where shuffles have more partitions than days."""
+    polls, told, root = (str(tmp_path / n) for n in ("polls", "preds", "root"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sink, write = ss.monitor_batches(root), logs.append_batches(f"{root}/log")
+        for lot in range(3):
+            at = [T(2024, 1, 1 + d, h) for d in range(20) for h in range(lot, 24, 3)]
+            land(spark, [poll("ABC"[n % 3], t, 100 * n + lot, 5.0) for n, t in enumerate(at)], POLL, polls, f"lot{lot}")
+            land(spark, [("ABC"[n % 3], "m", 1.0, 2.0, 3.0, t, 100 * n + lot) for n, t in enumerate(at)], PRED, told, f"lot{lot}")
+            run(spark, polls, root, write, checkpoint="log-ck")
+            feed = ss.read_monitor_feed(ss.read_payload_stream(spark, f"{polls}/*"), ss.read_prediction_stream(spark, f"{told}/*"))
+            ss.run_available(feed, None, f"{root}/ck", foreach_batch=sink)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for name, batches in (("log", 3), ("predictions", 3), ("monitor", 3), ("last_predictions", 1)):
+        files = [(folder, f) for folder, _, inside in os.walk(f"{root}/{name}") for f in inside if f.endswith(".parquet")]
+        assert len(files) == len({folder for folder, _ in files}) == 20 * batches, name
+    assert ss.read_monitor(spark, root).where("aqi_24h = 1").count() == spark.read.parquet(f"{root}/log").count() == 3 * 160
+
+
+def test_a_day_of_many_rows_is_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(logs, "FILE_ROWS", 10)
+    rows = [("X", T(2024, 1, 1 if n % 4 else 2, 1, n % 60), n) for n in range(120)] + [("X", None, n) for n in range(5)]
+    path = str(tmp_path / "log")
+    write = logs.append_batches(path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for batch in (0, 1):                 # what comes again is not written again
+            write(spark.createDataFrame(rows, "city string, ts timestamp, event_id long"), batch)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert spark.read.schema("event_id long").parquet(path).count() == 125
+    files = {day: len([f for _, _, inside in os.walk(f"{path}/day={day}") for f in inside if f.endswith(".parquet")])
+             for day in ("2024-01-01", "2024-01-02", "none")}
+    assert files["2024-01-01"] > 1 and files["none"] == 1
+
+
+def test_many_days_are_read_by_what_the_log_has(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "city string, ts timestamp, event_id long, day string, stream string, batch long"
+    at = [T(2024, 1, 1) + dt.timedelta(days=d) for d in range(40)]
+    logs.append_batches(path)(spark.createDataFrame([("X", t, 1) for t in at], "city string, ts timestamp, event_id long"), 0)
+    days = [f"{t:%Y-%m-%d}" for t in at]
+    assert logs.read_days(spark, path, days + ["2020-01-01"], schema).count() == 40
+    some = logs.read_days(spark, path, days[:30] + ["2020-01-01"], schema)
+    assert {r.day for r in some.collect()} == set(days[:30]) and len(some.inputFiles()) == 30
+    assert logs.read_days(spark, path, [f"2020-01-{d:02d}" for d in range(1, 31)], schema) is None
+
+
 def test_start_stream_processing_time_trigger(spark, tmp_path, sf_dir):
     """The production starter (60 s by default; 1 s here)."""
     polls, out = str(tmp_path / "polls"), str(tmp_path / "out")
