@@ -200,3 +200,16 @@ def test_exact_medians_do_not_depend_on_brackets(spark, monkeypatch):
         for k, c in enumerate("abcd"):
             values = [r[k] for r in rows if r[k] is not None]
             assert got[c] == (statistics.median(values) if values else None), (n, c)
+
+
+def test_a_training_sample_has_few_parts_whatever_the_shuffles(spark, monkeypatch):
+    """Both fits run a task for each part in every round."""
+    from pyspark.ml import Pipeline
+    from smogcast.plans import classify as cl
+    parts, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df, *a: parts.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    df = spark.range(0, 1200, 1, 60).selectExpr(
+        "concat('c', id % 3) AS city", "date_add(date'2020-01-01', int(id)) AS date", "double(id % 350) AS aqi", "double(id % 350) AS pm25",
+        "double(id % 7) AS pm10", "double(id % 11) AS no2", "double(id % 5) AS so2")
+    _, metrics, _ = cl.train_and_select(df, num_trees=2, max_depth=3, max_iter=3)
+    assert metrics.count() == 2 and len(parts) == 2 and max(parts) <= cl.SAMPLE_PARTS
